@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, secrets, toxicity
+from . import chat, mixing, packing, quality, secretscan, topk, toxicity, urlfilter
 from .common import crc_mod, table
 
 
@@ -21,6 +21,41 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return topk.top_k(vectors, vectors.filter("id % 50 = 0"), 5)
+
+
+#: Hosts of unwanted pages (advertising, gambling, adult, spam), listed as canonical URLs with the usual endings.
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED = tuple(f"{name}.example.{end}/" for name in LISTED_NAMES for end in ("com", "net", "org"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(x,) for x in LISTED], "key string")
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), listed)
+
+
+def _op3_sql() -> str:
+    """Rules by length, then the list by host suffix."""
+    fits = lambda rule: "(host = '{0}' or ends_with(host, '.{0}')) and starts_with(path, '/{1}')".format(*rule.split("/", 1))
+    rules = sorted(urlfilter.RULES, key=lambda r: -len(r[0]))
+    rule = " ".join(f"when {fits(r)} then '{r}'" for r, _ in rules)
+    verdict = " ".join(f"when {fits(r)} then '{v}'" for r, v in rules)
+    listed = " or ".join(f"bare = '{x[:-1]}' or ends_with(bare, '.{x[:-1]}')" for x in LISTED)
+    return f"""
+        with p as (
+            select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+                coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
+            from pages
+        ), q as (select *, regexp_replace(host, ':[0-9]*$', '') as bare from p)
+        select page_id, host, path, case {rule} end as rule, case {verdict} when {listed} then 'block' else 'allow' end as verdict from q"""
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.vocabulary("word_bpe_49k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
@@ -32,7 +67,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets.*")
+    return secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets.*")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +78,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op7_quality_rules, op8_source_mix, op9_secret_scan, op10_chat_format)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_url_filter, op4_packing, op7_quality_rules, op8_source_mix, op9_secret_scan, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_exact_topk": """
+            with v as (
+                select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+                where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+            ), s as (
+                select q.vec_id as query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) as score
+                from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0
+            ), r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
+            select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5""",
+        "op3_url_filter": _op3_sql(),
+    }
