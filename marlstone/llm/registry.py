@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, packing, quality, secretscan, topk, toxicity, urlfilter
+from . import chat, lmscore, mixing, neardup, packing, quality, secretscan, topk, toxicity, urlfilter
 from .common import crc_mod, table
 
 
@@ -60,6 +60,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lmscore.score(docs, lmscore.train(docs)).select("doc_id", "lm.*")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
@@ -82,7 +87,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_url_filter, op4_packing, op5_near_dedup, op7_quality_rules, op8_source_mix, op9_secret_scan, op10_chat_format)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_url_filter, op4_packing, op5_near_dedup, op6_lm_score, op7_quality_rules, op8_source_mix, op9_secret_scan, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
