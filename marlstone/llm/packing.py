@@ -27,6 +27,8 @@ import types
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -40,49 +42,71 @@ END_ID = 2
 #: Bounds of a block: documents and tokens held at once.
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 6_000_000
 #: Bounds of a worker's memory of words: words, and token ids.
-CACHE_WORDS, CACHE_IDS = 400_000, 4_000_000
+CACHE_WORDS, CACHE_IDS = 800_000, 6_000_000
 
 
 class WordTokenizer:
-    """Token ids of texts for tokenizers that never join across blanks.
+    """Token ids of texts for tokenizers that lower-case, drop blanks and never join across them.
 
-    The vocabulary's rules treat each blank-separated chunk on its own, so ids
-    are looked up chunk by chunk and only new chunks go through the tokenizer.
+    Ids are looked up by blank-separated chunk and only new chunks go through
+    the tokenizer, words of letters many at a time: each ends at its only token
+    with the mark of a word's end.  To have fewer chunks, texts are lower-cased
+    first and full stops and commas set apart, unless a text has letters or
+    punctuation for which that could matter.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.starts = np.zeros(CACHE_WORDS * 2, np.int64)
-        self.sizes = np.zeros(CACHE_WORDS * 2, np.int64)
-        self.used = 0
-
-    def _learn(self, new: list[str]) -> None:
-        for chunk, enc in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids, k = enc.ids, len(self.number)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if k == len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            self.number[chunk], self.starts[k], self.sizes[k] = k, self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        self.number = _Numbers()
+        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        new, self.number.new = self.number.new, []
+        sizes = np.zeros(len(new), np.int64)
+        plain = [i for i, c in enumerate(new) if c.isalpha()]
+        other = [i for i, c in enumerate(new) if not c.isalpha()]
+        parts = self._encode([" ".join([new[i] for i in plain[at : at + 1000]]) for at in range(0, len(plain), 1000)])
+        plain_ids = np.fromiter(chain.from_iterable(parts), np.uint32)
+        last = np.flatnonzero(self.ends[plain_ids])
+        if len(last) != len(plain) or (len(plain) and last[-1] != len(plain_ids) - 1):
+            plain, other, plain_ids, last = [], list(range(len(new))), plain_ids[:0], last[:0]
+        rest = self._encode([new[i] for i in other])
+        sizes[plain] = np.diff(last, prepend=-1)
+        sizes[other] = [len(x) for x in rest]
+        order = np.array(plain + other, np.int64)
+        starts = np.zeros(len(new), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order] + len(self.flat)
+        self.flat = np.concatenate([self.flat, plain_ids, np.fromiter(chain.from_iterable(rest), np.uint32)])
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > CACHE_WORDS or self.used > CACHE_IDS:
+        if len(self.number) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
             self.clear()
-        chunks = [_BLANK.split(t) for t in texts]
-        known = self.number
-        new = {c for cs in chunks for c in cs if c not in known}
-        if new:
-            self._learn(sorted(new))
-        return [self._join(np.fromiter(map(known.__getitem__, cs), np.int64, len(cs))) for cs in chunks]
+        look = self.number.__getitem__
+        rows = []
+        for t in texts:
+            if _PLAIN.fullmatch(t) and is_normalized("NFC", t):
+                t = t.lower()
+                if _stops_end_words(t):
+                    t = t.replace(".", " .").replace(",", " ,")
+                chunks = t.split()
+            else:
+                chunks = _BLANK.split(t)
+            rows.append(np.fromiter(map(look, chunks), np.int64, len(chunks)))
+        if self.number.new:
+            self._learn()
+        return [self._join(k) for k in rows]
 
     def _join(self, k: np.ndarray) -> np.ndarray:
         size = self.sizes[k]
@@ -91,7 +115,39 @@ class WordTokenizer:
         return self.flat[out]
 
 
+class _Numbers(dict):
+    """chunk -> its number, in order of first look-up; ``new`` has those not yet learned."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 _BLANK = re.compile("[ \n]+")
+#: Characters whose lower case is the same alone and in a word, to be sure, and no blanks but the usual.
+_PLAIN = re.compile("[\t-\r -~\u00a1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
+#: A full stop or comma that is not just after a word and before a blank.
+_MIXED = re.compile(r"[.,][^ \n]|[^\w \n][.,]|[ \n][.,]|^[.,]")
+
+
+def _stops_end_words(t: str) -> bool:
+    """Whether every full stop and comma stands just after a word and before a blank."""
+    if _SIMPLE.fullmatch(t):
+        for c in ".,":
+            n = t.count(c)
+            if n and (n != t.count(c + " ") + t.count(c + "\n") + t.endswith(c) or t.count(" " + c) + t.count("\n" + c) + t.startswith(c)):
+                return False
+        return True
+    return not _MIXED.search(t)
+
+
+#: Small letters, blanks, full stops and commas.
+_SIMPLE = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f \n.,]*")
 
 
 def per_worker(key: str, make):
