@@ -67,9 +67,9 @@ def leaf_budgets(leaves: DataFrame, budget_share: float = BUDGET_SHARE) -> DataF
     """``leaves`` (domain, lang, source, tokens) with ``share``: the tokens to take from each."""
     cap = lambda: (F.sum("tokens") * MAX_EPOCHS).cast("double").alias("cap")
     weight = lambda: F.pow(F.greatest(F.sum("tokens"), F.lit(1)).cast("double"), POWER).alias("weight")
-    total = leaves.agg((F.sum("tokens") * budget_share).alias("budget"))
-    domains = leaves.groupBy("domain").agg(cap(), F.lit(1.0).alias("weight")).withColumn("name", F.col("domain")).crossJoin(F.broadcast(total))  # one row on the right
-    domains = _pour(domains.withColumn("root", F.lit(0)), ["root"]).select("domain", F.col("share").alias("budget"))
+    domains = leaves.groupBy("domain").agg(cap(), F.lit(1.0).alias("weight")).withColumn("name", F.col("domain")).withColumn("root", F.lit(0))
+    domains = domains.withColumn("budget", F.sum("cap").over(Window.partitionBy("root")) / MAX_EPOCHS * budget_share)
+    domains = _pour(domains, ["root"]).select("domain", F.col("share").alias("budget"))
     langs = leaves.groupBy("domain", "lang").agg(cap(), weight()).withColumn("name", F.col("lang")).join(domains, "domain")
     langs = _pour(langs, ["domain"]).select("domain", "lang", F.col("share").alias("budget"))
     sources = leaves.groupBy("domain", "lang", "source").agg(cap(), weight(), F.sum("tokens").alias("tokens")).withColumn("name", F.col("source")).join(langs, ["domain", "lang"])

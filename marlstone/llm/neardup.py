@@ -43,7 +43,7 @@ MISS = 1e-6
 MAX_HASHES = 192
 #: Members of a bucket that are compared with each other in one step.
 BLOCK = 256
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 250_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stash
@@ -142,8 +142,9 @@ def thresholds(stats: DataFrame, labels: DataFrame) -> DataFrame:
     judged = stats.filter(~F.col("base_failed")).join(good, stats["doc_id"] == good["k"]).select("stratum", F.explode(per_rule).alias("r")).select("stratum", "r.*")
     size = len(next(iter(RULES.values())))
     counts = judged.groupBy("stratum", "rule", "grid").agg(F.count("*").alias("n"), F.array(*[F.sum((F.col("over") > j).cast("long")) for j in range(size)]).alias("ks"))
-    strata = stats.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    tests = counts.crossJoin(F.broadcast(strata)).select("stratum", "rule", "n", "strata", F.explode(F.arrays_zip("grid", "ks")).alias("g"))  # one row on the right
+    # a row for each stratum and rule that is tested
+    counts = counts.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(0))) / len(RULES))
+    tests = counts.select("stratum", "rule", "n", "strata", F.explode(F.arrays_zip("grid", "ks")).alias("g"))
     certified = binomial_cdf(F.col("g.ks"), F.col("n"), ALPHA) <= DELTA / (F.col("strata") * len(RULES) * size)
     return tests.filter(certified).groupBy("stratum", "rule").agg(F.min("g.grid").alias("cutoff"))
 
