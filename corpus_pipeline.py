@@ -1,10 +1,70 @@
-"""The corpus pipeline: toxicity, near-dedup, secrets, mixing, packing."""
+"""The corpus pipeline: toxicity, near-dedup, secrets, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from marlstone.llm import mixing, neardup, packing, secretscan, toxicity
+from marlstone.llm.common import stash
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity threshold."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = docs.withColumn("__toxicity", toxicity.scorer(docs, model)("text"))
+    return scored.filter(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words a shingle, similarity 0.8 or more.
+
+    The ids to leave out are written first, so the join broadcasts them only
+    while they are small.  Of rows that share an id one stays.
+    """
+    found = stash(neardup.near_duplicates(docs, k=5, percent=80).select("doc_id", "kept"), "found")
+    out = stash(found.filter("not kept").select("doc_id").distinct(), "out")
+    again = stash(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    kept = docs.join(out, "doc_id", "left_anti")
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    repeated = kept.join(again, "doc_id", "left_semi").withColumn("__one", one).filter("__one = 1")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionAll(repeated.select(docs.columns))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced by a mark."""
+    return secretscan.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture uses them."""
+    return mixing.mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, packing.vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: The stages are not expressible in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
