@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
+import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +62,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def per_worker(key: str, make):
+    """A value made once per worker process: it outlives the task."""
+    home = sys.modules.setdefault("_marlstone_worker", types.ModuleType("_marlstone_worker")).__dict__
+    if key not in home:
+        home[key] = make()
+    return home[key]
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system when a task ends: idle workers stay for a while."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass

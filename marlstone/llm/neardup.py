@@ -4,20 +4,21 @@
    shingles, a 128-bit fingerprint of the set, its band keys and a short
    signature (one byte of each minimum).
 2. Documents with equal sets form a class; only its smallest id goes on.
-3. Classes that share a band key are candidates.  First every class is paired
-   with its bucket's smallest and largest; the pair whose signatures agree most
-   is verified on full sets.
-4. Buckets that then still hold several components are compared pair by pair,
-   in blocks of bounded size, by signature; pairs of different components are
-   verified on full sets, each class's best pair first, then all that still
-   join different components.  So a link can be missed only if no band key of
-   its pair is equal (chance below ``MISS`` at the threshold) or signatures
-   agree five deviations less than expected.
-5. Components of the verified links by large-star and small-star.
-
-Sets are made again from the texts of the documents in candidate pairs alone
-(picked by a Bloom filter of bounded size).  No group is gathered in one task
-and no pairs of copies are made.
+3. Classes that share a band key are candidates.  Buckets that hold several
+   components are cut into blocks of bounded size, and each pair of blocks is
+   compared by itself: pairs of different components whose signatures agree
+   enough are verified on full sets, best first, as long as their ends are
+   still apart.  Only links that join components leave a block.
+4. Components of the links by large-star and small-star.
+
+Steps 3 and 4 run twice: over the first ``WAVE`` bands, which join most groups,
+and over the rest, where few buckets are still apart.  A link can be missed only
+if no band key of its pair is equal (chance below ``MISS`` at the threshold) or
+signatures agree five deviations less than expected; what a link would join is
+joined anyway if other links do.
+
+Sets are made again from the texts of candidates alone (picked by a Bloom filter
+of bounded size).  No group is gathered in one task and no pairs are emitted.
 
 Defined results: null texts and texts without words have no shingles and are
 linked with nothing; texts with fewer words than a shingle are one shingle; rows
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, stash
+from .common import discard, give_back, per_worker, small_batches, stash
 from .components import components
 from .urlfilter import bloom, may_hold
 
@@ -43,7 +44,9 @@ MISS = 1e-6
 MAX_HASHES = 192
 #: Members of a bucket that are compared with each other in one step.
 BLOCK = 256
-_CACHE_LIMIT = 250_000
+#: Bands of the first of two passes.
+WAVE = 6
+_CACHE_LIMIT = 200_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -63,12 +66,6 @@ class _WordHashes(dict):
         value = self[word] = xxhash.xxh64_intdigest(word, 7)
         return value
 
-    def __reduce__(self):
-        return _WordHashes, ()
-
-
-_HASHES = _WordHashes()
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MULT[5]
@@ -81,7 +78,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: blanks and case of ASCII alone
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(per_worker("shingle-words", _WordHashes).__getitem__, words), np.uint64, len(words))
     width = min(k, len(h))
     x = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
@@ -127,104 +124,122 @@ def sketch(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             frame = pd.DataFrame({c: pd.Series([r[i] for r in out], dtype="Int64" if i < 3 else object) for i, c in enumerate(cols)})
             frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield frame
+        give_back()
 
     small_batches(documents.sparkSession)
     ids = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return ids.mapInPandas(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary")
 
 
-def _agreement(a: pd.Series, b: pd.Series) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    return (x == y).sum(axis=1)
+def _runs(members: DataFrame, group, out_schema: str) -> DataFrame:
+    """``group`` of every run of rows that share ``g``: a pandas frame in, a frame or None out.
 
+    Rows are dealt by ``g`` and read as they come; a run is held alone.  ``g``
+    stands for a pair of blocks, so a run has at most about 2 * ``BLOCK`` rows.
+    """
 
-def _with_agreement(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    @F.pandas_udf("int")
-    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(_agreement(a, b) if len(a) else [], dtype="int32")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
 
-    sa, sb = (sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in ("a", "b"))
-    out = pairs.join(sa, "a").join(sb, "b").select("a", "b", agree.asNondeterministic()("sig_a", "sig_b").alias("agree"))
-    return out.filter(F.col("agree") >= least)
+        def groups(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for _, g in frame.groupby("g", sort=False):
+                if len(g) > 1 and (found := group(g)) is not None:
+                    yield found
 
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch["g"].iloc[-1]
+            if batch["g"].iloc[0] == last and (not held or held[0]["g"].iloc[0] == last):
+                held.append(batch)
+                continue
+            frame = pd.concat([*held, batch]) if held else batch
+            done = frame["g"] != last
+            yield from groups(frame[done])
+            held = [frame[~done]]
+        if held:
+            yield from groups(pd.concat(held))
+        give_back()
 
-def _bucket_pairs(members: DataFrame, least: int) -> DataFrame:
-    """a, b, agree: pairs of a bucket's members that are of different components and agree in ``least`` places.
+    return members.repartition("g").sortWithinPartitions("g").mapInPandas(run, out_schema)
 
-    ``members``: key, size, rep, comp, sig.  Large buckets are cut into blocks
-    and each pair of blocks is a step of its own.
-    """
+
+_MEMBER = "g long, blk int, rep long, comp long, sig binary"
+
+
+def _pairs_to_test(g: pd.DataFrame, least: int) -> list[tuple[int, int, int]]:
+    """(agreement, i, j) of a run's pairs that are of different components and agree in ``least`` places, best first."""
+    s = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
+    comp, blk = g["comp"].to_numpy(), g["blk"].to_numpy()
+    across = len(np.unique(blk)) > 1  # a pair of blocks: pairs inside one are another run's
+    out = []
+    for i in range(len(g) - 1):
+        j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((blk[i + 1 :] != blk[i]) | (not across))) + i + 1
+        if len(j):
+            agree = (s[j] == s[i]).sum(axis=1)
+            out += [(int(agree[k]), i, int(j[k])) for k in np.flatnonzero(agree >= least)]
+    return sorted(out, reverse=True)
+
+
+def _may_link(members: DataFrame, least: int) -> DataFrame:
+    """Members (rows of ``_MEMBER``, cut into blocks) that have a pair to test.  ``members``: key, size, rep, comp, sig."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     cut = members.withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cut = cut.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("g"), "blk", "rep", "comp", "sig")
 
-    def group(g: pd.DataFrame, out: list) -> None:
-        s = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
-        rep, comp, blk = (g[c].to_numpy() for c in ("rep", "comp", "blk"))
-        across = blk[0] != blk[-1] or len(set(blk.tolist())) > 1
-        for i in range(len(g) - 1):
-            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((blk[i + 1 :] != blk[i]) | (not across))) + i + 1
-            if len(j):
-                agree = (s[j] == s[i]).sum(axis=1)
-                for k in np.flatnonzero(agree >= least):
-                    a, b = rep[i], rep[j[k]]
-                    out.append((max(a, b), min(a, b), agree[k]))
+    def group(g: pd.DataFrame) -> pd.DataFrame | None:
+        pairs = _pairs_to_test(g, least)
+        return g.iloc[sorted({x for _, i, j in pairs for x in (i, j)})] if pairs else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    return _runs(cut, group, _MEMBER)
 
-        def flush(frame: pd.DataFrame, out: list) -> None:
-            for _, g in frame.groupby("g", sort=False):
-                if len(g) > 1:
-                    group(g, out)
 
-        for batch in batches:
-            out: list = []
-            last = batch["g"].iloc[-1] if len(batch) else None
-            if len(batch):
-                if batch["g"].iloc[0] != last or (held and held[0]["g"].iloc[0] != last):
-                    frame = pd.concat([*held, batch]) if held else batch
-                    done = frame["g"] != last
-                    flush(frame[done], out)
-                    held = [frame[~done]]
-                else:
-                    held.append(batch)
-            yield pd.DataFrame(out, columns=["a", "b", "agree"])
+def _links(members: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+    """a, b: verified links that join the runs' components.
+
+    Inside a run pairs are tried in the order of their agreement, and only while
+    their ends are in different components; each try compares full sets.
+    """
+
+    def group(g: pd.DataFrame) -> pd.DataFrame | None:
+        rep, comp = g["rep"].to_numpy(), g["comp"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in g["set"]]
+        up = {c: c for c in comp}
+
+        def root(c):
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
         out = []
-        if held:
-            flush(pd.concat(held), out)
-        yield pd.DataFrame(out, columns=["a", "b", "agree"])
+        for _, i, j in _pairs_to_test(g, least):
+            ci, cj = root(comp[i]), root(comp[j])
+            if ci != cj:
+                x, y = sets[i], sets[j]
+                if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
+                    continue  # sizes alone rule it out
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    up[ci] = cj
+                    out.append((rep[i], rep[j]))
+        return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
-    return cut.repartition("g").sortWithinPartitions("g").mapInPandas(run, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return _runs(members.join(sets, "rep"), group, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    spark = documents.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sent = spark.sparkContext.broadcast(bloom(ids))
+def _sets(ids: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """rep, set of the documents whose ids (rep) a Bloom filter of bounded size lets through."""
+    sent = documents.sparkSession.sparkContext.broadcast(bloom(ids.select(F.col("rep").alias("key")).distinct()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[may_hold(sent.value, batch["h"].to_numpy())]
             yield pd.DataFrame({"rep": batch["doc_id"].to_numpy(), "set": [shingle_set(t, k).tobytes() for t in batch["text"]]})
+        give_back()
 
     rows = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stash(rows.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInPandas(run, "rep long, set binary"), "sets")
-
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
-
-    sa, sb = (sets.select(F.col("rep").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
-    links = stash(pairs.select("a", "b").join(sa, "a").join(sb, "b").withColumn("ok", linked.asNondeterministic()("set_a", "set_b")).filter("ok").select("a", "b"), "links")
-    discard(sets)
-    return links
+    return rows.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInPandas(run, "rep long, set binary")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -242,35 +257,25 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     )
     reps = members.filter(F.col("sig").isNotNull())
     sigs = reps.select("rep", "sig")
-    rows_of = reps.select("rep", F.explode("bands").alias("key"))
-    ends = rows_of.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    shared = stash(rows_of.join(ends, "key").select("key", "size", "rep", "lo", "hi"), "buckets")
-
-    # every class with the best of its buckets' ends
-    star = shared.select("rep", F.explode(F.array("lo", "hi")).alias("end")).filter("rep <> end").select(F.greatest("rep", "end").alias("a"), F.least("rep", "end").alias("b")).distinct()
-    scored = stash(_with_agreement(star, sigs, least), "scored")
-    first = _best(scored)
-    links = _verify(stash(first, "pairs"), documents, k, percent)
     # rows that share an id but not their set are one document
     split = members.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    links = links.unionAll(split.select(F.col("hi").alias("a"), F.col("lo").alias("b")))
-    links = links.unionAll(members.join(split, "doc_id").filter("rep > lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")))
-
-    # buckets that are not of one component yet
-    comp = stash(components(links), "components")
-    named = _named(shared, comp, "rep")
-    torn = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
-    pairs = stash(_bucket_pairs(named.select("key", "size", "rep", "comp").join(torn, "key", "left_semi").join(sigs, "rep"), least).join(first, ["a", "b"], "left_anti"), "pairs")
-    discard(shared)
-    if pairs.head(1):
-        more = _verify(stash(_best(pairs), "pairs"), documents, k, percent)
-        links = links.unionAll(more)
+    links = split.select(F.col("hi").alias("a"), F.col("lo").alias("b")).unionAll(members.join(split, "doc_id").filter("rep > lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")))
+    comp = documents.sparkSession.createDataFrame([], "node long, component long")
+    for first, past in ((0, min(WAVE, bands)), (min(WAVE, bands), bands)):
+        if first == past:
+            break
+        keys = reps.select("rep", F.explode(F.slice("bands", first + 1, past - first)).alias("key"))
+        ends = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+        shared = stash(_named(keys.join(ends, "key").select("key", "size", "rep"), comp, "rep"), "buckets")
+        torn = shared.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
+        open_ = stash(_may_link(shared.join(torn, "key", "left_semi").join(sigs, "rep"), least), "open")
+        discard(shared)
+        sets = stash(_sets(open_, documents, k), "sets")
+        found = stash(_links(open_, sets, least, percent), "links")
+        discard(open_)
+        discard(sets)
+        links = links.unionAll(found)
         comp = stash(components(links), "components")
-        rest = _named(_named(pairs, comp, "a").withColumnRenamed("comp", "ca"), comp, "b").filter("ca <> comp").select("a", "b", "agree")
-        rest = stash(rest.join(_best(pairs), ["a", "b"], "left_anti"), "pairs")
-        if rest.head(1):
-            links = links.unionAll(_verify(rest, documents, k, percent))
-            comp = stash(components(links), "components")
 
     slim = members.select("doc_id", "n_shingles", "rep")
     lone = sketches.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))
@@ -279,13 +284,6 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     return found.unionAll(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """For each member its pair of most agreement, ties to the smaller partner."""
-    one = pairs.select(F.col("a").alias("m"), "a", "b", "agree", F.col("b").alias("p"))
-    two = pairs.select(F.col("b").alias("m"), "a", "b", "agree", F.col("a").alias("p"))
-    return one.unionAll(two).groupBy("m").agg(F.max(F.struct("agree", (-F.col("p")).alias("p"), "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-
-
 def _named(df: DataFrame, comp: DataFrame, node: str) -> DataFrame:
     """``df`` with the component of ``node`` (itself, if it has no link) in ``comp``."""
     return df.join(comp.select(F.col("node").alias("__n"), F.col("component").alias("__c")), F.col(node) == F.col("__n"), "left").withColumn("comp", F.coalesce("__c", node)).drop("__n", "__c")
