@@ -109,8 +109,9 @@ def _exact(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     out = []
     for own, row in zip(query_ids, q, strict=True):
         a = [int(x) for x in row]
-        scored = [(-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in zip(ids, vi, strict=True) if i != own]
-        out += [(own, i, min(max(-s, -(2**63)), 2**63 - 1)) for s, i in sorted(scored)[:k]]
+        held = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+        scored = [(-held(sum(x * y for x, y in zip(a, b, strict=False))), i) for i, b in zip(ids, vi, strict=True) if i != own]
+        out += [(own, i, -s) for s, i in sorted(scored)[:k]]
     return out
 
 
