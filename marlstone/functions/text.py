@@ -186,11 +186,11 @@ def passage_prefix(topic: Column, title: Column) -> Column:
 
 def human_bytes(n: Column) -> Column:
     """Size with one decimal in the largest unit below 1024."""
-    out = F.concat(F.format_number(n / 1024.0**4, "0.0"), F.lit(" TiB"))
-    for power, unit in reversed(list(enumerate(("B", "KiB", "MiB", "GiB")))):
-        shown = F.concat(F.format_number(n / 1024.0**power, "0" if unit == "B" else "0.0"), F.lit(f" {unit}"))
-        out = F.when(n < 1024 ** (power + 1), shown).otherwise(out)
-    return out
+    shown = lambda power, unit: F.concat(F.bround(n / 1024.0**power, 1).cast("decimal(20,1)").cast("string"), F.lit(f" {unit}"))
+    out = shown(4, "TiB")
+    for power, unit in ((3, "GiB"), (2, "MiB"), (1, "KiB")):
+        out = F.when(n < 1024 ** (power + 1), shown(power, unit)).otherwise(out)
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 
 def fingerprint(*columns: Column | str) -> Column:

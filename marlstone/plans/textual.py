@@ -48,9 +48,7 @@ def text_url_links(spark: SparkSession, d: str) -> DataFrame:
 @query("""select doc_id, case when n < 1024 then cast(n as varchar) || ' B' when n < 1048576 then printf('%.1f', n / 1024.0) || ' KiB' else printf('%.1f', n / 1048576.0) || ' MiB' end as shown from (select doc_id, n_chars * 1000 + 512 as n from documents)""")
 def text_human_bytes(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", (F.col("n_chars") * 1000 + 512).alias("n"))
-    out = F.format_string("%.1f MiB", F.col("n") / 1048576.0)
-    out = F.when(F.col("n") < 1048576, F.format_string("%.1f KiB", F.col("n") / 1024.0)).otherwise(out)
-    return rows.select("doc_id", F.when(F.col("n") < 1024, F.concat(F.col("n").cast("string"), F.lit(" B"))).otherwise(out).alias("shown"))
+    return rows.select("doc_id", text.human_bytes(F.col("n")).alias("shown"))
 
 
 @query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null)
