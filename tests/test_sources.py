@@ -129,3 +129,87 @@ def test_job_state_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("states").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["job_id"], r["state"]) for r in spark.table("states").collect()} == {(1, "completed"), (2, "preparing")}
+
+
+def test_office_files(spark, tmp_path):
+    from marlstone.sources import office
+
+    docs = spark.createDataFrame([("k", ["标题 <1>", "a\nb & c"])], "key string, paragraphs array<string>")
+    content = office.render(docs).first()["content"]
+    assert files.docx_text(bytes(content)) == ("标题 <1>ab & c", 0)
+    book = office.xlsx(["key", "n"], [("a<b", 1), (None, 2.5)])
+    (tmp_path / "m.xlsx").write_bytes(book)
+    sheet = zipfile.ZipFile(tmp_path / "m.xlsx").read("xl/worksheets/sheet1.xml").decode()
+    assert sheet.count("<row ") == 3 and "a&lt;b" in sheet and 'autoFilter ref="A1:B3"' in sheet
+
+
+def test_sqlite(spark, tmp_path):
+    import sqlite3
+
+    from marlstone.sources import database
+
+    with sqlite3.connect(tmp_path / "x.db") as db:
+        db.execute("create table jobs (id integer, name text, share real)")
+        db.execute("insert into jobs values (1, 'a', 0.5), (2, null, null)")
+    spark.dataSource.register(database.SqliteSource)
+    got = spark.read.format("sqlite").option("path", str(tmp_path / "x.db")).option("table", "jobs").load().orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "a", 0.5), (2, None, None)]
+
+
+def test_reports(spark):
+    from marlstone.operators import graph
+    from marlstone.sources import reports
+
+    assert "| 财务核算 | 2 | 3 |" in reports.upload_guide(spark.createDataFrame([("finance", 1), ("finance", 2)], "domain string, image_count int"))
+    assert "retrieve-finance" in reports.workflow_yaml(*graph.workflow(graph.routes(spark, ["finance"])))
+    images = spark.createDataFrame([("c", str(i), 1) for i in range(11)] + [("d", "x", None), ("d", "y", 9**9)], "chunk_id string, image_id string, bytes long")
+    assert {tuple(r) for r in reports.image_bundle_errors(images).collect()} == {("c", "too many images"), ("d", "missing image"), ("d", "image too large")}
+    names = spark.createDataFrame([("j", f"n{i}") for i in range(7)], "job string, name string")
+    assert tuple(reports.error_names(names, "job", "name").first()) == ("j", "n0、n1、n2、n3、n4", 7)
+    js, md = reports.figures(total=names.groupBy("job").count())
+    assert '"count": 7' in js and "count: 7" in md
+
+
+def test_models(spark):
+    from marlstone.operators import models
+
+    df = spark.createDataFrame([("a b",), ("c",)], "text string")
+    v = [r["v"] for r in df.select(models.encoder(models.hashed_encoder(8))("text").alias("v")).collect()]
+    assert len(v) == 2 and len(v[0]) == 8
+    with pytest.raises(PySparkException):
+        df.select(models.encoder(lambda: lambda t: [[0.0]] * len(t))("text")).collect()
+    score = models.reranker(lambda: lambda q, p: [float(len(x)) for x in p])
+    assert sorted(r["s"] for r in df.select(score(F.lit("q"), "text").alias("s")).collect()) == [1.0, 3.0]
+    with pytest.raises(PySparkException):
+        df.select(models.reranker(lambda: lambda q, p: [float("nan")] * len(p))("text", "text")).collect()
+    images = spark.createDataFrame([("i", bytearray(b"x"))], "image_id string, content binary")
+    lines = models.read_images(images, lambda: lambda c: [{"text": "t", "score": 0.5, "polygon": [[0, 1], [2, 3]]}]).first()["lines"]
+    assert lines[0]["bbox"] == [0.0, 1.0, 2.0, 3.0]
+
+
+def test_categories(spark):
+    from marlstone.operators import categories
+
+    none = spark.createDataFrame([], "id string, name string")
+    one = categories.create(spark, none, " 新类 ")
+    assert categories.all_categories(spark, one).count() == 10
+    for bad in ("", "a/b", "CON", "新类", "财务核算", "x" * 51):
+        with pytest.raises(ValueError):
+            categories.create(spark, one, bad)
+    key = one.first()["id"]
+    assert categories.rename(spark, one, key, "别名").first()["name"] == "别名"
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, domain string")
+    assert [r["domain"] for r in categories.set_value(rows, {"id": 2}, domain="c").orderBy("id").collect()] == ["a", "c"]
+    with pytest.raises(ValueError):
+        categories.set_value(rows, {"id": 2}, nope="c")
+    assert [r["id"] for r in categories.delete(rows, rows.filter("id = 1"), "id").collect()] == [2]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from marlstone.__main__ import main
+
+    docs = spark.createDataFrame([("a", "t", "one", "alpha beta", "s", "detail", ["d"], "one"), ("b", "t", "two", "gamma", "s", "detail", ["e"], "two")], "doc_id string, topic string, title string, content string, source_id string, kind string, domains array<string>, section_title string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    main(["index", f"{tmp_path}/docs", f"{tmp_path}/index"])
+    main(["search", f"{tmp_path}/index", "gamma", "--engine", "bm25"])
+    assert "gamma" in capsys.readouterr().out
