@@ -43,6 +43,14 @@ def tokens(c: Column | str) -> Column:
     return F.concat(latin, F.flatten(pairs))
 
 
+def token_count(c: Column | str) -> Column:
+    """Number of search tokens, without making them."""
+    text = text_of(c)
+    runs = F.regexp_extract_all(text, F.lit("([一-鿿]+)"), 1)
+    pairs = F.aggregate(runs, F.lit(0), lambda n, r: n + F.greatest(F.length(r) - 1, F.lit(1)))
+    return F.regexp_count(F.lower(text), F.lit("[a-z0-9]+(?:[_-][a-z0-9]+)*")) + pairs
+
+
 def clean_lines(c: Column | str) -> Column:
     """Struct: ``text``, the stripped lines that are neither blank nor decorative, and ``removed``, the decorative ones."""
     stripped = F.filter(F.transform(lines(c), strip), lambda x: x != "")

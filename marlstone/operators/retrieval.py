@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from .sizing import broadcast_if_small
+from .sizing import broadcast_if_small, is_small
 
 MODES = ("bm25", "vector", "fusion", "hybrid")
 K1, B = 1.2, 0.75
@@ -61,7 +61,7 @@ def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def corpus_stats(texts: DataFrame, text_col: str) -> DataFrame:
     """One row: n texts, avg length in tokens (at least 1)."""
-    return texts.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg(F.size(text.tokens(text_col))), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
+    return texts.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg(text.token_count(text_col)), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -81,14 +81,14 @@ def bm25(texts: DataFrame, queries: DataFrame, id_col: str, text_col: str) -> Da
     queries' tokens before anything is shuffled.
     """
     asked = query_tokens(queries)
+    # what is made of the queries' tokens has no more rows than they
+    small = F.broadcast if is_small(asked) else lambda df: df
     wanted = asked.select("token").distinct()
     stats = corpus_stats(texts, text_col).first()
     toks = texts.select(F.col(id_col).alias("id"), text.tokens(text_col).alias("ts")).select("id", F.size("ts").alias("len"), F.explode("ts").alias("token"))
-    tf = toks.join(broadcast_if_small(wanted), "token", "left_semi").groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
+    tf = toks.join(small(wanted), "token", "left_semi").groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    # few rows: the queries' tokens
-    asked = asked.join(df, "token")
-    scored = tf.join(broadcast_if_small(asked), "token")
+    scored = tf.join(small(asked.join(df, "token")), "token")
     weight = bm25_weight(F.col("tf"), F.col("df"), F.lit(stats["n"]), F.col("len"), F.lit(stats["avg_len"]))
     return scored.groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
 

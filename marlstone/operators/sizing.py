@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, for a shuffled join.
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; reads at most one more."""
+    return df.limit(rows + 1).count() <= rows
+
 
-    Counting reads at most ``rows`` + 1 rows.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is small, else as it is, for a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows) else df

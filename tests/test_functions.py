@@ -108,3 +108,8 @@ def test_folds(spark):
     items = [(4, 1), (7, 1), (3, 1), (20, 1), (1, 1)]
     assert one(spark, folds.pack_groups(F.col("i"), 10, 2), i=("array<struct<size:bigint,count:bigint>>", items)) == [1, 2, 2, 3, 4]
     assert one(spark, folds.within_budget(F.col("s"), 10), s=("array<bigint>", [6, 5, 4, 1])) == [True, False, True, False]
+
+
+def test_token_count(spark):
+    for t in ("KO8G 取消结转 a_b-c 项", "", None, "a--b _c", "漢"):
+        assert one(spark, text.token_count("t"), t=("string", t)) == len(one(spark, text.tokens("t"), t=("string", t)))

@@ -213,3 +213,48 @@ def test_bundle_differences(spark):
 
 def test_every_query_has_its_sql():
     assert set(registry.queries) == set(registry.oracle_sql)
+
+
+def test_small_predicates(spark):
+    one = lambda c: spark.range(1).select(c.alias("r")).first()["r"]
+    empty, some = F.array().cast("array<string>"), F.array(F.lit("x"))
+    ok = lambda *a, **k: one(metadata.exportable(*a, **k))
+    assert ok(empty, empty, F.lit("approved")) and not ok(empty, empty, F.lit("pending")) and ok(empty, empty, F.lit(None), drafts=True) and not ok(some, empty, F.lit("approved"))
+    assert one(metadata.available_routes(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.lit("a"), F.lit("c"))))
+    assert one(catalog.overview_kind(F.lit("1 业务流程简介"))) == "primary" and one(catalog.overview_kind(F.lit("操作"))) == "fallback" and one(catalog.overview_kind(F.lit("目录"))) is None
+    assert one(corpus.evidence_title(F.lit("t"), F.array(F.lit("目 录\nx"), F.lit("\n目录")))) == "目录"
+    assert one(corpus.evidence_title(F.lit("t"), F.array(F.lit("目录"), F.lit("x")))) == "t" and one(corpus.evidence_title(F.lit("t"), empty)) == "t"
+
+
+def test_region_text(spark):
+    schema = "r struct<page:int,text:string,tables:array<struct<rows:array<array<string>>>>,images:array<struct<text:string>>>"
+    row = ((2, "正文\x01", [([["a", None], ["b\nc", "d"]],)], [("",), ("识别",)]),)
+    got = spark.createDataFrame([row], schema).select(corpus.region_text(F.lit("f.pdf"), F.col("r")).alias("t")).first()["t"].split("\n")
+    assert got[0] == "来源：f.pdf，PDF 第2页" and got[1] == "正文�" and got[3:5] == ["a | ", "b / c | d"] and got[-1] == "识别" and len(got) == 7
+
+
+def test_reuse_and_status(spark):
+    tasks = spark.createDataFrame([(1, "s"), (2, "s"), (3, "t")], "page int, run_signature string")
+    results = spark.createDataFrame([(1, "complete", "s"), (2, "failed", "s"), (3, "complete", "old")], "page int, status string, run_signature string")
+    assert {r["page"]: r["reuse"] for r in inventory.reusable(tasks, results, ["page"]).collect()} == {1: True, 2: False, 3: False}
+    sources = spark.createDataFrame([("a", "h", 2), ("b", "h", 1)], "source_id string, sha256 string, pages int")
+    pages = spark.createDataFrame([("a", "h", 1, "complete"), ("a", "old", 2, "complete"), ("b", "h", 1, "complete")], "source_id string, sha256 string, page int, status string")
+    assert {r["source_id"]: r["built"] for r in corpus.build_status(sources, pages).collect()} == {"a": False, "b": True}
+    names = spark.createDataFrame([("a", 10), ("b", 9), ("c", 5), ("d", 1)], "source_id string, pages int")
+    assert {r["source_id"]: r["shard"] for r in inventory.shards(names, "pages", 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0}
+
+
+def test_toc_and_export(spark):
+    toc = spark.createDataFrame([("s", 0, 2, "甲", 1, 800.0, 700.0, True), ("s", 1, 2, "1. 操作步骤", 2, 800.0, 100.0, True), ("s", 2, 3, "乙", 3, 800.0, 0.0, False), ("s", 3, None, "丙", 1, 800.0, 0.0, False), ("s", 4, 2, "丁", 2, 800.0, 700.0, True)], "source_id string, pos int, page int, title string, level int, height double, view_y double, is_xyz boolean")
+    got = corpus.toc_boundaries(toc).orderBy("page").collect()
+    assert [(r["page"], r["top"], r["title"]) for r in got] == [(1, 0.0, "资料说明与适用范围"), (2, 95.0, "丁")]
+    rows = spark.createDataFrame([("s", 1, "标题", [(1, "x", [])])], "source_id string, section_index int, title string, regions array<struct<page:int,text:string,images:array<struct<image_id:string>>>>")
+    names = spark.createDataFrame([("s", "手册_V2.1.pdf", "科技项目/手册_V2.1.pdf", "h")], "source_id string, name string, relative_path string, sha256 string")
+    r = corpus.export_documents(corpus.chunks(rows).withColumn("domain", F.lit("finance")), names).first()
+    assert r["key"] == "s-finance-001" and r["metadata"]["document_version"] == "V2.1" and r["metadata"]["project_type"] == "科技项目" and r["image_count"] == 0
+
+
+def test_scoped_branches(spark):
+    rows = [("s", "1.1 内部"), ("s", "1.1.1 步骤"), ("s", "1.2 外部"), ("s", "2 上市"), ("s", "2.1 步骤"), ("s", "2.2 步骤")]
+    got = {(r["title"], r["children"]) for r in graph.scoped_branches(spark.createDataFrame(rows, "source_id string, title string")).collect()}
+    assert got == {("1.1 内部", 1), ("2 上市", 2)}
