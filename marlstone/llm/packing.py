@@ -22,8 +22,6 @@ are packed each; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-import sys
-import types
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -35,14 +33,14 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import give_back, per_worker, small_batches
 
 WINDOW, UNIT, DEPTH = 4096, 128, 6
 END_ID = 2
 #: Bounds of a block: documents and tokens held at once.
-BLOCK_DOCS, BLOCK_TOKENS = 4096, 6_000_000
+BLOCK_DOCS, BLOCK_TOKENS = 4096, 4_000_000
 #: Bounds of a worker's memory of words: words, and token ids.
-CACHE_WORDS, CACHE_IDS = 800_000, 6_000_000
+CACHE_WORDS, CACHE_IDS = 400_000, 4_000_000
 
 
 class WordTokenizer:
@@ -150,14 +148,6 @@ def _stops_end_words(t: str) -> bool:
 _SIMPLE = re.compile("[a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f \n.,]*")
 
 
-def per_worker(key: str, make):
-    """A value made once per worker process: it outlives the task."""
-    home = sys.modules.setdefault("_marlstone_worker", types.ModuleType("_marlstone_worker")).__dict__
-    if key not in home:
-        home[key] = make()
-    return home[key]
-
-
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's vocabulary file."""
     import public_tokenizers
@@ -323,5 +313,6 @@ def pack(documents: DataFrame, tokenizer_path: str) -> DataFrame:
                     yield frame(packer.block(docs))
                     docs, held = [], 0
         yield frame(packer.block(docs) + packer.end())
+        give_back()
 
     return documents.select("doc_id", "text").mapInPandas(run, SCHEMA)

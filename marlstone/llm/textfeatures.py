@@ -12,9 +12,11 @@ import zlib
 
 import numpy as np
 
+from .common import per_worker
+
 BITS = 20
 _WORD = re.compile(r"\w+")
-_CACHE_LIMIT = 500_000
+_CACHE_LIMIT = 200_000
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
 
@@ -27,12 +29,6 @@ class WordHashes(dict):
         value = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         return value
 
-    def __reduce__(self):
-        return WordHashes, ()  # a cache: never sent along
-
-
-_HASHES = WordHashes()
-
 
 def _fold(x: np.ndarray, bits: int) -> np.ndarray:
     return (x >> np.uint64(64 - bits)).astype(np.uint32)
@@ -43,7 +39,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
     words = _WORD.findall(text.lower()) if text else []
     if not words:
         return np.empty(0, np.uint32)
-    lookup = _HASHES.__getitem__
+    lookup = per_worker("feature-words", WordHashes).__getitem__
     h = np.fromiter(map(lookup, words), np.uint64, len(words))
     a = h * _M[0]
     parts = [_fold(a, bits)]

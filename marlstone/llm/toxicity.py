@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches
+from .common import crc_mod, give_back, small_batches
 from .ftrl import Ftrl
 from .textfeatures import BITS, features
 
@@ -54,6 +54,7 @@ def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model.update(xs[i], ys[i])
     index, weight = model.sparse()
     yield pd.DataFrame({"i": np.append(index, -1), "w": np.append(weight, model.bias())})
+    give_back()
 
 
 def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
@@ -77,9 +78,6 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     return ToxicityModel(fitted.loc[live, "i"].to_numpy(), fitted.loc[live, "w"].to_numpy(), float(fitted.loc[~live, "w"].iloc[0]))
 
 
-_DENSE: dict[int, np.ndarray] = {}
-
-
 def scorer(documents: DataFrame, model: ToxicityModel):
     """A function of the text column that gives its score between 0 and 1."""
     small_batches(documents.sparkSession)
@@ -93,6 +91,7 @@ def scorer(documents: DataFrame, model: ToxicityModel):
         for batch in texts:
             raw = np.array([dense[features(t)].sum() for t in batch], np.float64)
             yield pd.Series(np.zeros(len(raw)) if bias is None else 1.0 / (1.0 + np.exp(-np.clip(raw + bias, -35, 35))))
+        give_back()
 
     return toxicity
 
