@@ -55,8 +55,13 @@ def passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, token, tf, len: one row per token of each text; the text's length in tokens on each."""
-    toks = texts.select(F.col(id_col).alias("id"), text.tokens(text_col).alias("ts")).select("id", F.size("ts").alias("len"), F.explode("ts").alias("token"))
-    return toks.groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
+    return _tokens(texts, id_col, text_col).groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
+
+
+def _tokens(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, len, token: one row per token.  The outer explode keeps the planner from adding a filter that makes the tokens twice."""
+    made = texts.select(F.col(id_col).alias("id"), text.tokens(text_col).alias("ts"))
+    return made.select("id", F.size("ts").alias("len"), F.explode_outer("ts").alias("token")).filter("token is not null")
 
 
 def corpus_stats(texts: DataFrame, text_col: str) -> DataFrame:
@@ -85,8 +90,9 @@ def bm25(texts: DataFrame, queries: DataFrame, id_col: str, text_col: str) -> Da
     small = F.broadcast if is_small(asked) else lambda df: df
     wanted = asked.select("token").distinct()
     stats = corpus_stats(texts, text_col).first()
-    toks = texts.select(F.col(id_col).alias("id"), text.tokens(text_col).alias("ts")).select("id", F.size("ts").alias("len"), F.explode("ts").alias("token"))
-    tf = toks.join(small(wanted), "token", "left_semi").groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
+    toks = _tokens(texts, id_col, text_col)
+    # dealt by text once: counts, scores and their sums then need no further shuffle of postings
+    tf = toks.join(small(wanted), "token", "left_semi").repartition("id").groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     scored = tf.join(small(asked.join(df, "token")), "token")
     weight = bm25_weight(F.col("tf"), F.col("df"), F.lit(stats["n"]), F.col("len"), F.lit(stats["avg_len"]))

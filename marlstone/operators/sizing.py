@@ -17,3 +17,9 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is small, else as it is, for a shuffled join."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its files make fewer splits than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -12,7 +12,7 @@ from .base import query, table
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """source_id, page, text: every line of a document as a page."""
-    return table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "\n")).alias("i", "text")).select("source_id", (F.col("i") + 1).alias("page"), "text")
+    return table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("source_id"), F.posexplode_outer(F.split("text", "\n")).alias("i", "text")).select("source_id", (F.col("i") + 1).alias("page"), "text")
 
 
 _LINES = "lines as (select doc_id as source_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as page from documents where text is not null)"
