@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sizing import spread
+
 #: Rows per Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,7 +58,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

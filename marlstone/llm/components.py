@@ -13,6 +13,12 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
+def _join(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """``edges`` with the least of their node.  The key is wrapped so that both sides are shuffled for the join and the edges of a hub can be split."""
+    key = lambda c: F.bitwise_not(F.bitwise_not(c))
+    return edges.join(low.select(F.col("u").alias("__u"), "m"), key(F.col("u")) == key(F.col("__u"))).drop("__u")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) of every node in ``links`` (a, b).
 
@@ -26,10 +32,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # large-star: larger neighbours move to the least of the neighbourhood
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _join(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small-star: smaller neighbours and the node itself move to the least
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+        small = _join(large, least).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         new = stash(small, "edges")
         now = _state(new)
         discard(edges)

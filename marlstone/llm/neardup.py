@@ -249,7 +249,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     s = percent / 100
     least = int(np.floor(n * max(0.0, s - 5 * np.sqrt(s * (1 - s) / n))))
     sketches = stash(sketch(documents, k, bands, rows), "sketches")
-    classes = sketches.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
+    # written first: joined from the aggregation itself, a class of very many copies could not be split
+    classes = stash(sketches.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
     own = F.col("doc_id") == F.col("rep")
     members = stash(
         sketches.filter("n_shingles > 0").join(classes, ["c1", "c2"]).select("doc_id", "n_shingles", "rep", F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("sig")).alias("sig")),
@@ -265,9 +266,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         if first == past:
             break
         keys = reps.select("rep", F.explode(F.slice("bands", first + 1, past - first)).alias("key"))
-        ends = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+        ends = stash(keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size"), "ends")
         shared = stash(_named(keys.join(ends, "key").select("key", "size", "rep"), comp, "rep"), "buckets")
-        torn = shared.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key")
+        torn = stash(shared.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key"), "torn")
         open_ = stash(_may_link(shared.join(torn, "key", "left_semi").join(sigs, "rep"), least), "open")
         discard(shared)
         sets = stash(_sets(open_, documents, k), "sets")
