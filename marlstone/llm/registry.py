@@ -86,6 +86,35 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(probe)))
 
 
+def _op7_sql() -> str:
+    """Counts by unnesting words and lines; cutoffs from binomial sums by log-gamma."""
+    over = {"symbol_share": "n_symbols / greatest(word_chars, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)", "mean_word": "word_chars / greatest(n_words, 1)"}
+    rules = ", ".join(f"{{'rule': '{r}', 'v': cast({over[r]} as double), 'grid': [{', '.join(f'cast({c} as double)' for c in g)}]}}" for r, g in quality.RULES.items())
+    tests = len(quality.RULES) * len(quality.RULES["mean_word"])
+    return rf"""
+    with w as (select row_number() over () as rid, doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+    u as (select rid, unnest(ws) as x, generate_subscripts(ws, 1) as i from w),
+    tri as (select rid, i, x || ' ' || lead(x) over p || ' ' || lead(x, 2) over p as g from u window p as (partition by rid order by i)),
+    dup as (select rid, i from (select *, count(*) over (partition by rid, g) as c from tri where g is not null) where c > 1),
+    cov as (select rid, count(distinct j) as n_repeat_words from (select rid, unnest([i, i + 1, i + 2]) as j from dup) group by rid),
+    lines as (select rid, count(*) as n_lines, count(*) - count(distinct l) as n_dup from (select rid, unnest(string_split(t, chr(10))) as l from w) where regexp_matches(l, '[^\x20\x09-\x0D]') group by rid),
+    st as (
+        select rid, doc_id, stratum, len(ws) as n_words, cast(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) as bigint) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+            coalesce(n_dup, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines
+        from w left join cov using (rid) left join lines using (rid)
+    ), j as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from st),
+    sc as (select rid, doc_id, stratum, base_failed, unnest([{rules}], recursive := true) from j),
+    good as (select doc_id from labels group by doc_id having min(quality) = 1 and max(quality) = 1),
+    g as (select stratum, rule, v, unnest(grid) as c from sc where not base_failed and doc_id in (select doc_id from good)),
+    cnt as (select stratum, rule, c, count(*) as n, count(*) filter (where v > c) as k from g group by all),
+    cert as (
+        select stratum, rule, min(c) as cutoff from cnt, (select count(distinct stratum) as strata from cnt)
+        where k <= n * {quality.ALPHA} and list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.ALPHA}) + (n - i) * ln(1 - {quality.ALPHA})))) <= {quality.DELTA} / (strata * {tests})
+        group by all
+    ), bad as (select distinct rid from sc join cert using (stratum, rule) where v > cutoff)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rid not in (select rid from bad) as kept, n_lines from j"""
+
+
 _OP10_SQL = r"""
     with c as (
         select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -118,5 +147,6 @@ def oracle_sql() -> dict[str, str]:
             ), r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
             select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5""",
         "op3_url_filter": _op3_sql(),
+        "op7_quality_rules": _op7_sql(),
         "op10_chat_format": _OP10_SQL,
     }
