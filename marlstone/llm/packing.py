@@ -38,9 +38,9 @@ from .common import give_back, per_worker, small_batches
 WINDOW, UNIT, DEPTH = 4096, 128, 6
 END_ID = 2
 #: Bounds of a block: documents and tokens held at once.
-BLOCK_DOCS, BLOCK_TOKENS = 4096, 4_000_000
+BLOCK_DOCS, BLOCK_TOKENS = 4096, 2_000_000
 #: Bounds of a worker's memory of words: words, and token ids.
-CACHE_WORDS, CACHE_IDS = 400_000, 4_000_000
+CACHE_WORDS, CACHE_IDS = 300_000, 3_000_000
 
 
 class WordTokenizer:
@@ -65,6 +65,20 @@ class WordTokenizer:
     def clear(self) -> None:
         self.number = _Numbers()
         self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.uses = np.empty(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the chunks that were met more than once since the last time; all go if these are many themselves."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > CACHE_WORDS // 2:
+            self.clear()
+            return
+        words = list(self.number)
+        flat, sizes = self._join(keep), self.sizes[keep]
+        self.clear()
+        for i in keep:
+            self.number[words[i]] = len(self.number)
+        self.flat, self.sizes, self.starts, self.uses = flat, sizes, np.cumsum(sizes) - sizes, np.ones(len(keep), np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,7 +104,7 @@ class WordTokenizer:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
-            self.clear()
+            self._forget()
         look = self.number.__getitem__
         rows = []
         for t in texts:
@@ -104,6 +118,10 @@ class WordTokenizer:
             rows.append(np.fromiter(map(look, chunks), np.int64, len(chunks)))
         if self.number.new:
             self._learn()
+        if rows:
+            met = np.bincount(np.concatenate(rows), minlength=len(self.number))
+            met[: len(self.uses)] += self.uses
+            self.uses = met
         return [self._join(k) for k in rows]
 
     def _join(self, k: np.ndarray) -> np.ndarray:
