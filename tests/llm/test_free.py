@@ -255,3 +255,13 @@ def test_secrets(spark):
     assert got[-1]["spans"] == f"github:4:{4 + len(good)}"
     clean = [r["text"] for r in secretscan.redacted(df.withColumn("n_chars", F.length("text"))).orderBy("doc_id").collect()]
     assert clean[0] is None and clean[-1] == f"see [SECRET] and {bad}." and clean[2].startswith("[SECRET], PASSWD:'abc', [SECRET]")
+
+
+def test_word_cache_forgets(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    tok = packing.WordTokenizer(packing.vocabulary("word_bpe_49k.json"))
+    rng = random.Random(9)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the", "of", "and", f"x{rng.randrange(500)}", f"w{rng.randrange(9)}é."]) for _ in range(30)) for _ in range(3)] + [""]
+        assert [x.tolist() for x in tok.encode_batch(texts)] == [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(tok.number) < 200
