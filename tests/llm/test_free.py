@@ -206,6 +206,21 @@ def test_lm(spark):
     assert lmscore.score(none, lmscore.train(none)).count() == 0
 
 
+def test_lm_tells_words_of_a_length_apart(spark):
+    common = " ".join(f"w{i:04d} " * 9 for i in range(1100))
+    rows = [(1, common), (2, "w0001 qzxj w0002"), (3, "w0001 eeee w0002"), (4, "w0001 eeee w0002 " * 2), (5, "w1099 w0001"), (6, "w1099 w1099 w1098")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words, p = lmscore.train(docs)
+    got = {r["doc_id"]: r["lm"] for r in lmscore.score(docs, (words, p)).collect()}
+    assert len(words.numbers) == 1100  # grows beyond the network's 1,008 words
+    assert got[2]["log_likelihood"] != got[3]["log_likelihood"]
+    # all words of two bytes: the listed share and the spelled rest make a distribution
+    every = [bytes([a, b]) for a in range(256) for b in range(256)]
+    chosen = lmscore.spelling(words, [w for w in every if 32 not in w])
+    blank = np.exp(lmscore.spelling(words, [b"ab"]) - words.pairs[[32 * 256 + 97, 97 * 256 + 98]].sum())
+    assert 0 < np.exp(chosen).sum() <= blank[0] + 1e-9 <= 1 + 1e-9
+
+
 def test_lm_is_a_distribution():
     ids, share = lmscore.vocabulary(np.arange(lmscore.BUCKETS))
     p = lmscore.initial(share)
