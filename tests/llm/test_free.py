@@ -221,6 +221,14 @@ def test_lm_tells_words_of_a_length_apart(spark):
     assert 0 < np.exp(chosen).sum() <= blank[0] + 1e-9 <= 1 + 1e-9
 
 
+def test_lm_trains_on_every_position(spark):
+    texts = ["a b c d e", "b a", "", None]
+    words, p = lmscore.train(spark.createDataFrame([(x,) for x in texts], "text string"))
+    t = lmscore.Trainer(p)
+    t.texts(texts, words, lmscore._Numbers(words.numbers))
+    assert t.tokens == 7
+
+
 def test_lm_is_a_distribution():
     ids, share = lmscore.vocabulary(np.arange(lmscore.BUCKETS))
     p = lmscore.initial(share)
