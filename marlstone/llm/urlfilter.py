@@ -2,7 +2,7 @@
 
 A page's look-up keys are its canonical URL and its shorter forms: every suffix
 of the host with two labels or more, each with the whole path and with every
-directory above it.  The keys' hashes are tested against a blocked Bloom filter
+directory above it, as far as the list's deepest host and path go.  The keys' hashes are tested against a blocked Bloom filter
 (256-bit blocks, one bit in each of eight words) of the listed keys; only
 possible hits go on to an exact join with the list, which removes false
 positives.  The filter is built by an aggregation and its size is bounded by
@@ -28,7 +28,6 @@ BITS_PER_KEY, MAX_BLOCKS = 16, 1 << 19
 _SALTS = (0x47B6137B, 0x44974D91, 0x0824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B, 0x1EFC4947, 0x5C6BFB31)
 #: (host and path, verdict); the longest that fits wins.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-MAX_HOSTS, MAX_DIRS = 5, 4
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -54,16 +53,27 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(F.trim(F.regexp_replace(host, ":[0-9]*$", "")), F.lit("/"), F.regexp_replace(F.regexp_replace(path, "^/+", ""), "/+$", ""))
 
 
-def lookup_keys(host: Column, path: Column) -> Column:
-    """Array of canonical forms under which a URL may be listed; empty for an empty host."""
+def deepest(listed: DataFrame) -> tuple[int, int]:
+    """Most labels of a host and most directories of a path in a column ``key``."""
+    host = F.substring_index("key", "/", 1)
+    dirs = F.filter(F.split(F.expr("substring(key, length(substring_index(key, '/', 1)) + 1)"), "/"), lambda p: p != "")
+    labels, most = listed.agg(F.max(F.size(F.split(host, r"\."))), F.max(F.size(dirs))).first()
+    return labels or 0, most or 0
+
+
+def lookup_keys(host: Column, path: Column, max_labels: int, max_dirs: int) -> Column:
+    """Array of canonical forms under which a URL may be listed; empty for an empty host.
+
+    Shorter forms are made up to the labels and directories of the list's deepest entries: no longer one can be listed.
+    """
     bare = F.regexp_replace(host, ":[0-9]*$", "")
     labels = F.split(bare, r"\.")
     n = F.size(labels)
-    hosts = F.transform(F.sequence(F.lit(0), F.least(F.greatest(n - 2, F.lit(0)), F.lit(MAX_HOSTS - 1))), lambda i: F.array_join(F.slice(labels, F.greatest(n - 1 - i, F.lit(1)), n), "."))
+    hosts = F.transform(F.sequence(F.lit(0), F.least(F.greatest(n - 2, F.lit(0)), F.lit(max(max_labels - 2, 0)))), lambda i: F.array_join(F.slice(labels, F.greatest(n - 1 - i, F.lit(1)), n), "."))
     hosts = F.array_union(F.array(bare), hosts)
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     whole = F.regexp_replace(F.regexp_replace(path, "^/+", ""), "/+$", "")
-    dirs = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(MAX_DIRS))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    dirs = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(max_dirs))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     paths = F.array_union(F.array(whole), dirs)
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit("/"), p))))))
 
@@ -119,7 +129,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     host, path = split_url(F.col("url"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     ruled = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "says": says})
-    keys = F.when(F.col("says").isNull(), lookup_keys(F.col("host"), F.col("path"))).otherwise(F.array().cast("array<string>"))
+    keys = F.when(F.col("says").isNull(), lookup_keys(F.col("host"), F.col("path"), *deepest(listed))).otherwise(F.array().cast("array<string>"))
     keyed = ruled.withColumn("keys", keys)
     kind = pages.schema["page_id"].dataType
     tested = keyed.select(F.col("page_id").cast("string"), "host", "path", "rule", "says", "keys").mapInPandas(possible, "page_id string, host string, path string, rule string, says string, hits array<string>")

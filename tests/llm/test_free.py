@@ -182,6 +182,14 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(21)}, 50: 50, 60: 50, 70: 50, 100: 50}
 
 
+def test_deep_list_entries_block(spark):
+    listed = spark.createDataFrame([("a.b.c.d.e.f.net/",), ("h.net/1/2/3/4/5/6",)], "key string")
+    urls = ["https://x.y.a.b.c.d.e.f.net/p", "https://b.c.d.e.f.net/p", "https://h.net/1/2/3/4/5/6/7/8", "https://h.net/1/2/3/4/5", "https://w.h.net/1/2/3/4/5/6/7"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, listed, rules=()).collect()}
+    assert got == {0: "block", 1: "allow", 2: "block", 3: "allow", 4: "block"}
+
+
 def test_lm(spark):
     rng = random.Random(8)
     chain = {w: [f"t{(i * 3 + j) % 40}" for j in range(2)] for i, w in enumerate(f"t{i}" for i in range(40))}
