@@ -5,10 +5,8 @@ meets every block once, by an equi-join on both numbers.  Within a block each
 dimension has its list of vectors sorted by value.  A query walks all lists in
 step, from the end that its component's sign favours, looks up the full score of
 every vector it meets, and stops as soon as the bound that the current depth
-implies for unseen vectors is below its k-th best score.  Where lists have been
-read so far that everything may have been met, the rest of the block is scored
-in one product; the result is exact either way.  The best k of each block are
-merged per query.
+implies for unseen vectors is below its k-th best score, or when it has met every
+vector.  The best k of each block are merged per query.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and rows with a null id, take no part; components are floored multiples of
@@ -27,7 +25,6 @@ from pyspark.sql import functions as F
 
 #: Vectors in a block and queries in a chunk, at most about so many.
 BLOCK_ROWS, CHUNK_QUERIES = 24_576, 4_096
-_PRODUCT_QUERIES = 256
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -58,28 +55,28 @@ class Block:
         top = np.lexsort((self.ids[rows], -scores))[:k]
         return rows[top], scores[top]
 
-    def threshold(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """Row numbers and scores of the best k, or None if the lists had to be read to where a full product is cheaper."""
+    def threshold(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and scores of the best k."""
         n = len(self.ids)
         dims = np.flatnonzero(q)
-        if not len(dims):
-            return None
+        if not len(dims):  # no list matters: all scores are 0
+            rows = np.flatnonzero(self.ids != own)[:k]
+            return rows, np.zeros(len(rows))
         down = q[dims] > 0
         seen = np.zeros(n, bool)
         rows, scores = np.empty(0, np.int64), np.empty(0)
-        depth, last = 16, 0
-        while depth * len(dims) < n:
-            span = np.arange(last, depth)
-            met = self.lists[dims[:, None], np.where(down[:, None], span, n - 1 - span)].ravel()
-            new = np.unique(met[~seen[met]])
-            seen[new] = True
+        depth, last = min(16, n), 0
+        while True:
+            before = seen.copy()
+            for dim, from_top in zip(dims, down, strict=True):
+                seen[self.lists[dim, last:depth] if from_top else self.lists[dim, n - depth : n - last]] = True
+            new = np.flatnonzero(seen & ~before)
             new = new[self.ids[new] != own]
             rows, scores = self._best(np.concatenate([rows, new]), np.concatenate([scores, self.v[new] @ q]), k)
             edge = self.lists[dims, np.where(down, depth - 1, n - depth)]
-            if len(rows) == k and scores[-1] > self.v[edge, dims] @ q[dims]:
+            if len(rows) == k and scores[-1] > self.v[edge, dims] @ q[dims] or seen.all():
                 return rows, scores
-            depth, last = depth * 2, depth
-        return None
+            depth, last = min(depth * 2, n), depth
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple]:
         width = max(q.shape[1], self.v.shape[1])
@@ -87,19 +84,9 @@ class Block:
         if self.lists.shape[0] < width:
             flat = np.tile(np.arange(len(self.ids)), (width - self.lists.shape[0], 1))
             self.lists = np.concatenate([self.lists, flat])
-        out, rest = [], []
+        out = []
         for i, own in enumerate(query_ids):
-            found = self.threshold(q[i], own, k)
-            if found is None:
-                rest.append(i)
-            else:
-                out += [(own, self.ids[r], s) for r, s in zip(*found, strict=True)]
-        for at in range(0, len(rest), _PRODUCT_QUERIES):
-            part = rest[at : at + _PRODUCT_QUERIES]
-            products = self.v @ q[part].T
-            for i, scores in zip(part, products.T, strict=True):
-                rows = np.flatnonzero(self.ids != query_ids[i])
-                out += [(query_ids[i], self.ids[r], s) for r, s in zip(*self._best(rows, scores[rows], k), strict=True)]
+            out += [(own, self.ids[r], s) for r, s in zip(*self.threshold(q[i], own, k), strict=True)]
         return out
 
 

@@ -62,6 +62,17 @@ def test_threshold_stops_early():
     assert block.ids[rows].tolist() == [17] and scores.tolist() == [2500.0]
 
 
+@pytest.mark.parametrize("n", [1, 3, 300, 3000])
+def test_threshold_walks_until_it_is_decided(n):
+    rng = np.random.default_rng(2)
+    v = rng.integers(-256, 256, (n, 64)).astype(float)
+    block = topk.Block(np.arange(n), v)
+    for q in [*v[:5], np.zeros(64)]:
+        rows, scores = block.threshold(q, own=0, k=5)
+        want = sorted((-s, i) for i, s in enumerate(v @ q) if i)[:5]
+        assert list(zip(block.ids[rows], scores, strict=True)) == [(i, -s) for s, i in want]
+
+
 def test_bloom_and_filter(spark):
     listed = spark.createDataFrame([(f"bad{i}.example.com/x",) for i in range(2000)] + [("evil.org/",), (None,)], "key string")
     filt = urlfilter.bloom(listed.filter("key is not null"))
