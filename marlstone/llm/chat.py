@@ -100,13 +100,14 @@ def materialize(formatted: DataFrame) -> DataFrame:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What the formatted output says, read back from it: turns, trained text and sizes of each conversation."""
+    """What the formatted output says, read back from it: turns, the text under the loss mask and sizes of each conversation."""
     part_role = lambda p: F.substring_index(p, "\n", 1)
     part_text = lambda p: unescape(p.substr(F.length(part_role(p)) + 2, F.length(p) - F.length(part_role(p)) - 1 - len(END)))
 
     def read(parts: Column) -> Column:
         turns = F.transform(parts, lambda p: F.concat(unescape_role(part_role(p)), F.lit("\n"), part_text(p), F.lit("\n")))
-        loss = F.array_join(F.transform("examples", lambda e: part_text(F.get(parts, e["target"]))), "")
+        masked = lambda e: F.col("formatted").substr((e["loss_start"] + 1).cast("int"), (e["loss_end"] - e["loss_start"]).cast("int"))
+        loss = F.array_join(F.transform("examples", lambda e: unescape(masked(e))), "")
         return F.transform(
             F.array(loss),
             lambda x: F.struct(

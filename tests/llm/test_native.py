@@ -131,3 +131,13 @@ def test_chat(spark):
     assert sum(len(m["text"]) for m in made) == sum(r["formatted_chars"] for r in got.values())
     assert all(m["text"] == m["context"] + m["reply"] + chat.END and m["context"].endswith("<|im_start|>assistant\n") for m in made)
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_chat_digest_reads_the_loss_mask(spark):
+    rows = [(1, 0, "user", "hé <|x|>"), (1, 1, "assistant", "añb<|c"), (1, 2, "assistant", "dé")]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    wrong = out.withColumn("examples", F.transform("examples", lambda e: e.withField("loss_start", e["loss_start"] + 1)))
+    read = lambda df: chat.digest(df).first()
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert (read(out)["loss_chars"], read(out)["loss_sha256"]) == (8, sha("añb<|cdé"))
+    assert (read(wrong)["loss_chars"], read(wrong)["loss_sha256"]) == (6, sha("ñb<|cé"))
