@@ -23,16 +23,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words a shingle, similarity 0.8 or more.
 
-    The ids to leave out are written first, so the join broadcasts them only
-    while they are small.  Of rows that share an id one stays.
+    Rows that share an id but not their text are documents of their own, told apart
+    by a key; of rows that share both, one stays.  The keys to leave out are written
+    first, so the join broadcasts them only while they are small.
     """
-    found = stash(neardup.near_duplicates(docs, k=5, percent=80).select("doc_id", "kept"), "found")
-    out = stash(found.filter("not kept").select("doc_id").distinct(), "out")
-    again = stash(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    kept = docs.join(out, "doc_id", "left_anti")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    repeated = kept.join(again, "doc_id", "left_semi").withColumn("__one", one).filter("__one = 1")
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionAll(repeated.select(docs.columns))
+    again = stash(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        keyed = docs.withColumn("__key", F.col("doc_id").cast("long"))
+    else:
+        repeated = docs.join(again, "doc_id", "left_semi").select(docs.columns).withColumn("__key", F.xxhash64("doc_id", "text"))
+        one = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*[c for c in docs.columns if c not in ("doc_id", "text")])))
+        single = docs.join(again, "doc_id", "left_anti").select(docs.columns).withColumn("__key", F.col("doc_id").cast("long"))
+        # written first, so that the rows that stay are the same wherever they are read
+        keyed = stash(single.unionAll(repeated.withColumn("__one", one).filter("__one = 1").drop("__one")), "keyed")
+    found = neardup.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), k=5, percent=80)
+    out = stash(found.filter("not kept").select(F.col("doc_id").alias("__key")).distinct(), "out")
+    return keyed.join(out, "__key", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

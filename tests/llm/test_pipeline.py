@@ -44,3 +44,15 @@ def test_run_and_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_texts(spark, tmp_path):
+    rng = random.Random(7)
+    a, b, c = (" ".join(rng.choice([f"word{i}" for i in range(400)]) for _ in range(80)) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (5, b), (9, b), (9, c), (10, None), (10, ""), (10, None), (None, b)]
+    docs = spark.createDataFrame([(*r, "en", "src0", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(str(t) for i, t in got if i is not None) == sorted(["", "None", a, b, c])
+    assert set(got) <= set(rows) and (None, b) in got
