@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .metadata import DOMAINS
+from .scratch import discard, stash
+
+#: Rounds after which the nodes that were reached are written into one table.
+GATHER = 16
 
 #: Pairs of domains that one route may search.
 PAIRS = (("projects", "finance"), ("equipment", "finance"), ("equipment", "projects"), ("procurement", "finance"), ("funds", "finance"))
@@ -57,25 +63,25 @@ def localize(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("kind", F.when(F.col("kind") == "retrieve", "http-request").otherwise(F.col("kind")))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 64) -> DataFrame:
-    """node: all that can be reached from ``roots`` (node).
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node: all that can be reached from ``roots`` (node), however many hops away.
 
-    A frontier is joined with the edges until it is empty; what it carries is
-    checkpointed each round when the session has a checkpoint folder.
+    A frontier is joined with the edges until it is empty.  Frontiers are tables
+    in the shared folder, so no round's plan grows with the rounds before it;
+    what has been seen is gathered into one table every ``GATHER`` rounds.
     """
-    seen = roots.select("node").distinct()
-    front = seen
-    keep = edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    for _ in range(rounds):
-        front = front.join(edges.select(F.col("source").alias("node"), "target"), "node").select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti")
-        if keep:
-            front = front.checkpoint()
-        if not front.head(1):
-            break
-        seen = seen.unionByName(front)
-        if keep:
-            seen = seen.checkpoint()
-    return seen
+    hops = edges.select(F.col("source").alias("node"), "target").filter("node is not null and target is not null")
+    front = stash(roots.select("node").distinct(), "front")
+    parts = [front]
+    while True:
+        seen = reduce(DataFrame.unionByName, parts)
+        front = stash(front.join(hops, "node").select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
+        if front.isEmpty():
+            discard(front)
+            return seen
+        parts.append(front)
+        if len(parts) > GATHER:
+            parts = [stash(reduce(DataFrame.unionByName, parts), "seen")]
 
 
 def invariants(nodes: DataFrame, edges: DataFrame, root: str = "start") -> DataFrame:
@@ -88,14 +94,16 @@ def invariants(nodes: DataFrame, edges: DataFrame, root: str = "start") -> DataF
 
 
 def scoped_branches(outline: DataFrame) -> DataFrame:
-    """Numbered headings with a condition word that have a child: prefix and number of children.
+    """Numbered headings with a condition word that have entries below them: source_id, number, title and their number.
 
-    ``outline``: source_id, title.
+    ``outline``: source_id, title.  Below a heading is every entry of its source
+    whose title starts with the heading's number and a full stop.
     """
     from ..functions.text import heading_number
     from .catalog import CONDITION
 
-    rows = outline.select("source_id", "title", heading_number(F.col("title")).alias("number")).filter("number <> ''")
-    parts = F.split("number", r"\.")
-    ups = rows.select("source_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("number"), F.col("number").alias("own")).filter("own <> number")
-    return rows.filter(F.col("title").rlike(CONDITION)).join(ups, ["source_id", "number"]).groupBy("source_id", "number", "title").agg(F.count("*").alias("children"))
+    heads = outline.filter(F.col("title").rlike(CONDITION)).select("source_id", "title", heading_number(F.col("title")).alias("number")).filter("number <> ''")
+    digits = F.split(F.regexp_extract("title", r"(?U)^((?:\d+\.)+)", 1), r"\.")
+    ups = F.transform(F.sequence(F.lit(1), F.size(digits) - 1), lambda n: F.array_join(F.slice(digits, 1, n), "."))
+    below = outline.filter(F.size(digits) > 1).select("source_id", F.explode(ups).alias("number"))
+    return heads.join(below, ["source_id", "number"]).groupBy("source_id", "number", "title").agg(F.count("*").alias("children"))

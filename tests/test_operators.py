@@ -205,6 +205,13 @@ def test_graph(spark):
         graph.route_domains("nope")
 
 
+def test_reachable_has_no_last_round(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(66)] + [(500, 501), (66, 0)], "source long, target long").coalesce(1)
+    got = graph.reachable(edges, spark.createDataFrame([(0,)], "node long").coalesce(1))
+    assert {r["node"] for r in got.collect()} == set(range(67))
+    assert graph.reachable(edges, spark.createDataFrame([], "node long")).count() == 0
+
+
 def test_bundle_differences(spark):
     want = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 3, "z")], "path string, bytes int, sha256 string")
     have = spark.createDataFrame([("a", 1, "x"), ("b", 2, "n"), ("d", 1, "q")], "path string, bytes int, sha256 string")
