@@ -1,18 +1,17 @@
-"""Session helpers of the training-data operators: shared scratch tables and batch sizes."""
+"""Session helpers of the training-data operators: tables, batch sizes and what workers keep."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
 import sys
-import tempfile
 import types
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import discard, shared_dir, stash  # noqa: F401 (used by the operators)
 from ..operators.sizing import spread
 
 #: Rows per Arrow batch: bounds a Python worker's memory when texts are long.
@@ -21,40 +20,15 @@ BATCH_ROWS = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound the Arrow batches that Python workers hold.
 
-    Only a session without that setting (tests, local mode) gets a temporary folder.
+    The planner reads this setting when a plan is run, not when it is made, so it stays
+    set for the session; a smaller value that a session has is kept.
     """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: short lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a stashed table that no later plan reads."""
-    spark, path = df.sparkSession, getattr(df, "_stash_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches that Python workers hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,8 +9,10 @@ positives.  The filter is built by an aggregation and its size is bounded by
 ``MAX_BLOCKS``: a longer list makes it pass more to the exact join, never less.
 
 Defined results: urls that are null or have no ``://`` have empty host and path,
-no rule and the verdict allow; repeated rows are judged each; an empty list
-blocks nothing; an empty table gives no rows.
+no rule and the verdict allow; of rules that fit, the longest wins, and no two of
+one length fit alike; repeated rows are judged each; very long URLs have as many
+keys as the list's deepest entry asks for; columns beyond page_id and url are
+left out; an empty list blocks nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 BITS_PER_KEY, MAX_BLOCKS = 16, 1 << 19
 #: Odd 31-bit multipliers that choose a bit of each word.
 _SALTS = (0x47B6137B, 0x44974D91, 0x0824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B, 0x1EFC4947, 0x5C6BFB31)
@@ -48,9 +52,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def canonical(host: Column, path: Column) -> Column:
-    """Host without port and dots at its ends, path with one slash at its start and none at its end."""
-    return F.concat(F.trim(F.regexp_replace(host, ":[0-9]*$", "")), F.lit("/"), F.regexp_replace(F.regexp_replace(path, "^/+", ""), "/+$", ""))
+def canonical(url: Column) -> Column:
+    """Form in which URLs are listed and looked up: host (A-Z lower-cased, no port), a slash, the path without slashes at its ends.
+
+    A url without ``://`` counts as one that starts with its host; query and fragment go; null without a host.
+    """
+    host, path = split_url(F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("://"), url)))
+    bare = F.regexp_replace(host, ":[0-9]*$", "")
+    return F.when(bare != "", F.concat(bare, F.lit("/"), F.regexp_replace(F.regexp_replace(path, "^/+", ""), "/+$", "")))
 
 
 def deepest(listed: DataFrame) -> tuple[int, int]:
@@ -109,9 +118,9 @@ def may_hold(filt: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict; ``listed`` has canonical URLs in ``key``."""
+    """page_id, host, path, rule, verdict; ``listed`` has URLs in ``key``, with or without a scheme."""
     spark = pages.sparkSession
-    listed = listed.select("key").filter(F.col("key").isNotNull()).distinct()
+    listed = listed.select(canonical(F.col("key")).alias("key")).filter(F.col("key").isNotNull()).distinct()
     sent = spark.sparkContext.broadcast(bloom(listed))
 
     def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,7 +142,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     keyed = ruled.withColumn("keys", keys)
     kind = pages.schema["page_id"].dataType
     tested = keyed.select(F.col("page_id").cast("string"), "host", "path", "rule", "says", "keys").mapInPandas(possible, "page_id string, host string, path string, rule string, says string, hits array<string>")
-    tested = tested.withColumn("page_id", F.col("page_id").cast(kind))
+    # written: pages are parsed and tested once, and read three times below without their texts
+    tested = stash(tested.withColumn("page_id", F.col("page_id").cast(kind)), "tested-urls")
     hits = tested.select("host", "path", F.explode("hits").alias("key"))
     # few rows: urls whose keys passed the filter
     blocked = hits.distinct().join(listed, "key", "left_semi").select(F.col("host").alias("h"), F.col("path").alias("p")).distinct().withColumn("listed", F.lit(True))
