@@ -19,16 +19,17 @@ def _join(edges: DataFrame, low: DataFrame) -> DataFrame:
     return edges.join(low.select(F.col("u").alias("__u"), "m"), key(F.col("u")) == key(F.col("__u"))).drop("__u")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node in ``links`` (a, b).
 
-    Each round is two aggregations and two joins of edges; a node with very many
+    Rounds go on until one changes nothing; their number grows with the logarithm
+    of the longest chain.  Each round is two aggregations and two joins of edges; a node with very many
     neighbours is a skewed join key, which adaptive execution splits.  Only a
     count and a checksum come to the driver.
     """
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
     state = _state(edges)
-    for _ in range(rounds):
+    while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # large-star: larger neighbours move to the least of the neighbourhood

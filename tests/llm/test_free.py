@@ -307,3 +307,17 @@ def test_word_cache_forgets(monkeypatch):
         texts = [" ".join(rng.choice(["the", "of", "and", f"x{rng.randrange(500)}", f"w{rng.randrange(9)}é."]) for _ in range(30)) for _ in range(3)] + [""]
         assert [x.tolist() for x in tok.encode_batch(texts)] == [tok.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(tok.number) < 200
+
+
+def test_listed_urls_are_made_canonical(spark):
+    listed = spark.createDataFrame([("HTTP://Bad.COM:8080/a/b/?q#f",), ("plain.net",), ("other.org//x//",), ("",), (None,)], "key string")
+    assert {r["key"] for r in listed.select(urlfilter.canonical(F.col("key")).alias("key")).collect()} == {"bad.com/a/b", "plain.net/", "other.org/x", None}
+    urls = ["https://w.bad.com/a/b/c", "https://bad.com/a", "http://PLAIN.net:1/z", "http://other.org/x", "http://long.net/" + "d/" * 5000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "path", "hits", "listed", "key", "says")})
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, listed, rules=()).collect()}
+    assert got == {0: "block", 1: "allow", 2: "block", 3: "block", 4: "allow"}
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert {r["component"] for r in components.components(links).collect()} == {0}
