@@ -321,3 +321,69 @@ def test_listed_urls_are_made_canonical(spark):
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     assert {r["component"] for r in components.components(links).collect()} == {0}
+
+
+def _plain_model(p, row, place):
+    """Hidden units, class and member probabilities of one place, one number at a time."""
+    hidden = []
+    for u in range(lmscore.HIDDEN):
+        x = 0.0
+        for i, d in enumerate(d for d in range(-lmscore.REACH, lmscore.REACH + 1) if d):
+            x += float(p[i * (lmscore.VOCAB + 1) + row[place + d]][u])
+        hidden.append(np.tanh(x))
+
+    def shares(first, n):
+        z = [sum(float(p[first + j][u]) * hidden[u] for u in range(lmscore.HIDDEN)) + float(p[first + j][lmscore.HIDDEN]) for j in range(n)]
+        e = [np.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    per = lmscore.VOCAB // lmscore.CLASSES
+    first = 2 * lmscore.REACH * (lmscore.VOCAB + 1)
+    cls = int(row[place]) // per
+    return hidden, shares(first, lmscore.CLASSES), cls, shares(first + lmscore.CLASSES + cls * per, per), int(row[place]) % per
+
+
+def test_lm_against_plain_loops():
+    rng = np.random.default_rng(3)
+    p = rng.normal(0, 0.3, (lmscore._ROWS, lmscore.HIDDEN + 1)).astype(np.float32)
+    row = rng.integers(0, lmscore.VOCAB, 40).astype(np.int32)
+    row[:2] = row[-2:] = lmscore.VOCAB
+    row[10:14] = 7
+    at = np.arange(2, 38)
+
+    def loss(p, places=at):
+        out = []
+        for x in places:
+            _, classes, c, members, m = _plain_model(p, row, x)
+            out.append(np.log(classes[c]) + np.log(members[m]))
+        return np.array(out)
+
+    assert lmscore.log_probs(p, row, at) == pytest.approx(loss(p), abs=2e-4)
+    out, emb, rows = lmscore.Trainer(p).gradient(row, at)
+    full = np.zeros((lmscore._ROWS, lmscore.HIDDEN + 1))
+    full[rows, : lmscore.HIDDEN], full[lmscore._EMB :] = emb, out
+    q = p.astype(np.float64)
+    some = [(int(row[10]), 3), (lmscore.VOCAB + 1 + int(row[20]), 0), (lmscore._EMB + 2, 5), (lmscore._EMB + 1, lmscore.HIDDEN), (lmscore._EMB + lmscore.CLASSES + 7, 4), (lmscore._EMB + lmscore.CLASSES + int(row[30]), lmscore.HIDDEN)]
+    for r, c in some:  # slope of the plain loss
+        up, down = q.copy(), q.copy()
+        up[r, c] += 1e-4
+        down[r, c] -= 1e-4
+        assert full[r, c] == pytest.approx(-(loss(up).mean() - loss(down).mean()) / 2e-4, abs=2e-5)
+    t = lmscore.Trainer(p)
+    t.step(row, at)
+    seen = 1e-3 + full**2
+    assert t.p == pytest.approx(p - lmscore.RATE * full / np.sqrt(seen), abs=1e-3) and t.tokens == len(at)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "COPY_TOKENS", 500)
+    rng = random.Random(4)
+    rows = [(i % 70, " ".join(rng.choice(["a", "b", "c d", "eé", "nine9"]) for _ in range(rng.randint(0, 40))), "x") for i in range(120)] + [(None, "a b", "x"), (None, None, "x"), (5, "long " * 20000, "x"), (5, "long " * 20000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lm string")
+
+    def scores(parts):
+        df = docs.repartition(parts)
+        return sorted((r["doc_id"] or -1, r["text"] or "", tuple(r["lm"])) for r in lmscore.score(df, lmscore.train(df)).collect())
+
+    one = scores(1)
+    assert len(one) == len(rows) and one == scores(5)
