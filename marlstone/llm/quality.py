@@ -11,8 +11,10 @@ the method rejects is at most ``len(RULES) * ALPHA`` in every stratum.
 
 Defined results: null and empty texts have no words and fail the base rules;
 null languages form a stratum of their own; labels that disagree count as not
-good; repeated rows are judged one by one; without labels nothing but the base
-rules rejects.
+good; repeated rows are judged one by one; a score that equals a cutoff passes;
+texts of any length are counted whole; columns beyond doc_id, text and lang are
+left out, whatever their names; without labels nothing but the base rules rejects;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ RULES = {
     "mean_word": [6.0, 6.5, 7.0, 7.5, 8.0, 8.5, 9.0, 10.0, 11.0, 12.0, 14.0, 16.0],
 }
 _SPACE = " \t\n\x0b\x0c\r"
-_POSITION_BITS = 20
 
 
 def _let(value: Column, body) -> Column:
@@ -54,28 +55,14 @@ def _covered(positions: Column) -> Column:
 
 
 def _repeated(tri: Column) -> Column:
-    """Words in windows found twice or more, from the windows' 64-bit hashes.
-
-    Hash heads and positions are packed into longs and sorted; neighbours are
-    compared by their full hashes.
-    """
-    low = (1 << _POSITION_BITS) - 1
-    packed = F.sort_array(F.transform(tri, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
+    """Words in windows found twice or more, from the windows' 64-bit hashes: sorted with their places, equal neighbours count."""
+    placed = F.sort_array(F.transform(tri, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
     def found(s: Column) -> Column:
-        def same(v: Column, other: Column) -> Column:
-            return F.coalesce(F.get(tri, v.bitwiseAND(F.lit(low)).cast("int")) == F.get(tri, other.bitwiseAND(F.lit(low)).cast("int")), F.lit(False))
-
-        hits = F.filter(s, lambda v, i: same(v, F.get(s, i + 1)) | same(v, F.get(s, i - 1)))
-        return _covered(F.transform(hits, lambda v: v.bitwiseAND(F.lit(low)).cast("int")))
-
-    wide = F.sort_array(F.transform(tri, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-
-    def found_wide(s: Column) -> Column:
         hits = F.filter(s, lambda v, i: F.coalesce(v["h"] == F.get(s, i + 1)["h"], F.lit(False)) | F.coalesce(v["h"] == F.get(s, i - 1)["h"], F.lit(False)))
         return _covered(F.transform(hits, lambda v: v["i"]))
 
-    return F.when(F.size(tri) <= low, _let(packed, found)).otherwise(_let(wide, found_wide))
+    return _let(placed, found)
 
 
 def n_repeat_words(word_array: Column) -> Column:
