@@ -1,13 +1,16 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 The classifier is fitted in one task on a bounded sample of labelled rows
-(``TRAIN_ROWS``, those with the smallest hash of the id); its L1 penalty leaves
+(``TRAIN_ROWS`` ids, those with the smallest hash, and ``TRAIN_FEATURES``); its L1 penalty leaves
 a few hundred to a few thousand weights, which are broadcast.  Scoring is one
 map-only pass over whole texts.
 
 Defined results: null and empty texts score the bias alone; rows with a null id
-are scored and not held out; repeated rows are scored one by one; labels that
-disagree count as toxic; with no usable labels every score is 0.0.
+are scored and not held out; repeated rows are scored one by one, and fitted on
+once; of rows that share an id, the text with the least hash is fitted on; labels
+that disagree count as toxic; with no usable labels every score is 0.0; texts of
+any length are scored whole, one at a time; an existing column ``toxicity`` is
+replaced, other columns stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .textfeatures import BITS, features
 #: Bound of the labelled sample that the classifier is fitted on.
 TRAIN_ROWS = 12_000
 EPOCHS = 8
+#: Bound of the sample's features, which one worker holds (4 bytes each): rows that would pass it, by that order, are not fitted on.
+TRAIN_FEATURES = 1 << 26
 #: Scores from here on count as toxic.
 THRESHOLD = 0.3
 
@@ -43,9 +48,14 @@ class ToxicityModel:
 def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     xs: list[np.ndarray] = []
     ys: list[int] = []
+    held = 0
     for b in batches:
-        xs += [features(t) for t in b["text"]]
-        ys += [int(y) for y in b["y"]]
+        for t, y in zip(b["text"], b["y"], strict=True):
+            x = features(t)
+            held += len(x)
+            if held <= TRAIN_FEATURES:
+                xs.append(x)
+                ys.append(int(y))
     if not xs:
         return
     model = Ftrl(BITS, alpha=1.0, beta=1.0, l1=8.0, l2=1.0)
@@ -70,7 +80,10 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     )
     # the sample's size is bounded by train_rows: ids and labels only
     texts = documents.select(F.col("doc_id").alias("k"), "text").join(F.broadcast(sample), "k")
-    rows = texts.repartition(1).sortWithinPartitions(F.xxhash64("k"), "k", F.xxhash64("text")).select("text", "y")
+    # rows that share an id: the one with the least hash of its text, so there are no more rows than in the sample
+    h = F.xxhash64("text")
+    one = texts.select("k", "y", "text", h.alias("h")).join(texts.groupBy(F.col("k").alias("__k")).agg(F.min(h).alias("__h")), (F.col("k") == F.col("__k")) & (F.col("h") == F.col("__h")), "left_semi")
+    rows = one.dropDuplicates(["k"]).repartition(1).sortWithinPartitions(F.xxhash64("k"), "k").select("text", "y")
     fitted = rows.mapInPandas(_fit, "i long, w double").toPandas()
     if fitted.empty:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0), None)
