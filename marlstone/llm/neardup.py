@@ -23,7 +23,10 @@ of bounded size).  No group is gathered in one task and no pairs are emitted.
 Defined results: null texts and texts without words have no shingles and are
 linked with nothing; texts with fewer words than a shingle are one shingle; rows
 that share an id are one document; rows with a null id are linked with nothing
-and kept; an empty table gives no rows.
+and kept; of equal sets the smallest id stands for all, ties cannot occur; very
+long texts are compared whole (a block's sets are bounded in bytes; one that is
+larger is a block of its own); other columns, whatever their names, are left out;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,8 +45,8 @@ from .urlfilter import bloom, may_hold
 
 MISS = 1e-6
 MAX_HASHES = 192
-#: Members of a bucket that are compared with each other in one step.
-BLOCK = 256
+#: Members of a bucket's block, and bytes of their sets, on average at most: pairs of blocks are compared by themselves.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Bands of the first of two passes.
 WAVE = 6
 _CACHE_LIMIT = 200_000
@@ -135,7 +138,7 @@ def _runs(members: DataFrame, group, out_schema: str) -> DataFrame:
     """``group`` of every run of rows that share ``g``: a pandas frame in, a frame or None out.
 
     Rows are dealt by ``g`` and read as they come; a run is held alone.  ``g``
-    stands for a pair of blocks, so a run has at most about 2 * ``BLOCK`` rows.
+    stands for a pair of blocks, so a run has at most about 2 * ``BLOCK`` rows, and sets of about 2 * ``BLOCK_BYTES``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,29 +170,34 @@ def _runs(members: DataFrame, group, out_schema: str) -> DataFrame:
 _MEMBER = "g long, blk int, rep long, comp long, sig binary"
 
 
-def _pairs_to_test(g: pd.DataFrame, least: int) -> list[tuple[int, int, int]]:
-    """(agreement, i, j) of a run's pairs that are of different components and agree in ``least`` places, best first."""
+def _pairs_to_test(g: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of a run's pairs that are of different components and agree in ``least`` places, best first."""
     s = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
     comp, blk = g["comp"].to_numpy(), g["blk"].to_numpy()
     across = len(np.unique(blk)) > 1  # a pair of blocks: pairs inside one are another run's
-    out = []
+    found = []
     for i in range(len(g) - 1):
         j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((blk[i + 1 :] != blk[i]) | (not across))) + i + 1
+        agree = (s[j] == s[i]).sum(axis=1, dtype=np.int16)
+        j, agree = j[agree >= least], agree[agree >= least]
         if len(j):
-            agree = (s[j] == s[i]).sum(axis=1)
-            out += [(int(agree[k]), i, int(j[k])) for k in np.flatnonzero(agree >= least)]
-    return sorted(out, reverse=True)
+            found.append((agree, np.full(len(j), i, np.int32), j.astype(np.int32)))
+    if not found:
+        return np.empty(0, np.int32), np.empty(0, np.int32)
+    agree, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    best = np.argsort(-agree, kind="stable")
+    return i[best], j[best]
 
 
 def _may_link(members: DataFrame, least: int) -> DataFrame:
-    """Members (rows of ``_MEMBER``, cut into blocks) that have a pair to test.  ``members``: key, size, rep, comp, sig."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    """Members (rows of ``_MEMBER``, cut into blocks) that have a pair to test.  ``members``: key, size, shingles (sums of its bucket), rep, comp, sig."""
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.ceil(F.col("shingles") * 8 / BLOCK_BYTES), F.col("size"))).cast("int")
     cut = members.withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cut = cut.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("g"), "blk", "rep", "comp", "sig")
 
     def group(g: pd.DataFrame) -> pd.DataFrame | None:
-        pairs = _pairs_to_test(g, least)
-        return g.iloc[sorted({x for _, i, j in pairs for x in (i, j)})] if pairs else None
+        some = np.unique(np.concatenate(_pairs_to_test(g, least)))
+        return g.iloc[some] if len(some) else None
 
     return _runs(cut, group, _MEMBER)
 
@@ -213,7 +221,10 @@ def _links(members: DataFrame, sets: DataFrame, least: int, percent: int) -> Dat
             return c
 
         out = []
-        for _, i, j in _pairs_to_test(g, least):
+        apart = len(up)
+        for i, j in zip(*_pairs_to_test(g, least), strict=True):
+            if apart == 1:
+                break
             ci, cj = root(comp[i]), root(comp[j])
             if ci != cj:
                 x, y = sets[i], sets[j]
@@ -222,6 +233,7 @@ def _links(members: DataFrame, sets: DataFrame, least: int, percent: int) -> Dat
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     up[ci] = cj
+                    apart -= 1
                     out.append((rep[i], rep[j]))
         return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
@@ -265,16 +277,15 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     for first, past in ((0, min(WAVE, bands)), (min(WAVE, bands), bands)):
         if first == past:
             break
-        keys = reps.select("rep", F.explode(F.slice("bands", first + 1, past - first)).alias("key"))
-        ends = stash(keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size"), "ends")
-        shared = stash(_named(keys.join(ends, "key").select("key", "size", "rep"), comp, "rep"), "buckets")
+        keys = reps.select("rep", "n_shingles", F.explode(F.slice("bands", first + 1, past - first)).alias("key"))
+        ends = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"))
+        ends = stash(ends.filter("lo < hi").select("key", "size", "shingles"), "ends")
+        shared = stash(_named(keys.join(ends, "key").select("key", "size", "shingles", "rep"), comp, "rep"), "buckets")
         torn = stash(shared.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("key"), "torn")
         open_ = stash(_may_link(shared.join(torn, "key", "left_semi").join(sigs, "rep"), least), "open")
-        discard(shared)
         sets = stash(_sets(open_, documents, k), "sets")
         found = stash(_links(open_, sets, least, percent), "links")
-        discard(open_)
-        discard(sets)
+        discard(ends, shared, torn, open_, sets)
         links = links.unionAll(found)
         comp = stash(components(links), "components")
 

@@ -387,3 +387,58 @@ def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
 
     one = scores(1)
     assert len(one) == len(rows) and one == scores(5)
+
+
+def test_ftrl_against_a_plain_version():
+    from marlstone.llm.ftrl import Ftrl
+
+    rng = random.Random(1)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.4, 0.7
+    model, z, n, zb, nb = Ftrl(6, alpha, beta, l1, l2), [0.0] * 64, [0.0] * 64, 0.0, 0.0
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(400):
+        x = sorted(rng.sample(range(64), rng.randint(0, 9)))
+        y = int(rng.random() < (0.9 if 3 in x else 0.2))
+        bias = -zb / ((beta + nb**0.5) / alpha)
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + np.exp(-(sum(w.values()) + bias)))
+        assert model.update(np.array(x, np.uint32), y) == pytest.approx(p)
+        for i in x:
+            rate = ((n[i] + (p - y) ** 2) ** 0.5 - n[i] ** 0.5) / alpha
+            z[i] += (p - y) - rate * w[i]
+            n[i] += (p - y) ** 2
+        zb += (p - y) - ((nb + (p - y) ** 2) ** 0.5 - nb**0.5) / alpha * bias
+        nb += (p - y) ** 2
+    index, values = model.sparse()
+    assert dict(zip(index.tolist(), values, strict=True)) == pytest.approx({i: weight(i) for i in range(64) if abs(z[i]) > l1})
+    assert 0 < len(index) < 64 and model.bias() == pytest.approx(-zb / ((beta + nb**0.5) / alpha))
+
+
+def test_toxicity_of_odd_tables(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(30)) + (" vile" if i % 2 else ""), "x") for i in range(300)]
+    rows += [(1, "zz " * 30000, "x"), (1, "zz " * 30000, "x"), (301, "vile " * 40000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity string").withColumns({c: F.lit("x") for c in ("k", "y", "h", "__k", "__h")})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(2, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model)
+    assert got.columns == docs.columns and got.count() == len(rows)
+    scores = {r["doc_id"]: r["toxicity"] for r in got.collect()}
+    assert scores[301] > 0.3 and np.mean([scores[i] > 0.3 for i in range(5, 300, 2)]) > 0.9
+    again = toxicity.train(docs.repartition(7), labels.repartition(3))
+    assert again.index.tolist() == model.index.tolist() and again.weight == pytest.approx(model.weight)
+
+
+def test_near_duplicates_of_odd_tables(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 4096)
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(30000)]
+    other = long[:15000] + ["new"] + long[15001:]
+    rows = [(i, " ".join(long[i * 50 : i * 50 + 200])) for i in range(30)]
+    rows += [(100, " ".join(long)), (101, " ".join(other)), (102, " ".join(other)), (102, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("rep", "key", "comp", "sig", "size", "c1", "n_shingles")})
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, 5, 80).collect()]
+    assert sorted(got) == sorted([(i, i, True) for i in range(30)] + [(100, 100, True), (101, 100, False), (102, 100, False), (102, 100, False)])
