@@ -1,12 +1,15 @@
 """The corpus pipeline: toxicity, near-dedup, secrets, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; all but the last return the columns of ``documents``.
+kept; all but the last return the columns of ``documents``.  Each says what it
+does with nulls and repeated rows; in all of them texts of any length are taken
+whole, columns beyond those of ``documents`` are passed on whatever their names
+(but for packing, whose columns are its own), and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import mixing, neardup, packing, secretscan, toxicity
@@ -14,45 +17,52 @@ from marlstone.llm.common import stash
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold."""
+    """Documents that score below the toxicity threshold.
+
+    Null and empty texts score the bias, those with a null id are scored like
+    others, repeated rows are judged each; without labels all stay.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = docs.withColumn("__toxicity", toxicity.scorer(docs, model)("text"))
-    return scored.filter(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity")
+    return docs.filter(toxicity.scorer(docs, model)("text") < toxicity.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words a shingle, similarity 0.8 or more.
 
     Rows that share an id but not their text are documents of their own, told apart
-    by a key; of rows that share both, one stays.  The keys to leave out are written
+    by a key; of rows that share both, any one stays.  Null and empty texts, and rows
+    with a null id, have no copies and stay.  The keys to leave out are written
     first, so the join broadcasts them only while they are small.
     """
-    again = stash(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    own = F.col("d.doc_id").cast("long")
+    again = stash(rows.filter("d.doc_id is not null").groupBy("d.doc_id").count().filter("count > 1").select("doc_id"), "again")
     if again.isEmpty():
-        keyed = docs.withColumn("__key", F.col("doc_id").cast("long"))
+        keyed = rows.withColumn("key", own)
     else:
-        repeated = docs.join(again, "doc_id", "left_semi").select(docs.columns).withColumn("__key", F.xxhash64("doc_id", "text"))
-        one = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.xxhash64(*[c for c in docs.columns if c not in ("doc_id", "text")])))
-        single = docs.join(again, "doc_id", "left_anti").select(docs.columns).withColumn("__key", F.col("doc_id").cast("long"))
+        repeated = rows.join(again, F.col("d.doc_id") == F.col("doc_id"), "left_semi")
+        # aggregated, so that an id with very many rows is cut down before it is moved
+        one = repeated.groupBy("d.doc_id", "d.text").agg(F.first("d").alias("d")).select("d", F.xxhash64("d.doc_id", "d.text").alias("key"))
+        single = rows.join(again, F.col("d.doc_id") == F.col("doc_id"), "left_anti").withColumn("key", own)
         # written first, so that the rows that stay are the same wherever they are read
-        keyed = stash(single.unionAll(repeated.withColumn("__one", one).filter("__one = 1").drop("__one")), "keyed")
-    found = neardup.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), k=5, percent=80)
-    out = stash(found.filter("not kept").select(F.col("doc_id").alias("__key")).distinct(), "out")
-    return keyed.join(out, "__key", "left_anti").select(docs.columns)
+        keyed = stash(single.unionAll(one), "keyed")
+    found = neardup.near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("d.text").alias("text")), k=5, percent=80)
+    out = stash(found.filter("not kept").select(F.col("doc_id").alias("key")).distinct(), "out")
+    return keyed.join(out, "key", "left_anti").select("d.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their secrets replaced by a mark."""
+    """Documents with their secrets replaced by a mark, and ``n_chars`` that fits; null texts stay null, repeated rows are cleaned each."""
     return secretscan.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture uses them."""
+    """Documents as often as the mixture uses them: null languages and sources are leaves of their own, rows that share an id go together."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens: a null text is its end token alone, a null id stays null, repeated rows are packed each."""
     return packing.pack(docs, packing.vocabulary("word_bpe_49k.json"))
 
 
