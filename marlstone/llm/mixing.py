@@ -13,8 +13,10 @@ digits of the order key, refined ``LEVELS`` times inside the one bucket that
 holds the end.  Each level moves counts of at most ``2**DIGIT`` buckets a leaf.
 
 Defined results: null domain, language and source are nodes of their own; null
-and empty texts have no tokens and go with the prefix; rows that share an id
-share its place in the order and are taken or left together; an empty table
+and empty texts have no tokens and go with the prefix; rows that share an id, and
+those with a null id, share a place in the order and are taken or left together;
+texts of any length are counted whole and taken whole; an input column
+``mix_copies`` is replaced, others stay, whatever their names; an empty table
 gives no rows.
 """
 
@@ -77,8 +79,9 @@ def leaf_budgets(leaves: DataFrame, budget_share: float = BUDGET_SHARE) -> DataF
 
 
 def _order(epochs: Column, doc_id: Column) -> Column:
-    """Place of a document in an epoch: ``DIGIT * LEVELS`` bits."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), epochs, doc_id), 64 - DIGIT * LEVELS)
+    """Place of a document in an epoch: the first ``DIGIT * LEVELS`` bits of an MD5 of seed, epoch and id."""
+    name = F.concat_ws(":", F.lit(str(SEED)), epochs.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, DIGIT * LEVELS // 4), 16, 10).cast("long")
 
 
 def plan(documents: DataFrame) -> DataFrame:
@@ -111,16 +114,21 @@ def plan(documents: DataFrame) -> DataFrame:
     return state.select("leaf", "domain", "lang", "source", "tokens", "share", "epochs", "cut")
 
 
+def _counted(documents: DataFrame, leaf_plan: DataFrame) -> DataFrame:
+    """Rows (d: all columns in one struct, n: copies): nothing can clash with the input's names."""
+    p = leaf_plan.select("leaf", "epochs", "cut")
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("d"), F.xxhash64(*_leaf(documents)).alias("of"), F.col("doc_id").alias("id"))
+    taken = F.col("epochs") + (_order(F.col("epochs"), F.col("id")) < F.col("cut")).cast("int")
+    return keyed.join(p, F.col("of") == F.col("leaf"), "left").select("d", F.coalesce(taken, F.lit(0)).alias("n"))
+
+
 def copies(documents: DataFrame, leaf_plan: DataFrame) -> DataFrame:
     """``documents`` with ``mix_copies``: how often each is used.  The plan is joined by leaf (broadcast while it is small)."""
-    kept = documents.columns
-    p = leaf_plan.select(F.col("leaf").alias("__leaf"), F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
-    keyed = documents.withColumn("__doc_leaf", F.xxhash64(*_leaf(documents)))
-    taken = F.col("__epochs") + (_order(F.col("__epochs"), F.col("doc_id")) < F.col("__cut")).cast("int")
-    return keyed.join(p, F.col("__doc_leaf") == F.col("__leaf"), "left").select(*kept, F.coalesce(taken, F.lit(0)).alias("mix_copies"))
+    kept = [F.col(f"d.`{c}`") for c in documents.columns if c.lower() != "mix_copies"]
+    return _counted(documents, leaf_plan).select(*kept, F.col("n").alias("mix_copies"))
 
 
 def mix(documents: DataFrame) -> DataFrame:
     """The mixture: each document as many times as it is used, columns unchanged."""
-    used = copies(documents, plan(documents)).filter("mix_copies > 0")
-    return used.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*documents.columns)
+    used = _counted(documents, plan(documents)).filter("n > 0")
+    return used.select("d", F.explode(F.sequence(F.lit(1), F.col("n")))).select("d.*")
