@@ -15,8 +15,11 @@ sequences of powers of two, so no sequence is padded.
 Nothing is shuffled or collected and memory is bounded by a block, whatever the
 partition holds.  Sequence ids are unique: partition number and a counter.
 
-Defined results: null and empty texts are the end token alone; repeated rows
-are packed each; an empty table gives no rows.
+Defined results: null and empty texts are the end token alone; a null id stays
+null; repeated rows are packed each; very long texts are cut into windows, and
+their ids are held once (a block ends with the text that fills it); columns
+beyond doc_id and text are left out, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations

@@ -115,6 +115,79 @@ def _op7_sql() -> str:
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rid not in (select rid from bad) as kept, n_lines from j"""
 
 
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+_OP5_SQL = rf"""
+    with recursive w as (
+        select row_number() over () as rid, doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents
+    ), g as (
+        select rid, doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) end) as s from w
+    ), n as (select rid, doc_id, count(*) as n from g group by all),
+    pair as (select a.rid as a, b.rid as b, count(*) as c from g a join g b on a.s = b.s and a.rid < b.rid where a.doc_id is not null and b.doc_id is not null group by all),
+    link as (select x.doc_id as a, y.doc_id as b from pair join n x on x.rid = pair.a join n y on y.rid = pair.b where 100 * c >= 85 * (x.n + y.n - c)),
+    arc as (select a, b from link union select b, a from link),
+    r as (select distinct doc_id as node, doc_id as seen from documents where doc_id is not null union select r.node, arc.b from r join arc on arc.a = r.seen),
+    c as (select node, min(seen) as component_id from r group by node)
+    select w.doc_id, case when w.doc_id is not null then coalesce(n.n, 0) end as n_shingles, component_id, coalesce(w.doc_id = component_id, true) as kept
+    from w left join n on n.rid = w.rid left join c on c.node = w.doc_id"""
+
+
+def _op8_sql() -> str:
+    """Shares poured level by level in windows; the prefix of an epoch by running sums in its order."""
+
+    def pour(name: str, parents: str, of: str) -> str:
+        part = f"partition by {parents}" if parents else ""
+        return f"""
+        {name}_a as (select *, row_number() over v as no, budget - coalesce(sum(cap) over (v rows between unbounded preceding and 1 preceding), 0) as rest_budget,
+                sum(weight) over ({part}) - coalesce(sum(weight) over (v rows between unbounded preceding and 1 preceding), 0) as rest_weight from {of} window v as ({part} order by cap / weight, name)),
+        {name}_b as (select *, case when rest_budget <= rest_weight * cap / weight then rest_budget / greatest(rest_weight, 1e-12) end as lv from {name}_a),
+        {name} as (select *, case when m is null then cap else least(cap, m * weight) end as share from (select *, arg_min(lv, no) filter (where lv is not null) over ({part}) as m from {name}_b))"""
+
+    size = "cast(sum(n) * {} as double) as cap, pow(cast(greatest(sum(n), 1) as double), {}) as weight".format(mixing.MAX_EPOCHS, mixing.POWER)
+    place = f"cast('0x' || substring(md5('{mixing.SEED}:' || epochs || ':' || coalesce(cast(doc_id as varchar), '')), 1, {mixing.DIGIT * mixing.LEVELS // 4}) as bigint)"
+    return rf"""
+    with d as (
+        select row_number() over () as rid, doc_id, lang, source, coalesce(lang, chr(0)) as l, coalesce(source, chr(0)) as s, cast(len({_WORDS.format("coalesce(text, '')")}) as bigint) as n,
+            case when regexp_matches(source, '[0-9]$') then 'domain' || (cast(regexp_extract(source, '([0-9]{{1,9}})$', 1) as bigint) % {mixing.DOMAINS}) else 'other' end as dom from documents
+    ), d0 as (select dom, dom as name, cast(sum(n) * {mixing.MAX_EPOCHS} as double) as cap, 1.0::double as weight from d group by dom),
+    d1 as (select *, sum(cap) over () / {mixing.MAX_EPOCHS} * {mixing.BUDGET_SHARE} as budget from d0), {pour("d2", "", "d1")},
+    l1 as (select x.*, d2.share as budget from (select dom, l, l as name, {size} from d group by dom, l) x join d2 using (dom)), {pour("l2", "dom", "l1")},
+    s1 as (select x.*, l2.share as budget from (select dom, l, s, s as name, sum(n) as tokens, {size} from d group by dom, l, s) x join l2 using (dom, l)), {pour("s2", "dom, l", "s1")},
+    e as (select dom, l, s, tokens, share, case when tokens > 0 then cast(least(floor(share / tokens + 1e-9), {mixing.MAX_EPOCHS}) as bigint) else 1 end as epochs from s2),
+    p as (select rid, doc_id, lang, source, n, dom, l, s, epochs, floor(greatest(share - epochs * tokens, 0)) as rest, {place} as u from d join e using (dom, l, s)),
+    q as (select *, sum(n) over (partition by dom, l, s order by u range unbounded preceding) as upto from p)
+    select doc_id, lang, source, cast(epochs + case when upto <= rest then 1 else 0 end as integer) as copies from q"""
+
+
+def _op9_sql() -> str:
+    """Spans by cutting texts at matches; checksums of the marked kinds byte by byte."""
+    value = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    base = {"assign": "(?i:password|passwd|secret|token|api_?key)" + value.replace("([", "[").replace("+)", "+"), "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+    valid = {"assign": "length(regexp_extract(x.m, '^(?i:password|passwd|secret|token|api_?key)" + value.replace("'", "''") + "$', 1)) >= 6", "access": "length(x.m) >= 20", "hex": "length(x.m) >= 24"}
+    marked = {"github": "gh[pousr]_", "npm": "npm_"}
+    patterns = base | {k: p + "[A-Za-z0-9]{36}" for k, p in marked.items()}
+    crc = "list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(body[:30], ''), lambda c: ascii(c)::bigint)), lambda h, c: list_reduce(list_prepend(xor(h, c), range(8)), lambda a, b: case when a % 2 = 1 then xor(a // 2, 3988292384::bigint) else a // 2 end))"
+    digits = " || ".join(f"substring('{secretscan._BASE62}', cast(crc // {62**i} % 62 as integer) + 1, 1)" for i in range(5, -1, -1))
+
+    def spans(no: int, kind: str) -> str:
+        p = patterns[kind].replace("'", "''")
+        test = valid.get(kind, "not regexp_matches(substring(t, x.at + 41, 1), '[A-Za-z0-9]')")
+        return f"""select rid, {no} as no, '{kind}' as kind, x.m as m, x.at as s, x.at + length(x.m) as e from (
+            select rid, t, unnest(list_transform(range(1, len(ms) + 1), lambda i: {{'m': ms[i], 'at': cast(list_sum(list_transform(ps[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda y: length(y))), 0) as bigint)}})) as x
+            from (select rid, t, regexp_extract_all(t, '{p}') as ms, string_split_regex(t, '{p}') as ps from docs)) where {test}"""
+
+    parts = " union all ".join(spans(i, k) for i, k in enumerate(patterns))
+    return rf"""
+    with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+    found as ({parts}),
+    crcs as (select *, xor({crc}, 4294967295::bigint) as crc from (select *, right(m, 36) as body from found where no > 2)),
+    spans as (select rid, no, kind, s, e from found where no <= 2 union all select rid, no, kind, s, e from crcs where {digits} = right(body, 6))
+    select d.doc_id, count(*) filter (where no = 0) as n_assign, count(*) filter (where no = 1) as n_access, count(*) filter (where no = 2) as n_hex,
+        sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, no) filter (where no <= 2), '')) as base_sha256,
+        coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, no), '') as spans
+    from docs d left join spans x using (rid) group by d.rid, d.doc_id"""
+
+
 _OP10_SQL = r"""
     with c as (
         select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -147,6 +220,9 @@ def oracle_sql() -> dict[str, str]:
             ), r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s)
             select query_id, cast(rank as integer) as rank, vec_id, cast(score as bigint) as score from r where rank <= 5""",
         "op3_url_filter": _op3_sql(),
+        "op5_near_dedup": _OP5_SQL,
         "op7_quality_rules": _op7_sql(),
+        "op8_source_mix": _op8_sql(),
+        "op9_secret_scan": _op9_sql(),
         "op10_chat_format": _OP10_SQL,
     }

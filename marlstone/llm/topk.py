@@ -13,7 +13,8 @@ and rows with a null id, take no part; components are floored multiples of
 1/256; shorter vectors count as padded with zeros; a row never meets rows of its
 own id; an id that occurs in several rows is one query (its greatest vector) but
 as many candidates; ties go to the smaller id; scores beyond 64 bits are held at
-the ends of the range; an empty table gives no rows.
+the ends of the range; columns beyond id and vector are left out, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
