@@ -361,7 +361,7 @@ def test_lm_against_plain_loops():
     assert lmscore.log_probs(p, row, at) == pytest.approx(loss(p), abs=2e-4)
     out, emb, rows = lmscore.Trainer(p).gradient(row, at)
     full = np.zeros((lmscore._ROWS, lmscore.HIDDEN + 1))
-    full[rows, : lmscore.HIDDEN], full[lmscore._EMB :] = emb, out
+    full[rows], full[lmscore._EMB :] = emb, out
     q = p.astype(np.float64)
     some = [(int(row[10]), 3), (lmscore.VOCAB + 1 + int(row[20]), 0), (lmscore._EMB + 2, 5), (lmscore._EMB + 1, lmscore.HIDDEN), (lmscore._EMB + lmscore.CLASSES + 7, 4), (lmscore._EMB + lmscore.CLASSES + int(row[30]), lmscore.HIDDEN)]
     for r, c in some:  # slope of the plain loss
