@@ -32,14 +32,14 @@ def toc_top(height: Column, view_y: Column, is_xyz: Column) -> Column:
 
 
 def distinct_boxes(boxes: Column, slack: float = 2.0) -> Column:
-    """Boxes that differ by more than ``slack`` in some edge from every box kept before them."""
-    close = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d <= slack)
+    """Boxes that differ by ``slack`` or more in some edge from every box kept before them."""
+    close = lambda a, b: F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d < slack)
     return F.aggregate(boxes, F.array().cast("array<array<double>>"), lambda kept, b: F.when(F.exists(kept, lambda k: close(k, b)), kept).otherwise(F.concat(kept, F.array(b))))
 
 
 def image_verdict(width: Column, height: Column, sha: Column, min_width: int, min_height: int, ignored=()) -> Column:
     """Null for images to keep, else the reason why not."""
-    return F.when((width < min_width) | (height < min_height), "too_small").when(sha.isin(list(ignored)) if ignored else F.lit(False), "ignored_hash")
+    return F.when(sha.isin(list(ignored)) if ignored else F.lit(False), "reviewed_decoration").when((width < min_width) | (height < min_height), "small_image_candidate_not_indexed")
 
 
 def page_boxes(text: Column, boxes: Column, width: Column, height: Column) -> Column:

@@ -84,12 +84,13 @@ def overview_kind(title: Column) -> Column:
 
 
 def merge_cards(rows: DataFrame) -> DataFrame:
-    """Cards by question: question, card_id, answer, branches, sources, review_flags.
+    """Cards by question: question, card_id, answer, branches, sources, images, review_flags.
 
-    ``rows``: question, page, card_id, answer, source, flags.  A question that
-    occurs on several pages gets a branch per page and a flag that says so.
+    ``rows``: question, page, card_id, answer, source, flags, evidence, images.  A
+    question that occurs on several pages gets a branch per page, with its own
+    evidence, and a flag that says so.  A card has all its pages in one row.
     """
-    grouped = rows.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("page", "card_id", "answer", "source", "flags"))).alias("r"))
+    grouped = rows.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("page", "card_id", "answer", "source", "flags", "evidence", "images"))).alias("r"))
     many = F.size("r") > 1
     told = F.array_join(F.transform("r", lambda x: F.concat(F.lit("原文第 "), x["page"].cast("string"), F.lit(" 页的情形：\n"), x["answer"])), "\n\n")
     flags = F.flatten(F.transform("r", lambda x: x["flags"]))
@@ -97,14 +98,21 @@ def merge_cards(rows: DataFrame) -> DataFrame:
         "question",
         F.col("r")[0]["card_id"].alias("card_id"),
         F.when(many, told).otherwise(F.col("r")[0]["answer"]).alias("answer"),
-        F.when(many, F.transform("r", lambda x: F.struct(x["page"].alias("page"), x["answer"].alias("answer")))).otherwise(F.array().cast("array<struct<page:bigint,answer:string>>")).alias("branches"),
+        F.filter(F.transform("r", lambda x: F.struct(x["page"].alias("page"), x["answer"].alias("answer"), x["evidence"].alias("evidence"))), lambda x: many).alias("branches"),
         F.transform("r", lambda x: x["source"]).alias("sources"),
+        F.flatten(F.transform("r", lambda x: x["images"])).alias("images"),
         F.array_distinct(F.when(many, F.concat(flags, F.array(F.lit("同一问题有不同业务情形，回答前须确认适用条件")))).otherwise(flags)).alias("review_flags"),
     )
 
 
-def card_issues(question: Column, answer: Column, cause: Column, evidence: Column) -> Column:
-    """What is wrong with a card: missing parts, and fields that no evidence text has under the same label."""
+def card_issues(question: Column, answer: Column, cause: Column, evidence: Column, branches: Column | None = None) -> Column:
+    """What is wrong with a card: missing parts, and fields that no evidence text has under the same label.
+
+    ``branches`` (array of struct answer, evidence): a merged card's answer is
+    grounded if each branch's answer is the one its own evidence gives.
+    """
+    own = lambda b: F.coalesce(F.element_at(text.faq_fields(b["evidence"]), "解决办法") == b["answer"], F.lit(False))
+    branched = F.lit(False) if branches is None else (F.coalesce(F.size(branches), F.lit(0)) > 0) & F.coalesce(F.forall(branches, own), F.lit(False))
     said = lambda label, value: F.exists(evidence, lambda t: F.coalesce(F.element_at(text.faq_fields(t), label).contains(value), F.lit(False)))
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     checks = [
@@ -112,7 +120,8 @@ def card_issues(question: Column, answer: Column, cause: Column, evidence: Colum
         F.when(F.coalesce(F.size(evidence), F.lit(0)) <= 0, "missing_sources"),
     ]
     for name, label, value in (("question", "问题描述", question), ("answer", "解决办法", answer), ("cause", "问题原因", cause)):
-        checks.append(F.when(~empty(value) & ~F.coalesce(said(label, value), F.lit(False)), f"{name}_not_extractively_grounded"))
+        grounded = F.coalesce(said(label, value), F.lit(False)) | (branched if name == "answer" else F.lit(False))
+        checks.append(F.when(~empty(value) & ~grounded, f"{name}_not_extractively_grounded"))
     return F.array_compact(F.array(*checks))
 
 

@@ -6,26 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TERMINAL = ("completed", "failed", "cancelled")
-#: (state, request) -> next state; pairs that are not here change nothing.
-TRANSITIONS = {
-    ("preparing", "ready"): "queued",
-    ("preparing", "fail"): "failed",
-    ("preparing", "cancel"): "cancelled",
-    ("queued", "claim"): "running",
-    ("queued", "pause"): "paused",
-    ("queued", "cancel"): "cancelled",
-    ("running", "pause"): "paused",
-    ("running", "review"): "needs_review",
-    ("running", "complete"): "completed",
-    ("running", "fail"): "failed",
-    ("running", "cancel"): "cancelled",
-    ("running", "recover"): "queued",
-    ("paused", "resume"): "queued",
-    ("paused", "cancel"): "cancelled",
-    ("needs_review", "resume"): "queued",
-    ("needs_review", "cancel"): "cancelled",
-    ("failed", "resume"): "queued",
-}
+ACTIVE_START = "preparing"
 
 
 def recent(events: DataFrame, by: str, order: str, n: int = 200) -> DataFrame:
@@ -67,6 +48,19 @@ def claimable(jobs: DataFrame) -> DataFrame:
     return jobs.filter((F.col("status") == "queued") & ~F.col("cancel_requested") & ~F.col("pause_requested")).orderBy("created_at", "job_id").limit(1)
 
 
+def guard(jobs: DataFrame) -> DataFrame:
+    """job_id, stop for running jobs that a request ends at once (cancelled) or at the next end of a stage (paused)."""
+    stop = F.when(F.col("cancel_requested"), "cancelled").when(F.col("pause_requested"), "paused")
+    return jobs.filter(F.col("status") == "running").select("job_id", stop.alias("stop")).filter("stop is not null")
+
+
+def stages_left(jobs: DataFrame, stages: list[str], done: DataFrame) -> DataFrame:
+    """job_id, pos, stage: stages (in order) of each job that have no marker (job_id, stage) yet."""
+    listed = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(s).alias("stage")) for i, s in enumerate(stages)])
+    every = jobs.select("job_id", F.explode(listed).alias("x")).select("job_id", "x.*")
+    return every.join(done.select("job_id", "stage"), ["job_id", "stage"], "left_anti").select("job_id", "pos", "stage")
+
+
 def recover(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Jobs after a crash, running ones queued again, and a warning event for each of these."""
     was = F.col("status") == "running"
@@ -74,17 +68,52 @@ def recover(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return jobs.withColumn("status", F.when(was, "queued").otherwise(F.col("status"))), warned
 
 
-def next_state(state: Column, request: Column) -> Column:
-    out = state
-    for (a, r), b in TRANSITIONS.items():
-        out = F.when((state == a) & (request == r), b).otherwise(out)
-    return out
-
-
-def fold_states(requests: DataFrame, job: str = "job_id", order: str = "event_id", request: str = "request", start: str = "preparing") -> DataFrame:
-    """job, state: each job's state after its requests in order; those that are not allowed change nothing."""
+def next_state(job: Column, request: Column) -> Column:
+    """``job`` (struct status, pause, cancel) after a request; requests that are refused change nothing.
+
+    pause and cancel take effect at once on jobs that wait, and are remembered by
+    those that are being prepared or run, until ``ready`` (the upload is there) or
+    ``stage`` (a stage has ended).  ``resume_unresolved`` is a resume while files
+    have no domain, which jobs under review refuse.  Other requests: resume, claim,
+    review, complete, fail, recover.
+    """
+    s, asked = job["status"], lambda *names: request.isin(*names)
+    to = lambda status, pause=None, cancel=None: F.struct(
+        (F.lit(status) if isinstance(status, str) else status).alias("status"),
+        (job["pause"] if pause is None else F.lit(pause)).alias("pause"),
+        (job["cancel"] if cancel is None else F.lit(cancel)).alias("cancel"),
+    )
+    halted = F.when(job["cancel"], "cancelled").when(job["pause"], "paused")
+    return (
+        F.when(asked("pause") & s.isin("queued", "needs_review"), to("paused", pause=False))
+        .when(asked("pause") & ~s.isin(*TERMINAL), to(s, pause=True))
+        .when(asked("cancel") & s.isin("queued", "paused", "needs_review"), to("cancelled", cancel=False))
+        .when(asked("cancel") & ~s.isin(*TERMINAL), to(s, cancel=True))
+        .when(asked("resume") & s.isin("paused", "needs_review", "failed"), to("queued", False, False))
+        .when(asked("resume_unresolved") & s.isin("paused", "failed"), to("queued", False, False))
+        .when(asked("ready") & (s == "preparing"), to(F.coalesce(halted, F.lit("queued")), False, False))
+        .when(asked("claim") & (s == "queued") & ~job["pause"] & ~job["cancel"], to("running"))
+        .when(asked("stage") & (s == "running"), to(F.coalesce(halted, s)))
+        .when(asked("review") & (s == "running"), to("needs_review"))
+        .when(asked("complete") & (s == "running"), to("completed"))
+        .when(asked("fail") & s.isin("running", "preparing"), to("failed"))
+        .when(asked("recover") & (s == "running"), to("queued"))
+        .otherwise(to(s))
+    )
+
+
+def new_job(status: str = ACTIVE_START) -> Column:
+    """State of a job without requests."""
+    return F.struct(F.lit(status).alias("status"), F.lit(False).alias("pause"), F.lit(False).alias("cancel"))
+
+
+def fold_states(requests: DataFrame, job: str = "job_id", order: str = "event_id", request: str = "request", start: str = ACTIVE_START) -> DataFrame:
+    """job, state: each job's status after its requests in order; those that are refused change nothing.
+
+    A job's requests are folded in one row: they are commands of one job, not its log.
+    """
     listed = requests.groupBy(job).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, request))), lambda x: x[request]).alias("rs"))
-    return listed.select(job, F.aggregate("rs", F.lit(start), lambda s, r: next_state(s, r)).alias("state"))
+    return listed.select(job, F.aggregate("rs", new_job(start), next_state)["status"].alias("state"))
 
 
 def memory_window(turns: DataFrame, n: int = 6) -> DataFrame:

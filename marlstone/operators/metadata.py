@@ -51,30 +51,48 @@ def available_routes(members: Column, available: Column) -> Column:
     return F.forall(members, lambda m: F.array_contains(available, m))
 
 
+#: Fixed values of the rules for domains: the file of mixed questions and the domains of its pages, parts of paths, words of project paths.
+MIXED_FILE = "财务模块常见问题.pdf"
+MIXED_PAGES = ((16, 17, "projects"), (18, 18, "equipment"), (9, 9, "internal"), (50, 55, "internal"), (27, 48, "funds"))
+MIXED_REST = "finance"
+PATH_PARTS = (
+    ("公共数据管理标准/", "master_rules"),
+    ("/主数据管理/", "master_ops"),
+    ("/核算模块/", "finance"),
+    ("/资金模块/", "funds"),
+    ("/预算模块/", "funds"),
+    ("/内部交易模块/", "internal"),
+    ("/油气销售/", "oilgas"),
+    ("/油气委托加工/", "oilgas"),
+    ("/物资管理/", "procurement"),
+)
+PROJECT_WORDS = ("投资项目", "其他费用项目", "数信项目", "科技项目", "费用项目操作")
+PROCUREMENT_NAME, EQUIPMENT_NAME, EQUIPMENT_MANUAL = "物资采购培训", "设备管理", "设备管理操作手册"
+
+
+def _by_path(path: Column, name: Column, equipment: Column) -> Column:
+    rules = [(path.contains(part), domain) for part, domain in PATH_PARTS]
+    rules += [(name.contains(PROCUREMENT_NAME), "procurement"), (equipment, "equipment")]
+    rules += [(path.contains(word), "projects") for word in PROJECT_WORDS]
+    return F.coalesce(*[F.when(fits, domain) for fits, domain in rules])
+
+
 def classify_path(path: Column, name: Column) -> Column:
-    """Domain of a source by path and name, first rule that fits; null if none does."""
+    """Domain of an uploaded source by path and name, first rule that fits; null if none does.
+
+    The path counts as one that starts with a slash; equipment is told by its word
+    anywhere in path or name.
+    """
     p = F.concat(F.lit("/"), F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+", ""))
-    has = p.contains
-    out = (
-        F.when(has("公共数据管理标准/"), "master_rules")
-        .when(has("/主数据管理/"), "master_ops")
-        .when(has("/核算模块/") | (name == "财务模块常见问题.pdf"), "finance")
-        .when(has("/资金模块/") | has("/预算模块/"), "funds")
-        .when(has("/内部交易模块/"), "internal")
-        .when(has("/油气销售/") | has("/油气委托加工/"), "oilgas")
-        .when(has("/物资管理/") | name.contains("物资采购培训"), "procurement")
-        .when(has("设备管理") | name.contains("设备管理"), "equipment")
-    )
-    projects = F.lit(False)
-    for word in ("投资项目", "其他费用项目", "数信项目", "科技项目", "费用项目操作"):
-        projects |= has(word)
-    return out.when(projects, "projects")
+    by_path = _by_path(p, name, p.contains(EQUIPMENT_NAME) | name.contains(EQUIPMENT_NAME))
+    early = p.contains(PATH_PARTS[0][0]) | p.contains(PATH_PARTS[1][0])
+    return F.when((name == MIXED_FILE) & ~early, MIXED_REST).otherwise(by_path)
 
 
 def classify_page(path: Column, name: Column, page: Column) -> Column:
-    """Domain of a page: pages of the one file of mixed questions have domains of their own, others that of their path; raises if there is none."""
-    mixed = F.when(page.isin(16, 17), "projects").when(page == 18, "equipment").when((page == 9) | page.between(50, 55), "internal").when(page.between(27, 48), "funds").otherwise("finance")
-    found = F.when(name == "财务模块常见问题.pdf", mixed).otherwise(classify_path(path, name))
+    """Domain of a page of the corpus: pages of the file of mixed questions have domains of their own, others that of their relative path as it is; raises if there is none."""
+    mixed = F.coalesce(*[F.when(page.between(a, b), domain) for a, b, domain in MIXED_PAGES], F.lit(MIXED_REST))
+    found = F.when(name == MIXED_FILE, mixed).otherwise(_by_path(path, name, name.contains(EQUIPMENT_MANUAL)))
     return F.coalesce(found, F.raise_error(F.concat(F.lit("unclassified source: "), path)).cast("string"))
 
 

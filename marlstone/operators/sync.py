@@ -20,39 +20,53 @@ def one_per_name(remote: DataFrame, name: str = "name") -> DataFrame:
 
 
 def upload_plan(manifest: DataFrame, receipts: DataFrame, remote: DataFrame) -> DataFrame:
-    """key, action (skip, create, update, defer) for every item.
-
-    ``manifest``: key, content_hash; ``receipts``: key, document_id, hash,
-    metadata_applied; ``remote``: document_id, status.  An item whose receipt
-    has its hash and metadata is done; one without a remote document is new; a
-    change to a document that is not available yet waits.
+    """key, action (skip, create, update, metadata, defer), document_id for every item.
+
+    ``manifest``: key, name, content_hash; ``receipts``: key, document_id, hash,
+    metadata_applied, retired_at; ``remote``: name, document_id, status.  Remote
+    documents are found by name, and a name that two have raises.  An item is done
+    if its receipt has its hash and that document, is applied and not retired;
+    new content for a document that is not available yet waits; where hash and
+    document fit, the metadata alone is sent again.
     """
-    r = receipts.select(F.col("key").alias("__k"), "document_id", "hash", "metadata_applied")
-    x = remote.select(F.col("document_id").alias("__d"), "status")
-    rows = manifest.join(r, F.col("key") == F.col("__k"), "left").join(x, F.col("document_id") == F.col("__d"), "left")
+    r = receipts.select(F.col("key").alias("__k"), F.col("document_id").alias("__had"), "hash", "metadata_applied", "retired_at")
+    x = one_per_name(remote.select("name", "document_id", "status").join(manifest.select("name"), "name", "left_semi")).select(F.col("name").alias("__n"), "document_id", "status")
+    rows = manifest.select("key", "name", "content_hash").join(r, F.col("key") == F.col("__k"), "left").join(x, F.col("name") == F.col("__n"), "left")
+    same_hash = F.coalesce(F.col("hash") == F.col("content_hash"), F.lit(False))
+    same = same_hash & F.col("__had").eqNullSafe(F.col("document_id"))
+    there = F.col("document_id").isNotNull()
     action = (
-        F.when((F.col("hash") == F.col("content_hash")) & F.coalesce("metadata_applied", F.lit(False)) & F.col("__d").isNotNull(), "skip")
-        .when(F.col("__d").isNull(), "create")
-        .when(F.col("status").isin("available", "completed"), "update")
-        .otherwise("defer")
+        F.when(same & F.coalesce("metadata_applied", F.lit(False)) & F.col("retired_at").isNull(), "skip")
+        .when(there & ~same_hash & (F.coalesce("status", F.lit("")) != "available"), "defer")
+        .when(same, "metadata")
+        .when(there, "update")
+        .otherwise("create")
     )
-    return rows.select("key", action.alias("action"))
+    return rows.select("key", action.alias("action"), "document_id")
+
+
+def anchor_fingerprint() -> Column:
+    """Of an item's content and anchor text."""
+    return F.sha2(F.concat_ws("\x1f", "content_hash", "anchor"), 256)
 
 
 def readiness(manifest: DataFrame, receipts: DataFrame, remote: DataFrame, anchors: DataFrame) -> DataFrame:
     """Per domain: total, submitted_current, ready, anchor_required, anchor_ready, anchors_current.
 
-    ``manifest``: key, domain, content_hash, anchor (its text or null); ``anchors``: key, fingerprint.
+    ``manifest``: key, domain, content_hash, anchor (its text or null);
+    ``receipts``: key, document_id, hash, metadata_applied, retired_at; ``remote``:
+    document_id, indexing_status, enabled; ``anchors``: key, document_id, fingerprint.
+    Only what is there with the current content counts.
     """
-    r = receipts.select(F.col("key").alias("__rk"), "document_id", "hash", "metadata_applied")
-    x = remote.select(F.col("document_id").alias("__d"), "status", "enabled")
-    a = anchors.select(F.col("key").alias("__ak"), "fingerprint")
-    rows = manifest.join(r, F.col("key") == F.col("__rk"), "left").join(x, F.col("document_id") == F.col("__d"), "left").join(a, F.col("key") == F.col("__ak"), "left")
+    r = receipts.select(F.col("key").alias("__rk"), F.col("document_id").alias("__had"), "hash", "metadata_applied", "retired_at")
+    x = remote.select(F.col("document_id").alias("__d"), "indexing_status", "enabled")
+    a = anchors.select(F.col("key").alias("__ak"), F.col("document_id").alias("__ad"), "fingerprint")
+    rows = manifest.join(r, F.col("key") == F.col("__rk"), "left").join(x, F.col("__had") == F.col("__d"), "left").join(a, F.col("key") == F.col("__ak"), "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    current = yes((F.col("hash") == F.col("content_hash")) & F.col("metadata_applied"))
-    ready = current & yes((F.col("status") == "completed") & F.col("enabled"))
+    current = F.col("__d").isNotNull() & yes((F.col("hash") == F.col("content_hash")) & F.col("metadata_applied")) & F.col("retired_at").isNull()
+    ready = current & yes((F.col("indexing_status") == "completed") & F.col("enabled"))
     wanted = F.col("anchor").isNotNull()
-    anchored = yes(F.col("fingerprint") == F.sha2(F.concat_ws("\x1f", "content_hash", "anchor"), 256))
+    anchored = yes((F.col("__ad") == F.col("__had")) & (F.col("fingerprint") == anchor_fingerprint()))
     return rows.groupBy("domain").agg(
         F.count("*").alias("total"),
         F.count_if(current).alias("submitted_current"),
@@ -76,9 +90,39 @@ def replacement_plan(previous: DataFrame, current: DataFrame) -> DataFrame:
     return previous.join(scanned, "identity", "left_semi").select("identity", "key").distinct().join(current.select("identity", "key"), ["identity", "key"], "left_anti")
 
 
+def retire_replaced(plan: DataFrame, receipts: DataFrame, remote: DataFrame) -> DataFrame:
+    """key, document_id, disable for the keys of a replacement plan whose receipt is not retired; disable: whether the document is there and enabled.
+
+    ``receipts``: key, document_id, retired_at; ``remote``: document_id, enabled.
+    """
+    live = receipts.filter("retired_at is null").select("key", "document_id").join(plan.select("key").distinct(), "key", "left_semi")
+    x = remote.select(F.col("document_id").alias("__d"), "enabled")
+    return live.join(x, F.col("document_id") == F.col("__d"), "left").select("key", "document_id", F.coalesce("enabled", F.lit(False)).alias("disable"))
+
+
+def reconcile(wanted: DataFrame, children: DataFrame) -> DataFrame:
+    """key, child_id, action for anchors (key, parent_id, text, child_id of the receipt or null): refresh the child of the receipt, else the one of that text, else create.
+
+    ``children``: parent_id, child_id, content.  A text that two children of a
+    parent have raises: an uncertain create is never repeated.
+    """
+    there = children.groupBy(F.col("parent_id").alias("__p"), F.col("content").alias("__c")).agg(F.count("*").alias("__n"), F.min("child_id").alias("__id"))
+    rows = wanted.join(there, (F.col("parent_id") == F.col("__p")) & (F.col("text") == F.col("__c")) & F.col("child_id").isNull(), "left")
+    kind = children.schema["child_id"].dataType
+    only = F.when(F.col("__n") > 1, F.raise_error(F.lit("several anchor children of one text")).cast(kind)).otherwise(F.col("__id"))
+    found = F.coalesce("child_id", only)
+    return rows.select("key", found.alias("found")).select("key", F.col("found").alias("child_id"), F.when(F.col("found").isNull(), "create").otherwise("refresh").alias("action"))
+
+
+def owned(receipts: DataFrame, base_url: str) -> DataFrame:
+    """Receipts (base_url, ...) that a server may use: its own, whatever slashes are at the end, and those that name none."""
+    own = F.regexp_replace("base_url", "/+$", "") == base_url.rstrip("/")
+    return receipts.filter(F.col("base_url").isNull() | (F.col("base_url") == "") | own)
+
+
 def anchor_plan(manifest: DataFrame, receipts: DataFrame, available: DataFrame, anchors: DataFrame) -> DataFrame:
     """key, text, state for items whose anchor is missing or stale: ready if their document is available, else waiting."""
-    fp = F.sha2(F.concat_ws("\x1f", "content_hash", "anchor"), 256)
+    fp = anchor_fingerprint()
     r = receipts.filter("metadata_applied").select(F.col("key").alias("__rk"), "document_id", F.col("hash").alias("__h"))
     items = manifest.filter("anchor is not null").withColumn("fingerprint", fp).join(r, (F.col("key") == F.col("__rk")) & (F.col("content_hash") == F.col("__h")))
     stale = items.join(anchors.select("key", "document_id", "fingerprint"), ["key", "document_id", "fingerprint"], "left_anti")

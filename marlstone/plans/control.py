@@ -48,17 +48,70 @@ def ctl_props_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-_ALLOWED = " ".join(f"when s.state = '{a}' and n.request = '{r}' then '{b}'" for (a, r), b in control.TRANSITIONS.items())
+_REQUESTS = ("ready", "claim", "stage", "pause", "stage", "resume", "claim", "review", "pause", "resume_unresolved", "review", "resume", "claim", "cancel", "stage", "pause", "resume", "claim", "recover", "claim", "fail", "resume", "claim", "complete")
+
+
+@query(f"""with recursive e as (
+        select user_id, row_number() over (partition by user_id order by event_id) as pos, {list(_REQUESTS)}[cast((event_id // 3 + user_id) % {len(_REQUESTS)} as integer) + 1] as r from events
+    ), s as (
+        select user_id, 0 as pos, {{'s': 'preparing', 'p': false, 'c': false}} as j from (select distinct user_id from e)
+        union all
+        select e.user_id, e.pos, case
+            when j.s in ('completed', 'failed', 'cancelled') and r in ('pause', 'cancel') then j
+            when r = 'pause' then case when j.s in ('queued', 'needs_review') then {{'s': 'paused', 'p': false, 'c': j.c}} else {{'s': j.s, 'p': true, 'c': j.c}} end
+            when r = 'cancel' then case when j.s in ('queued', 'paused', 'needs_review') then {{'s': 'cancelled', 'p': j.p, 'c': false}} else {{'s': j.s, 'p': j.p, 'c': true}} end
+            when r in ('resume', 'resume_unresolved') then case when j.s not in ('paused', 'needs_review', 'failed') or (j.s = 'needs_review' and r = 'resume_unresolved') then j else {{'s': 'queued', 'p': false, 'c': false}} end
+            when r = 'ready' then case when j.s <> 'preparing' then j when j.c then {{'s': 'cancelled', 'p': false, 'c': false}} when j.p then {{'s': 'paused', 'p': false, 'c': false}} else {{'s': 'queued', 'p': false, 'c': false}} end
+            when r = 'claim' then case when j.s = 'queued' and not j.c and not j.p then {{'s': 'running', 'p': j.p, 'c': j.c}} else j end
+            when r = 'fail' and j.s = 'preparing' then {{'s': 'failed', 'p': j.p, 'c': j.c}}
+            when j.s <> 'running' then j
+            when r = 'stage' then case when j.c then {{'s': 'cancelled', 'p': j.p, 'c': j.c}} when j.p then {{'s': 'paused', 'p': j.p, 'c': j.c}} else j end
+            when r = 'recover' then {{'s': 'queued', 'p': j.p, 'c': j.c}}
+            else {{'s': case r when 'review' then 'needs_review' when 'complete' then 'completed' else 'failed' end, 'p': j.p, 'c': j.c}} end
+        from s join e on e.user_id = s.user_id and e.pos = s.pos + 1
+    ) select user_id as job_id, last(j.s order by pos) as state from s group by all""")
+def ctl_job_states(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as requests on a job, in order through the state machine."""
+    n = F.floor(F.col("event_id") / 3).cast("long") + F.col("user_id")
+    request = F.element_at(F.array(*map(F.lit, _REQUESTS)), (n % len(_REQUESTS) + 1).cast("int"))
+    return control.fold_states(table(spark, d, "events").select(F.col("user_id").alias("job_id"), "event_id", request.alias("request")))
 
 
-@query(f"""with recursive e as (select user_id, row_number() over (partition by user_id order by event_id) as pos, case event_id % 6 when 0 then 'ready' when 1 then 'claim' when 2 then 'pause' when 3 then 'resume' when 4 then 'review' else 'complete' end as request from events where event_id % 3 <> 2 or user_id % 2 = 0),
-    s as (select user_id, 0 as pos, 'preparing' as state from (select distinct user_id from e) union all select n.user_id, n.pos, case {_ALLOWED} else s.state end from s join e n on n.user_id = s.user_id and n.pos = s.pos + 1)
-    select user_id as job_id, last(state order by pos) as state from s group by all""")
-def ctl_job_states(spark: SparkSession, d: str) -> DataFrame:
-    """Requests in order through the state machine; those that are not allowed change nothing."""
-    names = F.element_at(F.array(*[F.lit(x) for x in ("ready", "claim", "pause", "resume", "review", "complete")]), (F.col("event_id") % 6 + 1).cast("int"))
-    rows = table(spark, d, "events").filter("event_id % 3 <> 2 or user_id % 2 = 0").select(F.col("user_id").alias("job_id"), "event_id", names.alias("request"))
-    return control.fold_states(rows)
+@query("select o_orderkey as job_id, case when o_orderkey % 7 = 0 then 'cancelled' else 'paused' end as stop from orders where o_orderstatus = 'F' and (o_orderkey % 7 = 0 or o_orderkey % 5 = 0)")
+def ctl_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Running jobs that a request ends: a cancel wins over a pause."""
+    return control.guard(_jobs(spark, d).withColumn("status", F.when(F.col("status") == "completed", "running").otherwise(F.col("status"))))
+
+
+@query("""with st as (select unnest([0, 1, 2]) as pos, unnest(['scan', 'build', 'package']) as stage), j as (select distinct user_id as job_id from events),
+    done as (select distinct user_id as job_id, ['scan', 'build', 'package'][cast(event_id % 3 as integer) + 1] as stage from events where event_type = 'purchase')
+    select j.job_id, cast(st.pos as integer) as pos, st.stage from j, st where not exists (select 1 from done where done.job_id = j.job_id and done.stage = st.stage)""")
+def ctl_stages_left(spark: SparkSession, d: str) -> DataFrame:
+    """A job goes on with the stages that have no marker."""
+    stages = ["scan", "build", "package"]
+    e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), "event_type", F.element_at(F.array(*map(F.lit, stages)), (F.col("event_id") % 3 + 1).cast("int")).alias("stage"))
+    return control.stages_left(e.select("job_id").distinct(), stages, e.filter("event_type = 'purchase'"))
+
+
+@query("select o_orderkey as job_id from orders order by o_orderdate desc, o_orderkey desc limit 500")
+def ctl_list_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """A report of the newest jobs; more than 500 are never listed."""
+    return control.list_jobs(_jobs(spark, d), 9999).select("job_id")
+
+
+@query("select event_id, user_id from (select distinct event_id, user_id from events where event_id % 2 = 0 or user_id % 2 = 0) order by event_id desc limit 200")
+def ctl_merge_events(spark: SparkSession, d: str) -> DataFrame:
+    """Two lists of events that overlap, without repeats, the last 200."""
+    e = table(spark, d, "events").select("event_id", "user_id")
+    return control.merge_events(e.filter("event_id % 2 = 0"), e.filter("user_id % 2 = 0"), "event_id")
+
+
+@query("""select o_orderkey as job_id, case when o_orderstatus = 'F' then 'queued' when o_orderstatus = 'O' then 'queued' else 'needs_review' end as status, o_orderstatus = 'F' as warned from orders""")
+def ctl_recover(spark: SparkSession, d: str) -> DataFrame:
+    """Running jobs are queued again, each with one warning."""
+    jobs = _jobs(spark, d).withColumn("status", F.when(F.col("status") == "completed", "running").otherwise(F.col("status")))
+    after, warned = control.recover(jobs)
+    return after.join(warned.select("job_id", F.lit(True).alias("w")), "job_id", "left").select("job_id", "status", F.coalesce("w", F.lit(False)).alias("warned"))
 
 
 @query("select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations) where r <= 6")

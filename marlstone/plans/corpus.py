@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import folds, geometry
+from ..functions import folds, geometry, text
 from ..operators import audit, catalog, corpus, inventory, metrics
 from .base import query, table
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """source_id, page, text: every line of a document as a page."""
-    return table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("source_id"), F.posexplode_outer(F.split("text", "\n")).alias("i", "text")).select("source_id", (F.col("i") + 1).alias("page"), "text")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.posexplode(F.split(text.text_of("text"), "\n")).alias("i", "text")).select("source_id", (F.col("i") + 1).alias("page"), "text")
 
 
-_LINES = "lines as (select doc_id as source_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as page from documents where text is not null)"
+_LINES = "lines as (select doc_id as source_id, unnest(string_split(coalesce(text, ''), chr(10))) as text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as page from documents)"
 
 
 @query("select count(doc_id) as file_count, cast(sum(n_chars) as bigint) as total_bytes, count(distinct sha256(text)) as unique_contents, count(doc_id) = count(distinct sha256(text)) as all_unique from documents")
@@ -51,23 +51,19 @@ def corpus_classify_override(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAGES = f"""{_LINES}, p as (select source_id, page, trim(text) as title from lines where trim(text, E' \\t\\n\\x0b\\x0c\\r') <> '' and not regexp_full_match(trim(text), '[0-9\\s.,，、:：;；\\-—_()/（）]+')),
-    t as (select source_id, page, substring(title, 1, 1) as title from p),
     b as (
-        select source_id, page, title from (select source_id, page, title, lag(title) over (partition by source_id order by page) as before from t) where page > 1 and (before is null or before <> title)
+        select source_id, page, substring(title, 1, 120) as title from (select source_id, page, title, lag(title) over (partition by source_id order by page) as before from p) where page > 1 and (before is null or before <> title)
         union all select distinct source_id, 1, '资料说明与适用范围' from lines
     )"""
 
 
 def _bounds(spark: SparkSession, d: str) -> DataFrame:
-    pages = _lines(spark, d)
-    heads = corpus.page_titles(pages).select("source_id", "page", F.substring("title", 1, 1).alias("text"))
-    # pages without a title are kept as blanks, so every source has its start
-    return corpus.repeated_title_boundaries(pages.select("source_id", "page").join(heads, ["source_id", "page"], "left").withColumn("text", F.coalesce("text", F.lit(""))))
+    return corpus.repeated_title_boundaries(_lines(spark, d))
 
 
 @query(f"with {_PAGES} select source_id, page, title from b")
 def corpus_boundaries(spark: SparkSession, d: str) -> DataFrame:
-    """Slide decks: a section starts where the title (here a line's first letter) changes."""
+    """Slide decks: a section starts where the title (here a line) changes; titles are compared whole and shown up to 120 characters."""
     return _bounds(spark, d).select("source_id", "page", "title")
 
 
@@ -90,7 +86,7 @@ def corpus_regions_midpoint(spark: SparkSession, d: str) -> DataFrame:
     return corpus.place_boxes(bands, x).groupBy("source_id", "page", "band").agg(F.count("*").alias("n"))
 
 
-@query("""with recursive i as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null),
+@query("""with recursive i as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
     f as (
         select doc_id, pos, 1 as grp, length(line) as size, 1 as n, length(line) as len from i where pos = 1
         union all
@@ -100,7 +96,7 @@ def corpus_regions_midpoint(spark: SparkSession, d: str) -> DataFrame:
     select doc_id, grp as "group", count(*) as n_lines, cast(sum(len) as bigint) as n_chars from f group by all""")
 def corpus_chunks_packed(spark: SparkSession, d: str) -> DataFrame:
     """Lines packed into groups of at most 600 characters and ten lines."""
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.split("text", "\n").alias("ls"))
+    docs = table(spark, d, "documents").select("doc_id", F.split(text.text_of("text"), "\n").alias("ls"))
     groups = folds.pack_groups(F.transform("ls", lambda x: F.struct(F.length(x).cast("long").alias("size"), F.lit(1).cast("long").alias("count"))), 600, 10)
     rows = docs.select("doc_id", F.explode(F.arrays_zip("ls", groups.alias("g"))).alias("x"))
     return rows.groupBy("doc_id", F.col("x.g").alias("group")).agg(F.count("*").alias("n_lines"), F.sum(F.length("x.ls")).alias("n_chars"))
@@ -138,12 +134,12 @@ def catalog_heading_context(spark: SparkSession, d: str) -> DataFrame:
     return catalog.heading_context(spark.createDataFrame(rows, "source_id string, pos int, title string")).select("pos", "context")
 
 
-@query("""with g as (select md5(text) as q, list(doc_id order by doc_id) as ids, list(source order by doc_id) as ss from documents group by all)
-    select ids[1] as card_id, len(ids) as n_sources, case when len(ids) > 1 then len(ids) else 0 end as n_branches, case when len(ids) > 1 then array_to_string(list_transform(range(1, len(ids) + 1), lambda i: '原文第 ' || ids[i] || ' 页的情形：' || chr(10) || ss[i]), chr(10) || chr(10)) else ss[1] end as answer from g""")
+@query("""with g as (select md5(text) as q, list(doc_id order by doc_id) as ids, list(source order by doc_id) as ss, list(lang order by doc_id) as ls from documents group by all)
+    select ids[1] as card_id, len(ids) as n_sources, case when len(ids) > 1 then len(ids) else 0 end as n_branches, case when len(ids) > 1 then array_to_string(list_transform(range(1, len(ids) + 1), lambda i: '原文第 ' || ids[i] || ' 页的情形：' || chr(10) || ss[i]), chr(10) || chr(10)) else ss[1] end as answer, array_to_string(flatten(list_transform(range(1, len(ids) + 1), lambda i: [ls[i], ss[i]])), ',') as images from g""")
 def catalog_cards_merge(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.md5(F.col("text").cast("binary")).alias("question"), F.col("doc_id").alias("page"), F.col("doc_id").alias("card_id"), F.col("source").alias("answer"), F.col("source").alias("source"), F.array(F.lit("f")).alias("flags"))
+    rows = table(spark, d, "documents").select(F.md5(F.col("text").cast("binary")).alias("question"), F.col("doc_id").alias("page"), F.col("doc_id").alias("card_id"), F.col("source").alias("answer"), F.col("source").alias("source"), F.array(F.lit("f")).alias("flags"), F.col("lang").alias("evidence"), F.array("lang", "source").alias("images"))
     out = catalog.merge_cards(rows)
-    return out.select("card_id", F.size("sources").cast("long").alias("n_sources"), F.size("branches").cast("long").alias("n_branches"), "answer")
+    return out.select("card_id", F.size("sources").cast("long").alias("n_sources"), F.size("branches").cast("long").alias("n_branches"), "answer", F.array_join("images", ",").alias("images"))
 
 
 @query("select '财务月结业务流程' as title, '财务月结业务流程|财务月结操作手册|财务月结' as aliases, 'cover' as name_basis union all select '原油生产入库', '原油生产入库', 'filename'")

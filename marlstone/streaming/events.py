@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.control import TRANSITIONS
+from ..operators.control import ACTIVE_START, TERMINAL
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -42,15 +43,53 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def job_states(requests: DataFrame, start: str = "preparing") -> DataFrame:
-    """job_id, state after each batch of requests (job_id, event_id, request); requests that are not allowed change nothing."""
+def job_states(requests: DataFrame, start: str = ACTIVE_START) -> DataFrame:
+    """job_id, state after each batch of requests (job_id, event_id, request), by the rules of ``control.next_state``."""
 
     def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else start
+        status, pause, cancel = state.get if state.exists else (start, False, False)
         rows = pd.concat(list(batches)).sort_values("event_id")
         for request in rows["request"]:
-            now = TRANSITIONS.get((now, request), now)
-        state.update((now,))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [now]})
-
-    return requests.groupBy("job_id").applyInPandasWithState(fold, "job_id long, state string", "state string", "update", GroupStateTimeout.NoTimeout)
+            halted = "cancelled" if cancel else "paused" if pause else None
+            if request in ("pause", "cancel") and status not in TERMINAL:
+                if status in ("queued", "needs_review") or (request == "cancel" and status == "paused"):
+                    status = "paused" if request == "pause" else "cancelled"
+                    pause, cancel = pause and request != "pause", cancel and request != "cancel"
+                else:
+                    pause, cancel = pause or request == "pause", cancel or request == "cancel"
+            elif status in ("paused", "failed") and request in ("resume", "resume_unresolved") or status == "needs_review" and request == "resume":
+                status, pause, cancel = "queued", False, False
+            elif request == "ready" and status == "preparing":
+                status, pause, cancel = halted or "queued", False, False
+            elif request == "claim" and status == "queued" and not halted:
+                status = "running"
+            elif request == "fail" and status == "preparing":
+                status = "failed"
+            elif status == "running":
+                status = {"stage": halted, "review": "needs_review", "complete": "completed", "fail": "failed", "recover": "queued"}.get(request) or status
+        state.update((status, pause, cancel))
+        yield pd.DataFrame({"job_id": [key[0]], "state": [status]})
+
+    return requests.groupBy("job_id").applyInPandasWithState(fold, "job_id long, state string", "status string, pause boolean, cancel boolean", "update", GroupStateTimeout.NoTimeout)
+
+
+def after_cursor(stream: DataFrame, cursor: int, order: str = "event_id") -> DataFrame:
+    """Events after a cursor that a reader brings along; from there on the checkpoint's offsets are the cursor."""
+    return stream.filter(F.col(order) > cursor)
+
+
+def follow(stream: DataFrame, terminal: Callable[[], bool], handle: Callable[[DataFrame, int], None], checkpoint: str, batch: int = 100, poll: float = 2.0) -> None:
+    """Hand over batches until ``terminal()`` holds and a batch was short: what is there is read first, then asked again after ``poll`` seconds."""
+    sizes: list[int] = []
+
+    def each(df: DataFrame, i: int) -> None:
+        sizes.append(df.count())
+        handle(df, i)
+
+    while True:
+        done = terminal()
+        sizes.clear()
+        stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        if done and sum(sizes) < batch:
+            return
+        time.sleep(poll)

@@ -77,8 +77,14 @@ def test_classify(spark):
     pages = spark.createDataFrame([(17,), (18,), (30,), (52,), (24,)], "page int")
     got = pages.select(metadata.classify_page(F.lit("x/财务模块常见问题.pdf"), F.lit("财务模块常见问题.pdf"), F.col("page")).alias("d")).collect()
     assert [r["d"] for r in got] == ["projects", "equipment", "funds", "internal", "finance"]
-    with pytest.raises(PySparkException):
-        pages.select(metadata.classify_page(F.lit("其他/未知.pdf"), F.lit("未知.pdf"), F.col("page"))).collect()
+    for path in ("其他/未知.pdf", "x/设备管理/y.pdf", "核算模块/y.pdf"):  # the corpus takes paths as they are, and only the manual's name
+        with pytest.raises(PySparkException):
+            pages.select(metadata.classify_page(F.lit(path), F.lit(path.split("/")[-1]), F.col("page"))).collect()
+    one = lambda c: spark.range(1).select(c.alias("d")).first()["d"]
+    assert one(metadata.classify_path(F.lit("x/设备管理/y.pdf"), F.lit("y.pdf"))) == "equipment"
+    assert one(metadata.classify_path(F.lit("核算模块\\y.pdf"), F.lit("y.pdf"))) == "finance"
+    assert one(metadata.classify_path(F.lit("主数据管理/财务模块常见问题.pdf"), F.lit("财务模块常见问题.pdf"))) == "master_ops"
+    assert one(metadata.classify_page(F.lit("x/设备管理操作手册.pdf"), F.lit("设备管理操作手册.pdf"), F.lit(1))) == "equipment"
 
 
 def test_predicate(spark):
@@ -125,6 +131,15 @@ def test_card_issues(spark):
     df = spark.createDataFrame([("如何修改", "使用FB08", "", ["问题描述：如何修改\n解决办法：使用FB02"])], "q string, a string, c string, e array<string>")
     got = df.select(catalog.card_issues(F.col("q"), F.col("a"), F.col("c"), F.col("e")).alias("i")).first()["i"]
     assert got == ["answer_not_extractively_grounded"]
+    evidence = ["问题描述：如何修改\n解决办法：甲", "问题描述：如何修改\n解决办法：乙"]
+    rows = spark.createDataFrame([("如何修改", p, f"c{p}", a, "s", ["f"], e, [f"i{p}"]) for p, a, e in ((1, "甲", evidence[0]), (2, "乙", evidence[1]))], "question string, page long, card_id string, answer string, source string, flags array<string>, evidence string, images array<string>")
+    card = catalog.merge_cards(rows)
+    merged = card.first()
+    assert merged["images"] == ["i1", "i2"] and [b["evidence"] for b in merged["branches"]] == evidence and merged["answer"].startswith("原文第 1 页的情形：\n甲")
+    issues = lambda df: df.select(catalog.card_issues(F.col("question"), F.col("answer"), F.lit(""), F.array(*map(F.lit, evidence)), F.col("branches")).alias("i")).first()["i"]
+    assert issues(card) == []
+    wrong = card.withColumn("branches", F.transform("branches", lambda b: b.withField("answer", F.lit("丙"))))
+    assert issues(wrong) == ["answer_not_extractively_grounded"]
 
 
 def test_anchors(spark):
@@ -158,13 +173,29 @@ def test_pending_counts_only_what_is_left(spark):
 
 
 def test_sync(spark):
-    manifest = spark.createDataFrame([("k", "new", "d", "t")], "key string, content_hash string, domain string, anchor string")
-    receipts = spark.createDataFrame([("k", "doc", "old", True)], "key string, document_id string, hash string, metadata_applied boolean")
-    remote = lambda s: spark.createDataFrame([("doc", s, True)], "document_id string, status string, enabled boolean")
-    assert sync.upload_plan(manifest, receipts, remote("queuing")).first()["action"] == "defer"
-    assert sync.upload_plan(manifest, receipts, remote("completed")).first()["action"] == "update"
-    r = sync.readiness(manifest, receipts, remote("completed"), spark.createDataFrame([], "key string, fingerprint string")).first()
-    assert (r["total"], r["ready"], r["submitted_current"]) == (1, 0, 0)
+    manifest = spark.createDataFrame([("k", "a.docx", "new", "d", "t")], "key string, name string, content_hash string, domain string, anchor string")
+    receipt = lambda h="old", doc="doc", applied=True, retired=None: spark.createDataFrame([("k", doc, h, applied, retired)], "key string, document_id string, hash string, metadata_applied boolean, retired_at string")
+    remote = lambda s, *names: spark.createDataFrame([("doc", s, "completed", True, n) for n in names or ("a.docx",)], "document_id string, status string, indexing_status string, enabled boolean, name string")
+    plan = lambda r, x: sync.upload_plan(manifest, r, x).first()["action"]
+    assert plan(receipt(), remote("queuing")) == "defer"
+    assert plan(receipt(), remote("available")) == "update"
+    assert plan(receipt("new"), remote("queuing")) == "skip"
+    assert plan(receipt("new", applied=False), remote("queuing")) == "metadata"  # the content is current: only metadata is sent
+    assert plan(receipt("new", retired="then"), remote("available")) == "metadata"  # a retired one is submitted again
+    assert plan(receipt("new", doc="gone"), remote("available")) == "update"
+    assert plan(receipt().limit(0), remote("available")) == "update"  # found by name, without a receipt
+    assert plan(receipt().limit(0), remote("available", "b.docx")) == "create"
+    with pytest.raises(PySparkException):
+        sync.upload_plan(manifest, receipt(), remote("available", "a.docx", "a.docx")).collect()
+    none = spark.createDataFrame([], "key string, document_id string, fingerprint string")
+    ready = lambda r, x, a=none: tuple(sync.readiness(manifest, r, x, a).select("submitted_current", "ready", "anchors_current").first())
+    assert ready(receipt(), remote("available")) == (0, 0, 0)
+    assert ready(receipt("new"), remote("available")) == (1, 1, 0)
+    assert ready(receipt("new", doc="gone"), remote("available")) == (0, 0, 0) and ready(receipt("new", retired="then"), remote("available")) == (0, 0, 0)
+    print_of = manifest.select("key", F.lit("doc").alias("document_id"), sync.anchor_fingerprint().alias("fingerprint"))
+    assert ready(receipt("new"), remote("available"), print_of) == (1, 1, 1)
+    assert ready(receipt("new"), remote("available"), print_of.withColumn("document_id", F.lit("other"))) == (1, 1, 0)
+    receipts = receipt()
     with pytest.raises(ValueError):
         sync.retire_plan(receipts, manifest, complete=False)
     names = spark.createDataFrame([("a", 1), ("a", 2)], "name string, id int")
@@ -181,14 +212,34 @@ def test_percentiles_take_the_element_at_floor(spark):
     assert (r["p10"], r["p90"]) == (2.0, 18.0)
 
 
+STORIES = [
+    ("ready pause resume claim complete cancel", "completed"),
+    ("ready cancel resume", "cancelled"),
+    ("ready claim review pause", "paused"),
+    ("ready claim review resume_unresolved", "needs_review"),
+    ("ready claim review resume", "queued"),
+    ("pause ready", "paused"),
+    ("cancel pause ready", "cancelled"),
+    ("pause", "preparing"),
+    ("ready claim pause", "running"),
+    ("ready claim pause stage", "paused"),
+    ("ready claim cancel pause stage", "cancelled"),
+    ("ready claim pause stage resume claim stage complete", "completed"),
+    ("ready claim fail pause resume", "queued"),
+    ("ready claim pause recover claim", "queued"),
+    ("claim ready resume", "queued"),
+]
+
+
 def test_control(spark):
     jobs = spark.createDataFrame([(1, "running", "b", False, False), (2, "queued", "a", False, True), (3, "queued", "c", False, False)], "job_id int, status string, created_at string, cancel_requested boolean, pause_requested boolean")
     assert [r["job_id"] for r in control.claimable(jobs).collect()] == [3]
     after, events = control.recover(jobs)
     assert [r["status"] for r in after.orderBy("job_id").collect()] == ["queued"] * 3 and [r["job_id"] for r in events.collect()] == [1]
-    steps = [(1, i, r) for i, r in enumerate(["ready", "pause", "resume", "claim", "complete", "cancel"])] + [(2, 0, "ready"), (2, 1, "cancel"), (2, 2, "resume")]
+    lives = STORIES
+    steps = [(j, i, r) for j, (story, _) in enumerate(lives) for i, r in enumerate(story.split())]
     got = {r["job_id"]: r["state"] for r in control.fold_states(spark.createDataFrame(steps, "job_id int, event_id int, request string")).collect()}
-    assert got == {1: "completed", 2: "cancelled"}
+    assert got == {j: end for j, (_, end) in enumerate(lives)}
     log = spark.range(206).withColumnRenamed("id", "event_id").withColumn("job", F.lit(1))
     assert control.recent(log, "job", "event_id").count() == 200
     assert [r["event_id"] for r in control.after(log, "event_id", 204).collect()] == [205]

@@ -124,11 +124,31 @@ def test_event_stream(spark, tmp_path):
 
 def test_job_state_stream(spark, tmp_path):
     src = str(tmp_path / "src")
-    spark.createDataFrame([(1, 0, "ready"), (1, 1, "claim"), (1, 2, "complete"), (2, 0, "claim")], "job_id long, event_id long, request string").write.parquet(src)
+    from test_operators import STORIES
+
+    steps = [(j, i, r) for j, (story, _) in enumerate(STORIES) for i, r in enumerate(story.split())]
+    spark.createDataFrame(steps, "job_id long, event_id long, request string").write.parquet(src)
     stream = events.job_states(spark.readStream.schema("job_id long, event_id long, request string").parquet(src))
     q = stream.writeStream.format("memory").queryName("states").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {(r["job_id"], r["state"]) for r in spark.table("states").collect()} == {(1, "completed"), (2, "preparing")}
+    assert {(r["job_id"], r["state"]) for r in spark.table("states").collect()} == {(j, end) for j, (_, end) in enumerate(STORIES)}
+
+
+def test_follow_ends_with_a_short_batch(spark, tmp_path):
+    src, ck, seen = str(tmp_path / "src"), str(tmp_path / "ck"), []
+    log = spark.range(250).select(F.col("id").alias("event_id"))
+    log.filter("event_id < 200").write.parquet(src)
+    stream = events.after_cursor(spark.readStream.schema("event_id long").parquet(src), 49)
+    state = iter([False, True])
+
+    def terminal():
+        done = next(state)
+        if done:
+            log.filter("event_id >= 200").write.mode("append").parquet(src)
+        return done
+
+    events.follow(stream, terminal, lambda df, i: seen.extend(r["event_id"] for r in df.collect()), ck, batch=100, poll=0)
+    assert sorted(seen) == list(range(50, 250))
 
 
 def test_office_files(spark, tmp_path):
