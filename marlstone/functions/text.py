@@ -17,6 +17,9 @@ PAGE_NUMBERS_ONLY = r"(?U)^[\d\s.,，、:：;；\-—_()/（）]+$"
 FIRST_TITLE = "资料说明与适用范围"
 PROJECT_TYPES = ("投资项目", "其他费用项目", "数信项目", "科技项目", "费用项目")
 FAQ_LABELS = ("问题描述", "问题原因", "解决办法")
+TOPIC_CUTS = (r"(?i)^DJZ_MDG_用户操作手册[_-]?", r"(?iU)^MDG[.\d]+[\s_-]*", r"(?iU)[_-]V\d+(?:\.\d+)*.*$", r"(?U)^\d+[.、\s]+", r"(?U)\s*\(\d+\)$")
+DOCUMENT_KINDS = "(业务流程|操作手册|用户手册|流程)$"
+FAQ_HEADERS = "(核算|资金|司库|内部交易)常见问题"
 _LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
@@ -79,14 +82,14 @@ def file_stem(name: Column) -> Column:
 def filename_topic(c: Column | str) -> Column:
     """Topic that a file name tells: stem without system prefix, module code, version tail, number and copy mark."""
     out = file_stem(text_of(c))
-    for pattern in (r"(?i)^DJZ_MDG_用户操作手册[_-]?", r"(?iU)^MDG[.\d]+[\s_-]*", r"(?iU)[_-]V\d+(?:\.\d+)*.*$", r"(?U)^\d+[.、\s]+", r"(?U)\s*\(\d+\)$"):
+    for pattern in TOPIC_CUTS:
         out = F.regexp_replace(out, pattern, "")
     return compact(out)
 
 
 def short_alias(c: Column) -> Column:
     """Name without the kind of document at its end; null where fewer than three characters are left."""
-    short = F.regexp_replace(c, "(业务流程|操作手册|用户手册|流程)$", "")
+    short = F.regexp_replace(c, DOCUMENT_KINDS, "")
     return F.when(F.length(short) >= 3, short)
 
 
@@ -132,7 +135,7 @@ def faq_fields(c: Column | str) -> Column:
     Soft line breaks inside a sentence are closed; those after a full stop or
     colon and before numbered items stay.
     """
-    text = F.regexp_replace(text_of(c), "(核算|资金|司库|内部交易)常见问题", "")
+    text = F.regexp_replace(text_of(c), FAQ_HEADERS, "")
     label = "(" + "|".join(FAQ_LABELS) + r")(?U)\s*[：:]"
     mark = "\x01"
     parts = F.slice(F.split(F.regexp_replace(text, label, mark + "$1" + "\x02"), mark), 2, 1_000_000)
@@ -216,3 +219,32 @@ def safe_relative(path: Column) -> Column:
     p = F.replace(path, F.lit("\\"), F.lit("/"))
     bad = F.startswith(p, F.lit("/")) | p.rlike("^[A-Za-z]:") | F.array_contains(F.split(p, "/"), "..") | ~F.lower(p).endswith(".pdf")
     return F.when(~bad, p)
+
+
+def region_id(box: Column) -> Column:
+    """Eight hex digits of a box (edges rounded to two places, half to even)."""
+    return F.substring(F.sha2(F.to_json(F.transform(box, lambda x: F.bround(x, 2))), 256), 1, 8)
+
+
+def image_id(source_id: Column, page: Column, box: Column | None = None) -> Column:
+    """Id of a picture of a page by its box, or of the whole page."""
+    if box is None:
+        return F.format_string("%s-p%04d-page", source_id, page)
+    return F.format_string("%s-p%04d-%s", source_id, page, region_id(box))
+
+
+def with_defaults(given: Column, defaults: Column) -> Column:
+    """Map of ``defaults`` where ``given`` has no value under a key, else of ``given``."""
+    own = F.coalesce(given, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(own, k)), own)
+
+
+def metadata_map(entries: Column) -> Column:
+    """Map of an array of structs (name, value); the last of equal names counts."""
+    names = F.array_distinct(F.transform(entries, lambda e: e["name"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["name"] == n), -1)["value"]))
+
+
+def holds_all(inner: Column, outer: Column) -> Column:
+    """Whether every element of ``inner`` is in ``outer``."""
+    return F.size(F.array_except(inner, outer)) == 0

@@ -6,6 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import folds, text
+from .metadata import shown_domains
+
+#: Titles, words and patterns of navigation texts, cards and search anchors.
+PRIMARY_SECTION = "业务流程简介|业务步骤详细描述|流程步骤说明"
+FALLBACK_SECTION = "操作|步骤|业务描述|流程描述"
+BRANCH_HEAD, BRANCH_TAIL = "原文第 ", " 页的情形：\n"
+BRANCH_FLAG = "同一问题有不同业务情形，回答前须确认适用条件"
+PACKET_HEADING = r"(?U)^\s*(\d+(?:\.\d+){2,4})\s+([^\n]+)"
+TOPIC_CUTS = ((r"(?U)^.*?MDG\.[\d.]+[-_\s]*", ""), (r"(?iU)[_\s]*V\d[\d.]*.*$", ""), (r"(?U)^\d+[.、\s]*", ""), (r"(?U)[_\s]+", " "))
+CODE_LINE, CODE = "^(创建|查询|事务码|事物码)[：:]", r"[A-Za-z]+[0-9]"
+LABEL_ENDS = ("主数据", "主数据查询", "批量导入")
+GENERIC_HEADING, GENERIC_STEP, TRANSACTION = "设备管理主数据", "业务流程操作", "事务码"
+SCREEN_VERB = "^(创建|修改|显示|查询|维护|申请|审批|工单管理)"
+FURNITURE = ("目录", text.FIRST_TITLE, "谢谢", "感谢聆听", "结束语")
+CONTENTS, FAQ = "目录", "常见问题"
+ANCHOR_HEAD, ANCHOR_TOPIC = "检索主题：", "资料主题："
+CONDITION = "上市|未上市|内部|外部|内修|外修"
 
 
 def outline(chunks: DataFrame) -> DataFrame:
@@ -50,9 +67,6 @@ def names_in_text(pages: DataFrame) -> DataFrame:
     return rows.select("source_id", F.struct("page", "i").alias("pos"), text.compact("raw").alias("name")).filter(F.length("name").between(3, 99))
 
 
-CONDITION = "上市|未上市|内部|外部|内修|外修"
-
-
 def heading_context(headings: DataFrame) -> DataFrame:
     """source_id, pos, context: the nearest numbered ancestor whose title has a condition word.
 
@@ -80,7 +94,7 @@ def overview(blocks: DataFrame, budget: int = 10_000) -> DataFrame:
 
 def overview_kind(title: Column) -> Column:
     """primary for sections that describe the process, fallback for those of operations, else null."""
-    return F.when(title.rlike("业务流程简介|业务步骤详细描述|流程步骤说明"), "primary").when(title.rlike("操作|步骤|业务描述|流程描述") & ~text.compact(title).rlike(text.IGNORED_HEADING), "fallback")
+    return F.when(title.rlike(PRIMARY_SECTION), "primary").when(title.rlike(FALLBACK_SECTION) & ~text.compact(title).rlike(text.IGNORED_HEADING), "fallback")
 
 
 def merge_cards(rows: DataFrame) -> DataFrame:
@@ -92,7 +106,7 @@ def merge_cards(rows: DataFrame) -> DataFrame:
     """
     grouped = rows.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("page", "card_id", "answer", "source", "flags", "evidence", "images"))).alias("r"))
     many = F.size("r") > 1
-    told = F.array_join(F.transform("r", lambda x: F.concat(F.lit("原文第 "), x["page"].cast("string"), F.lit(" 页的情形：\n"), x["answer"])), "\n\n")
+    told = F.array_join(F.transform("r", lambda x: F.concat(F.lit(BRANCH_HEAD), x["page"].cast("string"), F.lit(BRANCH_TAIL), x["answer"])), "\n\n")
     flags = F.flatten(F.transform("r", lambda x: x["flags"]))
     return grouped.select(
         "question",
@@ -101,7 +115,7 @@ def merge_cards(rows: DataFrame) -> DataFrame:
         F.filter(F.transform("r", lambda x: F.struct(x["page"].alias("page"), x["answer"].alias("answer"), x["evidence"].alias("evidence"))), lambda x: many).alias("branches"),
         F.transform("r", lambda x: x["source"]).alias("sources"),
         F.flatten(F.transform("r", lambda x: x["images"])).alias("images"),
-        F.array_distinct(F.when(many, F.concat(flags, F.array(F.lit("同一问题有不同业务情形，回答前须确认适用条件")))).otherwise(flags)).alias("review_flags"),
+        F.array_distinct(F.when(many, F.concat(flags, F.array(F.lit(BRANCH_FLAG)))).otherwise(flags)).alias("review_flags"),
     )
 
 
@@ -137,8 +151,8 @@ def packets(pages: DataFrame, numbers: list[str] | None = None) -> DataFrame:
     line_rows = placed.select("source_id", "start", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     lw = Window.partitionBy("source_id").orderBy("start", "i")
     at = F.coalesce(F.sum(F.length("line") + 1).over(lw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = line_rows.withColumn("at", at).withColumn("number", F.regexp_extract("line", r"(?U)^\s*(\d+(?:\.\d+){2,4})\s+([^\n]+)", 1)).filter("number <> ''")
-    heads = found.withColumn("title", F.regexp_extract("line", r"(?U)^\s*(\d+(?:\.\d+){2,4})\s+([^\n]+)", 2))
+    found = line_rows.withColumn("at", at).withColumn("number", F.regexp_extract("line", PACKET_HEADING, 1)).filter("number <> ''")
+    heads = found.withColumn("title", F.regexp_extract("line", PACKET_HEADING, 2))
     total = placed.groupBy("source_id").agg(F.max("end").alias("total"))
     spans = heads.join(total, "source_id").withColumn("stop", F.coalesce(F.lead("at").over(Window.partitionBy("source_id").orderBy("at")), F.col("total")))
     if numbers is not None:
@@ -151,7 +165,7 @@ def packets(pages: DataFrame, numbers: list[str] | None = None) -> DataFrame:
 def topic_of(source_name: Column) -> Column:
     """Topic in a source's name for search anchors."""
     t = text.file_stem(source_name)
-    for pattern, to in ((r"(?U)^.*?MDG\.[\d.]+[-_\s]*", ""), (r"(?iU)[_\s]*V\d[\d.]*.*$", ""), (r"(?U)^\d+[.、\s]*", ""), (r"(?U)[_\s]+", " ")):
+    for pattern, to in TOPIC_CUTS:
         t = F.regexp_replace(t, pattern, to)
     return text.strip(t)
 
@@ -159,16 +173,16 @@ def topic_of(source_name: Column) -> Column:
 def native_labels(region_texts: Column) -> Column:
     """Short headings and transaction codes in the first four lines of each region; contents pages have none."""
     tidy = lambda t: F.filter(F.transform(text.lines(t), lambda s: F.btrim(s, F.lit(" •\t"))), lambda s: (s != "") & ~s.rlike(r"(?U)^[\d\W]+$"))
-    code = lambda s: s.rlike("^(创建|查询|事务码|事物码)[：:]") & s.rlike(r"[A-Za-z]+[0-9]")
-    heading = lambda s: s.endswith("主数据") | s.endswith("主数据查询") | s.endswith("批量导入")
-    fit = lambda s: ~s.isin("设备管理主数据", "业务流程操作") & F.length(s).between(3, 40) & ~s.rlike("[，。；]") & (code(s) | heading(s))
-    of = lambda ls: F.when((F.size(ls) == 0) | (F.regexp_replace(F.get(ls, F.lit(0)), r"(?U)\s+", "") == "目录"), F.array().cast("array<string>")).otherwise(F.filter(F.slice(ls, 1, 4), fit))
+    code = lambda s: s.rlike(CODE_LINE) & s.rlike(CODE)
+    heading = lambda s: s.endswith(LABEL_ENDS[0]) | s.endswith(LABEL_ENDS[1]) | s.endswith(LABEL_ENDS[2])
+    fit = lambda s: ~s.isin(GENERIC_HEADING, GENERIC_STEP) & F.length(s).between(3, 40) & ~s.rlike("[，。；]") & (code(s) | heading(s))
+    of = lambda ls: F.when((F.size(ls) == 0) | (F.regexp_replace(F.get(ls, F.lit(0)), r"(?U)\s+", "") == CONTENTS), F.array().cast("array<string>")).otherwise(F.filter(F.slice(ls, 1, 4), fit))
     return F.array_distinct(F.flatten(F.transform(region_texts, lambda t: F.transform(F.array(tidy(t)), of)[0])))
 
 
 def screen_labels(lines: Column) -> Column:
     """Window titles among the first eight recognised lines of an image: 4 to 20 characters, a verb at the start, score 0.9 or more."""
-    return F.transform(F.filter(F.slice(lines, 1, 8), lambda x: F.length(text.strip(x["text"])).between(4, 20) & text.strip(x["text"]).rlike("^(创建|修改|显示|查询|维护|申请|审批|工单管理)") & (x["score"] >= 0.9)), lambda x: text.strip(x["text"]))
+    return F.transform(F.filter(F.slice(lines, 1, 8), lambda x: F.length(text.strip(x["text"])).between(4, 20) & text.strip(x["text"]).rlike(SCREEN_VERB) & (x["score"] >= 0.9)), lambda x: text.strip(x["text"]))
 
 
 def anchor_text(section_title: Column, source_name: Column, domain: Column, context: Column, labels: Column, screen: Column) -> Column:
@@ -181,17 +195,28 @@ def anchor_text(section_title: Column, source_name: Column, domain: Column, cont
     title = F.when(context.isNotNull() & ~plain.contains(context), F.concat(context, F.lit(" / "), plain)).otherwise(plain)
     topic = topic_of(source_name)
     some = lambda a: F.coalesce(F.size(a), F.lit(0)) > 0
-    faq = topic.contains("常见问题")
-    tail = F.when(~faq & ~topic.contains(title) & ~title.contains(topic), F.concat(F.lit("资料主题："), topic, F.lit("。"))).otherwise(F.lit(""))
+    faq = topic.contains(FAQ)
+    tail = F.when(~faq & ~topic.contains(title) & ~title.contains(topic), F.concat(F.lit(ANCHOR_TOPIC), topic, F.lit("。"))).otherwise(F.lit(""))
     return (
-        F.when(plain.isin("目录", text.FIRST_TITLE, "谢谢", "感谢聆听", "结束语"), F.lit(None).cast("string"))
-        .when((domain == "equipment") & (title == "设备管理主数据") & some(labels), F.concat(F.lit("检索主题："), F.array_join(labels, "；"), F.lit("。资料主题："), topic, F.lit("。")))
-        .when((domain == "equipment") & (title.startswith("事务码") | (title == "业务流程操作")) & some(screen), F.concat(F.array_join(F.slice(screen, 1, 8), "；"), F.lit("。"), title, F.lit("。"), topic, F.lit("。")))
+        F.when(plain.isin(*FURNITURE), F.lit(None).cast("string"))
+        .when((domain == "equipment") & (title == GENERIC_HEADING) & some(labels), F.concat(F.lit(ANCHOR_HEAD), F.array_join(labels, "；"), F.lit("。" + ANCHOR_TOPIC), topic, F.lit("。")))
+        .when((domain == "equipment") & (title.startswith(TRANSACTION) | (title == GENERIC_STEP)) & some(screen), F.concat(F.array_join(F.slice(screen, 1, 8), "；"), F.lit("。"), title, F.lit("。"), topic, F.lit("。")))
         .when((domain == "funds") & ~faq, F.concat(topic, F.lit("。"), title, F.lit("。")))
-        .otherwise(F.concat(F.lit("检索主题："), title, F.lit("。"), tail))
+        .otherwise(F.concat(F.lit(ANCHOR_HEAD), title, F.lit("。"), tail))
     )
 
 
+def transaction_labels(regions: Column) -> Column:
+    """Labels of a transaction page, at most eight, each once: native lines of 4 to 35 characters and window titles of its pictures, region by region.
+
+    ``regions``: array of struct text, images (lines: text, score).
+    """
+    tidy = lambda t: F.transform(text.lines(t), lambda s: F.btrim(s, F.lit(" •\t")))
+    fit = lambda s: F.length(s).between(4, 35) & (s != GENERIC_STEP) & ~s.startswith(TRANSACTION) & ~s.rlike(r"(?U)^[\d\W]+$")
+    of = lambda r: F.concat(F.filter(tidy(r["text"]), fit), F.flatten(F.transform(r["images"], lambda m: screen_labels(F.coalesce(m["lines"], F.array().cast("array<struct<text:string,score:double>>"))))))
+    return F.slice(F.array_distinct(F.flatten(F.transform(regions, of))), 1, 8)
+
+
 def selection_lines(records: DataFrame) -> DataFrame:
-    """One line per record: key, domains, topic and names."""
-    return records.select(F.concat_ws(" | ", "key", F.array_join("domains", "、"), F.concat(F.lit("文件主题："), F.col("filename_topic")), F.concat(F.lit("封面/别称："), F.array_join("aliases", "；"))).alias("line"))
+    """One line per record: key, shown names of its domains, topic and names."""
+    return records.select(F.concat_ws(" | ", "key", F.array_join(shown_domains(F.col("domains")), "、"), F.concat(F.lit("文件主题："), F.col("filename_topic")), F.concat(F.lit("封面/别称："), F.array_join("aliases", "；"))).alias("line"))

@@ -63,6 +63,75 @@ def place_boxes(slices: DataFrame, boxes: DataFrame) -> DataFrame:
     return slices.join(boxes, ["source_id", "page"]).filter(geometry.in_band(F.col("bbox"), F.col("top"), F.col("bottom")))
 
 
+#: Fixed value: a page that says so shows a diagram.
+DIAGRAM = "流程图"
+
+
+def parsed_pages(pages: DataFrame, min_width: float = 0.0, min_height: float = 0.0, ignored=()) -> DataFrame:
+    """Pages as evidence: source_id, page, width, height, native_text, cleaned_text, excluded_lines, lines, images, excluded, tables.
+
+    ``pages``: rows of ``files.decode_pages``.  Boxes are cut to the page; small and
+    reviewed pictures are listed apart with the reason; boxes that repeat an earlier
+    one go; a page without pictures and with hardly any text is a picture itself.
+    """
+    clean = text.clean_lines("raw_text")
+    box = lambda m: geometry.clamp_box(m["bbox"][0], m["bbox"][1], m["bbox"][2], m["bbox"][3], F.col("width"), F.col("height"))
+    boxed = F.filter(F.transform("images", lambda m: F.struct(box(m).alias("bbox"), m["sha256"].alias("sha256"))), lambda m: m["bbox"].isNotNull())
+    why = lambda m: geometry.image_verdict(m["bbox"][2] - m["bbox"][0], m["bbox"][3] - m["bbox"][1], m["sha256"], min_width, min_height, ignored)
+    judged = F.transform(F.col("boxed"), lambda m: F.struct(m["bbox"].alias("bbox"), why(m).alias("reason")))
+    kept = geometry.distinct_boxes(F.transform(F.filter("judged", lambda m: m["reason"].isNull()), lambda m: m["bbox"]))
+    shown = geometry.page_boxes(F.col("clean.text"), kept, F.col("width"), F.col("height"))
+    rows = pages.filter("status = 'complete'").withColumns({"clean": clean, "boxed": boxed}).withColumn("judged", judged)
+    return rows.select(
+        "source_id",
+        "page",
+        "width",
+        "height",
+        F.col("raw_text").alias("native_text"),
+        F.col("clean.text").alias("cleaned_text"),
+        F.col("clean.removed").alias("excluded_lines"),
+        "lines",
+        F.transform(shown, lambda b: F.struct(text.image_id(F.col("source_id"), F.col("page"), b).alias("image_id"), b.alias("bbox"))).alias("images"),
+        F.filter("judged", lambda m: m["reason"].isNotNull()).alias("excluded"),
+        "tables",
+    )
+
+
+def make_regions(slices: DataFrame, evidence: DataFrame) -> DataFrame:
+    """source_id, section_index, title, page, top, bottom, text, images, tables: what each slice of a page holds.
+
+    ``slices``: rows of ``sections``; ``evidence``: source_id, page, height,
+    cleaned_text, lines (text, top, bottom), images (image_id, bbox, text), tables
+    (bbox, rows).  A whole page has the page's text, a part the lines whose middle
+    is in it.  Without pictures, a page with tables or a short text about a diagram
+    is shown itself.  Slices with nothing in them are left out.
+    """
+    e = evidence.select("source_id", "page", F.col("height").alias("__h"), "cleaned_text", "lines", F.col("images").alias("__images"), F.col("tables").alias("__tables"))
+    rows = slices.join(e, ["source_id", "page"])
+    inside = lambda x: geometry.in_band(x["bbox"], F.col("top"), F.col("bottom"))
+    whole = (F.col("top") == 0) & (F.col("bottom") == F.col("__h"))
+    part = F.filter("lines", lambda x: ((x["top"] + x["bottom"]) / 2 >= F.col("top")) & ((x["top"] + x["bottom"]) / 2 < F.col("bottom")))
+    said = text.clean_lines(F.when(whole, F.col("cleaned_text")).otherwise(F.array_join(F.transform(part, lambda x: x["text"]), "\n")))["text"]
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    page_box = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("__h").cast("double"))
+    page_image = F.struct(text.image_id(F.col("source_id"), F.col("page")).alias("image_id"), page_box.alias("bbox"), F.lit("").alias("text"))
+    seen = reading_order(F.transform(F.filter("__images", inside), lambda m: F.struct(m["image_id"].alias("image_id"), m["bbox"].alias("bbox"), m["text"].alias("text"))))
+    drawn = (F.col("text").contains(DIAGRAM) & (F.length("text") < 1000)) | some(F.col("__tables"))
+    rows = rows.withColumn("text", said).withColumn("seen", F.coalesce(seen, F.array().cast("array<struct<image_id:string,bbox:array<double>,text:string>>")))
+    rows = rows.withColumn("images", F.when(some(F.col("seen")), F.col("seen")).when(drawn, F.array(page_image)).otherwise(F.col("seen")))
+    tables = F.filter("__tables", lambda t: (F.coalesce(F.size(t["rows"]), F.lit(0)) > 0) & F.coalesce(inside(t), F.lit(False)))
+    rows = rows.withColumn("tables", tables).filter((F.col("text") != "") | some(F.col("images")) | some(F.col("tables")))
+    return rows.select("source_id", "section_index", "title", "page", "top", "bottom", "text", "images", "tables")
+
+
+def assemble(region_rows: DataFrame) -> DataFrame:
+    """source_id, section_index, title, first_page, regions: sections with their regions in order; contents pages get their title."""
+    fields = ("page", "top", "bottom", "text", "images", "tables")
+    rows = region_rows.groupBy("source_id", "section_index", "title").agg(F.array_sort(F.collect_list(F.struct("page", "top", F.struct(*fields).alias("r")))).alias("x"))
+    regions = F.transform("x", lambda x: x["r"])
+    return rows.select("source_id", "section_index", evidence_title(F.col("title"), F.transform(regions, lambda r: r["text"])).alias("title"), F.col("x")[0]["page"].alias("first_page"), regions.alias("regions"))
+
+
 def reading_order(images: Column) -> Column:
     """Images from top to bottom, then from left to right."""
     keyed = F.array_sort(F.transform(images, lambda m: F.struct(m["bbox"][1].alias("y"), m["bbox"][0].alias("x"), m.alias("m"))))

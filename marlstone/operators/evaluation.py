@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,33 @@ def must_contain(records: DataFrame, text_col: str, needles_col: str) -> DataFra
 def isolated(results: DataFrame, forbidden: DataFrame) -> DataFrame:
     """Results whose section title starts with a prefix that their query forbids."""
     return results.join(forbidden, "query_id").filter("startswith(section_title, forbidden_prefix)")
+
+
+def source_recall(results: DataFrame, expected: DataFrame, k: int = 6) -> DataFrame:
+    """query_id, first_rank, hit: the first result whose document name holds one of the expected parts.
+
+    ``results``: query_id, rank, name; ``expected``: query_id, expected (array of parts of names).
+    """
+    hits = results.join(expected.select("query_id", "expected"), "query_id").filter(F.expr("exists(expected, s -> contains(name, s))"))
+    first = hits.groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    return expected.select("query_id").join(first, "query_id", "left").withColumn("hit", F.coalesce(F.col("first_rank") <= k, F.lit(False)))
+
+
+def graded(results: DataFrame, cases: DataFrame) -> DataFrame:
+    """query_id, passed: whether a result has the case's key in its name and all of its codes in its content.
+
+    ``results``: query_id, name, content; ``cases``: query_id, key, codes (array).
+    """
+    good = results.join(cases, "query_id").filter(F.expr("contains(name, key) and forall(codes, c -> contains(content, c))")).select("query_id").distinct()
+    return cases.select("query_id").join(good.withColumn("passed", F.lit(True)), "query_id", "left").select("query_id", F.coalesce("passed", F.lit(False)).alias("passed"))
+
+
+def expected_cards(cases: DataFrame, cards: DataFrame) -> DataFrame:
+    """``cases`` (query_id, page, ...) with expected_card_id: the first card (card_id, pos, pages) with a source on that page."""
+    by_page = cards.select("card_id", "pos", F.explode("pages").alias("__page")).groupBy("__page").agg(F.min_by("card_id", F.struct("pos", "card_id")).alias("expected_card_id"))
+    return cases.join(by_page, F.col("page") == F.col("__page"), "left").drop("__page")
+
+
+def within(names: Column, allowed: Column) -> Column:
+    """Whether all names that results have are allowed, and there are some."""
+    return (F.size(names) > 0) & (F.size(F.array_except(names, allowed)) == 0)

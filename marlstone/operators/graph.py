@@ -42,25 +42,61 @@ def routes(spark: SparkSession, available: list[str]) -> DataFrame:
     return spark.createDataFrame([(i, r, m) for i, (r, m) in enumerate(rows)], "pos int, route string, members array<string>")
 
 
-def workflow(route_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, kind, members) and edges (source, target, handle) of a routed answer flow."""
+def workflow(route_rows: DataFrame, scoped: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, members) and edges (source, target, handle) of a routed answer flow.
+
+    Routes in ``scoped`` choose between a search of all their documents and, in a
+    copy of their branch, one of a chosen section.
+    """
     spark = route_rows.sparkSession
     fixed = spark.createDataFrame([("start", "start"), ("classify", "classifier"), ("clarify-answer", "answer")], "id string, kind string").withColumn("members", F.array().cast("array<string>"))
-    branches = route_rows.filter("size(members) > 0")
-    step = lambda kind: branches.select(F.concat_ws("-", F.lit(kind), "route").alias("id"), F.lit(kind).alias("kind"), "members")
-    nodes = fixed.unionByName(step("retrieve")).unionByName(step("llm")).unionByName(step("answer"))
-    name = lambda kind: F.concat_ws("-", F.lit(kind), "route")
-    edge = lambda a, b, h: branches.select(a.alias("source"), b.alias("target"), h.alias("handle"))
-    plain = F.lit("source")
+    branches = route_rows.filter("size(members) > 0").select("route", "members", F.col("route").alias("branch"), F.col("route").isin(scoped or []).alias("choice"))
+    copies = branches.filter("choice").withColumn("branch", F.concat("route", F.lit("-scoped")))
+    every = branches.unionByName(copies)
+    step = lambda rows, kind, name="branch": rows.select(F.concat_ws("-", F.lit(kind), name).alias("id"), F.lit(kind).alias("kind"), "members")
+    nodes = fixed
+    for rows, kind in ((every, "retrieve"), (every, "llm"), (every, "answer"), (branches.filter("choice"), "select")):
+        nodes = nodes.unionByName(step(rows, kind))
+    name = lambda kind: F.concat_ws("-", F.lit(kind), "branch")
+    edge = lambda rows, a, b, h: rows.select(a.alias("source"), b.alias("target"), h.alias("handle"))
+    plain, route = F.lit("source"), F.col("route")
     edges = spark.createDataFrame([("start", "classify", "source"), ("classify", "clarify-answer", "clarify")], "source string, target string, handle string")
-    for e in (edge(F.lit("classify"), name("retrieve"), F.col("route")), edge(name("retrieve"), name("llm"), plain), edge(name("llm"), name("answer"), plain)):
+    chosen = F.concat_ws("-", F.lit("select"), "route")
+    for e in (
+        edge(branches.filter("not choice"), F.lit("classify"), name("retrieve"), route),
+        edge(branches.filter("choice"), F.lit("classify"), chosen, route),
+        edge(branches.filter("choice"), chosen, name("retrieve"), F.lit("all")),
+        edge(copies, chosen, name("retrieve"), F.lit("scoped")),
+        edge(every, name("retrieve"), name("llm"), plain),
+        edge(every, name("llm"), name("answer"), plain),
+    ):
         edges = edges.unionByName(e)
     return nodes, edges
 
 
-def localize(nodes: DataFrame) -> DataFrame:
-    """Retrieval nodes become HTTP requests to a local service."""
-    return nodes.withColumn("kind", F.when(F.col("kind") == "retrieve", "http-request").otherwise(F.col("kind")))
+def localize(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The flow over a local service: retrieval becomes a request, followed by a gate that answers by itself when the service fails."""
+    asked = F.col("kind") == "retrieve"
+    rest = F.regexp_replace("id", "^retrieve-", "")
+    searches = nodes.filter(asked)
+    made = lambda kind, prefix: searches.select(F.concat(F.lit(prefix), rest).alias("id"), F.lit(kind).alias("kind"), "members")
+    out = nodes.withColumn("kind", F.when(asked, "http-request").otherwise(F.col("kind"))).unionByName(made("if-else", "gate-")).unionByName(made("answer", "unavailable-"))
+    link = lambda a, b, h: searches.select(a.alias("source"), b.alias("target"), F.lit(h).alias("handle"))
+    of = lambda prefix: F.concat(F.lit(prefix), rest)
+    direct = searches.select(F.col("id").alias("source"), of("llm-").alias("target"))
+    kept = edges.join(direct, ["source", "target"], "left_anti").select("source", "target", "handle")
+    for e in (link(F.col("id"), of("gate-"), "source"), link(of("gate-"), of("llm-"), "ready"), link(of("gate-"), of("unavailable-"), "false")):
+        kept = kept.unionByName(e)
+    return out, kept
+
+
+def route_options(lines: DataFrame, route_rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """pos, line of a prompt's options: given lines (pos, line ``route：text``) whose route can be chosen, then one for each other route, by its label (route, label)."""
+    given = lines.withColumn("route", F.substring_index("line", "：", 1))
+    choices = route_rows.filter("size(members) > 0").select("route", F.col("pos").alias("at"))
+    kept = given.join(choices, "route", "left_semi")
+    new = choices.join(given.select("route"), "route", "left_anti").join(labels.select("route", "label"), "route")
+    return kept.select("pos", "line").unionByName(new.select((F.col("at") + 1_000_000).alias("pos"), F.concat("route", F.lit("："), "label", F.lit("相关业务资料。")).alias("line")))
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metadata import assign_domain
@@ -69,8 +73,22 @@ def top_groups(files: DataFrame, path_col: str, k: int = 8) -> DataFrame:
     return files.groupBy(F.split(path_col, "/")[0].alias("top")).count().withColumnRenamed("count", "n").orderBy(F.desc("n"), "top").limit(k)
 
 
-def shards(groups: DataFrame, size_col: str, n: int = 4) -> DataFrame:
-    """``groups`` with a shard: dealt longest first in snake order, an even deal without a sequential loop."""
-    place = F.row_number().over(Window.orderBy(F.desc(size_col), *[c for c in groups.columns if c != size_col])) - 1
-    lap = F.floor(place / n)
-    return groups.withColumn("shard", F.when(lap % 2 == 0, place % n).otherwise(n - 1 - place % n).cast("int"))
+def shards(groups: DataFrame, id_col: str, size_col: str, n: int = 4) -> DataFrame:
+    """id, size, shard: longest first, each to the shard that has least so far (the first of equals).
+
+    Each deal depends on those before it, so ids and sizes stream sorted through one
+    task that holds ``n`` sums.
+    """
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loads = [(0, i) for i in range(n)]
+        for b in batches:
+            out = []
+            for size in b["size"].tolist():
+                load, i = heapq.heappop(loads)
+                heapq.heappush(loads, (load + size, i))
+                out.append(i)
+            yield b.assign(shard=out)
+
+    rows = groups.select(F.col(id_col).cast("string").alias("id"), F.col(size_col).cast("long").alias("size"))
+    return rows.repartition(1).sortWithinPartitions(F.desc("size"), "id").mapInPandas(deal, "id string, size long, shard int")

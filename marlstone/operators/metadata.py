@@ -19,6 +19,12 @@ DOMAINS = {
 }
 
 
+def shown_domains(ids: Column) -> Column:
+    """Shown names of an array of domain ids; ids that are not preset stay."""
+    names = F.create_map(*[F.lit(x) for pair in DOMAINS.items() for x in pair])
+    return F.transform(ids, lambda d: F.coalesce(F.try_element_at(names, d), d))
+
+
 def predicate(conditions: list[dict], column=F.col) -> Column:
     """AND of {name, comparison_operator, value}: is, is not, contains, not empty.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import re
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 
 def scan(spark: SparkSession, root: str, suffix: str = "pdf", page_count: Callable[[bytes], int] | None = None) -> DataFrame:
-    """One row per file below ``root``: source_id, sha256, path, relative_path, name, bytes, pages, status, error.
+    """One row per file below ``root``, or for the one file that it names: source_id, sha256, path, relative_path, name, bytes, pages, status, error.
 
     ``page_count`` turns a file's bytes into its number of pages; a file that it
     cannot read becomes a row with status error.
@@ -39,7 +40,8 @@ def scan(spark: SparkSession, root: str, suffix: str = "pdf", page_count: Callab
             yield b.drop(columns="content").assign(pages=pd.array(pages, "Int64"), error=errors)
 
     rows = base.mapInPandas(count, "path string, sha256 string, bytes long, pages long, error string")
-    prefix = F.lit(Path(root).resolve().as_uri().replace("file://", "file:") + "/" if "://" not in root else root.rstrip("/") + "/")
+    home = root.rstrip("/").rpartition("/")[0] if re.search(rf"(?i)\.{re.escape(suffix)}$", root) else root.rstrip("/")
+    prefix = F.lit(Path(home).resolve().as_uri().replace("file://", "file:") + "/" if "://" not in root else home + "/")
     return rows.select(
         F.substring("sha256", 1, 16).alias("source_id"),
         "sha256",
@@ -63,36 +65,114 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str, patter
     return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
 
 
-def decode_pages(files: DataFrame, decoder: Callable[[bytes], list[dict]]) -> DataFrame:
-    """source_id, page, raw_text, status, error: pages that ``decoder`` finds in each file's content (source_id, content).
+PAGE = (
+    "source_id string, page long, raw_text string, width double, height double, lines array<struct<text:string,top:double,bottom:double>>, "
+    "images array<struct<bbox:array<double>,sha256:string,content:binary>>, tables array<struct<bbox:array<double>,rows:array<array<string>>,status:string,error:string>>, "
+    "raster binary, status string, error string"
+)
+OUTLINE = "source_id string, pos long, page long, title string, level int, height double, view_y double, is_xyz boolean, error string"
 
-    A decoder returns dicts with ``text``; a file it cannot read is one row of status failed.
-    """
+
+def _decoded(files: DataFrame, decoder: Callable[[bytes], list[dict]], schema: str, first: dict, bad: dict) -> DataFrame:
+    """A row for each dict that ``decoder`` makes of a file's content; a file that it cannot read is one row with an error."""
+    names = [x.split()[0] for x in _split_fields(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
             for sid, content in zip(b["source_id"], b["content"], strict=True):
                 try:
-                    out += [(sid, i, p.get("text"), "complete", None) for i, p in enumerate(decoder(content), 1)]
-                except Exception as e:
-                    out.append((sid, None, None, "failed", f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["source_id", "page", "raw_text", "status", "error"]).astype({"page": "Int64"})
+                    rows = [{**first, **row, "source_id": sid} for row in decoder(content)]
+                except Exception as e:  # a broken file is a row, not a failure
+                    rows = [{**bad, "source_id": sid, "error": f"{type(e).__name__}: {e}"}]
+                for i, row in enumerate(rows):
+                    row.setdefault("page", i + 1) if "pos" not in names else row.setdefault("pos", i)
+                out = pd.DataFrame([{n: row.get(n) for n in names} for row in rows], columns=names, dtype=object)
+                yield out.astype({n: "Int64" for n in ("page", "pos") if n in names})
+
+    return files.select("source_id", "content").mapInPandas(run, schema)
+
+
+def _split_fields(schema: str) -> list[str]:
+    return re.split(r", (?=[a-z_0-9]+ )", schema)
+
+
+def decode_pages(files: DataFrame, decoder: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Pages (columns ``PAGE``) that ``decoder`` finds in each file's content (source_id, content).
+
+    A decoder returns a dict a page: text (or raw_text), width, height, lines (text, top,
+    bottom), images (bbox, sha256, content), tables (bbox, rows, or error), raster.
+    What it leaves out is null; a file it cannot read is one row of status failed.
+    """
+
+    def pages(content: bytes) -> list[dict]:
+        out = []
+        for i, p in enumerate(decoder(content), 1):
+            tables = [{"bbox": t.get("bbox"), "rows": t.get("rows"), "status": "failed" if t.get("error") else "needs_visual_review", "error": t.get("error")} for t in p.get("tables") or []]
+            images = [{"bbox": m["bbox"], "sha256": m.get("sha256") or hashlib.sha256(m.get("content") or b"").hexdigest(), "content": m.get("content")} for m in p.get("images") or []]
+            lines = [{"text": x["text"], "top": x["top"], "bottom": x["bottom"]} for x in p.get("lines") or []]
+            out.append({"page": i, "raw_text": p.get("raw_text", p.get("text")), "width": p.get("width"), "height": p.get("height"), "lines": lines, "images": images, "tables": tables, "raster": p.get("raster")})
+        return out
+
+    return _decoded(files, pages, PAGE, {"status": "complete"}, {"status": "failed", "page": None})
+
 
-    return files.select("source_id", "content").mapInPandas(run, "source_id string, page long, raw_text string, status string, error string")
+def decode_outline(files: DataFrame, decoder: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Outline entries (columns ``OUTLINE``) for ``corpus.toc_boundaries``: a decoder returns dicts of page, title, level, height, view_y, is_xyz in order."""
+    return _decoded(files, decoder, OUTLINE, {}, {"pos": None})
 
 
 def pdf_pages(content: bytes) -> list[dict]:
-    """Decoder of PDF text; needs pypdfium2, which is asked for only here."""
+    """Decoder of PDF text and sizes; needs pypdfium2, which is asked for only here."""
     import pypdfium2
 
     pdf = pypdfium2.PdfDocument(content)
     try:
-        return [{"text": page.get_textpage().get_text_range()} for page in pdf]
+        return [{"text": page.get_textpage().get_text_range(), "width": page.get_width(), "height": page.get_height()} for page in pdf]
     finally:
         pdf.close()
 
 
+def pdf_layout(content: bytes) -> list[dict]:
+    """Decoder of positioned text, pictures and tables; needs pdfplumber, which is asked for only here."""
+    import pdfplumber
+
+    out = []
+    with pdfplumber.open(io.BytesIO(content)) as pdf:
+        for page in pdf.pages:
+            images = [{"bbox": [float(m[k]) for k in ("x0", "top", "x1", "bottom")], "content": m["stream"].get_data()} for m in page.images]
+            lines = [{"text": x["text"], "top": float(x["top"]), "bottom": float(x["bottom"])} for x in page.extract_text_lines(x_tolerance=2, y_tolerance=3)]
+            try:
+                tables = [{"bbox": list(map(float, t.bbox)), "rows": t.extract()} for t in page.find_tables()]
+            except Exception as e:  # a table that cannot be read is a row, not a failure
+                tables = [{"error": type(e).__name__}]
+            out.append({"text": page.extract_text(x_tolerance=2, y_tolerance=3) or "", "width": float(page.width), "height": float(page.height), "lines": lines, "images": images, "tables": tables})
+    return out
+
+
+def pdf_outline(content: bytes) -> list[dict]:
+    """Decoder of a PDF's outline; needs pypdfium2, which is asked for only here."""
+    import pypdfium2
+
+    pdf = pypdfium2.PdfDocument(content)
+    try:
+        out = []
+        for item in pdf.get_toc():
+            xyz = item.view_mode == 1 and len(item.view_pos) >= 2
+            page = None if item.page_index is None else item.page_index + 1
+            out.append({"page": page, "title": item.title, "level": item.level, "height": None if page is None else pdf[item.page_index].get_height(), "view_y": item.view_pos[1] if xyz else 0.0, "is_xyz": xyz})
+        return out
+    finally:
+        pdf.close()
+
+
+def uploads(names: DataFrame, column: str = "name") -> DataFrame:
+    """``names`` of uploaded files with ``relative``, the path below the job's folder; a name that is absolute, climbs out or is no PDF raises."""
+    from ..functions.text import safe_relative
+
+    found = safe_relative(F.col(column))
+    return names.withColumn("relative", F.coalesce(found, F.raise_error(F.concat(F.lit("unsupported upload: "), F.coalesce(F.col(column), F.lit("null")))).cast("string")))
+
+
 def docx_text(content: bytes) -> tuple[str, int]:
     """Text and number of pictures of a word processor file."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:

@@ -29,8 +29,8 @@ def workflow_yaml(nodes: DataFrame, edges: DataFrame) -> str:
 
 
 def figures(**tables: DataFrame) -> tuple[str, str]:
-    """JSON and Markdown of one-row or short tables by name."""
-    data = {name: [r.asDict(recursive=True) for r in df.limit(1000).collect()] for name, df in tables.items()}
+    """JSON and Markdown of aggregates by name, all of their rows."""
+    data = {name: [r.asDict(recursive=True) for r in df.toLocalIterator()] for name, df in tables.items()}
     text = []
     for name, rows in data.items():
         text.append(f"## {name}\n")

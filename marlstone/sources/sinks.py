@@ -15,10 +15,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEPARATOR = "<SECTION_BOUNDARY>"
+from ..operators.metadata import exportable
 
+#: The mark between the cards of a bundle, and the sentences of a card's file.
+SEPARATOR = "<OPS_CARD_BOUNDARY>"
+CARD_VERSION, CARD_USE = "资料适用版本：待业务确认", "用途：试点验证；不是已通过业务验收的操作规程。"
+CARD_LIMIT = "本条存在需核对内容："
+CARD_NO_LINK = "（内网图片服务待配置）"
 
-def write_csv(df: DataFrame, path: str) -> None:
+
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with a header; with ``mark``, one file that starts with a byte order mark, as spreadsheets expect."""
+    if mark:
+        first = df.columns[0]
+        df = df.withColumnRenamed(first, "\ufeff" + first).coalesce(1)
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -27,29 +37,58 @@ def write_by(df: DataFrame, path: str, *by: str) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def bundles(cards: DataFrame, by: str, order: str, text: str) -> DataFrame:
-    """by, bundle: texts in order joined by the separator; raises if a text holds the separator."""
-    safe = F.when(F.col(text).contains(SEPARATOR), F.raise_error(F.lit("reserved separator in content")).cast("string")).otherwise(F.col(text))
+def bundles(cards: DataFrame, by: str, order: str, text: str, separator: str = SEPARATOR) -> DataFrame:
+    """by, bundle: texts in order joined by the separator; raises if a text holds the separator.  A bundle is one file, and one row."""
+    safe = F.when(F.col(text).contains(separator), F.raise_error(F.lit("reserved separator in content")).cast("string")).otherwise(F.col(text))
     rows = cards.select(by, F.struct(order, safe.alias("t")).alias("x"))
-    return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), f"\n{SEPARATOR}\n").alias("bundle"))
+    return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), f"\n{separator}\n").alias("bundle"))
+
+
+def export_decisions(cards: DataFrame, drafts: bool = False) -> DataFrame:
+    """card_id, included, and what kept a card out: validation_issues, review_flags, business_review.
+
+    Cards with issues or flags never go; others if they are approved, or drafts are wanted.
+    """
+    return cards.select("card_id", exportable(F.col("validation_issues"), F.col("review_flags"), F.col("business_review"), drafts).alias("included"), "validation_issues", "review_flags", "business_review")
+
+
+def export_summary(cards: DataFrame, text: str, drafts: bool = False) -> DataFrame:
+    """One row: usage, count of included cards, of excluded ones, and the longest included text."""
+    goes = exportable(F.col("validation_issues"), F.col("review_flags"), F.col("business_review"), drafts)
+    return cards.agg(F.lit("pilot_only" if drafts else "approved_only").alias("usage"), F.count_if(goes).alias("count"), F.count_if(~goes).alias("excluded"), F.coalesce(F.max(F.when(goes, F.length(text))), F.lit(0)).alias("max_card_chars"))
 
 
-def card_markdown(cards: DataFrame) -> DataFrame:
-    """card_id, markdown of question cards (title, module, question, cause, answer, flags, sources)."""
-    block = lambda head, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"\n\n## {head}\n"), body)).otherwise(F.lit(""))
-    sources = F.array_join(F.transform("sources", lambda s: F.concat(F.lit("- "), s["filename"], F.lit("，PDF 第 "), s["page"].cast("string"), F.lit(" 页；source_id="), s["source_id"])), "\n")
-    return cards.select(
-        "card_id",
-        F.concat(F.lit("# "), "title", F.lit("\n\n卡片ID："), "card_id", F.lit("\n模块："), "module", block("用户问题", F.col("question")), block("原文原因", F.col("cause")), block("原文处理说明", F.col("answer")), block("资料边界", F.array_join("flags", "；")), block("来源", sources), F.lit("\n")).alias("markdown"),
-    )
+def card_markdown(cards: DataFrame, asset_base: str = "") -> DataFrame:
+    """card_id, markdown of question cards (title, module, question, cause, answer, flags, sources, and images (image_id, path) where there are any)."""
+    lit = F.lit
+    empty = F.array().cast("array<string>")
+    block = lambda head, *body: F.array(lit(""), lit(f"## {head}"), *body)
+    some = lambda c: F.coalesce(F.size(c), lit(0)) > 0
+    sources = F.transform("sources", lambda s: F.concat(lit("- "), s["filename"], lit("，PDF 第 "), s["page"].cast("string"), lit(" 页；source_id="), s["source_id"]))
+    parts = [
+        F.array(F.concat(lit("# "), "title"), lit(""), F.concat(lit("卡片ID："), "card_id"), F.concat(lit("模块："), "module"), lit(CARD_VERSION), lit(CARD_USE)),
+        block("用户问题", F.col("question")),
+        F.when(F.coalesce("cause", lit("")) != "", block("原文原因", F.col("cause"))).otherwise(empty),
+        block("原文处理说明", F.col("answer")),
+        F.when(some(F.col("flags")), block("资料边界", F.concat(lit(CARD_LIMIT), F.array_join("flags", "；")))).otherwise(empty),
+        F.concat(block("来源"), sources),
+    ]
+    if asset_base and "images" in cards.columns:
+        link = lambda m: F.concat(lit("- ["), m["image_id"], lit(f"]({asset_base.rstrip('/')}/"), F.regexp_replace(m["path"], "^assets/", ""), lit(")"))
+        parts.append(F.when(some(F.col("images")), F.concat(block("配图"), F.transform("images", link))).otherwise(empty))
+    return cards.select("card_id", F.concat(F.array_join(F.concat(*parts), "\n"), lit("\n")).alias("markdown"))
 
 
 def portable_paths(manifest: DataFrame, domain_names: dict[str, str], other: str = "资料导航") -> DataFrame:
-    """``manifest`` with package_path: a folder per domain and the file's name; raises on names that clash."""
+    """``manifest`` with package_path: a folder per domain and the file's name; two different files of one package path raise."""
     folder = F.lit(other)
     for d, shown in domain_names.items():
         folder = F.when(F.col("domain") == d, shown).otherwise(folder)
-    return manifest.withColumn("package_path", F.concat_ws("/", folder, F.regexp_extract("path", r"([^/\\]*)$", 1)))
+    target = F.concat_ws("/", folder, F.regexp_extract("path", r"([^/\\]*)$", 1))
+    files = manifest.select(target.alias("__t"), "path").groupBy("__t").agg(F.countDistinct("path").alias("__n"))
+    clash = F.raise_error(F.concat(F.lit("two files of one package path: "), "package_path")).cast("string")
+    rows = manifest.withColumn("package_path", target).join(files, F.col("package_path") == F.col("__t"))
+    return rows.withColumn("package_path", F.when(F.col("__n") == 1, F.col("package_path")).otherwise(clash)).drop("__t", "__n")
 
 
 def package(files: dict[str, bytes], target: str) -> None:
@@ -74,10 +113,10 @@ def server_bundle(files: dict[str, bytes], target: str) -> list[tuple[str, int,
     return manifest
 
 
-def html_report(rows: DataFrame, title: str, limit: int = 1000) -> str:
-    """Table of a report's rows, escaped."""
+def html_report(rows: DataFrame, title: str) -> str:
+    """Table of all of a report's rows, escaped; they come to the driver a partition at a time.  A report is an aggregate."""
     cells = lambda tag, xs: "".join(f"<{tag}>{html.escape(str('' if x is None else x))}</{tag}>" for x in xs)
-    body = "".join(f"<tr>{cells('td', r)}</tr>" for r in rows.limit(limit).collect())
+    body = "".join(f"<tr>{cells('td', r)}</tr>" for r in rows.toLocalIterator())
     return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><table><tr>{cells('th', rows.columns)}</tr>{body}</table>"
 
 

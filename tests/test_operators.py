@@ -299,7 +299,9 @@ def test_reuse_and_status(spark):
     pages = spark.createDataFrame([("a", "h", 1, "complete"), ("a", "old", 2, "complete"), ("b", "h", 1, "complete")], "source_id string, sha256 string, page int, status string")
     assert {r["source_id"]: r["built"] for r in corpus.build_status(sources, pages).collect()} == {"a": False, "b": True}
     names = spark.createDataFrame([("a", 10), ("b", 9), ("c", 5), ("d", 1)], "source_id string, pages int")
-    assert {r["source_id"]: r["shard"] for r in inventory.shards(names, "pages", 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0}
+    assert {r["id"]: r["shard"] for r in inventory.shards(names, "source_id", "pages", 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0}
+    more = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 4), ("e", 2)], "source_id string, pages int")
+    assert {r["id"]: r["shard"] for r in inventory.shards(more, "source_id", "pages", 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
 
 
 def test_toc_and_export(spark):
