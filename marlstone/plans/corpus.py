@@ -128,12 +128,6 @@ def catalog_page_runs(spark: SparkSession, d: str) -> DataFrame:
     return catalog.page_runs(pages, "custkey")
 
 
-@query("""select * from (values (2, '1.1 制造费用分摊（上市）'), (4, '1.2 制造费用分摊（未上市）')) t(pos, context)""")
-def catalog_heading_context(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("s", 1, "1.1 制造费用分摊（上市）"), ("s", 2, "1.1.4 制造费用分摊-成本核算岗"), ("s", 3, "1.2 制造费用分摊（未上市）"), ("s", 4, "1.2.2 制造费用分摊执行")]
-    return catalog.heading_context(spark.createDataFrame(rows, "source_id string, pos int, title string")).select("pos", "context")
-
-
 @query("""with g as (select md5(text) as q, list(doc_id order by doc_id) as ids, list(source order by doc_id) as ss, list(lang order by doc_id) as ls from documents group by all)
     select ids[1] as card_id, len(ids) as n_sources, case when len(ids) > 1 then len(ids) else 0 end as n_branches, case when len(ids) > 1 then array_to_string(list_transform(range(1, len(ids) + 1), lambda i: '原文第 ' || ids[i] || ' 页的情形：' || chr(10) || ss[i]), chr(10) || chr(10)) else ss[1] end as answer, array_to_string(flatten(list_transform(range(1, len(ids) + 1), lambda i: [ls[i], ss[i]])), ',') as images from g""")
 def catalog_cards_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -142,13 +136,6 @@ def catalog_cards_merge(spark: SparkSession, d: str) -> DataFrame:
     return out.select("card_id", F.size("sources").cast("long").alias("n_sources"), F.size("branches").cast("long").alias("n_branches"), "answer", F.array_join("images", ",").alias("images"))
 
 
-@query("select '财务月结业务流程' as title, '财务月结业务流程|财务月结操作手册|财务月结' as aliases, 'cover' as name_basis union all select '原油生产入库', '原油生产入库', 'filename'")
-def catalog_name_alias(spark: SparkSession, d: str) -> DataFrame:
-    files = spark.createDataFrame([("a", "0.财务月结操作手册.pdf"), ("b", "1.原油生产入库.pdf")], "source_id string, name string")
-    pages = spark.createDataFrame([("a", 1, "流程名称 财务月结业务流程")], "source_id string, page int, text string")
-    return catalog.names(catalog.names_in_text(pages), files).select("title", F.array_join("aliases", "|").alias("aliases"), "name_basis")
-
-
 @query("""with recursive i as (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id) as pos from documents),
     f as (
         select source, pos, doc_id, n_chars <= 10000 as ok, case when n_chars <= 10000 then n_chars else 0 end as total from i where pos = 1
