@@ -48,5 +48,10 @@ def tree_fingerprint(files: DataFrame, path: str, sha: str) -> DataFrame:
 
 
 def merge_reports(reports: DataFrame) -> DataFrame:
-    """One row of worker reports (done, skipped, failures array): sums and all failures."""
-    return reports.agg(F.sum("done").alias("done"), F.sum("skipped").alias("skipped"), F.flatten(F.collect_list("failures")).alias("failures"))
+    """One row of worker reports (done, skipped, failures array): sums, and the number of failures.  ``failures`` has these themselves."""
+    return reports.agg(F.sum("done").alias("done"), F.sum("skipped").alias("skipped"), F.sum(F.coalesce(F.size("failures"), F.lit(0)).cast("long")).alias("failed"))
+
+
+def failures(reports: DataFrame) -> DataFrame:
+    """A row for each failure of worker reports."""
+    return reports.select(F.explode("failures").alias("failure"))

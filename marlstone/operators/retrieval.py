@@ -2,23 +2,30 @@
 
 Queries come in batches: a DataFrame of (query_id, query).  Statistics are
 always those of the whole corpus; scopes are applied to scores before ranks are
-given and are never relaxed.  Scores are doubles; ties go to the smaller id.
+given and are never relaxed.  Scores are doubles, rounded to nine places so that
+equal texts tie in whatever order sums are taken; ties go to the smaller id.
 
 The corpus side is never broadcast; the query side is when it is small.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text, vectors
+from .scratch import stash
 from .sizing import broadcast_if_small, is_small
 
 MODES = ("bm25", "vector", "fusion", "hybrid")
+#: Numbers in the vectors of a batch of queries, which go to every task (8 bytes each).
+QUERY_NUMBERS = 1 << 22
 K1, B = 1.2, 0.75
 
 
@@ -53,20 +60,23 @@ def passages(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return rows.select("doc_id", F.struct("doc_id", "window").alias("passage_id"), "offset", F.concat("prefix", F.col("body").substr(F.col("offset") + 1, F.lit(settings.window_chars))).alias("text"))
 
 
-def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, token, tf, len: one row per token of each text; the text's length in tokens on each."""
-    return _tokens(texts, id_col, text_col).groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
+def postings(texts: DataFrame, id_col: str, text_col: str, wanted: DataFrame | None = None) -> DataFrame:
+    """id, len, token, tf: a row per token of each text, and one a text with the token null and tf 0.
 
-
-def _tokens(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, len, token: one row per token.  The outer explode keeps the planner from adding a filter that makes the tokens twice."""
+    With ``wanted`` (token), only rows of these tokens.  Each text is tokenized once
+    and its rows are dealt once by text; what a reader filters by tf stays above that
+    exchange, so that counts, statistics and scores share it.
+    """
     made = texts.select(F.col(id_col).alias("id"), text.tokens(text_col).alias("ts"))
-    return made.select("id", F.size("ts").alias("len"), F.explode_outer("ts").alias("token")).filter("token is not null")
+    rows = made.select("id", F.size("ts").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "ts")).alias("token"))
+    if wanted is not None:
+        rows = rows.join(wanted.withColumn("__wanted", F.lit(True)), "token", "left").filter("__wanted or token is null")
+    return rows.repartition("id").groupBy("id", "len", "token").agg(F.count("token").alias("tf"))
 
 
-def corpus_stats(texts: DataFrame, text_col: str) -> DataFrame:
-    """One row: n texts, avg length in tokens (at least 1)."""
-    return texts.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg(text.token_count(text_col)), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
+def corpus_stats(dealt: DataFrame) -> DataFrame:
+    """One row of postings: n texts, avg length in tokens (at least 1)."""
+    return dealt.filter("tf = 0").agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg("len"), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -88,15 +98,13 @@ def bm25(texts: DataFrame, queries: DataFrame, id_col: str, text_col: str) -> Da
     asked = query_tokens(queries)
     # what is made of the queries' tokens has no more rows than they
     small = F.broadcast if is_small(asked) else lambda df: df
-    wanted = asked.select("token").distinct()
-    stats = corpus_stats(texts, text_col).first()
-    toks = _tokens(texts, id_col, text_col)
-    # dealt by text once: counts, scores and their sums then need no further shuffle of postings
-    tf = toks.join(small(wanted), "token", "left_semi").repartition("id").groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
+    dealt = postings(texts, id_col, text_col, small(asked.select("token").distinct()))
+    tf = dealt.filter("tf > 0")
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    scored = tf.join(small(asked.join(df, "token")), "token")
-    weight = bm25_weight(F.col("tf"), F.col("df"), F.lit(stats["n"]), F.col("len"), F.lit(stats["avg_len"]))
-    return scored.groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
+    stats = corpus_stats(dealt).select(F.struct("n", "avg_len").alias("s")).scalar()
+    scored = tf.join(small(asked.join(df, "token")), "token").withColumn("s", stats)
+    weight = bm25_weight(F.col("tf"), F.col("df"), F.col("s.n"), F.col("len"), F.col("s.avg_len"))
+    return scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 9).alias("score"))
 
 
 def rank(scores: DataFrame, by: list[str], k: int, order: list[Column], name: str = "rank") -> DataFrame:
@@ -141,19 +149,51 @@ def parents(scores: DataFrame, k: int, positive: bool) -> DataFrame:
     return rank(best, ["query_id"], k, [F.desc("score"), F.col("passage_id")])
 
 
-def dense(vecs: DataFrame, query_vecs: DataFrame) -> DataFrame:
+def dense(vecs: DataFrame, query_vecs: DataFrame, k: int | None = None) -> DataFrame:
     """query_id, doc_id, passage_id, score: cosine of every passage vector with every query vector.
 
     ``vecs``: doc_id, passage_id, vector; ``query_vecs``: query_id, vector.  The
-    queries are stated and few: they are broadcast, and raise if they are not.
+    queries are stated and few: they are sent to the tasks, and raise if they hold
+    more than ``QUERY_NUMBERS`` numbers.  Products are taken batch by batch.  With
+    ``k``, a batch passes on only rows that can be among a query's best ``k``
+    documents (each document's best passage, all of equal score), so what is moved
+    grows with the batches, not with passages times queries.
     """
     asked = query_vecs.select("query_id", vectors.normalized(vectors.checked(F.col("vector"))).alias("q"))
-    if asked.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 queries in a batch: split it")
-    packed = F.broadcast(asked.agg(F.collect_list(F.struct("query_id", "q")).alias("qs")))  # one row
-    unit = vecs.filter(vectors.is_valid(F.col("vector"))).select("doc_id", "passage_id", vectors.normalized(F.col("vector")).alias("v"))
-    rows = unit.join(packed, F.lit(True)).select("doc_id", "passage_id", "v", F.explode("qs").alias("a"))
-    return rows.select("a.query_id", "doc_id", "passage_id", vectors.dot(F.col("v"), F.col("a.q")).alias("score"))
+    numbers = asked.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0]
+    if numbers > QUERY_NUMBERS:
+        raise ValueError(f"more than {QUERY_NUMBERS} numbers in a batch of queries: split it")
+    unit = vecs.filter(vectors.is_valid(F.col("vector"))).select("doc_id", "passage_id", F.col("vector").cast("array<double>").alias("v"))
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), *[T.StructField(c, unit.schema[c].dataType) for c in ("doc_id", "passage_id")], T.StructField("score", T.DoubleType())])
+    found = asked.toArrow()
+    names = found.column("query_id").combine_chunks()
+    q = np.array(found.column("q").to_pylist(), np.float64).reshape(len(names), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            lists = batch.column("v")
+            if set(np.diff(lists.offsets.to_numpy())) != {q.shape[1]}:
+                raise ValueError("vectors of different dimensions")
+            v = lists.flatten().to_numpy().reshape(batch.num_rows, -1)
+            v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+            doc = batch.column("doc_id").dictionary_encode().indices.fill_null(-1).to_numpy()
+            order = np.argsort(doc, kind="stable")
+            starts = np.flatnonzero(np.diff(doc[order], prepend=-2))
+            place = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(order)))
+            for at in range(0, len(names), 256):
+                scores = np.round(v[order] @ q[at : at + 256].T, 9)
+                if k is None:
+                    rows, cols = np.nonzero(np.ones(scores.shape, bool))
+                else:
+                    best = np.maximum.reduceat(scores, starts, axis=0)
+                    least = np.partition(best, max(len(best) - k, 0), axis=0)[max(len(best) - k, 0)]
+                    rows, cols = np.nonzero((scores == best[place]) & (scores >= least))
+                here = pa.array(order[rows])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(cols + at)), batch.column("doc_id").take(here), batch.column("passage_id").take(here), pa.array(scores[rows, cols])], ["query_id", "doc_id", "passage_id", "score"])
+
+    return unit.mapInArrow(run, schema)
 
 
 def rrf(rankings: list[DataFrame], k: int = 60) -> DataFrame:
@@ -207,7 +247,9 @@ def search(
     """Ranked evidence: query_id, rank, doc_id, score, matched_text, scores (bm25, cosine, rrf, rerank) and the document's columns.
 
     ``docs``: doc_id and attributes; ``passage_rows``: doc_id, passage_id, text;
-    ``vecs``: doc_id, passage_id, vector; ``queries``: query_id, query.
+    ``vecs``: doc_id, passage_id, vector; ``queries``: query_id, query.  The two
+    rankings, at most ``recall_k`` rows a query, are written once and read by the
+    steps that follow.
     """
     check_query("x", top_k, mode)
     allowed = docs.filter(where).select("doc_id") if where is not None else None
@@ -215,8 +257,10 @@ def search(
     recall = max(settings.recall_k, top_k)
     ids = passage_rows.select("doc_id", "passage_id", "text")
     lex_scores = bm25(ids, queries, "passage_id", "text").select("query_id", F.col("id.doc_id").alias("doc_id"), F.col("id").alias("passage_id"), "score")
-    lex = parents(within(lex_scores), recall, True)
-    sem = parents(within(dense(vecs, query_vecs)), recall, False) if mode != "bm25" else lex.limit(0)
+    lex = stash(parents(within(lex_scores), recall, True), "lexical")
+    sem = parents(dense(within(vecs), query_vecs, recall), recall, False) if mode != "bm25" else lex.limit(0)
+    if mode != "bm25":
+        sem = stash(sem, "semantic")
     if mode == "bm25":
         ordered = lex.withColumn("place", F.col("rank")).withColumn("rrf", F.lit(None).cast("double"))
     elif mode == "vector":

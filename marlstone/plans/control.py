@@ -126,11 +126,6 @@ def graph_reachability(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable(edges, spark.createDataFrame([(3,)], "node long"))
 
 
-@query("select * from (values (0, 'finance', 'finance'), (1, 'projects', 'projects'), (2, 'custom_tech', 'custom_tech'), (3, 'projects_finance', 'projects,finance'), (4, 'clarify', '')) t(pos, route, members)")
-def graph_routes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.routes(spark, ["projects", "finance", "custom_tech"]).select("pos", "route", F.array_join("members", ",").alias("members"))
-
-
 @query("""select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all""")
 def ext_tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
     """An addition: hourly windows."""

@@ -1,6 +1,6 @@
 """All queries over the standard tables."""
 
-from . import base, control, corpus, evidence, retrieval, sync, textual  # noqa: F401 (they register themselves)
+from . import base, checks, control, corpus, evidence, retrieval, rounds, sync, textual  # noqa: F401 (they register themselves)
 
 queries = base.QUERIES
 oracle_sql = base.SQL

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evaluation, retrieval
+from ..operators.scratch import stash
+from ..operators.sizing import broadcast_if_small
 from . import sql
 from .base import query, table
 
@@ -31,11 +33,12 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
     vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("passage_id"), F.col("embedding").alias("vector"))
     wanted = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))
     q = vecs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "vector")
-    return retrieval.dense(vecs, q).select("query_id", "doc_id", "score")
+    return retrieval.dense(vecs, q, 60).select("query_id", "doc_id", "score")
 
 
 def _channels(spark: SparkSession, d: str, k: int = 60) -> tuple[DataFrame, DataFrame]:
-    return tuple(retrieval.rank(x, ["query_id"], k, _order()) for x in (_lexical(spark, d), _dense(spark, d)))
+    # written once: fusion, reserved heads and reranking read them again
+    return tuple(stash(retrieval.rank(x, ["query_id"], k, _order()), "channel") for x in (_lexical(spark, d), _dense(spark, d)))
 
 
 @query(f"""with {sql.bm25(DOC_TEXTS, ASKS)}, {sql.ranked('bm25', 'top', 5)}
@@ -140,10 +143,10 @@ _PASSAGE_TEXTS = f"""select doc_id * 1000000 + o as id, source || ' / ' || lang
     o as (select qid, doc, id, s, row_number() over (partition by qid order by round(s, 6) desc, id) as r from best where n = 1)
     select qid as item_id, doc as doc_id, cast(r as integer) as rank, cast(id % 1000000 as integer) as "offset", round(s, 6) as score from o where r <= 5""")
 def retr_parent_child(spark: SparkSession, d: str) -> DataFrame:
-    rows = _passages(spark, d).select((F.col("doc_id") * 1_000_000 + F.col("offset")).alias("pid"), "text")
-    scores = retrieval.bm25(rows, asks(spark, d), "pid", "text").select("query_id", F.floor(F.col("id") / 1_000_000).alias("doc_id"), F.col("id").alias("passage_id"), F.round("score", 6).alias("score"))
+    rows = _passages(spark, d).select(F.struct("doc_id", "offset").alias("pid"), "text")
+    scores = retrieval.bm25(rows, asks(spark, d), "pid", "text").select("query_id", F.col("id.doc_id").alias("doc_id"), F.col("id").alias("passage_id"), F.round("score", 6).alias("score"))
     top = retrieval.parents(scores, 5, True)
-    return top.select(F.col("query_id").alias("item_id"), "doc_id", "rank", (F.col("passage_id") % 1_000_000).cast("int").alias("offset"), "score")
+    return top.select(F.col("query_id").alias("item_id"), "doc_id", "rank", F.col("passage_id.offset").cast("int").alias("offset"), "score")
 
 
 @query(f"""with {sql.bm25(DOC_TEXTS, ASKS)}, {sql.ranked('bm25', 'top', 5)},
@@ -154,9 +157,17 @@ def retr_parent_child(spark: SparkSession, d: str) -> DataFrame:
 def eval_hit_mrr(spark: SparkSession, d: str) -> DataFrame:
     """Which documents hold an item's text is the truth that ranks are held against."""
     results = retrieval.rank(_lexical(spark, d), ["query_id"], 5, _order())
-    items = table(spark, d, "benchmark").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    docs = table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(items), F.lit(True))  # one row on the right
-    truth = docs.select("doc_id", F.explode(F.filter("items", lambda b: F.col("text").contains(b["text"]))).alias("b")).groupBy(F.col("b.item_id").alias("query_id")).agg(F.collect_set("doc_id").alias("expected"))
+    # candidates share the item's rarest word: an equi-join; only then is the whole text looked for
+    words = lambda c: F.array_distinct(text.tokens(c))
+    inner = lambda q: F.slice(text.tokens(q), 2, F.greatest(F.size(text.tokens(q)) - 2, F.lit(0)))
+    asked = asks(spark, d)
+    wanted = asked.select("query_id", "query", F.explode_outer(F.array_distinct(inner("query"))).alias("token"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held = docs.select("doc_id", F.explode(words("text")).alias("token")).join(broadcast_if_small(wanted.select("token").distinct()), "token", "left_semi")
+    held = stash(held, "held-words")
+    rare = held.groupBy("token").count().join(wanted, "token").groupBy("query_id").agg(F.min_by(F.struct("token", "query"), F.struct("count", "token")).alias("t")).select("query_id", "t.token", "t.query")
+    near = held.join(rare, "token").select("query_id", "doc_id", "query").join(docs, "doc_id")
+    truth = near.filter(F.contains("text", F.col("query"))).groupBy("query_id").agg(F.collect_set("doc_id").alias("expected"))
     out = evaluation.summary(evaluation.first_hit(results, truth), [])
     return out.select("cases", *[F.round(c, 6).alias(c) for c in ("hit_at_1", "hit_at_5", "mrr_at_5")])
 

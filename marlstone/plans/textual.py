@@ -19,15 +19,6 @@ def text_clean_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.md5(F.col("c.text").cast("binary")).alias("digest"), n.alias("kept"), F.size("c.removed").alias("removed"))
 
 
-@query("""with s(spec, n) as (values ('3-5,5,8', 10), ('1', 1), ('2-4,1', 9), ('7,7-9', 9)),
-    p as (select spec, unnest(string_split(spec, ',')) as part from s),
-    r as (select spec, unnest(range(cast(string_split(part, '-')[1] as bigint), cast(string_split(part, '-')[-1] as bigint) + 1)) as page from p)
-    select spec, array_to_string(list_sort(list(distinct page)), ',') as pages from r group by all""")
-def text_parse_pages(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("3-5,5,8", 10), ("1", 1), ("2-4,1", 9), ("7,7-9", 9)], "spec string, n int")
-    return rows.select("spec", F.array_join(text.parse_pages(F.col("spec"), F.col("n")).cast("array<string>"), ",").alias("pages"))
-
-
 @query(r"""with p as (select page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '://[^/]*(/.*)$', 1) as path from pages),
     s as (select page_id, path, regexp_replace(regexp_extract(path, '([^/]*)/*$', 1), '(.)\.[^.]*$', '\1') as stem from p)
     select page_id, path, regexp_replace(regexp_replace(regexp_replace(stem, '^[0-9]+[.、\s]+', ''), '\s+', '', 'g'), '^[：:]+|[：:]+$', '', 'g') as topic, 'unknown' as version from s""")
@@ -36,24 +27,15 @@ def text_filename_topic(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", path.alias("path")).select("page_id", "path", text.filename_topic("path").alias("topic"), text.document_version(F.col("path")).alias("version"))
 
 
-@query(r"""select page_id, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) as links, md5(array_to_string(list_transform(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda u: '![](' || u || ')'), ' ')) as digest,
-    regexp_extract(url, '^([a-z]+)://', 1) as scheme from pages""")
-def text_url_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links go through Markdown and back."""
-    links = F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), 1)
-    md = F.array_join(F.transform(links, lambda u: F.concat(F.lit("![]("), u, F.lit(")"))), " ")
-    return table(spark, d, "pages").select("page_id", F.size(links).alias("links"), F.md5(md.cast("binary")).alias("digest"), F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"))
-
-
 @query("""select doc_id, case when n < 1024 then cast(n as varchar) || ' B' when n < 1048576 then printf('%.1f', n / 1024.0) || ' KiB' else printf('%.1f', n / 1048576.0) || ' MiB' end as shown from (select doc_id, n_chars * 1000 + 512 as n from documents)""")
 def text_human_bytes(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", (F.col("n_chars") * 1000 + 512).alias("n"))
     return rows.select("doc_id", text.human_bytes(F.col("n")).alias("shown"))
 
 
-@query(r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null)
+@query(r"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents)
     select doc_id, count(*) as n_lines, count(*) filter (where regexp_full_match(trim(line), '[0-9\s.,，、:：;；\-—_()/（）]+')) as number_lines, sum(case when regexp_extract(line, '^(\d+(?:\.\d+)*)[.、\s]', 1) <> '' then 1 else 0 end)::bigint as headings from l group by all""")
 def text_line_kinds(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    numbered = F.regexp_extract("line", r"^(\d+(?:\.\d+)*)[.、\s]", 1) != ""
+    rows = table(spark, d, "documents").select("doc_id", F.explode(F.split(text.text_of("text"), "\n")).alias("line"))
+    numbered = text.heading_number(F.col("line")) != ""
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(text.page_number_only("line")).alias("number_lines"), F.count_if(numbered).alias("headings"))
