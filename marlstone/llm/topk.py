@@ -6,7 +6,9 @@ dimension has its list of vectors sorted by value.  A query walks all lists in
 step, from the end that its component's sign favours, looks up the full score of
 every vector it meets, and stops as soon as the bound that the current depth
 implies for unseen vectors is below its k-th best score, or when it has met every
-vector.  The best k of each block are merged per query.
+vector.  The bound is the greatest product with a vector that is below the lists'
+current values in every dimension and no longer than the block's longest.  The best
+k of each block are merged per query.
 
 Defined results: vectors that are null or hold null or non-finite components,
 and rows with a null id, take no part; components are floored multiples of
@@ -47,6 +49,23 @@ class Block:
         order = np.argsort(ids, kind="stable")  # so the first of equal scores has the smallest id
         self.ids, self.v = ids[order], v[order]
         self.lists = np.argsort(-self.v, axis=0, kind="stable").T.copy()
+        self.longest = float((self.v * self.v).sum(axis=1).max(initial=0.0))  # squared
+        #: Queries, those that the bound stopped before they had met every vector, and vectors met in all.
+        self.asked = self.stopped = self.met = 0
+
+    def bound(self, a: np.ndarray, b: np.ndarray) -> float:
+        """Greatest sum of ``a * u`` with u at most ``b`` everywhere and no longer than the longest vector (``a`` > 0)."""
+        ratio = b / a
+        order = np.argsort(ratio, kind="stable")
+        a, b, ratio = a[order], b[order], ratio[order]
+        # u is b up to a place, and proportional to a from there on
+        fixed = np.concatenate([[0.0], np.cumsum(b * b)])
+        free = np.concatenate([np.cumsum((a * a)[::-1])[::-1], [0.0]])
+        if fixed[-1] <= self.longest:
+            return float(a @ b)
+        place = int(np.argmax(fixed[:-1] + np.maximum(ratio, 0.0) ** 2 * free[:-1] >= self.longest))
+        scale = np.sqrt(max(self.longest - fixed[place], 0.0) / free[place])
+        return float(a[:place] @ b[:place] + scale * free[place])
 
     def _best(self, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(rows) > k:
@@ -75,7 +94,11 @@ class Block:
             new = new[self.ids[new] != own]
             rows, scores = self._best(np.concatenate([rows, new]), np.concatenate([scores, self.v[new] @ q]), k)
             edge = self.lists[dims, np.where(down, depth - 1, n - depth)]
-            if len(rows) == k and scores[-1] > self.v[edge, dims] @ q[dims] or seen.all():
+            most = self.bound(np.abs(q[dims]), np.where(down, 1.0, -1.0) * self.v[edge, dims])
+            done = len(rows) == k and scores[-1] > most + 1e-9 * (abs(most) + self.longest)
+            if done or seen.all():
+                met = int(seen.sum())
+                self.asked, self.stopped, self.met = self.asked + 1, self.stopped + (met < n), self.met + met
                 return rows, scores
             depth, last = min(depth * 2, n), depth
 

@@ -442,3 +442,18 @@ def test_near_duplicates_of_odd_tables(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("rep", "key", "comp", "sig", "size", "c1", "n_shingles")})
     got = [(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs, 5, 80).collect()]
     assert sorted(got) == sorted([(i, i, True) for i in range(30)] + [(100, 100, True), (101, 100, False), (102, 100, False), (102, 100, False)])
+
+
+def test_threshold_bound_holds_and_stops():
+    rng = np.random.default_rng(7)
+    # components fall off, as those of learned vectors in the order of their spread do
+    v = np.floor(256 * rng.normal(size=(5000, 48)) * 0.7 ** np.arange(48))
+    block = topk.Block(np.arange(5000), v)
+    for q in v[:60]:
+        rows, scores = block.threshold(q, own=-1, k=5)
+        best = np.sort(v @ q)[::-1][:5]
+        assert scores.tolist() == best.tolist()
+        a, b = np.abs(q[q != 0]), np.sort(np.abs(rng.normal(200, 100, (q != 0).sum())))
+        inside = (np.sign(q[q != 0]) * v[:, q != 0] <= b).all(axis=1)
+        assert not inside.any() or block.bound(a, b) >= (v[inside] @ q).max() - 1e-6
+    assert block.asked == 60 and block.stopped > 45 and block.met < 0.6 * 60 * 5000
