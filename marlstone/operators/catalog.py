@@ -97,6 +97,19 @@ def overview_kind(title: Column) -> Column:
     return F.when(title.rlike(PRIMARY_SECTION), "primary").when(title.rlike(FALLBACK_SECTION) & ~text.compact(title).rlike(text.IGNORED_HEADING), "fallback")
 
 
+def card_rows(pages: DataFrame) -> DataFrame:
+    """Rows for ``merge_cards`` from pages (source_id, page, name, module, text) that have a question and an answer under their labels."""
+    fields = pages.withColumn("f", text.faq_fields("text"))
+    of = lambda label: F.coalesce(F.try_element_at("f", F.lit(label)), F.lit(""))
+    rows = fields.select("*", of("问题描述").alias("question"), of("解决办法").alias("answer"), of("问题原因").alias("cause")).filter("question <> '' and answer <> ''")
+    source = F.struct(F.col("name").alias("filename"), "page", "source_id", F.col("text").alias("evidence_text"))
+    return rows.select(
+        F.format_string("faq-%s-p%03d", F.substring("source_id", 1, 8), "page").alias("card_id"),
+        "question", "answer", "cause", "module", F.col("page").cast("long").alias("page"),
+        source.alias("source"), F.array().cast("array<string>").alias("flags"), F.col("text").alias("evidence"), F.array().cast("array<string>").alias("images"),
+    )
+
+
 def merge_cards(rows: DataFrame) -> DataFrame:
     """Cards by question: question, card_id, answer, branches, sources, images, review_flags.
 

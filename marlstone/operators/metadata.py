@@ -111,3 +111,21 @@ def valid_category_name(name: Column) -> Column:
     """1 to 50 characters, none reserved in file names or control characters, no reserved device name, no dot or blank at the end."""
     n = F.coalesce(name, F.lit(""))
     return (F.length(F.trim(n)).between(1, 50)) & ~n.rlike('[<>:"/\\\\|?*\\x00-\\x1f]') & ~n.rlike(r"(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$") & ~n.rlike(r"[. ]$")
+
+
+def public_settings(values: dict[str, str], secrets: tuple[str, ...] = ("api_key",)) -> dict[str, object]:
+    """Settings that may be shown: of a secret only whether it is set."""
+    shown = {k: v for k, v in values.items() if k not in secrets}
+    return shown | {f"{k}_configured": bool(values.get(k)) for k in secrets}
+
+
+def updated_settings(values: dict[str, str], changes: dict[str, str], secrets: tuple[str, ...] = ("api_key",)) -> dict[str, str]:
+    """Settings after changes: an empty value deletes, but an empty secret is no change; base URLs lose the slash at their end."""
+    out = dict(values)
+    for k, v in changes.items():
+        v = v.strip().rstrip("/") if k.endswith("base_url") else v.strip()
+        if v:
+            out[k] = v
+        elif k not in secrets:
+            out.pop(k, None)
+    return out

@@ -74,9 +74,13 @@ def postings(texts: DataFrame, id_col: str, text_col: str, wanted: DataFrame | N
     return rows.repartition("id").groupBy("id", "len", "token").agg(F.count("token").alias("tf"))
 
 
-def corpus_stats(dealt: DataFrame) -> DataFrame:
-    """One row of postings: n texts, avg length in tokens (at least 1)."""
-    return dealt.filter("tf = 0").agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg("len"), F.lit(1.0)), F.lit(1.0)).alias("avg_len"))
+def token_stats(dealt: DataFrame) -> DataFrame:
+    """token, df, n, avg_len of postings: texts with each token, all texts, and their average length in tokens (at least 1)."""
+    counts = dealt.groupBy("token").agg(F.count("*").alias("df"), F.avg("len").alias("mean"))
+    # a row a token, and one with the token null that counts all texts
+    every = Window.partitionBy(F.lit(0))
+    total = F.max(F.when(F.col("token").isNull(), F.struct("df", "mean"))).over(every)
+    return counts.withColumn("t", total).filter("token is not null").select("token", "df", F.col("t.df").alias("n"), F.greatest("t.mean", F.lit(1.0)).alias("avg_len"))
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -99,11 +103,10 @@ def bm25(texts: DataFrame, queries: DataFrame, id_col: str, text_col: str) -> Da
     # what is made of the queries' tokens has no more rows than they
     small = F.broadcast if is_small(asked) else lambda df: df
     dealt = postings(texts, id_col, text_col, small(asked.select("token").distinct()))
-    tf = dealt.filter("tf > 0")
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    stats = corpus_stats(dealt).select(F.struct("n", "avg_len").alias("s")).scalar()
-    scored = tf.join(small(asked.join(df, "token")), "token").withColumn("s", stats)
-    weight = bm25_weight(F.col("tf"), F.col("df"), F.col("s.n"), F.col("len"), F.col("s.avg_len"))
+    known = asked.join(token_stats(dealt), "token").withColumnRenamed("token", "__token")
+    # the key is wrapped: a filter for it would go below the exchange, which could then not be shared with the statistics
+    scored = dealt.filter("tf > 0").join(small(known), F.coalesce("token", F.lit("")) == F.col("__token"))
+    weight = bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("len"), F.col("avg_len"))
     return scored.groupBy("query_id", "id").agg(F.round(F.sum(weight), 9).alias("score"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,6 +154,19 @@ def next_step(status: DataFrame, built: Column) -> DataFrame:
     return s.withColumn("step", step)
 
 
+def wait_until(ready: Callable[[], bool], stop: Callable[[], None], seconds: float = 12 * 3600, poll: float = 30.0) -> bool:
+    """Ask ``ready()`` every ``poll`` seconds until it holds or time is up; ``stop()`` raises to end the wait, and is asked twice a second."""
+    end = time.monotonic() + seconds
+    while not ready():
+        until = min(end, time.monotonic() + poll)
+        if time.monotonic() >= end:
+            return False
+        while time.monotonic() < until:
+            stop()
+            time.sleep(max(0.0, min(0.5, until - time.monotonic())))
+    return True
+
+
 def missing(needed: DataFrame, there: DataFrame, key: str) -> DataFrame:
     """Distinct keys that are needed and not there."""
     return needed.select(key).distinct().join(there.select(key), key, "left_anti")

@@ -233,3 +233,75 @@ def test_command_line(spark, tmp_path, capsys):
     main(["index", f"{tmp_path}/docs", f"{tmp_path}/index"])
     main(["search", f"{tmp_path}/index", "gamma", "--engine", "bm25"])
     assert "gamma" in capsys.readouterr().out
+
+
+def test_command_line_steps(spark, tmp_path, capsys):
+    from marlstone.__main__ import main
+
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+        return f"{tmp_path}/{name}"
+
+    def run(command, *args):
+        main([command, *args, "--out", f"{tmp_path}/out-{command}"])
+        return spark.read.parquet(f"{tmp_path}/out-{command}").collect()
+
+    sources = table("sources", [("s", "h", "p", "n", 3, "ok"), ("t", "h", "p", "n", 2, "error")], "source_id string, sha256 string, path string, name string, pages int, status string")
+    assert [r["page"] for r in run("plan", sources)] == [1, 2, 3]
+    pages = table("pages", [("s", 1, "n", "m", "问题描述：q\n解决办法：a"), ("s", 2, "n", "m", "1.1.1 甲\n一")], "source_id string, page int, name string, module string, text string")
+    assert [r["card_id"] for r in run("cards", pages)] == ["faq-s-p001"] and [r["number"] for r in run("procedures", pages)] == ["1.1.1"]
+    cards = table("cards", [("c", [], [], "pending")], "card_id string, validation_issues array<string>, review_flags array<string>, business_review string")
+    assert [r["included"] for r in run("export", cards)] == [False] and [r["included"] for r in run("export", cards, "--include-drafts")] == [True]
+    manifest = table("manifest", [("k", "a.docx", "h")], "key string, name string, content_hash string")
+    receipts = table("receipts", [], "key string, document_id string, hash string, metadata_applied boolean, retired_at string")
+    remote = table("remote", [], "name string, document_id string, status string")
+    assert [r["action"] for r in run("sync", manifest, receipts, remote)] == ["create"]
+    results = table("results", [(1, "a", 1), (2, "b", 2)], "query_id int, doc_id string, rank int")
+    expected = table("expected", [(1, ["a"]), (2, ["b"])], "query_id int, expected array<string>")
+    assert [(r["hit_at_1"], r["mrr_at_5"]) for r in run("evaluate", results, expected)] == [(0.5, 0.75)]
+    main(["report", results])
+    assert "<th>query_id</th>" in capsys.readouterr().out
+
+
+def test_settings_and_waiting():
+    from marlstone.operators import metadata, sync
+
+    values = metadata.updated_settings({"api_key": "k", "x": "1"}, {"api_key": " ", "x": "", "base_url": "http://h/ "})
+    assert values == {"api_key": "k", "base_url": "http://h"} and metadata.public_settings(values) == {"base_url": "http://h", "api_key_configured": True}
+    answers = iter([False, False, True])
+    assert sync.wait_until(lambda: next(answers), lambda: None, 5, 0.01)
+    assert not sync.wait_until(lambda: False, lambda: None, 0.05, 0.01)
+
+    def stop():
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        sync.wait_until(lambda: False, stop, 5, 1)
+
+
+def test_single_file_uploads_and_clashes(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one")
+    assert [(r["name"], r["relative_path"]) for r in files.scan(spark, str(tmp_path / "a.pdf")).collect()] == [("a.pdf", "a.pdf")]
+    good = spark.createDataFrame([("x\\a.PDF",)], "name string")
+    assert files.uploads(good).first()["relative"] == "x/a.PDF"
+    for bad in ("../a.pdf", "/a.pdf", "a.txt"):
+        with pytest.raises(PySparkException):
+            files.uploads(spark.createDataFrame([(bad,)], "name string")).collect()
+    clash = spark.createDataFrame([("finance", "x/one.docx"), ("finance", "y/one.docx")], "domain string, path string")
+    with pytest.raises(PySparkException):
+        sinks.portable_paths(clash, {"finance": "财务核算"}).collect()
+    (tmp_path / ".env").write_text("# no\nMARLSTONE_A = 'x y'\nMARLSTONE_B=2\n")
+    assert files.load_env(str(tmp_path / ".env")) == {"MARLSTONE_A": "x y", "MARLSTONE_B": "2"}
+    (tmp_path / "cases.yaml").write_text("cases:\n- [a, dev, answer, 3, q, []]\n- {id: b, split: holdout, query: r, expected: [x]}\n")
+    assert [(r["id"], r["page"], r["expected"]) for r in files.load_cases(spark, str(tmp_path / "cases.yaml")).collect()] == [("a", 3, []), ("b", None, ["x"])]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from marlstone.operators import scratch
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(master="spark://h:7077", getConf=lambda: conf, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(SimpleNamespace(sparkContext=sc, conf=conf))
