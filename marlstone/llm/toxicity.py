@@ -7,7 +7,7 @@ map-only pass over whole texts.
 
 Defined results: null and empty texts score the bias alone; rows with a null id
 are scored and not held out; repeated rows are scored one by one, and fitted on
-once; of rows that share an id, the text with the least hash is fitted on; labels
+once; of rows that share an id, the least text is fitted on; labels
 that disagree count as toxic; with no usable labels every score is 0.0; texts of
 any length are scored whole, one at a time; an existing column ``toxicity`` is
 replaced, other columns stay; an empty table gives no rows.
@@ -80,10 +80,9 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     )
     # the sample's size is bounded by train_rows: ids and labels only
     texts = documents.select(F.col("doc_id").alias("k"), "text").join(F.broadcast(sample), "k")
-    # rows that share an id: the one with the least hash of its text, so there are no more rows than in the sample
-    h = F.xxhash64("text")
-    one = texts.select("k", "y", "text", h.alias("h")).join(texts.groupBy(F.col("k").alias("__k")).agg(F.min(h).alias("__h")), (F.col("k") == F.col("__k")) & (F.col("h") == F.col("__h")), "left_semi")
-    rows = one.dropDuplicates(["k"]).repartition(1).sortWithinPartitions(F.xxhash64("k"), "k").select("text", "y")
+    # one row an id, chosen before anything is moved; no more rows than in the sample reach the one task
+    one = texts.groupBy("k").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+    rows = one.coalesce(1).sortWithinPartitions(F.xxhash64("k"), "k").select("text", "y")
     fitted = rows.mapInPandas(_fit, "i long, w double").toPandas()
     if fitted.empty:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0), None)
