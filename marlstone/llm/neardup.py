@@ -190,16 +190,24 @@ def _pairs_to_test(g: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _may_link(members: DataFrame, least: int) -> DataFrame:
-    """Members (rows of ``_MEMBER``, cut into blocks) that have a pair to test.  ``members``: key, size, shingles (sums of its bucket), rep, comp, sig."""
+    """Members (rows of ``_MEMBER``, cut into blocks) that have a pair to test, runs of the same members once.
+
+    ``members``: key, size, shingles (sums of its bucket), rep, comp, sig.
+    """
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.ceil(F.col("shingles") * 8 / BLOCK_BYTES), F.col("size"))).cast("int")
     cut = members.withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cut = cut.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("g"), "blk", "rep", "comp", "sig")
 
     def group(g: pd.DataFrame) -> pd.DataFrame | None:
         some = np.unique(np.concatenate(_pairs_to_test(g, least)))
-        return g.iloc[some] if len(some) else None
-
-    return _runs(cut, group, _MEMBER)
+        if not len(some):
+            return None
+        rows = g.iloc[some].sort_values("rep")
+        # a run is named by what is in it: near copies share most of their buckets, and need to be compared once
+        name = xxhash.xxh64_intdigest(rows[["rep", "blk"]].to_numpy(np.int64).tobytes())
+        return rows.assign(g=np.uint64(name).astype(np.int64))
+
+    return _runs(cut, group, _MEMBER).dropDuplicates(["g", "rep"])
 
 
 def _links(members: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
