@@ -134,20 +134,23 @@ def sketch(documents: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return ids.mapInPandas(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary")
 
 
-def _runs(members: DataFrame, group, out_schema: str) -> DataFrame:
-    """``group`` of every run of rows that share ``g``: a pandas frame in, a frame or None out.
+def _runs(members: DataFrame, work, out_schema: str) -> DataFrame:
+    """``work`` on runs of rows that share ``g``: a frame, its columns as arrays and the runs' (start, end) in; a frame or None out.
 
-    Rows are dealt by ``g`` and read as they come; a run is held alone.  ``g``
+    Rows are dealt by ``g`` and read as they come; a run is held whole.  ``g``
     stands for a pair of blocks, so a run has at most about 2 * ``BLOCK`` rows, and sets of about 2 * ``BLOCK_BYTES``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
-        def groups(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            for _, g in frame.groupby("g", sort=False):
-                if len(g) > 1 and (found := group(g)) is not None:
-                    yield found
+        def done(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            cols = {c: frame[c].to_numpy() for c in frame.columns}
+            g = cols["g"]
+            starts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])
+            spans = [(a, b) for a, b in zip(starts, [*starts[1:], len(g)], strict=True) if b - a > 1]
+            if spans and (found := work(frame, cols, spans)) is not None:
+                yield found
 
         for batch in batches:
             if not len(batch):
@@ -156,12 +159,12 @@ def _runs(members: DataFrame, group, out_schema: str) -> DataFrame:
             if batch["g"].iloc[0] == last and (not held or held[0]["g"].iloc[0] == last):
                 held.append(batch)
                 continue
-            frame = pd.concat([*held, batch]) if held else batch
-            done = frame["g"] != last
-            yield from groups(frame[done])
-            held = [frame[~done]]
+            frame = pd.concat([*held, batch], ignore_index=True) if held else batch
+            upto = int((frame["g"] != last).sum())  # rows are sorted by g
+            yield from done(frame.iloc[:upto])
+            held = [frame.iloc[upto:]]
         if held:
-            yield from groups(pd.concat(held))
+            yield from done(pd.concat(held, ignore_index=True))
         give_back()
 
     return members.repartition("g").sortWithinPartitions("g").mapInPandas(run, out_schema)
@@ -170,13 +173,13 @@ def _runs(members: DataFrame, group, out_schema: str) -> DataFrame:
 _MEMBER = "g long, blk int, rep long, comp long, sig binary"
 
 
-def _pairs_to_test(g: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of a run's pairs that are of different components and agree in ``least`` places, best first."""
-    s = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
-    comp, blk = g["comp"].to_numpy(), g["blk"].to_numpy()
-    across = len(np.unique(blk)) > 1  # a pair of blocks: pairs inside one are another run's
+def _pairs_to_test(cols: dict, start: int, end: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), counted from the run's start, of a run's pairs that are of different components and agree in ``least`` places, best first."""
+    s = np.frombuffer(b"".join(cols["sig"][start:end]), np.uint8).reshape(end - start, -1)
+    comp, blk = cols["comp"][start:end], cols["blk"][start:end]
+    across = blk.min() != blk.max()  # a pair of blocks: pairs inside one are another run's
     found = []
-    for i in range(len(g) - 1):
+    for i in range(len(s) - 1):
         j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((blk[i + 1 :] != blk[i]) | (not across))) + i + 1
         agree = (s[j] == s[i]).sum(axis=1, dtype=np.int16)
         j, agree = j[agree >= least], agree[agree >= least]
@@ -198,16 +201,20 @@ def _may_link(members: DataFrame, least: int) -> DataFrame:
     cut = members.withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cut = cut.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("g"), "blk", "rep", "comp", "sig")
 
-    def group(g: pd.DataFrame) -> pd.DataFrame | None:
-        some = np.unique(np.concatenate(_pairs_to_test(g, least)))
-        if not len(some):
-            return None
-        rows = g.iloc[some].sort_values("rep")
-        # a run is named by what is in it: near copies share most of their buckets, and need to be compared once
-        name = xxhash.xxh64_intdigest(rows[["rep", "blk"]].to_numpy(np.int64).tobytes())
-        return rows.assign(g=np.uint64(name).astype(np.int64))
+    def some(frame: pd.DataFrame, cols: dict, spans: list) -> pd.DataFrame | None:
+        keep, names = [], []
+        for start, end in spans:
+            i, j = _pairs_to_test(cols, start, end, least)
+            if len(i):
+                rows = np.unique(np.concatenate([i, j])) + start
+                rows = rows[np.argsort(cols["rep"][rows], kind="stable")]
+                # a run is named by what is in it: near copies share most of their buckets, and need to be compared once
+                name = xxhash.xxh64_intdigest(cols["rep"][rows].tobytes() + cols["blk"][rows].tobytes())
+                keep.append(rows)
+                names.append(np.full(len(rows), name, np.uint64).astype(np.int64))
+        return frame.take(np.concatenate(keep)).assign(g=np.concatenate(names)) if keep else None
 
-    return _runs(cut, group, _MEMBER).dropDuplicates(["g", "rep"])
+    return _runs(cut, some, _MEMBER).dropDuplicates(["g", "rep"])
 
 
 def _links(members: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
@@ -217,9 +224,8 @@ def _links(members: DataFrame, sets: DataFrame, least: int, percent: int) -> Dat
     their ends are in different components; each try compares full sets.
     """
 
-    def group(g: pd.DataFrame) -> pd.DataFrame | None:
-        rep, comp = g["rep"].to_numpy(), g["comp"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in g["set"]]
+    def linked(cols: dict, start: int, end: int) -> list[tuple]:
+        rep, comp = cols["rep"][start:end], cols["comp"][start:end].tolist()
         up = {c: c for c in comp}
 
         def root(c):
@@ -230,12 +236,12 @@ def _links(members: DataFrame, sets: DataFrame, least: int, percent: int) -> Dat
 
         out = []
         apart = len(up)
-        for i, j in zip(*_pairs_to_test(g, least), strict=True):
+        for i, j in zip(*_pairs_to_test(cols, start, end, least), strict=True):
             if apart == 1:
                 break
             ci, cj = root(comp[i]), root(comp[j])
             if ci != cj:
-                x, y = sets[i], sets[j]
+                x, y = (np.frombuffer(cols["set"][start + k], np.uint64) for k in (i, j))
                 if percent * max(len(x), len(y)) > 100 * min(len(x), len(y)):
                     continue  # sizes alone rule it out
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -243,9 +249,13 @@ def _links(members: DataFrame, sets: DataFrame, least: int, percent: int) -> Dat
                     up[ci] = cj
                     apart -= 1
                     out.append((rep[i], rep[j]))
+        return out
+
+    def links(frame: pd.DataFrame, cols: dict, spans: list) -> pd.DataFrame | None:
+        out = [x for start, end in spans for x in linked(cols, start, end)]
         return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
-    return _runs(members.join(sets, "rep"), group, "a long, b long").distinct()
+    return _runs(members.join(sets, "rep"), links, "a long, b long").distinct()
 
 
 def _sets(ids: DataFrame, documents: DataFrame, k: int) -> DataFrame:
