@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lmscore, mixing, neardup, packing, quality, secretscan, topk, toxicity, urlfilter
+from . import chat, fim, lmscore, mixing, neardup, packing, quality, secretscan, topk, toxicity, urlfilter
 from .common import crc_mod, table
 
 
@@ -86,6 +86,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(probe)))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    back = fim.restore(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def _op7_sql() -> str:
     """Counts by unnesting words and lines; cutoffs from binomial sums by log-gamma."""
     over = {"symbol_share": "n_symbols / greatest(word_chars, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)", "repeat_share": "n_repeat_words / greatest(n_words, 1)", "mean_word": "word_chars / greatest(n_words, 1)"}
@@ -204,8 +210,24 @@ _OP10_SQL = r"""
     from s group by conv_id"""
 
 
+def _op13_sql() -> str:
+    """Tokens of whole texts in lists, cut by their counts."""
+    h = lambda i: f"cast('0x' || substring(h, {8 * i - 7}, 8) as bigint)"
+    return rf"""
+    with d as (
+        select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as ks, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+    ), e as (
+        select doc_id, t, ks, len(ks) as n, least({h(1)} % (len(ks) + 1), {h(2)} % (len(ks) + 1)) as a, greatest({h(1)} % (len(ks) + 1), {h(2)} % (len(ks) + 1)) as b,
+            case when t = '' or regexp_matches(t, '<[PSM]>') or {h(3)} % 100 >= {fim.PLAIN_FROM} then 'plain' when {h(4)} % 100 < {fim.SPM_BELOW} then 'spm' else 'psm' end as form from d
+    ), p as (select *, array_to_string(ks[1:a], '') as pre, array_to_string(ks[a + 1:b], '') as mid, array_to_string(ks[b + 1:], '') as suf from e)
+    select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+        sha256(case form when 'plain' then t when 'psm' then '{fim.P}' || pre || '{fim.S}' || suf || '{fim.M}' || mid else '{fim.S}' || suf || '{fim.P}' || pre || '{fim.M}' || mid end) as output_sha256,
+        sha256(pre || mid || suf) as restored_sha256
+    from p"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_url_filter, op4_packing, op5_near_dedup, op6_lm_score, op7_quality_rules, op8_source_mix, op9_secret_scan, op10_chat_format)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_url_filter, op4_packing, op5_near_dedup, op6_lm_score, op7_quality_rules, op8_source_mix, op9_secret_scan, op10_chat_format, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -225,4 +247,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_source_mix": _op8_sql(),
         "op9_secret_scan": _op9_sql(),
         "op10_chat_format": _OP10_SQL,
+        "op13_fill_in_middle": _op13_sql(),
     }
