@@ -25,11 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: short lineage that survives lost executors."""
+def stash(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: short lineage that survives lost executors.
+
+    ``by``: a column of few values, each in a folder of its own, so that filters on it read only their share.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
