@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fim, lmscore, mixing, neardup, packing, quality, secretscan, topk, toxicity, urlfilter
-from .common import crc_mod, table
+from . import chat, fim, lmscore, mixing, neardup, packing, quality, secretscan, topk, toxicity, trie, urlfilter
+from .common import crc_mod, stash, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(probe)))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = stash(trie.number_turns(table(spark, sf_dir, "conversations")), "trie-turns")
+    return trie.trie(*trie.rebuild(numbered))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
     back = fim.restore(F.col("output"), F.col("form"))
@@ -210,6 +215,27 @@ _OP10_SQL = r"""
     from s group by conv_id"""
 
 
+def _op12_sql() -> str:
+    """Prefixes as joined digests of turns; sums below a node over the prefixes of each node's smallest member."""
+    crc = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(c as varchar), ''), lambda x: ascii(x)::bigint)), lambda h, x: list_reduce(list_prepend(xor(h, x), range(8)), lambda a, b: case when a % 2 = 1 then xor(a // 2, 3988292384::bigint) else a // 2 end)), 4294967295::bigint)"
+    return rf"""
+    with t as (
+        select conv_id as c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as said, cast(len({_WORDS.format("coalesce(text, '')")}) as bigint) as w
+        from conversations where conv_id is not null
+    ), l as (select c, list(said order by turn nulls first, said) as ss, list(w order by turn nulls first, said) as ws, {crc} % {trie.SHARED} as h from t group by c),
+    r as (
+        select l.c, list_concat(coalesce(b.ss[1:l.h], []), l.ss[l.h + 1:]) as ss, list_concat(coalesce(b.ws[1:l.h], []), l.ws[l.h + 1:]) as ws
+        from l left join l b on b.c = l.c - l.c % {trie.GROUP}
+    ), u as (select *, unnest(range(0, len(ss) + 1)) as d from r),
+    p as (select c, d, array_to_string(ss[1:d], ',') as key, array_to_string(ss[1:d - 1], ',') as up, coalesce(case when d > 0 then ws[d] end, 0) as w, len(ss) = d as ends from u),
+    node as (select d, key, min(up) as up, min(c) as c, count(*) as n, min(w) as w, sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (where ends), '')) as ends_sha256 from p group by d, key),
+    kids as (select d - 1 as d, up as key, count(*) as n_children from node where d > 0 group by all),
+    own as (select node.*, coalesce(n_children, 0) as n_children from node left join kids using (d, key)),
+    below as (select p.d, p.key, count(*) filter (where own.n_children = 0) as n_leaves, cast(sum((own.n - 1) * own.w) as bigint) as saved_tokens from own join p on p.c = own.c and p.d <= own.d group by all)
+    select own.c as conv_id, cast(own.d as bigint) as depth, parent.c as parent_conv_id, own.n as n_convs, own.n_children, n_leaves, saved_tokens, own.ends_sha256
+    from own join below using (d, key) left join node parent on parent.d = own.d - 1 and parent.key = own.up"""
+
+
 def _op13_sql() -> str:
     """Tokens of whole texts in lists, cut by their counts."""
     h = lambda i: f"cast('0x' || substring(h, {8 * i - 7}, 8) as bigint)"
@@ -227,7 +253,7 @@ def _op13_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_url_filter, op4_packing, op5_near_dedup, op6_lm_score, op7_quality_rules, op8_source_mix, op9_secret_scan, op10_chat_format, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_url_filter, op4_packing, op5_near_dedup, op6_lm_score, op7_quality_rules, op8_source_mix, op9_secret_scan, op10_chat_format, op12_prefix_trie, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -247,5 +273,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_source_mix": _op8_sql(),
         "op9_secret_scan": _op9_sql(),
         "op10_chat_format": _OP10_SQL,
+        "op12_prefix_trie": _op12_sql(),
         "op13_fill_in_middle": _op13_sql(),
     }

@@ -17,6 +17,7 @@ COLUMNS = {
     "op8": {"doc_id", "copies"},
     "op9": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
     "op10": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
+    "op12": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
     "op13": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
 }
 
