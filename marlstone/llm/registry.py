@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fim, lmscore, mixing, neardup, packing, quality, secretscan, topk, toxicity, trie, urlfilter
+from . import chat, fim, lmscore, mixing, neardup, packing, pieces, quality, secretscan, topk, toxicity, trie, urlfilter
 from .common import crc_mod, stash, table
 
 
@@ -86,6 +86,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns.unionByName(probe)))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), packing.vocabulary("piece_bpe_32k.model"))
+    return done.select("doc_id", "pieces.*").select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = stash(trie.number_turns(table(spark, sf_dir, "conversations")), "trie-turns")
     return trie.trie(*trie.rebuild(numbered))
@@ -253,7 +264,7 @@ def _op13_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_url_filter, op4_packing, op5_near_dedup, op6_lm_score, op7_quality_rules, op8_source_mix, op9_secret_scan, op10_chat_format, op12_prefix_trie, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_url_filter, op4_packing, op5_near_dedup, op6_lm_score, op7_quality_rules, op8_source_mix, op9_secret_scan, op10_chat_format, op11_pieces, op12_prefix_trie, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:

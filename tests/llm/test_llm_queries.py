@@ -17,6 +17,7 @@ COLUMNS = {
     "op8": {"doc_id", "copies"},
     "op9": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
     "op10": {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
+    "op11": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op12": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
     "op13": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
 }
@@ -32,5 +33,5 @@ def test_query(spark, name):
 def test_shape(spark, name):
     df = registry.queries()[name](spark, str(TABLES))
     assert COLUMNS[name.split("_")[0]] <= set(df.columns)
-    if name.split("_")[0] in ("op1", "op5", "op6", "op7", "op8", "op9", "op13"):
+    if name.split("_")[0] in ("op1", "op5", "op6", "op7", "op8", "op9", "op11", "op13"):
         assert df.count() == spark.read.parquet(f"{TABLES}/documents.parquet").count()
