@@ -231,7 +231,7 @@ def test_lm_tells_words_of_a_length_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     words, p = lmscore.train(docs)
     got = {r["doc_id"]: r["lm"] for r in lmscore.score(docs, (words, p)).collect()}
-    assert len(words.numbers) == 1100  # grows beyond the network's 1,008 words
+    assert len(words.hashes) == 1100  # grows beyond the network's 1,008 words
     assert got[2]["log_likelihood"] != got[3]["log_likelihood"]
     # all words of two bytes: the listed share and the spelled rest make a distribution
     every = [bytes([a, b]) for a in range(256) for b in range(256)]
@@ -244,7 +244,7 @@ def test_lm_trains_on_every_position(spark):
     texts = ["a b c d e", "b a", "", None]
     words, p = lmscore.train(spark.createDataFrame([(x,) for x in texts], "text string"))
     t = lmscore.Trainer(p)
-    t.texts(texts, words, lmscore._Numbers(words.numbers))
+    t.texts(texts, lmscore.Lookup(words))
     assert t.tokens == 7
 
 
@@ -389,6 +389,25 @@ def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
     assert len(one) == len(rows) and one == scores(5)
 
 
+def test_lm_values_do_not_depend_on_the_texts_around(monkeypatch):
+    rng = np.random.default_rng(8)
+    p = rng.normal(0, 0.3, (lmscore._ROWS, lmscore.HIDDEN + 1)).astype(np.float32)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 90, n)) for n in (3, 1, 700, 50, 5000, 17)]
+    known = sorted({(lmscore.word_hash(b"w%d" % x), x) for x in range(60)})
+    words = lmscore.Words(np.array([h for h, _ in known], np.uint64), np.array([x for _, x in known], np.int32), np.zeros(60), np.zeros(16), np.zeros(65536), np.zeros(2))
+
+    def each(some):
+        row, at, sizes, _ = lmscore._lay_out(some, lmscore.Lookup(words, spell=True))
+        return np.split(lmscore.log_probs(p, row, at), np.cumsum(sizes)[:-1])
+
+    together = each(texts)
+    for chunk in (1 << 14, 1000):
+        monkeypatch.setattr(lmscore, "_CHUNK", chunk)
+        for t, got in zip(texts, together, strict=True):
+            assert (each([t])[0] == got).all()
+            assert (each(["w1 w70", t, "w3"])[1] == got).all()
+
+
 def test_ftrl_against_a_plain_version():
     from marlstone.llm.ftrl import Ftrl
 
