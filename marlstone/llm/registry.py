@@ -48,7 +48,7 @@ def _op3_sql() -> str:
             select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
                 coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
             from pages
-        ), q as (select *, regexp_replace(host, ':[0-9]*$', '') as bare from p)
+        ), q as (select *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') as bare from p)
         select page_id, host, path, case {rule} end as rule, case {verdict} when {listed} then 'block' else 'allow' end as verdict from q"""
 
 

@@ -1,8 +1,9 @@
 """URL filters: rules, then a blocked Bloom filter of listed canonical URLs before an exact join.
 
-A page's look-up keys are its canonical URL and its shorter forms: every suffix
-of the host with two labels or more, each with the whole path and with every
-directory above it, as far as the list's deepest host and path go.  The keys' hashes are tested against a blocked Bloom filter
+A listed URL stands for its host with all subdomains, and for all that its path holds.
+List and look-up use one canonical form (``canonical``), and a page's look-up keys are
+its shorter forms: every suffix of the host with two labels or more, each with every
+directory of the path, as far as the list's deepest host and path go.  The keys' hashes are tested against a blocked Bloom filter
 (256-bit blocks, one bit in each of eight words) of the listed keys; only
 possible hits go on to an exact join with the list, which removes false
 positives.  The filter is built by an aggregation and its size is bounded by
@@ -52,14 +53,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def plain_host(host: Column) -> Column:
+    """A host (A-Z lower-cased) without what stands before an ``@``, without port and without dots at its end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), ":[0-9]*$", ""), r"\.+$", "")
+
+
+def path_parts(path: Column) -> Column:
+    """What stands between a path's slashes, without what is empty."""
+    return F.filter(F.split(path, "/"), lambda p: p != "")
+
+
+def _key(host: Column, parts: Column) -> Column:
+    return F.concat(host, F.lit("/"), F.array_join(parts, "/"))
+
+
 def canonical(url: Column) -> Column:
-    """Form in which URLs are listed and looked up: host (A-Z lower-cased, no port), a slash, the path without slashes at its ends.
+    """Form in which URLs are listed and looked up: ``plain_host``, a slash, and ``path_parts`` with a slash between them.
 
-    A url without ``://`` counts as one that starts with its host; query and fragment go; null without a host.
+    A url without ``://`` counts as one that starts with its host; query and fragment
+    go; percent codes and the case of the path stay as they are written; null without
+    a host.
     """
     host, path = split_url(F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("://"), url)))
-    bare = F.regexp_replace(host, ":[0-9]*$", "")
-    return F.when(bare != "", F.concat(bare, F.lit("/"), F.regexp_replace(F.regexp_replace(path, "^/+", ""), "/+$", "")))
+    bare = plain_host(host)
+    return F.when(bare != "", _key(bare, path_parts(path)))
 
 
 def deepest(listed: DataFrame) -> tuple[int, int]:
@@ -75,16 +92,13 @@ def lookup_keys(host: Column, path: Column, max_labels: int, max_dirs: int) -> C
 
     Shorter forms are made up to the labels and directories of the list's deepest entries: no longer one can be listed.
     """
-    bare = F.regexp_replace(host, ":[0-9]*$", "")
+    bare, parts = plain_host(host), path_parts(path)
     labels = F.split(bare, r"\.")
     n = F.size(labels)
     hosts = F.transform(F.sequence(F.lit(0), F.least(F.greatest(n - 2, F.lit(0)), F.lit(max(max_labels - 2, 0)))), lambda i: F.array_join(F.slice(labels, F.greatest(n - 1 - i, F.lit(1)), n), "."))
     hosts = F.array_union(F.array(bare), hosts)
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    whole = F.regexp_replace(F.regexp_replace(path, "^/+", ""), "/+$", "")
-    dirs = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(max_dirs))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    paths = F.array_union(F.array(whole), dirs)
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit("/"), p))))))
+    above = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(max_dirs))), lambda i: F.slice(parts, 1, i))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(above, lambda p: _key(h, p))))))
 
 
 def _words(h: np.ndarray) -> np.ndarray:

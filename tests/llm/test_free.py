@@ -318,6 +318,19 @@ def test_listed_urls_are_made_canonical(spark):
     assert got == {0: "block", 1: "allow", 2: "block", 3: "block", 4: "allow"}
 
 
+def test_list_and_lookup_share_one_form(spark):
+    listed = spark.createDataFrame([("h.net/a//b",), ("x.example.net./p",), ("http://user:pw@U.org:443//d/",), ("single",), ("deep.org/%61/B",)], "key string")
+    urls = {
+        "http://h.net/a//b": "block", "http://h.net/a//b/c": "block", "http://h.net/a/b/c?q": "block", "http://h.net/a/c": "allow",
+        "http://x.example.net/p/q": "block", "http://w.x.example.net.:80/p/": "block", "http://x.example.net/pq": "allow",
+        "http://u.org/d/e": "block", "http://me@v.u.org/d": "block", "http://u.org@evil.net/d": "allow", "http://single/x": "block", "http://a.single/x": "allow",
+        "http://deep.org/%61/B/c": "block", "http://deep.org/a/B/c": "allow", "http://deep.org/%61/b": "allow",
+    }
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, listed, rules=()).collect()}
+    assert [got[i] for i in range(len(urls))] == list(urls.values())
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     assert {r["component"] for r in components.components(links).collect()} == {0}
