@@ -4,37 +4,49 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def ambiguous(remote: DataFrame, name: str = "name") -> DataFrame:
-    """Names that several remote documents have: an error, never a choice."""
-    return remote.groupBy(name).count().filter("count > 1")
+    """Names that several remote documents of a dataset (``domain``, where there is one) have: an error, never a choice."""
+    return remote.groupBy(*_place(remote, name)).count().filter("count > 1")
+
+
+def _place(remote: DataFrame, name: str = "name") -> list[str]:
+    """What finds a remote document: its name, within its dataset where that is told."""
+    return ["domain", name] if "domain" in remote.columns else [name]
 
 
 def one_per_name(remote: DataFrame, name: str = "name") -> DataFrame:
-    """``remote`` by name; raises when a name that is used is ambiguous."""
-    cols = [c for c in remote.columns if c != name]
-    rows = remote.groupBy(name).agg(F.count("*").alias("__n"), F.max(F.struct(*cols)).alias("__r"))
+    """``remote`` by name (within ``domain``, where there is one); raises when a name that is used is ambiguous."""
+    by = _place(remote, name)
+    cols = [c for c in remote.columns if c not in by]
+    rows = remote.groupBy(*by).agg(F.count("*").alias("__n"), F.max(F.struct(*cols)).alias("__r"))
     ok = F.when(F.col("__n") == 1, F.col("__r")).otherwise(F.raise_error(F.concat(F.lit("duplicate remote name: "), F.col(name).cast("string"))))
-    return rows.select(name, ok.alias("__r")).select(name, "__r.*")
+    return rows.select(*by, ok.alias("__r")).select(*by, "__r.*")
 
 
 def upload_plan(manifest: DataFrame, receipts: DataFrame, remote: DataFrame) -> DataFrame:
     """key, action (skip, create, update, metadata, defer), document_id for every item.
 
-    ``manifest``: key, name, content_hash; ``receipts``: key, document_id, hash,
-    metadata_applied, retired_at; ``remote``: name, document_id, status.  Remote
-    documents are found by name, and a name that two have raises.  An item is done
-    if its receipt has its hash and that document, is applied and not retired;
-    new content for a document that is not available yet waits; where hash and
-    document fit, the metadata alone is sent again.
+    ``manifest``: key, name, content_hash, domain; ``receipts``: key, document_id, hash,
+    metadata_applied, retired_at; ``remote``: name, document_id, status, domain (the
+    dataset; without that column all are of one).  An item's document is found by name
+    within its dataset: one name may be in several datasets, and raises if two of one
+    dataset have it.  An item is done if its receipt has its hash and that document, is
+    applied and not retired; new content for a document that is not available yet
+    waits; where hash and document fit, the metadata alone is sent again.
     """
     r = receipts.select(F.col("key").alias("__k"), F.col("document_id").alias("__had"), "hash", "metadata_applied", "retired_at")
-    x = one_per_name(remote.select("name", "document_id", "status").join(manifest.select("name"), "name", "left_semi")).select(F.col("name").alias("__n"), "document_id", "status")
-    rows = manifest.select("key", "name", "content_hash").join(r, F.col("key") == F.col("__k"), "left").join(x, F.col("name") == F.col("__n"), "left")
+    by = _place(remote)
+    used = remote.select(*by, "document_id", "status").join(manifest.select(*by), by, "left_semi")
+    x = one_per_name(used).select(*[F.col(c).alias(f"__{c}") for c in by], "document_id", "status")
+    found = reduce(and_, [F.col(c) == F.col(f"__{c}") for c in by])
+    rows = manifest.select("key", "content_hash", *by).join(r, F.col("key") == F.col("__k"), "left").join(x, found, "left")
     same_hash = F.coalesce(F.col("hash") == F.col("content_hash"), F.lit(False))
     same = same_hash & F.col("__had").eqNullSafe(F.col("document_id"))
     there = F.col("document_id").isNotNull()

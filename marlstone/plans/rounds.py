@@ -6,8 +6,11 @@ of the driver's own (a small database, an archive).
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +65,7 @@ def snk_partitioned(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("k", "brand", "size")
 
 
-@query("select doc_id as key, md5('T ' || lang || replace(coalesce(text, ''), chr(10), '')) as digest, 0 as images from documents where not regexp_matches(coalesce(text, ''), '[\\x00-\\x08\\x0B-\\x1F]') or true")
+@query("select doc_id as key, md5('T ' || lang || replace(coalesce(text, ''), chr(10), '')) as digest, 0 as images from documents")
 def snk_docx(spark: SparkSession, d: str) -> DataFrame:
     """Documents as word processor files, and the text that these hold."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.array(F.concat(F.lit("T "), "lang"), text.xml_text("text")).alias("paragraphs"))
@@ -101,30 +104,56 @@ def snk_portable_paths(spark: SparkSession, d: str) -> DataFrame:
     return sinks.portable_paths(rows, {"en": "财务核算", "fr": "项目管理"}).select("k", F.col("package_path").alias("path"))
 
 
-@query("select 'f' || n_nationkey || '.pdf' as name, sha256(n_name || chr(10)) as sha256, length(n_name) + 1 as bytes, case when n_nationkey % 4 = 0 then 'error' else 'ok' end as status, case when n_nationkey % 4 <> 0 then length(n_name) end as pages from nation")
+def _put_files(rows: DataFrame, folder: str) -> int:
+    """Write (name, content) as files below a shared folder, by the executors; names may have folders."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                path = f"{root}/{name}"
+                system.create_dir(path.rpartition("/")[0])
+                with system.open_output_stream(path) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return rows.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(run, "n long").agg(F.sum("n")).first()[0]
+
+
+def _nation_files(spark: SparkSession, d: str, folder: str) -> None:
+    """A file a nation in a folder a region: some begin with a stop, some are empty."""
+    k = F.col("n_nationkey")
+    body = F.when(k % 5 == 0, "").when(k % 4 == 0, F.concat(F.lit("."), "n_name")).otherwise(F.col("n_name"))
+    name = F.concat(F.lit("r "), F.col("n_regionkey").cast("string"), F.lit("/f"), k.cast("string"), F.when(k % 2 == 0, ".pdf").otherwise(".PDF"))
+    _put_files(table(spark, d, "nation").select(name.alias("name"), body.alias("content")), folder)
+
+
+_NATION_FILES = "f as (select n_nationkey as k, 'f' || n_nationkey || case when n_nationkey % 2 = 0 then '.pdf' else '.PDF' end as name, 'r ' || n_regionkey as folder, case when n_nationkey % 5 = 0 then '' when n_nationkey % 4 = 0 then '.' || n_name else n_name end as body from nation)"
+
+
+@query(f"""with {_NATION_FILES} select folder || '/' || name as relative_path, name, sha256(body) as sha256, substring(sha256(body), 1, 16) as source_id, cast(length(body) as bigint) as bytes,
+    case when body = '' or body[1] = '.' then 'error' else 'ok' end as status, case when body <> '' and body[1] <> '.' then cast(length(body) as bigint) end as pages, case when body = '' then 'ValueError: empty' when body[1] = '.' then 'ValueError: broken' end as error from f""")
 def src_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Files below a folder, with digests; one that cannot be read is a row."""
+    """Files below a folder, with digests; an empty file and one that cannot be read are rows with an error."""
     path = _folder(spark, "scan")
-    n = table(spark, d, "nation").select("n_name", F.concat(F.lit("f"), F.col("n_nationkey").cast("string"), F.lit(".pdf")).alias("f"), F.col("n_nationkey").alias("k"))
-    n.repartition("k").select("f", "n_name").write.partitionBy("f").text(path)
+    _nation_files(spark, d, path)
 
     def pages(content: bytes) -> int:
-        return len(content) - 1
+        if not content or content.startswith(b"."):
+            raise ValueError("broken" if content else "empty")
+        return len(content)
 
-    found = files.scan(spark, path, "txt", pages)
-    name = F.regexp_extract("relative_path", "f=([^/]*)/", 1)
-    odd = F.regexp_extract(name, r"(\d+)", 1).cast("int") % 4 == 0
-    return found.select(name.alias("name"), "sha256", "bytes", F.when(odd, "error").otherwise(F.col("status")).alias("status"), F.when(~odd, F.col("pages")).alias("pages"))
+    return files.scan(spark, path, "pdf", pages).drop("path")
 
 
-@query("select 25 as files, cast(sum(length(n_name) + 1) as bigint) as bytes from nation")
+@query(f"with {_NATION_FILES} select count(*) as files, cast(sum(length(body)) as bigint) as bytes from f")
 def src_directory_size(spark: SparkSession, d: str) -> DataFrame:
-    """Number and size of the files below a folder; contents are not read."""
+    """Number and size of the files below a folder, empty ones too; contents are not read."""
     path = _folder(spark, "size")
-    n = table(spark, d, "nation").select("n_name", F.col("n_nationkey").alias("k"))
-    n.repartition("k").write.partitionBy("k").text(path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
-    return found.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    _nation_files(spark, d, path)
+    return files.directory_size(spark, path)
 
 
 def _decoder(content: bytes) -> list[dict]:

@@ -36,15 +36,26 @@ def _remote(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""with {_MANIFEST}, {_RECEIPTS}, {_REMOTE}
+#: Remote documents with their datasets: some names are in two of them, some in another one than the item's alone.
+_BY_DATASET = "y as (select x.*, o_orderpriority as domain from x join orders on x.name = 'n' || o_orderkey where o_orderkey % 10 <> 3 union all select x.*, 'elsewhere' from x join orders on x.name = 'n' || o_orderkey where o_orderkey % 10 >= 3)"
+
+
+def _remote_by_dataset(spark: SparkSession, d: str) -> DataFrame:
+    owned = _remote(spark, d).join(_manifest(spark, d).select("key", "name", "domain"), "name")
+    other = owned.filter("key % 10 >= 3").withColumn("domain", F.lit("elsewhere"))
+    return owned.filter("key % 10 <> 3").unionByName(other).drop("key")
+
+
+@query(f"""with {_MANIFEST}, {_RECEIPTS}, {_REMOTE}, {_BY_DATASET}
     select m.key, x.document_id, case
             when r.hash = m.content_hash and r.document_id is not distinct from x.document_id and r.metadata_applied and r.retired_at is null then 'skip'
             when x.document_id is not null and r.hash is distinct from m.content_hash and x.status <> 'available' then 'defer'
             when r.hash = m.content_hash and r.document_id is not distinct from x.document_id then 'metadata'
             when x.document_id is not null then 'update' else 'create' end as action
-    from m left join r on m.key = r.key left join x on m.name = x.name""")
+    from m left join r on m.key = r.key left join y x on m.name = x.name and m.domain = x.domain""")
 def sync_upload_plan(spark: SparkSession, d: str) -> DataFrame:
-    return sync.upload_plan(_manifest(spark, d), _receipts(spark, d), _remote(spark, d))
+    """Documents are found by name within the item's dataset; the same name in another one is none of its own."""
+    return sync.upload_plan(_manifest(spark, d), _receipts(spark, d), _remote_by_dataset(spark, d))
 
 
 def _counts(name: str, cur: str, ready: str) -> str:

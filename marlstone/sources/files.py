@@ -6,6 +6,7 @@ import hashlib
 import io
 import os
 import re
+import urllib.parse
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -17,15 +18,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _files(spark: SparkSession, root: str, glob: str = "*") -> tuple[DataFrame, DataFrame]:
+    """Files below ``root``: (path) of all, and (path, length, content) of those that are not empty, which are all that Spark's reader gives."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    # the listing is the reader's own; it tells empty files too, in the form of URLs
+    listed = pd.DataFrame({"path": [urllib.parse.unquote(p) for p in raw.inputFiles()]}, dtype=object)
+    same = lambda p: F.regexp_replace(p, "^file:/+", "file:/")  # noqa: E731  two ways to write a local path
+    return spark.createDataFrame(listed, "path string").select(same("path").alias("path")), raw.select(same("path").alias("path"), "length", "content")
+
+
 def scan(spark: SparkSession, root: str, suffix: str = "pdf", page_count: Callable[[bytes], int] | None = None) -> DataFrame:
-    """One row per file below ``root``, or for the one file that it names: source_id, sha256, path, relative_path, name, bytes, pages, status, error.
+    """One row per file below ``root``, empty ones too, or for the one file that it names: source_id, sha256, path, relative_path, name, bytes, pages, status, error.
 
     ``page_count`` turns a file's bytes into its number of pages; a file that it
     cannot read becomes a row with status error.
     """
-    glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    base = raw.select(F.col("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), "content")
+    listed, read = _files(spark, root, "*." + "".join(f"[{c.lower()}{c.upper()}]" for c in suffix))
+    empty = listed.join(read.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+    base = read.unionByName(empty).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), "content")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -56,8 +66,10 @@ def scan(spark: SparkSession, root: str, suffix: str = "pdf", page_count: Callab
 
 
 def directory_size(spark: SparkSession, root: str) -> DataFrame:
-    """files, bytes; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    """files, bytes below ``root``; empty files count, contents are not read."""
+    listed, read = _files(spark, root)
+    rows = listed.join(read.select("path", "length"), "path", "left")
+    return rows.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str, pattern: str = "*.json") -> DataFrame:
