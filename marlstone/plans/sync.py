@@ -18,6 +18,9 @@ def _manifest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(k.alias("key"), F.concat(F.lit("n"), k.cast("string")).alias("name"), F.col("o_orderpriority").alias("domain"), F.concat(F.lit("h"), (k % 7).cast("string")).alias("content_hash"), F.when(k % 3 != 0, F.concat(F.lit("a"), k.cast("string"))).alias("anchor"))
 
 
+manifest = _manifest
+
+
 def _receipts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").filter("l_orderkey % 13 <> 0").groupBy(F.col("l_orderkey").alias("key")).agg(F.min("l_quantity").alias("q"), (F.max("l_discount") > 0.05).alias("metadata_applied"))
     shift = F.when(F.col("q") < 10, 1).otherwise(0)
@@ -73,6 +76,14 @@ def _anchors(spark: SparkSession, d: str) -> DataFrame:
     return m.select("key", (F.col("key") * 10 + F.when(F.col("key") % 8 == 0, 5).otherwise(0)).alias("document_id"), sync.anchor_fingerprint().alias("fingerprint"))
 
 
+#: What a store has been sent after all runs of the upload plan.
+SEND_SQL = f"""with {_MANIFEST}, {_RECEIPTS}, {_REMOTE}, {_BY_DATASET}, p as (
+        select m.key, m.content_hash, x.document_id, r.hash is not distinct from m.content_hash and r.document_id is not distinct from x.document_id as same, r.metadata_applied and r.retired_at is null as done, coalesce(x.status, '') as status
+        from m left join r on m.key = r.key left join y x on m.name = x.name and m.domain = x.domain)
+    select key, cast(case when same then 0 else 1 end as bigint) as puts, cast(1 as bigint) as described, content_hash as hash, true as metadata_applied, document_id is not null as had
+    from p where not (same and coalesce(done, false)) and (same or document_id is null or status = 'available' or exists (select 1 from r where r.key = p.key and r.hash = p.content_hash))"""
+
+
 def _readiness(spark: SparkSession, d: str) -> DataFrame:
     return sync.readiness(_manifest(spark, d), _receipts(spark, d), _remote(spark, d), _anchors(spark, d))
 
