@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vectors
 from ..operators import inventory, models, retrieval, sync
 from ..operators.scratch import shared_dir
-from ..sources import files, office, sinks, snapshots, upload
+from ..sources import files, office, pages, sinks, snapshots, upload
 from ..streaming import events
 from . import sql
 from . import sync as sync_plans
@@ -141,12 +141,12 @@ def src_scan(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark, "scan")
     _nation_files(spark, d, path)
 
-    def pages(content: bytes) -> int:
+    def count(content: bytes) -> int:
         if not content or content.startswith(b"."):
             raise ValueError("broken" if content else "empty")
         return len(content)
 
-    return files.scan(spark, path, "pdf", pages).drop("path")
+    return files.scan(spark, path, "pdf", count).drop("path")
 
 
 @query(f"with {_NATION_FILES} select count(*) as files, cast(sum(length(body)) as bigint) as bytes from f")
@@ -370,3 +370,33 @@ def snk_send_documents(spark: SparkSession, d: str) -> DataFrame:
     told = upload.receipts(spark, f"{root}/journal")
     rows = told.join(puts, "key", "left").join(described, "key", "left")
     return rows.select(F.col("key").cast("long").alias("key"), F.coalesce("puts", F.lit(0)).alias("puts"), F.coalesce("described", F.lit(0)).alias("described"), "hash", "metadata_applied", F.col("document_id").rlike("^[0-9]+$").alias("had"))
+
+
+#: Files of a nation's customers, a line each in the order of their keys; every tenth file begins with a stop.
+_CUSTOMER_FILES = """f as (select 'f' || c_nationkey || '.txt' as name, c_nationkey, c_name || '|' || c_mktsegment as line, row_number() over (partition by c_nationkey order by c_custkey) as page, count(*) over (partition by c_nationkey) as pages from customer)"""
+
+
+def _customer_files(spark: SparkSession, d: str, folder: str) -> None:
+    n = F.col("c_nationkey")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.concat_ws("|", "c_name", "c_mktsegment").alias("line")))), lambda x: F.concat(x["line"], F.lit("\n")))
+    body = F.concat(F.when(n % 10 == 0, ".").otherwise(""), F.array_join(lines, ""))
+    # a nation's customers are one file
+    _put_files(table(spark, d, "customer").groupBy("c_nationkey").agg(body.alias("content")).select(F.concat(F.lit("c/f"), n.cast("string"), F.lit(".txt")).alias("name"), "content"), folder)
+
+
+@query(f"""with {_CUSTOMER_FILES} select 'c/' || name as relative_path, cast(page as integer) as page, cast(pages as integer) as pages, line as text, 'complete' as status, null as error from f where c_nationkey % 10 <> 0
+    union all select distinct 'c/' || name, null::integer, null::integer, null, 'failed', 'ValueError: broken' from f where c_nationkey % 10 = 0""")
+def src_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of files, decoded in the tasks that need them; a file that does not open is a row."""
+    path = _folder(spark, "pages")
+    _customer_files(spark, d, path)
+    return pages.read(spark, path, pages.LinePages, ".txt").select("relative_path", "page", "pages", "text", "status", "error")
+
+
+@query(f"with {_CUSTOMER_FILES} select name, cast(page as integer) as page, line as text from f where c_nationkey in (3, 7, 10) and c_nationkey % 10 <> 0 and page between 2 and 9")
+def src_pages_pushed(spark: SparkSession, d: str) -> DataFrame:
+    """Filters on pages and files that the reader takes over: other files are not opened, other pages not decoded."""
+    path = _folder(spark, "pages")
+    _customer_files(spark, d, path)
+    rows = pages.read(spark, path, pages.LinePages, ".txt")
+    return rows.filter(F.col("name").isin("f3.txt", "f7.txt", "f10.txt") & F.col("page").between(2, 9)).select("name", "page", "text")
