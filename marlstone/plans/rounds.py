@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vectors
 from ..operators import inventory, models, retrieval, sync
 from ..operators.scratch import shared_dir
-from ..sources import files, office, pages, sinks, snapshots, upload
+from ..sources import files, incremental, office, pages, sinks, snapshots, upload
 from ..streaming import events
 from . import sql
 from . import sync as sync_plans
@@ -400,3 +400,19 @@ def src_pages_pushed(spark: SparkSession, d: str) -> DataFrame:
     _customer_files(spark, d, path)
     rows = pages.read(spark, path, pages.LinePages, ".txt")
     return rows.filter(F.col("name").isin("f3.txt", "f7.txt", "f10.txt") & F.col("page").between(2, 9)).select("name", "page", "text")
+
+
+@query(f"""with {_WINDOWS} select doc_id, cast(o as integer) as "offset", md5(source || ' / ' || lang || chr(10) || substring(text, cast(o as integer) + 1, 300)) as digest, case when lang in ('fr', 'de') then 2 else 1 end as build from w""")
+def corpus_incremental_build(spark: SparkSession, d: str) -> DataFrame:
+    """Passages built twice: some documents change after the first build, some become ready; the second makes these alone, and what is read is what a full build gives."""
+    root = _folder(spark, "build")
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("topic"), F.col("lang").alias("title"), text.text_of("text").alias("content"))
+    sources = lambda df, ready: df.select(F.col("doc_id").cast("string").alias("source_id"), F.md5(F.col("content").cast("binary")).alias("signature"), ready.alias("ready"), *df.columns)
+
+    def make(changed: DataFrame) -> DataFrame:
+        return retrieval.passages(changed).select(F.col("doc_id").cast("string").alias("source_id"), "doc_id", "offset", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+    before = docs.withColumn("content", F.when(F.col("title") == "fr", F.concat("content", F.lit(" (draft)"))).otherwise(F.col("content")))
+    incremental.build(sources(before, F.col("title") != "de"), make, root, version=1)
+    incremental.build(sources(docs, F.lit(True)), make, root, version=1)
+    return incremental.read(spark, root).select("doc_id", "offset", "digest", F.col("number").alias("build"))
