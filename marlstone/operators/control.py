@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,38 +70,72 @@ def recover(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return jobs.withColumn("status", F.when(was, "queued").otherwise(F.col("status"))), warned
 
 
+class Rule(NamedTuple):
+    """What a request does to jobs of some statuses; None leaves a part as it is."""
+
+    request: str
+    of: tuple[str, ...]
+    to: str | None = None
+    pause: bool | None = None
+    cancel: bool | None = None
+    #: A pause or cancel that is wanted decides where the job goes.
+    halts: bool = False
+    #: Only for jobs that nobody wants paused or cancelled.
+    free: bool = False
+
+
+#: The first rule that fits a request and a status holds; where none fits, the request is refused and changes nothing.
+RULES = (
+    Rule("pause", ("queued", "needs_review"), "paused", pause=False),
+    Rule("pause", ("preparing", "running", "paused"), pause=True),
+    Rule("cancel", ("queued", "paused", "needs_review"), "cancelled", cancel=False),
+    Rule("cancel", ("preparing", "running"), cancel=True),
+    Rule("resume", ("paused", "needs_review", "failed"), "queued", False, False),
+    Rule("resume_unresolved", ("paused", "failed"), "queued", False, False),
+    Rule("ready", ("preparing",), "queued", False, False, halts=True),
+    Rule("claim", ("queued",), "running", free=True),
+    Rule("stage", ("running",), halts=True),
+    Rule("review", ("running",), "needs_review"),
+    Rule("complete", ("running",), "completed"),
+    Rule("fail", ("running", "preparing"), "failed"),
+    Rule("recover", ("running",), "queued"),
+    Rule("deadline", ("running", "preparing"), "failed"),
+)
+
+
 def next_state(job: Column, request: Column) -> Column:
-    """``job`` (struct status, pause, cancel) after a request; requests that are refused change nothing.
+    """``job`` (struct status, pause, cancel) after a request, by ``RULES``.
 
     pause and cancel take effect at once on jobs that wait, and are remembered by
     those that are being prepared or run, until ``ready`` (the upload is there) or
     ``stage`` (a stage has ended).  ``resume_unresolved`` is a resume while files
-    have no domain, which jobs under review refuse.  Other requests: resume, claim,
-    review, complete, fail, recover.
+    have no domain, which jobs under review refuse.
     """
-    s, asked = job["status"], lambda *names: request.isin(*names)
-    to = lambda status, pause=None, cancel=None: F.struct(
-        (F.lit(status) if isinstance(status, str) else status).alias("status"),
-        (job["pause"] if pause is None else F.lit(pause)).alias("pause"),
-        (job["cancel"] if cancel is None else F.lit(cancel)).alias("cancel"),
-    )
     halted = F.when(job["cancel"], "cancelled").when(job["pause"], "paused")
-    return (
-        F.when(asked("pause") & s.isin("queued", "needs_review"), to("paused", pause=False))
-        .when(asked("pause") & ~s.isin(*TERMINAL), to(s, pause=True))
-        .when(asked("cancel") & s.isin("queued", "paused", "needs_review"), to("cancelled", cancel=False))
-        .when(asked("cancel") & ~s.isin(*TERMINAL), to(s, cancel=True))
-        .when(asked("resume") & s.isin("paused", "needs_review", "failed"), to("queued", False, False))
-        .when(asked("resume_unresolved") & s.isin("paused", "failed"), to("queued", False, False))
-        .when(asked("ready") & (s == "preparing"), to(F.coalesce(halted, F.lit("queued")), False, False))
-        .when(asked("claim") & (s == "queued") & ~job["pause"] & ~job["cancel"], to("running"))
-        .when(asked("stage") & (s == "running"), to(F.coalesce(halted, s)))
-        .when(asked("review") & (s == "running"), to("needs_review"))
-        .when(asked("complete") & (s == "running"), to("completed"))
-        .when(asked("fail") & s.isin("running", "preparing"), to("failed"))
-        .when(asked("recover") & (s == "running"), to("queued"))
-        .otherwise(to(s))
-    )
+    out = None
+    for r in RULES:
+        fits = (request == r.request) & job["status"].isin(*r.of)
+        if r.free:
+            fits = fits & ~job["pause"] & ~job["cancel"]
+        to = job["status"] if r.to is None else F.lit(r.to)
+        after = F.struct(
+            (F.coalesce(halted, to) if r.halts else to).alias("status"),
+            (job["pause"] if r.pause is None else F.lit(r.pause)).alias("pause"),
+            (job["cancel"] if r.cancel is None else F.lit(r.cancel)).alias("cancel"),
+        )
+        out = F.when(fits, after) if out is None else out.when(fits, after)
+    return out.otherwise(job)
+
+
+def after_request(job: tuple[str, bool, bool], request: str) -> tuple[str, bool, bool]:
+    """``next_state`` of one job (status, pause, cancel), for stateful streams; by the same ``RULES``."""
+    status, pause, cancel = job
+    for r in RULES:
+        if r.request == request and status in r.of and not (r.free and (pause or cancel)):
+            halted = "cancelled" if cancel else "paused" if pause else None
+            to = status if r.to is None else r.to
+            return (halted or to) if r.halts else to, pause if r.pause is None else r.pause, cancel if r.cancel is None else r.cancel
+    return job
 
 
 def new_job(status: str = ACTIVE_START) -> Column:
@@ -116,6 +152,19 @@ def fold_states(requests: DataFrame, job: str = "job_id", order: str = "event_id
     return listed.select(job, F.aggregate("rs", new_job(start), next_state)["status"].alias("state"))
 
 
+def fold_deadlines(requests: DataFrame, deadline_ms: int, until_ms: Column, start: str = ACTIVE_START) -> DataFrame:
+    """job_id, state of jobs (job_id, event_id, ts, request) that fail when nothing is heard of them for ``deadline_ms``.
+
+    Requests go by ts, then event_id; the time of the last counts up to ``until_ms``.
+    """
+    listed = requests.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id", "request"))).alias("rs"))
+    first = F.struct(new_job(start).alias("job"), F.lit(None).cast("long").alias("at"))
+    overdue = lambda a, now: F.when(now > a["at"] + deadline_ms, next_state(a["job"], F.lit("deadline"))).otherwise(a["job"])
+    folded = F.aggregate("rs", first, lambda a, r: F.struct(next_state(overdue(a, r["at"]), r["request"]).alias("job"), r["at"].alias("at")))
+    rows = listed.select("job_id", folded.alias("a"))
+    return rows.select("job_id", overdue(F.col("a"), until_ms)["status"].alias("state"))
+
+
 def memory_window(turns: DataFrame, n: int = 6) -> DataFrame:
     """The last ``n`` turns of each conversation."""
     return recent(turns, "conv_id", "turn", n)

@@ -51,30 +51,55 @@ def ctl_props_json(spark: SparkSession, d: str) -> DataFrame:
 _REQUESTS = ("ready", "claim", "stage", "pause", "stage", "resume", "claim", "review", "pause", "resume_unresolved", "review", "resume", "claim", "cancel", "stage", "pause", "resume", "claim", "recover", "claim", "fail", "resume", "claim", "complete")
 
 
-@query(f"""with recursive e as (
-        select user_id, row_number() over (partition by user_id order by event_id) as pos, {list(_REQUESTS)}[cast((event_id // 3 + user_id) % {len(_REQUESTS)} as integer) + 1] as r from events
-    ), s as (
-        select user_id, 0 as pos, {{'s': 'preparing', 'p': false, 'c': false}} as j from (select distinct user_id from e)
+#: The state machine written by hand: ``e`` has user_id, pos (from 1) and r, a request.
+_FOLD = """s as (
+        select user_id, 0 as pos, {'s': 'preparing', 'p': false, 'c': false} as j from (select distinct user_id from e)
         union all
         select e.user_id, e.pos, case
             when j.s in ('completed', 'failed', 'cancelled') and r in ('pause', 'cancel') then j
-            when r = 'pause' then case when j.s in ('queued', 'needs_review') then {{'s': 'paused', 'p': false, 'c': j.c}} else {{'s': j.s, 'p': true, 'c': j.c}} end
-            when r = 'cancel' then case when j.s in ('queued', 'paused', 'needs_review') then {{'s': 'cancelled', 'p': j.p, 'c': false}} else {{'s': j.s, 'p': j.p, 'c': true}} end
-            when r in ('resume', 'resume_unresolved') then case when j.s not in ('paused', 'needs_review', 'failed') or (j.s = 'needs_review' and r = 'resume_unresolved') then j else {{'s': 'queued', 'p': false, 'c': false}} end
-            when r = 'ready' then case when j.s <> 'preparing' then j when j.c then {{'s': 'cancelled', 'p': false, 'c': false}} when j.p then {{'s': 'paused', 'p': false, 'c': false}} else {{'s': 'queued', 'p': false, 'c': false}} end
-            when r = 'claim' then case when j.s = 'queued' and not j.c and not j.p then {{'s': 'running', 'p': j.p, 'c': j.c}} else j end
-            when r = 'fail' and j.s = 'preparing' then {{'s': 'failed', 'p': j.p, 'c': j.c}}
+            when r = 'pause' then case when j.s in ('queued', 'needs_review') then {'s': 'paused', 'p': false, 'c': j.c} else {'s': j.s, 'p': true, 'c': j.c} end
+            when r = 'cancel' then case when j.s in ('queued', 'paused', 'needs_review') then {'s': 'cancelled', 'p': j.p, 'c': false} else {'s': j.s, 'p': j.p, 'c': true} end
+            when r in ('resume', 'resume_unresolved') then case when j.s not in ('paused', 'needs_review', 'failed') or (j.s = 'needs_review' and r = 'resume_unresolved') then j else {'s': 'queued', 'p': false, 'c': false} end
+            when r = 'ready' then case when j.s <> 'preparing' then j when j.c then {'s': 'cancelled', 'p': false, 'c': false} when j.p then {'s': 'paused', 'p': false, 'c': false} else {'s': 'queued', 'p': false, 'c': false} end
+            when r = 'claim' then case when j.s = 'queued' and not j.c and not j.p then {'s': 'running', 'p': j.p, 'c': j.c} else j end
+            when r in ('fail', 'deadline') and j.s = 'preparing' then {'s': 'failed', 'p': j.p, 'c': j.c}
             when j.s <> 'running' then j
-            when r = 'stage' then case when j.c then {{'s': 'cancelled', 'p': j.p, 'c': j.c}} when j.p then {{'s': 'paused', 'p': j.p, 'c': j.c}} else j end
-            when r = 'recover' then {{'s': 'queued', 'p': j.p, 'c': j.c}}
-            else {{'s': case r when 'review' then 'needs_review' when 'complete' then 'completed' else 'failed' end, 'p': j.p, 'c': j.c}} end
+            when r = 'stage' then case when j.c then {'s': 'cancelled', 'p': j.p, 'c': j.c} when j.p then {'s': 'paused', 'p': j.p, 'c': j.c} else j end
+            when r = 'recover' then {'s': 'queued', 'p': j.p, 'c': j.c}
+            else {'s': case r when 'review' then 'needs_review' when 'complete' then 'completed' else 'failed' end, 'p': j.p, 'c': j.c} end
         from s join e on e.user_id = s.user_id and e.pos = s.pos + 1
-    ) select user_id as job_id, last(j.s order by pos) as state from s group by all""")
-def ctl_job_states(spark: SparkSession, d: str) -> DataFrame:
-    """A user's events as requests on a job, in order through the state machine."""
+    ) select user_id as job_id, last(j.s order by pos) as state from s group by all"""
+_ASKED = f"{list(_REQUESTS)}[cast((event_id // 3 + user_id) % {len(_REQUESTS)} as integer) + 1]"
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
     n = F.floor(F.col("event_id") / 3).cast("long") + F.col("user_id")
     request = F.element_at(F.array(*map(F.lit, _REQUESTS)), (n % len(_REQUESTS) + 1).cast("int"))
-    return control.fold_states(table(spark, d, "events").select(F.col("user_id").alias("job_id"), "event_id", request.alias("request")))
+    return table(spark, d, "events").select(F.col("user_id").alias("job_id"), "event_id", "ts", request.alias("request"))
+
+
+@query(f"with recursive e as (select user_id, row_number() over (partition by user_id order by event_id) as pos, {_ASKED} as r from events), {_FOLD}")
+def ctl_job_states(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as requests on a job, in order through the state machine."""
+    return control.fold_states(requests(spark, d).drop("ts"))
+
+
+#: Requests by time, and a deadline behind each that is followed by nothing for so long; timers go by the watermark, ten minutes behind the last event.
+_OVERDUE = f"""t as (select user_id, event_id, epoch_ms(ts) as ms, {_ASKED} as r, lead(epoch_ms(ts)) over (partition by user_id order by epoch_ms(ts), event_id) as later from events),
+    x as (select user_id, ms, event_id, 0 as k, r from t union all select user_id, ms, event_id, 1, 'deadline' from t where coalesce(later, (select max(ms) - 600000 from t)) > ms + {{deadline}}),
+    e as (select user_id, row_number() over (partition by user_id order by ms, event_id, k) as pos, r from x)"""
+DEADLINE_MS = 6 * 3600 * 1000
+
+
+DEADLINES_SQL = f"with recursive {_OVERDUE.format(deadline=DEADLINE_MS)}, {_FOLD}"
+
+
+@query(DEADLINES_SQL)
+def ctl_job_deadlines(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs fail when nothing is heard of them for six hours."""
+    rows = requests(spark, d)
+    last = rows.agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))) - 600_000).first()[0]
+    return control.fold_deadlines(rows, DEADLINE_MS, F.lit(last))
 
 
 @query("select o_orderkey as job_id, case when o_orderkey % 7 = 0 then 'cancelled' else 'paused' end as stop from orders where o_orderstatus = 'F' and (o_orderkey % 7 = 0 or o_orderkey % 5 = 0)")

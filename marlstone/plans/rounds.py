@@ -19,6 +19,7 @@ from ..operators import inventory, models, retrieval, sync
 from ..operators.scratch import shared_dir
 from ..sources import files, incremental, office, pages, sinks, snapshots, upload
 from ..streaming import events
+from . import control as control_plans
 from . import sql
 from . import sync as sync_plans
 from .base import query, table
@@ -416,3 +417,19 @@ def corpus_incremental_build(spark: SparkSession, d: str) -> DataFrame:
     incremental.build(sources(before, F.col("title") != "de"), make, root, version=1)
     incremental.build(sources(docs, F.lit(True)), make, root, version=1)
     return incremental.read(spark, root).select("doc_id", "offset", "digest", F.col("number").alias("build"))
+
+
+@query(control_plans.DEADLINES_SQL)
+def str_job_deadlines(spark: SparkSession, d: str) -> DataFrame:
+    """The same jobs as a stream: a timer fails those of which nothing is heard."""
+    root = _folder(spark, "jobs")
+    control_plans.requests(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("job_id long, event_id long, ts timestamp, request string").parquet(f"{root}/in")
+
+    def keep(batch: DataFrame, i: int) -> None:
+        batch.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{root}/out")
+
+    states = events.job_states(stream, deadline_ms=control_plans.DEADLINE_MS)
+    states.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("job_id long, state string, batch int").parquet(f"{root}/out")
+    return out.groupBy("job_id").agg(F.max_by("state", "batch").alias("state"))

@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.control import ACTIVE_START, TERMINAL
+from ..operators.control import ACTIVE_START, TERMINAL, after_request
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -43,34 +43,78 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def job_states(requests: DataFrame, start: str = ACTIVE_START) -> DataFrame:
-    """job_id, state after each batch of requests (job_id, event_id, request), by the rules of ``control.next_state``."""
-
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, pause, cancel = state.get if state.exists else (start, False, False)
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        for request in rows["request"]:
-            halted = "cancelled" if cancel else "paused" if pause else None
-            if request in ("pause", "cancel") and status not in TERMINAL:
-                if status in ("queued", "needs_review") or (request == "cancel" and status == "paused"):
-                    status = "paused" if request == "pause" else "cancelled"
-                    pause, cancel = pause and request != "pause", cancel and request != "cancel"
-                else:
-                    pause, cancel = pause or request == "pause", cancel or request == "cancel"
-            elif status in ("paused", "failed") and request in ("resume", "resume_unresolved") or status == "needs_review" and request == "resume":
-                status, pause, cancel = "queued", False, False
-            elif request == "ready" and status == "preparing":
-                status, pause, cancel = halted or "queued", False, False
-            elif request == "claim" and status == "queued" and not halted:
-                status = "running"
-            elif request == "fail" and status == "preparing":
-                status = "failed"
-            elif status == "running":
-                status = {"stage": halted, "review": "needs_review", "complete": "completed", "fail": "failed", "recover": "queued"}.get(request) or status
-        state.update((status, pause, cancel))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [status]})
-
-    return requests.groupBy("job_id").applyInPandasWithState(fold, "job_id long, state string", "status string, pause boolean, cancel boolean", "update", GroupStateTimeout.NoTimeout)
+#: State stores of ``transformWithStateInPandas`` need this provider.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DEADLINE_MS = 12 * 3600 * 1000
+
+
+class JobProcessor(StatefulProcessor):
+    """Keeps a job's status, wishes and the time it was last heard of; by ``control.RULES``.
+
+    With ``deadline_ms``, a timer fails a job that is prepared or run and not heard of
+    for so long, and the same is found when its next request comes later than that; so
+    states do not depend on how events are cut into batches.  With ``keep_ms``, the
+    state of a job that has come to its end is forgotten after that time.
+    """
+
+    def __init__(self, start: str, deadline_ms: int | None, keep_ms: int | None):
+        self.start, self.deadline_ms, self.keep_ms = start, deadline_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "status string, pause boolean, cancel boolean, at long, timer long")
+
+    def _put(self, state: tuple, at: int | None, timer: int | None) -> None:
+        """Keep a state, and one timer: of the deadline, or of forgetting."""
+        wait = self.deadline_ms if after_request(state, "deadline") != state else self.keep_ms if state[0] in TERMINAL else None
+        due = at + wait if wait is not None and at is not None else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        self.job.update((*state, at, due))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        *state, at, timer = self.job.get() if self.job.exists() else (self.start, False, False, None, None)
+        state = tuple(state)
+        batch = pd.concat(list(rows))
+        for now, request in batch.sort_values(["at", "event_id"])[["at", "request"]].itertuples(index=False):
+            if self.deadline_ms is not None and at is not None and now > at + self.deadline_ms:
+                state = after_request(state, "deadline")
+            state = after_request(state, request)
+            at = int(now) if self.deadline_ms is not None or self.keep_ms is not None else None
+        self._put(state, at, timer)
+        yield pd.DataFrame({"job_id": [key[0]], "state": [state[0]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        *state, at, _ = self.job.get()
+        after = after_request(tuple(state), "deadline")
+        if after == tuple(state):  # the job has ended, and its time is over
+            self.job.clear()
+            return
+        self._put(after, at, None)
+        yield pd.DataFrame({"job_id": [key[0]], "state": [after[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+def job_states(requests: DataFrame, start: str = ACTIVE_START, deadline_ms: int | None = None, keep_ms: int | None = None, delay: str = "10 minutes") -> DataFrame:
+    """job_id, state after each batch of requests (job_id, event_id, request), and when a timer changes it.
+
+    With ``deadline_ms`` or ``keep_ms`` requests have a column ts, and timers go by its
+    watermark, ``delay`` behind the latest; without them requests go by event_id alone.
+    """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    timed = deadline_ms is not None or keep_ms is not None
+    if timed:
+        marked = requests.select("job_id", "event_id", "request", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+        rows = marked.withColumn("at", F.unix_millis("ts"))
+    else:
+        rows = requests.select("job_id", "event_id", "request", F.lit(0).cast("long").alias("at"))
+    return rows.groupBy("job_id").transformWithStateInPandas(
+        statefulProcessor=JobProcessor(start, deadline_ms, keep_ms), outputStructType="job_id long, state string", outputMode="Update", timeMode="EventTime" if timed else "None"
+    )
 
 
 def after_cursor(stream: DataFrame, cursor: int, order: str = "event_id") -> DataFrame:
