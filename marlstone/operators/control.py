@@ -165,6 +165,38 @@ def fold_deadlines(requests: DataFrame, deadline_ms: int, until_ms: Column, star
     return rows.select("job_id", overdue(F.col("a"), until_ms)["status"].alias("state"))
 
 
+def bounded_output(lines: DataFrame, job: str, at_ms: Column, order: str, limit: int = 1000, per_poll: int = 100, poll_ms: int = 100) -> DataFrame:
+    """``lines`` with tick and kept: whether a line found room in its job's queue.
+
+    A queue holds ``limit`` lines; every ``poll_ms`` the first ``per_poll`` leave it, and
+    a line that comes while it is full is lost.  Lines of one tick come in ``order``, so
+    its first are kept, as many as have room.  How many is a fold over the counts of a
+    job's ticks - not over its lines - in one row; lines are ranked within their tick
+    only as far as a queue can hold them.
+    """
+    ticked = lines.withColumn("tick", F.floor(at_ms / poll_ms).cast("long"))
+    counts = ticked.groupBy(job, "tick").agg(F.count("*").alias("n"))
+    listed = counts.groupBy(job).agg(F.array_sort(F.collect_list(F.struct("tick", "n"))).alias("ts"))
+    first = F.struct(F.lit(0).cast("long").alias("held"), F.lit(None).cast("long").alias("tick"), F.array().cast("array<struct<tick:long,room:long>>").alias("out"))
+
+    def step(a: Column, t: Column) -> Column:
+        # ticks without lines drain the queue too
+        held = F.greatest(a["held"] - per_poll * F.coalesce(t["tick"] - a["tick"] - 1, F.lit(0)), F.lit(0))
+        room = F.least(t["n"], limit - held)
+        return F.struct(F.greatest(held + room - per_poll, F.lit(0)).cast("long").alias("held"), t["tick"].alias("tick"), F.concat(a["out"], F.array(F.struct(t["tick"].alias("tick"), room.cast("long").alias("room")))).alias("out"))
+
+    rooms = listed.select(job, F.explode(F.aggregate("ts", first, step)["out"]).alias("x")).select(job, "x.tick", "x.room")
+    ranked = ticked.withColumn("__r", F.row_number().over(Window.partitionBy(job, "tick").orderBy(order)))
+    return ranked.join(rooms, [job, "tick"]).withColumn("kept", F.col("__r") <= F.col("room")).drop("__r", "room")
+
+
+def output_events(kept: DataFrame, job: str, message: Column, most: int = 4000) -> DataFrame:
+    """What is logged of ``bounded_output``: level, message of each kept line, cut to ``most`` characters, and a warning with the number of lost lines of each job that lost some."""
+    said = kept.filter("kept").select(job, F.lit("engine").alias("level"), F.rtrim(message).substr(F.lit(1), F.lit(most)).alias("message"))
+    lost = kept.groupBy(job).agg(F.count_if(~F.col("kept")).alias("lost")).filter("lost > 0")
+    return said.unionByName(lost.select(job, F.lit("warning").alias("level"), F.format_string("output came too fast, %d lines left out", "lost").alias("message")))
+
+
 def memory_window(turns: DataFrame, n: int = 6) -> DataFrame:
     """The last ``n`` turns of each conversation."""
     return recent(turns, "conv_id", "turn", n)

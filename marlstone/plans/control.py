@@ -102,6 +102,34 @@ def ctl_job_deadlines(spark: SparkSession, d: str) -> DataFrame:
     return control.fold_deadlines(rows, DEADLINE_MS, F.lit(last))
 
 
+#: Queues of five lines, of which two leave in each hour.
+_QUEUE = """t as (select event_type as job, cast(floor(epoch_ms(ts) / 3600000.0) as bigint) as tick, count(*) as n from events group by all),
+    o as (select *, row_number() over w as pos, tick - lag(tick) over w as gap from t window w as (partition by job order by tick)),
+    s as (select distinct job, cast(0 as bigint) as pos, cast(0 as bigint) as held, cast(0 as bigint) as room, cast(null as bigint) as tick from o
+        union all select o.job, o.pos, greatest(greatest(s.held - 2 * coalesce(o.gap - 1, 0), 0) + least(o.n, 5 - greatest(s.held - 2 * coalesce(o.gap - 1, 0), 0)) - 2, 0), least(o.n, 5 - greatest(s.held - 2 * coalesce(o.gap - 1, 0), 0)), o.tick from s join o on o.job = s.job and o.pos = s.pos + 1),
+    r as (select event_id, event_type as job, cast(floor(epoch_ms(ts) / 3600000.0) as bigint) as tick, row_number() over (partition by event_type, floor(epoch_ms(ts) / 3600000.0) order by event_id) as n from events)"""
+
+
+def _output(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "events").select(F.col("event_type").alias("job"), "event_id", "ts", "props")
+    return control.bounded_output(lines, "job", F.unix_millis(F.col("ts").cast("timestamp")), "event_id", limit=5, per_poll=2, poll_ms=3_600_000)
+
+
+@query(f"with recursive {_QUEUE} select event_id, r.job, r.tick, n <= room as kept from r join s on s.job = r.job and s.tick = r.tick")
+def ctl_bounded_output(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that found room in their job's queue, and those that came while it was full."""
+    return _output(spark, d).select("event_id", "job", "tick", "kept")
+
+
+@query(f"""with recursive {_QUEUE}, k as (select r.*, n <= room as kept from r join s on s.job = r.job and s.tick = r.tick)
+    select k.job, 'engine' as level, substring(rtrim('line ' || repeat(props, 1 + cast(k.event_id % 3 as integer)) || '  '), 1, 20) as message from k join events using (event_id) where kept
+    union all select job, 'warning', 'output came too fast, ' || count(*) || ' lines left out' from k where not kept group by job""")
+def ctl_output_events(spark: SparkSession, d: str) -> DataFrame:
+    """What is logged of a job's output: kept lines, cut, and how many were lost."""
+    line = F.concat(F.lit("line "), F.expr("repeat(props, cast(1 + event_id % 3 as int))"), F.lit("  "))
+    return control.output_events(_output(spark, d), "job", line, 20)
+
+
 @query("select o_orderkey as job_id, case when o_orderkey % 7 = 0 then 'cancelled' else 'paused' end as stop from orders where o_orderstatus = 'F' and (o_orderkey % 7 = 0 or o_orderkey % 5 = 0)")
 def ctl_guard(spark: SparkSession, d: str) -> DataFrame:
     """Running jobs that a request ends: a cancel wins over a pause."""

@@ -26,14 +26,14 @@ def stepwise(encoder, text):
         return []
     symbols = list("▁" + text.replace(" ", "▁"))
     while True:
-        found = [(encoder.pieces[a + b][0], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in encoder.pieces]
+        found = [(encoder.ranks[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in encoder.ranks]
         if not found:
             break
         i = min(found)[1]
         symbols[i : i + 2] = ["".join(symbols[i : i + 2])]
     out = []
     for s in symbols:
-        out += [encoder.pieces[s][1]] if s in encoder.pieces else [encoder.bytes[b] for b in s.encode()]
+        out += [encoder.ids[s]] if s in encoder.ids else [encoder.bytes[b] for b in s.encode()]
     return out
 
 
@@ -51,6 +51,10 @@ def test_against_stepwise_and_library(encoder):
         assert got == [want] and agrees == [True], repr(t)
         if len(t) < 300:
             assert stepwise(encoder, t) == want, repr(t)
+            whole = "▁" + t.replace(" ", "▁") if t else ""
+            # one agenda over the whole text, uncut
+            assert [i for s in encoder.merged(whole) for i in encoder.spelled(s)] == want, repr(t)
+            assert not t or encoder.merged_together([whole]) == [tuple(want)], repr(t)
 
 
 def test_rows(spark, path, encoder):
@@ -73,13 +77,13 @@ def test_units_are_forgotten(monkeypatch, encoder):
         words = [f"w{i}{j}" for j in range(10)]
         t = " ".join(words)
         assert encoder.batch([t])[0] == [encoder.library.encode(t)]
-    assert len(encoder.units) <= 31 and len(encoder.units.before) <= 31
+    assert len(encoder.units.young) <= 31 and len(encoder.units.old) <= 31
     encoder.clear()
 
 
 def test_a_wrong_unit_is_told(encoder, monkeypatch):
     encoder.clear()
-    monkeypatch.setattr(encoder, "merged", list)  # no merges at all
+    monkeypatch.setattr(encoder, "merged_together", lambda parts: [tuple(encoder.ids.get(c, 0) for c in p) for p in parts])  # no merges at all
     assert encoder.batch(["hello there", "q"])[1] == [False, False] and encoder.batch(["hello"])[1] == [False]
     encoder.clear()
 
