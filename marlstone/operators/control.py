@@ -171,8 +171,9 @@ def bounded_output(lines: DataFrame, job: str, at_ms: Column, order: str, limit:
     A queue holds ``limit`` lines; every ``poll_ms`` the first ``per_poll`` leave it, and
     a line that comes while it is full is lost.  Lines of one tick come in ``order``, so
     its first are kept, as many as have room.  How many is a fold over the counts of a
-    job's ticks - not over its lines - in one row; lines are ranked within their tick
-    only as far as a queue can hold them.
+    job's ticks - not over its lines - in one row; the lines of one job and tick are
+    sorted in one task.  Lines with a null job or time are left out; ``order`` decides
+    alone, so lines that tie in it are kept in any order.
     """
     ticked = lines.withColumn("tick", F.floor(at_ms / poll_ms).cast("long"))
     counts = ticked.groupBy(job, "tick").agg(F.count("*").alias("n"))
