@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vectors
 from ..operators import inventory, models, retrieval, sync
 from ..operators.scratch import shared_dir
-from ..sources import files, incremental, office, pages, sinks, snapshots, upload
+from ..sources import archives, files, incremental, office, pages, sinks, snapshots, upload
 from ..streaming import events
 from . import control as control_plans
 from . import sql
@@ -377,12 +377,16 @@ def snk_send_documents(spark: SparkSession, d: str) -> DataFrame:
 _CUSTOMER_FILES = """f as (select 'f' || c_nationkey || '.txt' as name, c_nationkey, c_name || '|' || c_mktsegment as line, row_number() over (partition by c_nationkey order by c_custkey) as page, count(*) over (partition by c_nationkey) as pages from customer)"""
 
 
-def _customer_files(spark: SparkSession, d: str, folder: str) -> None:
+def _customer_contents(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("c_nationkey")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.concat_ws("|", "c_name", "c_mktsegment").alias("line")))), lambda x: F.concat(x["line"], F.lit("\n")))
     body = F.concat(F.when(n % 10 == 0, ".").otherwise(""), F.array_join(lines, ""))
     # a nation's customers are one file
-    _put_files(table(spark, d, "customer").groupBy("c_nationkey").agg(body.alias("content")).select(F.concat(F.lit("c/f"), n.cast("string"), F.lit(".txt")).alias("name"), "content"), folder)
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(body.alias("content")).select(F.concat(F.lit("c/f"), n.cast("string"), F.lit(".txt")).alias("name"), "content")
+
+
+def _customer_files(spark: SparkSession, d: str, folder: str) -> None:
+    _put_files(_customer_contents(spark, d), folder)
 
 
 @query(f"""with {_CUSTOMER_FILES} select 'c/' || name as relative_path, cast(page as integer) as page, cast(pages as integer) as pages, line as text, 'complete' as status, null as error from f where c_nationkey % 10 <> 0
@@ -433,3 +437,26 @@ def str_job_deadlines(spark: SparkSession, d: str) -> DataFrame:
     states.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema("job_id long, state string, batch int").parquet(f"{root}/out")
     return out.groupBy("job_id").agg(F.max_by("state", "batch").alias("state"))
+
+
+def _document_files(spark: SparkSession, d: str) -> DataFrame:
+    # repeated ids are one file
+    return table(spark, d, "documents").groupBy(F.concat_ws("/", F.lit("documents"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path")).agg(F.coalesce(F.min("text"), F.lit("")).cast("binary").alias("content"))
+
+
+@query("select 'documents/' || doc_id || '.txt' as path, cast(octet_length(encode(coalesce(min(text), ''))) as bigint) as bytes, sha256(coalesce(min(text), '')) as sha256 from documents group by doc_id")
+def snk_archive(spark: SparkSession, d: str) -> DataFrame:
+    """A tar.gz of all documents, as its members are read back."""
+    target = f"{_folder(spark, 'archive')}/documents.tar.gz"
+    archives.write(_document_files(spark, d), target)
+    return archives.read(spark, target).select("path", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@query(f"""with {_CUSTOMER_FILES}, x as (select c_nationkey, case when c_nationkey % 10 = 0 then '.' else '' end || string_agg(line || chr(10), '' order by page) as content from f group by c_nationkey)
+    select 'c/f' || c_nationkey || '.txt' as path, md5(content) as digest from x""")
+def snk_package(spark: SparkSession, d: str) -> DataFrame:
+    """A zip of a file for each nation, read back."""
+    folder = _folder(spark, "package")
+    target = f"{folder}/c.zip"
+    made = archives.write(_customer_contents(spark, d).select(F.col("name").alias("path"), "content"), target, "zip")
+    return archives.read_zip(made, target).select("path", F.md5("content").alias("digest"))

@@ -92,7 +92,7 @@ def portable_paths(manifest: DataFrame, domain_names: dict[str, str], other: str
 
 
 def package(files: dict[str, bytes], target: str) -> None:
-    """Zip of files, written aside and moved into place."""
+    """Zip of a few files that the caller holds, written aside and moved into place; ``archives.write`` packs tables."""
     part = Path(f"{target}.part")
     with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
         for name, content in sorted(files.items()):
@@ -103,7 +103,7 @@ def package(files: dict[str, bytes], target: str) -> None:
 
 
 def server_bundle(files: dict[str, bytes], target: str) -> list[tuple[str, int, str]]:
-    """tar.gz of files; returns the manifest (path, bytes, sha256)."""
+    """tar.gz of a few files that the caller holds; returns the manifest (path, bytes, sha256).  ``archives.write`` packs tables."""
     manifest = [(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in sorted(files.items())]
     with tarfile.open(target, "w:gz") as tar:
         for name, content in sorted(files.items()):
