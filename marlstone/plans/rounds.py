@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
-from ..operators import inventory, models, retrieval, sync
+from ..operators import inventory, models, progress, retrieval, running, sync
 from ..operators.scratch import shared_dir
 from ..sources import archives, files, incremental, office, pages, sinks, snapshots, upload
 from ..streaming import events
@@ -460,3 +460,53 @@ def snk_package(spark: SparkSession, d: str) -> DataFrame:
     target = f"{folder}/c.zip"
     made = archives.write(_customer_contents(spark, d).select(F.col("name").alias("path"), "content"), target, "zip")
     return archives.read_zip(made, target).select("path", F.md5("content").alias("digest"))
+
+
+@query(f"""with {_WINDOWS}, p as (select source || ' / ' || lang || chr(10) || substring(text, cast(o as integer) + 1, 300) as t from w),
+    f(section, metric, value) as (select 'documents', 'rows', count(*) from documents union all select 'documents', 'missing', count(*) filter (text is null) from documents
+    union all select 'documents', 'chars', coalesce(sum(length(text)), 0) from documents union all select 'documents', 'longest', coalesce(max(length(text)), 0) from documents
+    union all select 'passages', 'rows', count(*) from p union all select 'passages', 'missing', 0 from p having count(*) >= 0
+    union all select 'passages', 'chars', coalesce(sum(length(t)), 0) from p union all select 'passages', 'longest', coalesce(max(length(t)), 0) from p)
+    select section, metric, cast(value as double) as value from f""")
+def metrics_one_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Figures of documents and of their passages, taken on the way by the write that makes the passages."""
+    c = progress.Collection()
+    docs = c.watch(table(spark, d, "documents"), "documents", **progress.quality(F.col("text")))
+    made = retrieval.passages(docs.select("doc_id", F.col("source").alias("topic"), F.col("lang").alias("title"), text.text_of("text").alias("content")))
+    c.watch(made, "passages", **progress.quality(F.col("text"))).write.parquet(_folder(spark, "passages"))
+    return c.rows(spark)
+
+
+@query("""select 'rows' as metric, cast(count(*) as double) as value from events union all select 'purchases', cast(count(*) filter (event_type = 'purchase') as double) from events union all select 'ids', cast(sum(event_id) as double) from events""")
+def str_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Sums that a listener gathers over the batches of a stream."""
+    root = _folder(spark, "progress")
+    table(spark, d, "events").select("event_id", "event_type").repartition(6).write.parquet(f"{root}/in")
+    name = f"progress-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema("event_id long, event_type string").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    watched = stream.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.sum("event_id").alias("ids"))
+    writer = watched.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    totals = progress.run_stream(writer, progress.StreamProgress(name), spark)
+    return spark.createDataFrame([(n, float(v)) for n, v in totals.items()], "metric string, value double")
+
+
+@query("select o_orderstatus as status, count(*) as n, 1 as counted, 1 as added from orders group by o_orderstatus")
+def ctl_run_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """A job is paused where its first stage ends and goes on later: each stage has run once."""
+    root = _folder(spark, "stages")
+
+    def count(s: SparkSession) -> None:
+        table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n")).write.mode("append").parquet(f"{root}/count")
+
+    def add(s: SparkSession) -> None:
+        done = s.read.parquet(f"{root}/count").groupBy("status").agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("counted"))
+        done.write.mode("append").parquet(f"{root}/add")
+
+    def wanted() -> running.Requests:
+        # paused while the first stage alone has ended, until the job is resumed
+        return running.Requests(pause=not resumed and running.markers(spark, root, "job") == {"count"})
+
+    stages, resumed = [("count", count), ("add", add)], []
+    while running.run_stages(spark, "job", stages, wanted, root).status == "paused":
+        resumed.append(True)
+    return spark.read.parquet(f"{root}/add").groupBy("status").agg(F.sum("n").alias("n"), F.max("counted").alias("counted"), F.count("*").cast("int").alias("added"))
