@@ -14,6 +14,8 @@ FALLBACK_SECTION = "操作|步骤|业务描述|流程描述"
 BRANCH_HEAD, BRANCH_TAIL = "原文第 ", " 页的情形：\n"
 BRANCH_FLAG = "同一问题有不同业务情形，回答前须确认适用条件"
 PACKET_HEADING = r"(?U)^\s*(\d+(?:\.\d+){2,4})\s+([^\n]+)"
+#: The procedures that are exported as packets.
+PROCEDURE_NUMBERS = ("1.5.2", "1.5.3", "1.5.4", "1.5.5", "1.5.6", "1.5.7")
 TOPIC_CUTS = ((r"(?U)^.*?MDG\.[\d.]+[-_\s]*", ""), (r"(?iU)[_\s]*V\d[\d.]*.*$", ""), (r"(?U)^\d+[.、\s]*", ""), (r"(?U)[_\s]+", " "))
 CODE_LINE, CODE = "^(创建|查询|事务码|事物码)[：:]", r"[A-Za-z]+[0-9]"
 LABEL_ENDS = ("主数据", "主数据查询", "批量导入")
@@ -175,6 +177,15 @@ def packets(pages: DataFrame, numbers: list[str] | None = None) -> DataFrame:
     return cut.groupBy("source_id", "number", "title").agg(F.array_sort(F.collect_list(F.struct("page", piece.alias("text")))).alias("spans"))
 
 
+def procedures(pages: DataFrame, numbers: tuple[str, ...] = PROCEDURE_NUMBERS) -> DataFrame:
+    """``packets`` of the exported procedures, with packet_id, pages, and the state in which they wait for a review."""
+    packet = F.concat(F.lit("procedure-"), F.substring(F.col("source_id").cast("string"), 1, 8), F.lit("-"), F.translate("number", ".", "-"))
+    return packets(pages, list(numbers)).select(
+        packet.alias("packet_id"), "source_id", "number", "title", "spans", F.transform("spans", lambda s: s["page"]).alias("pages"),
+        F.lit("draft").alias("status"), F.lit("pending").alias("business_review"),
+    )
+
+
 def topic_of(source_name: Column) -> Column:
     """Topic in a source's name for search anchors."""
     t = text.file_stem(source_name)

@@ -42,6 +42,19 @@ def routes(spark: SparkSession, available: list[str]) -> DataFrame:
     return spark.createDataFrame([(i, r, m) for i, (r, m) in enumerate(rows)], "pos int, route string, members array<string>")
 
 
+def used_categories(documents: DataFrame, configured: DataFrame, missing: str = "unknown category: ") -> DataFrame:
+    """Rows of ``configured`` (domain and what belongs to it) whose domain some document has; a document's domain that is not there raises, a null one too.
+
+    The same rule finds the datasets of a job's categories among all receipts of a
+    server (``missing`` says what lacks).
+    """
+    used = documents.select("domain").distinct()
+    there = configured.withColumn("__there", F.lit(True)).withColumnRenamed("domain", "__domain")
+    name = F.coalesce(F.col("domain").cast("string"), F.lit("null"))
+    known = F.when(F.col("__there"), F.col("domain")).otherwise(F.raise_error(F.concat(F.lit(missing), name)).cast("string"))
+    return used.join(there, F.col("domain") == F.col("__domain"), "left").withColumn("domain", known).drop("__domain", "__there")
+
+
 def workflow(route_rows: DataFrame, scoped: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, kind, members) and edges (source, target, handle) of a routed answer flow.
 

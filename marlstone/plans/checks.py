@@ -255,6 +255,13 @@ def graph_routes(spark: SparkSession, d: str) -> DataFrame:
     return graph.routes(spark, [known.get(x, x) for x in langs]).select("route", F.array_join("members", ",").alias("members"))
 
 
+@query("select cast(n_nationkey as varchar) as domain, n_name as label from nation where n_nationkey in (select c_nationkey from customer)")
+def graph_used_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Configured categories that some document has: nations with customers."""
+    configured = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("domain"), F.col("n_name").alias("label"))
+    return graph.used_categories(table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("domain")), configured)
+
+
 def _flow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A flow with a route for every nation; those of the first region choose a section."""
     n = table(spark, d, "nation")

@@ -296,6 +296,20 @@ def catalog_packets(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source_id", "number", "title", F.size("spans").cast("long").alias("n_spans"), F.md5(F.array_join(F.transform("spans", lambda s: s["text"]), "|").cast("binary")).alias("digest"))
 
 
+@query(f"""with {_LINES}, t as (select source_id, page, case when page % 3 = 1 then '1.5.' || (page % 9) || ' T' || page || chr(10) || text else text end as body from lines),
+    o as (select *, coalesce(sum(length(body) + 1) over (partition by source_id order by page rows between unbounded preceding and 1 preceding), 0) as start from t),
+    hd as (select source_id, '1.5.' || (page % 9) as number, 'T' || page as title, start as a from o where page % 3 = 1),
+    sp as (select *, coalesce(lead(a) over (partition by source_id order by a), (select sum(length(body) + 1) from t where t.source_id = hd.source_id)) as b from hd),
+    cut as (select sp.source_id, number, title, o.page, trim(substring(body || chr(10), cast(greatest(a - start, 0) as integer) + 1, cast(least(start + length(body) + 1, b) - greatest(start, a) as integer)), {_BLANKS}) as piece from sp join o on o.source_id = sp.source_id and start < b and start + length(body) + 1 > a)
+    select 'procedure-' || left(cast(source_id as varchar), 8) || '-' || replace(number, '.', '-') as packet_id, title, string_agg(page, ',' order by page) as pages, md5(string_agg(piece, '|' order by page)) as digest from cut where number in ('1.5.2', '1.5.3', '1.5.4', '1.5.5', '1.5.6', '1.5.7') group by source_id, number, title""")
+def catalog_procedures(spark: SparkSession, d: str) -> DataFrame:
+    """Packets of the exported procedures alone; a span still ends at the next heading, exported or not."""
+    head = F.concat(F.lit("1.5."), (F.col("page") % 9).cast("string"), F.lit(" T"), F.col("page").cast("string"), F.lit("\n"), "text")
+    pages = _lines(spark, d).select("source_id", "page", F.when(F.col("page") % 3 == 1, head).otherwise(F.col("text")).alias("text"))
+    out = catalog.procedures(pages)
+    return out.select("packet_id", "title", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), F.md5(F.array_join(F.transform("spans", lambda s: s["text"]), "|").cast("binary")).alias("digest"))
+
+
 @query("""with p as (select p_partkey as k, ['a/公共数据管理标准/x', 'a/主数据管理/x', 'a/核算模块/x', 'a/预算模块/x', 'a/内部交易模块/x', 'a/油气销售/x', 'a/物资管理/x', 'a/科技项目/x', 'a/设备管理/x'][case when p_partkey % 9 = 8 and p_partkey % 5 <> 0 and p_partkey % 7 <> 0 then 1 else cast(p_partkey % 9 as integer) + 1 end] as path, case when p_partkey % 5 = 0 then '财务模块常见问题.pdf' when p_partkey % 7 = 0 then '设备管理操作手册.pdf' else 'n.pdf' end as name, cast(p_partkey % 60 as integer) as page from part)
     select k, case when name = '财务模块常见问题.pdf' then case when page in (16, 17) then 'projects' when page = 18 then 'equipment' when page = 9 or (page >= 50 and page <= 55) then 'internal' when page >= 27 and page <= 48 then 'funds' else 'finance' end
             when path like '%公共数据管理标准/%' then 'master_rules' when path like '%/主数据管理/%' then 'master_ops' when path like '%/核算模块/%' then 'finance' when path like '%/预算模块/%' then 'funds' when path like '%/内部交易模块/%' then 'internal' when path like '%/油气销售/%' then 'oilgas' when path like '%/物资管理/%' then 'procurement' when name like '%设备管理操作手册%' then 'equipment' when path like '%科技项目%' then 'projects' end as by_page,

@@ -510,3 +510,12 @@ def ctl_run_resumed(spark: SparkSession, d: str) -> DataFrame:
     while running.run_stages(spark, "job", stages, wanted, root).status == "paused":
         resumed.append(True)
     return spark.read.parquet(f"{root}/add").groupBy("status").agg(F.sum("n").alias("n"), F.max("counted").alias("counted"), F.count("*").cast("int").alias("added"))
+
+
+@query("""with t as (select lang, doc_id, coalesce(text, '') as t from documents), p as (select *, cast(floor(coalesce(sum(length(t)) over (partition by lang order by doc_id, t rows between unbounded preceding and 1 preceding), 0) / 200000) as bigint) as slot from t),
+    b as (select lang, slot, string_agg(t, chr(10) || '<OPS_CARD_BOUNDARY>' || chr(10) order by doc_id, t) as bundle from p group by all)
+    select lang, cast(row_number() over (partition by lang order by slot) as integer) as part, md5(bundle) as digest from b""")
+def snk_bundle_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Bundles cut between texts, so that no language is one row."""
+    out = sinks.bundle_parts(table(spark, d, "documents"), "lang", "doc_id", "text", 200_000)
+    return out.select("lang", "part", F.md5(F.col("bundle").cast("binary")).alias("digest"))

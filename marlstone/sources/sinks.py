@@ -12,10 +12,11 @@ import urllib.parse
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metadata import exportable
+from ..operators.scratch import stash
 
 #: The mark between the cards of a bundle, and the sentences of a card's file.
 SEPARATOR = "<OPS_CARD_BOUNDARY>"
@@ -44,6 +45,31 @@ def bundles(cards: DataFrame, by: str, order: str, text: str, separator: str = S
     return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), f"\n{separator}\n").alias("bundle"))
 
 
+def bundle_parts(cards: DataFrame, by: str, order: str, text: str, max_chars: int, separator: str = SEPARATOR) -> DataFrame:
+    """by, part, bundle: what ``bundles`` gives, cut between texts; joined by the separator, a group's parts are its bundle.
+
+    A part holds the texts that start within ``max_chars`` characters of the group, so
+    at most that much and one text more, however large its group.  Rows are dealt by
+    ranges of group and order; what lies before a range is a sum over the ranges, so no
+    task sorts or gathers a group.  Texts that tie in ``order`` go by themselves, null
+    groups are one group, null texts count and join as empty ones.
+    """
+    safe = F.when(F.col(text).contains(separator), F.raise_error(F.lit("reserved separator in content")).cast("string")).otherwise(F.coalesce(F.col(text), F.lit("")))
+    rows = cards.select(F.col(by).alias("g"), F.col(order).alias("o"), safe.alias("t")).withColumn("n", F.length("t").cast("long"))
+    dealt = stash(rows.repartitionByRange("g", "o", "t").withColumn("p", F.spark_partition_id()), "bundles")
+    ranges = dealt.groupBy("g", "p").agg(F.sum("n").alias("s"))
+    earlier = lambda c, *keys: F.coalesce(F.sum(c).over(Window.partitionBy(*keys).orderBy("p" if c == "s" else "o", *([] if c == "s" else ["t"])).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each range of a group
+    before = ranges.select(F.col("g").alias("__g"), F.col("p").alias("__p"), earlier("s", "g").alias("before"))
+    placed = dealt.join(before, F.col("g").eqNullSafe(F.col("__g")) & (F.col("p") == F.col("__p")))
+    parted = placed.withColumn("part", F.floor((F.col("before") + earlier("n", "g", "p")) / F.lit(max_chars)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), f"\n{separator}\n")
+    whole = parted.groupBy("g", "part").agg(joined.alias("bundle"))
+    # numbers without gaps, where a long text fills several
+    number = F.row_number().over(Window.partitionBy("g").orderBy("part"))
+    return whole.select(F.col("g").alias(by), number.alias("part"), "bundle")
+
+
 def export_decisions(cards: DataFrame, drafts: bool = False) -> DataFrame:
     """card_id, included, and what kept a card out: validation_issues, review_flags, business_review.
 

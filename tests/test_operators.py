@@ -318,3 +318,13 @@ def test_scoped_branches(spark):
     rows = [("s", "1.1 内部"), ("s", "1.1.1 步骤"), ("s", "1.2 外部"), ("s", "2 上市"), ("s", "2.1 步骤"), ("s", "2.2 步骤")]
     got = {(r["title"], r["children"]) for r in graph.scoped_branches(spark.createDataFrame(rows, "source_id string, title string")).collect()}
     assert got == {("1.1 内部", 1), ("2 上市", 2)}
+
+
+def test_used_categories(spark):
+    configured = spark.createDataFrame([("a", "A"), ("b", "B")], "domain string, label string")
+    docs = lambda *ds: spark.createDataFrame([(x,) for x in ds], "domain string")
+    assert [tuple(r) for r in graph.used_categories(docs("b", "b"), configured).collect()] == [("b", "B")]
+    assert graph.used_categories(docs(), configured).count() == 0
+    for bad in ("c", None):
+        with pytest.raises(Exception, match="no receipt: "):
+            graph.used_categories(docs("a", bad), configured, "no receipt: ").collect()

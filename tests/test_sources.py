@@ -305,3 +305,22 @@ def test_shared_folder_is_asked_for_on_a_cluster():
     sc = SimpleNamespace(master="spark://h:7077", getConf=lambda: conf, getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError):
         scratch.shared_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_bundle_parts(spark):
+    rows = [(g, i // 2, "x" * (i * 7 % 23)) for g in ("a", None) for i in range(200)] + [("b", 1, "y" * 500), ("b", 2, None), ("b", 3, "z"), ("c", None, "")]
+    cards = spark.createDataFrame(rows, "module string, pos int, text string")
+    parts = sinks.bundle_parts(cards.repartition(5), "module", "pos", "text", 100).collect()
+    whole = {}
+    for r in sorted(parts, key=lambda r: (r["module"] or "", r["part"])):
+        whole.setdefault(r["module"], []).append(r["bundle"])
+        assert len(whole[r["module"]]) == r["part"]
+    mark = f"\n{sinks.SEPARATOR}\n"
+    for g, found in whole.items():
+        want = [t or "" for _, _, t in sorted(((x[0], -1 if x[1] is None else x[1], x[2] or "") for x in rows if x[0] == g), key=lambda x: x[1:])]
+        assert mark.join(found).split(mark) == want
+        assert all(sum(map(len, f.split(mark)[:-1])) <= 100 for f in found)
+    assert len(whole["b"]) == 2 and set(whole) == {"a", "b", "c", None}
+    assert sinks.bundle_parts(cards.limit(0), "module", "pos", "text", 100).count() == 0
+    with pytest.raises(Exception, match="reserved separator"):
+        sinks.bundle_parts(spark.createDataFrame([("a", 1, sinks.SEPARATOR)], "module string, pos int, text string"), "module", "pos", "text", 10).collect()
