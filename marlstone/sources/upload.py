@@ -8,8 +8,13 @@ were sent, and which few are uncertain: for these the store is asked by name bef
 anything is created again.  A task that is started again reads the journal of its
 earlier attempts; a later run leaves out what receipts prove.
 
-The run is committed when all tasks are done (``commit``), else it is marked as
-aborted with the errors met; receipts hold either way, as they tell what the store has.
+A document that the store refuses ends the run, not its task: a task that failed would
+have the others killed in the middle of their chunks, and workers live on for seconds after
+that, sending beside the next run.  So all tasks come to their ends, the refusals are told
+to the driver, and only then the run raises.
+
+The run is committed when all tasks are done without a refusal (``commit``), else it is
+marked as aborted; receipts hold either way, as they tell what the store has.
 Speculative execution would let two attempts send at once and is refused.
 """
 
@@ -51,6 +56,8 @@ class Sent(WriterCommitMessage):
     part: int
     sent: int
     described: int
+    refused: int
+    error: str
 
 
 def _open(path: str):
@@ -104,13 +111,15 @@ class _Writer(DataSourceWriter):
         context = TaskContext.get()
         journal = Journal(self.root, self.run, context.partitionId(), context.taskAttemptId())
         receipts, asked = journal.before()
-        done = Sent(context.partitionId(), 0, 0)
+        done = Sent(context.partitionId(), 0, 0, 0, "")
         chunk: list[dict] = []
         for row in rows:
             chunk.append(row.asDict(recursive=True))
             if len(chunk) == CHUNK:
                 self._send(chunk, journal, receipts, asked, done)
                 chunk = []
+                if done.refused:  # the rest of the task's rows stay for the next run
+                    return done
         self._send(chunk, journal, receipts, asked, done)
         return done
 
@@ -151,7 +160,8 @@ class _Writer(DataSourceWriter):
         journal.write("receipt", told)
         journal.write("error", errors)
         if errors:
-            raise RuntimeError(f"{len(errors)} documents were not sent, {errors[0]['key']} for one: {errors[0]['error']}")
+            done.refused += len(errors)
+            done.error = done.error or f"{errors[0]['key']} for one: {errors[0]['error']}"
 
     def _mark(self, state: str, messages: list) -> None:
         system, root = _open(self.root)
@@ -161,6 +171,9 @@ class _Writer(DataSourceWriter):
             out.write(json.dumps({"run": self.run, "state": state, "tasks": len(told), "sent": sum(m.sent for m in told), "described": sum(m.described for m in told)}).encode())
 
     def commit(self, messages: list) -> None:
+        refused = [m for m in messages if m is not None and m.refused]
+        if refused:  # marked by ``abort``
+            raise RuntimeError(f"{sum(m.refused for m in refused)} documents were not sent, {refused[0].error}")
         self._mark("committed", messages)
 
     def abort(self, messages: list) -> None:
@@ -175,7 +188,8 @@ class FolderStore:
 
     def _place(self, row: dict) -> tuple:
         system, root = _open(self.root)
-        name = hashlib.sha256(f"{row.get('domain')}\n{row['name']}".encode()).hexdigest()[:16]
+        # a letter first: hex digits alone may look like a number
+        name = "d" + hashlib.sha256(f"{row.get('domain')}\n{row['name']}".encode()).hexdigest()[:16]
         system.create_dir(f"{root}/puts")
         system.create_dir(f"{root}/described")
         return system, root, name
@@ -229,8 +243,9 @@ def send(plan: DataFrame, store: Store, root: str, workers: int = WORKERS) -> st
     Rows whose action is skip or defer stay; create and update send the document and
     then its metadata, metadata only that.  Rows with a receipt for their content are
     left out, or have their metadata sent if that is open.  ``root``: folder of
-    receipts, in the shared folder.  At most ``workers`` (1 to 4) tasks send at once; a
-    failure raises when its chunk is through, and the receipts of what was sent stay.
+    receipts, in the shared folder.  At most ``workers`` (1 to 4) tasks send at once. A
+    task stops behind the chunk in which a document is refused; this raises when all
+    tasks have ended, and the receipts of what was sent stay.
     """
     if not 1 <= workers <= 4:
         raise ValueError("one to four workers send")

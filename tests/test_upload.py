@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import time
 
 import pytest
 
@@ -37,6 +38,7 @@ def puts(root):
 
 RETRY = """
 import sys
+import time
 sys.path[:0] = [{repo!r}, {tests!r}]
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
@@ -105,3 +107,23 @@ def test_what_is_refused(spark, tmp_path):
     empty = spark.createDataFrame([], PLAN)
     upload.send(empty, upload.FolderStore(f"{tmp_path}/s"), f"{tmp_path}/j")
     assert upload.receipts(spark, f"{tmp_path}/j").count() == 0
+
+
+class RefusesEarly(upload.FolderStore):
+    """Refuses one document at once; all others take their time."""
+
+    def put(self, row):
+        if row["key"] == "k05":
+            raise ConnectionError("busy")
+        time.sleep(0.01)
+        return super().put(row)
+
+
+def test_nothing_is_sent_beside_the_run_that_follows_a_broken_one(spark, tmp_path):
+    root = str(tmp_path)
+    rows = plan(spark, 1200)
+    with pytest.raises(Exception, match="busy"):
+        upload.send(rows, RefusesEarly(f"{root}/store"), f"{root}/journal", workers=4)
+    upload.send(rows, upload.FolderStore(f"{root}/store"), f"{root}/journal", workers=4)
+    assert len(puts(root)) == 1200 and all(p.endswith("-0.json") for p in puts(root))
+    assert [r["state"] for r in upload.runs(spark, f"{root}/journal").orderBy("run").collect()] == ["aborted", "committed"]
