@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..operators import audit, catalog, corpus, evaluation, graph, inventory, metadata, metrics, retrieval, sync
+from ..operators.scratch import stash
+from ..operators.sizing import broadcast_if_small
 from ..sources import reports, sinks
 from . import sql
 from .base import query, table
@@ -184,9 +186,10 @@ _TOP = f"{sql.bm25(DOC_TEXTS, ASKS)}, {sql.ranked('bm25', 'top', 6)}"
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """The six best documents of every item, with the source as name and the text as content."""
-    top = retrieval.rank(_lexical(spark, d), ["query_id"], 6, _order())
+    top = retrieval.rank(_lexical(spark, d, 6), ["query_id"], 6, _order())
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("name"), F.col("text").alias("content"), F.col("lang").alias("section_title"))
-    return top.select("query_id", "doc_id", "rank").join(docs, "doc_id")
+    # six rows a query
+    return broadcast_if_small(stash(top.select("query_id", "doc_id", "rank"), "top")).join(docs, "doc_id")
 
 
 @query(f"""with {_TOP}, h as (select qid, min(r) as first_rank from top join documents d on d.doc_id = top.id where contains(d.source, 'src' || (qid % 10)) or contains(d.source, 'src1' || (qid % 3)) group by all)

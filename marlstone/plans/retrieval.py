@@ -24,27 +24,28 @@ def _order(score: str = "score", then: str = "doc_id") -> list:
     return [F.desc(F.round(score, 6)), F.col(then)]
 
 
-def _lexical(spark: SparkSession, d: str) -> DataFrame:
+def _lexical(spark: SparkSession, d: str, k: int, within: DataFrame | None = None) -> DataFrame:
+    """What can be among the best ``k`` by ``_order``."""
     docs = table(spark, d, "documents")
-    return retrieval.bm25(docs, asks(spark, d), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return retrieval.bm25_best(docs, asks(spark, d), "doc_id", "text", k, 6, within=within).withColumnRenamed("id", "doc_id")
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
+def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
     vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("vec_id").alias("passage_id"), F.col("embedding").alias("vector"))
     wanted = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))
     q = vecs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "vector")
-    return retrieval.dense(vecs, q, 60).select("query_id", "doc_id", "score")
+    return retrieval.dense(vecs, q, k, 6).select("query_id", "doc_id", "score")
 
 
 def _channels(spark: SparkSession, d: str, k: int = 60) -> tuple[DataFrame, DataFrame]:
     # written once: fusion, reserved heads and reranking read them again
-    return tuple(stash(retrieval.rank(x, ["query_id"], k, _order()), "channel") for x in (_lexical(spark, d), _dense(spark, d)))
+    return tuple(stash(retrieval.rank(x, ["query_id"], k, _order()), "channel") for x in (_lexical(spark, d, k), _dense(spark, d, k)))
 
 
 @query(f"""with {sql.bm25(DOC_TEXTS, ASKS)}, {sql.ranked('bm25', 'top', 5)}
     select qid as item_id, id as doc_id, cast(r as integer) as rank, round(s, 5) as score from top""")
 def retr_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    top = retrieval.rank(_lexical(spark, d), ["query_id"], 5, _order())
+    top = retrieval.rank(_lexical(spark, d, 5), ["query_id"], 5, _order())
     return top.select(F.col("query_id").alias("item_id"), "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
@@ -60,14 +61,14 @@ def retr_bm25_weighted_fields(spark: SparkSession, d: str) -> DataFrame:
 def retr_bm25_filtered_global_stats(spark: SparkSession, d: str) -> DataFrame:
     """The scope is put on scores; statistics stay those of all documents."""
     inside = table(spark, d, "documents").filter("lang = 'en' and source in ('src1', 'src2', 'src3')").select("doc_id")
-    top = retrieval.rank(_lexical(spark, d).join(inside, "doc_id", "left_semi"), ["query_id"], 5, _order())
+    top = retrieval.rank(_lexical(spark, d, 5, inside), ["query_id"], 5, _order())
     return top.select(F.col("query_id").alias("item_id"), "doc_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query(f"""with {sql.cosine()}, {sql.ranked('cos', 'top', 5)}
     select qid as item_id, id as vec_id, cast(r as integer) as rank, round(s, 5) as score from top""")
 def retr_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    top = retrieval.rank(_dense(spark, d), ["query_id"], 5, _order())
+    top = retrieval.rank(_dense(spark, d, 5), ["query_id"], 5, _order())
     return top.select(F.col("query_id").alias("item_id"), F.col("doc_id").alias("vec_id"), "rank", F.round("score", 5).alias("score"))
 
 
@@ -146,7 +147,7 @@ _PASSAGE_TEXTS = f"""select doc_id * 1000000 + o as id, source || ' / ' || lang
     select qid as item_id, doc as doc_id, cast(r as integer) as rank, cast(id % 1000000 as integer) as "offset", round(s, 6) as score from o where r <= 5""")
 def retr_parent_child(spark: SparkSession, d: str) -> DataFrame:
     rows = _passages(spark, d).select(F.struct("doc_id", "offset").alias("pid"), "text")
-    scores = retrieval.bm25(rows, asks(spark, d), "pid", "text").select("query_id", F.col("id.doc_id").alias("doc_id"), F.col("id").alias("passage_id"), F.round("score", 6).alias("score"))
+    scores = retrieval.bm25_best(rows, asks(spark, d), "pid", "text", 5, 6, "id.doc_id").select("query_id", F.col("id.doc_id").alias("doc_id"), F.col("id").alias("passage_id"), F.round("score", 6).alias("score"))
     top = retrieval.parents(scores, 5, True)
     return top.select(F.col("query_id").alias("item_id"), "doc_id", "rank", F.col("passage_id.offset").cast("int").alias("offset"), "score")
 
@@ -158,7 +159,7 @@ def retr_parent_child(spark: SparkSession, d: str) -> DataFrame:
     select count(*) as cases, round(avg(case when hit <= 1 then 1.0 else 0.0 end), 6) as hit_at_1, round(avg(case when hit <= 5 then 1.0 else 0.0 end), 6) as hit_at_5, round(avg(coalesce(1.0 / hit, 0.0)), 6) as mrr_at_5 from h""")
 def eval_hit_mrr(spark: SparkSession, d: str) -> DataFrame:
     """Which documents hold an item's text is the truth that ranks are held against."""
-    results = retrieval.rank(_lexical(spark, d), ["query_id"], 5, _order())
+    results = retrieval.rank(_lexical(spark, d, 5), ["query_id"], 5, _order())
     # candidates share the item's rarest word: an equi-join; only then is the whole text looked for
     words = lambda c: F.array_distinct(text.tokens(c))
     inner = lambda q: F.slice(text.tokens(q), 2, F.greatest(F.size(text.tokens(q)) - 2, F.lit(0)))

@@ -328,3 +328,31 @@ def test_used_categories(spark):
     for bad in ("c", None):
         with pytest.raises(Exception, match="no receipt: "):
             graph.used_categories(docs("a", bad), configured, "no receipt: ").collect()
+
+
+def test_best_rows_are_cut_by_task_and_agree_with_all_pairs(spark):
+    """Small batches, copies and ties: what tasks leave out is not among the best, and no more than k rows a query and task are moved."""
+    words = ["ab", "cd", "ef", "gh", "ij"]
+    rows = [((i % 97, i), " ".join(words[j % 5] for j in range(i % 7, i % 7 + 1 + i % 4))) for i in range(1500)] + [((98, 9999), None)]
+    texts = spark.createDataFrame(rows, "id struct<doc_id:long,n:long>, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "ab cd"), (2, "ef zz"), (3, "zz"), (4, None)], "query_id long, query string")
+    allowed = spark.range(0, 99, 2).withColumnRenamed("id", "doc_id")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "16")
+    try:
+        for within in (None, allowed):
+            for digits in (9, 1):
+                every = retrieval.bm25(texts, asked, "id", "text").withColumn("doc_id", F.col("id.doc_id"))
+                every = every.join(allowed, "doc_id", "left_semi") if within is not None else every
+                few = retrieval.bm25_best(texts, asked, "id", "text", 4, digits, "id.doc_id", within).withColumn("doc_id", F.col("id.doc_id"))
+                found = [sorted(map(tuple, retrieval.parents(x.select("query_id", "doc_id", F.col("id").alias("passage_id"), F.round("score", digits).alias("score")), 4, True).collect())) for x in (every, few)]
+                assert found[0] == found[1] and found[0]
+                assert few.count() <= 2 * 4 * few.rdd.getNumPartitions()
+        v = spark.range(2000).select((F.col("id") % 300).alias("doc_id"), F.col("id").alias("passage_id"), F.array((F.col("id") % 11).cast("double"), F.lit(1.0)).alias("vector")).repartition(2)
+        q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, vector array<double>")
+        few = retrieval.dense(v, q, 3)
+        found = [sorted(map(tuple, retrieval.parents(x, 3, False).collect())) for x in (retrieval.dense(v, q), few)]
+        assert found[0] == found[1] and few.count() <= 2 * 3 * few.rdd.getNumPartitions()
+    finally:
+        spark.conf.set(key, old)
