@@ -13,6 +13,7 @@ from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,26 +83,38 @@ PAGE = (
     "images array<struct<bbox:array<double>,sha256:string,content:binary>>, tables array<struct<bbox:array<double>,rows:array<array<string>>,status:string,error:string>>, "
     "raster binary, status string, error string"
 )
+#: Decoded rows, and bytes of the files that they come from, that a task passes on at once.
+_BATCH_ROWS, _BATCH_BYTES = 1000, 4 << 20
 OUTLINE = "source_id string, pos long, page long, title string, level int, height double, view_y double, is_xyz boolean, error string"
 
 
 def _decoded(files: DataFrame, decoder: Callable[[bytes], list[dict]], schema: str, first: dict, bad: dict) -> DataFrame:
     """A row for each dict that ``decoder`` makes of a file's content; a file that it cannot read is one row with an error."""
     names = [x.split()[0] for x in _split_fields(schema)]
+    made = files.sparkSession.createDataFrame([], schema).toArrow().schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            for sid, content in zip(b["source_id"], b["content"], strict=True):
+            for sid, content in zip(b.column("source_id"), b.column("content"), strict=True):
+                sid, content = sid.as_py(), content.as_py()
                 try:
                     rows = [{**first, **row, "source_id": sid} for row in decoder(content)]
                 except Exception as e:  # a broken file is a row, not a failure
                     rows = [{**bad, "source_id": sid, "error": f"{type(e).__name__}: {e}"}]
                 for i, row in enumerate(rows):
                     row.setdefault("page", i + 1) if "pos" not in names else row.setdefault("pos", i)
-                out = pd.DataFrame([{n: row.get(n) for n in names} for row in rows], columns=names, dtype=object)
-                yield out.astype({n: "Int64" for n in ("page", "pos") if n in names})
-
-    return files.select("source_id", "content").mapInPandas(run, schema)
+                held += rows
+                size += len(content or b"")
+                # rows of small files go together, those of a large one in several batches
+                if len(held) >= _BATCH_ROWS or size >= _BATCH_BYTES:
+                    for at in range(0, len(held), _BATCH_ROWS):
+                        yield pa.RecordBatch.from_pylist(held[at : at + _BATCH_ROWS], schema=made)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=made)
+
+    return files.select("source_id", "content").mapInArrow(run, schema)
 
 
 def _split_fields(schema: str) -> list[str]:

@@ -324,3 +324,19 @@ def test_bundle_parts(spark):
     assert sinks.bundle_parts(cards.limit(0), "module", "pos", "text", 100).count() == 0
     with pytest.raises(Exception, match="reserved separator"):
         sinks.bundle_parts(spark.createDataFrame([("a", 1, sinks.SEPARATOR)], "module string, pos int, text string"), "module", "pos", "text", 10).collect()
+
+
+def test_decoded_rows_of_many_files_and_of_a_large_one(spark):
+    """Rows of small files share a batch, those of a large file take several; broken and missing contents are a row each."""
+
+    def many(content):
+        if content is None or content.startswith(b"."):
+            raise ValueError("broken")
+        return [{"text": str(i), "width": 1, "images": [{"bbox": [0, 1, 2, 3], "content": content}]} for i in range(int(content))]
+
+    rows = [(f"s{i}", str(i % 4).encode()) for i in range(900)] + [("big", b"2500"), ("bad", b"."), ("none", None)]
+    made = files.decode_pages(spark.createDataFrame(rows, "source_id string, content binary").coalesce(1), many)
+    found = {r[0]: tuple(r)[1:] for r in made.groupBy("source_id").agg(F.count("*"), F.max("page"), F.max("status"), F.max(F.col("images")[0]["bbox"][3])).collect()}
+    assert len(found) == 675 + 3
+    assert found["big"] == (2500, 2500, "complete", 3.0) and found["s7"] == (3, 3, "complete", 3.0)
+    assert found["bad"] == found["none"] == (1, None, "failed", None)
