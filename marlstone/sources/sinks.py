@@ -64,10 +64,11 @@ def bundle_parts(cards: DataFrame, by: str, order: str, text: str, max_chars: in
     placed = dealt.join(before, F.col("g").eqNullSafe(F.col("__g")) & (F.col("p") == F.col("__p")))
     parted = placed.withColumn("part", F.floor((F.col("before") + earlier("n", "g", "p")) / F.lit(max_chars)))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), f"\n{separator}\n")
-    whole = parted.groupBy("g", "part").agg(joined.alias("bundle"))
-    # numbers without gaps, where a long text fills several
+    whole = stash(parted.groupBy("g", "part").agg(joined.alias("bundle")), "parts")
+    # numbers without gaps, where a long text fills several; only these are brought together by group, not the bundles
     number = F.row_number().over(Window.partitionBy("g").orderBy("part"))
-    return whole.select(F.col("g").alias(by), number.alias("part"), "bundle")
+    numbers = whole.select(F.col("g").alias("__g"), F.col("part").alias("__part"), number.alias("number"))
+    return whole.join(numbers, F.col("g").eqNullSafe(F.col("__g")) & (F.col("part") == F.col("__part"))).select(F.col("g").alias(by), F.col("number").alias("part"), "bundle")
 
 
 def export_decisions(cards: DataFrame, drafts: bool = False) -> DataFrame:
