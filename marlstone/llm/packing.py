@@ -24,6 +24,7 @@ no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import deque
@@ -57,6 +58,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # tasks keep the cores busy; threads inside each only cost more
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

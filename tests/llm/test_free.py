@@ -2,9 +2,13 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -489,3 +493,20 @@ def test_threshold_bound_holds_and_stops():
         inside = (np.sign(q[q != 0]) * v[:, q != 0] <= b).all(axis=1)
         assert not inside.any() or block.bound(a, b) >= (v[inside] @ q).max() - 1e-6
     assert block.asked == 60 and block.stopped > 45 and block.met < 0.6 * 60 * 5000
+
+
+def test_word_tokenizer_starts_no_threads():
+    """Tasks keep the cores busy; threads of the library's own took a sixth more CPU seconds."""
+    code = """
+import os
+from marlstone.llm import packing
+tok = packing.WordTokenizer(packing.vocabulary("word_bpe_49k.json"))
+before = len(os.listdir("/proc/self/task"))
+tok.encode_batch([f"word{i} w{i * 7919} some, more. text {i}" for i in range(5000)])
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    root = str(Path(__file__).parents[2])
+    env["PYTHONPATH"] = os.pathsep.join([root, env.get("PYTHONPATH", "")])
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, cwd=root, check=True)
+    assert out.stdout.strip() == "0"
