@@ -5,8 +5,8 @@ frequent words and, for the others, their length; it predicts each token from
 ``REACH`` tokens on both sides: position-wise embeddings, tanh, and a softmax in
 two steps (class, then member of the class).  A word that stands behind a length
 is then told apart from all others of it: listed words (at least ``MIN_COUNT``
-occurrences, and one in ``LIST_SHARE`` tokens) by their share of the length's
-tokens, the rest by spelling (byte after byte, from the pairs of bytes of all
+occurrences, whatever the corpus's size) by their share of the length's tokens, the
+rest by spelling (byte after byte, from the pairs of bytes of all
 such words).  The network is trained in numpy: documents are dealt by a hash of
 id and text into shards of about ``COPY_TOKENS`` tokens, every shard trains a
 copy on all positions of all its texts, and the copies are averaged by the number
@@ -15,10 +15,13 @@ number of shards follows from the corpus alone, and a token's score does not dep
 on the texts that share a batch (``log_probs``), so partitions do not change scores.  A text's score is the sum of the conditional log-probabilities of all
 its tokens, to ``PLACES`` places.
 
-The network has a fixed size, the list of words grows with the corpus up to
-``LIST_SHARE`` entries.  Listed words are known by their 64-bit hashes: these and
-their counts come to the driver, and workers look words up in sorted arrays of them
-(20 bytes a word) and keep the numbers of those they have just met.  What is summed
+The network has a fixed size.  Listed words are known by their 64-bit hashes: those of
+the most frequent, ``LISTED`` at most, and their counts come to the driver, and workers
+look words up in sorted arrays of them (20 bytes a word) and keep the numbers of those
+they have just met.  Listed words beyond these stay in a table, which is joined to the
+texts' words: which way a word is looked up does not change a score.  (Only if more
+than ``LISTED`` words were as frequent, within a factor of two, as the network's own
+would it know fewer of these.)  What is summed
 over the corpus (counts, parameter copies) grows with it; tasks add up their own first.
 
 Defined results: null and empty texts have no tokens, a sum and a mean of 0.0;
@@ -39,14 +42,14 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, give_back, small_batches, stash
 
 #: Pairs of bytes, by which rare words are spelled.
 BUCKETS = 1 << 16
-MIN_COUNT, LIST_SHARE = 5, 1 << 22
+MIN_COUNT, LISTED = 5, 1 << 22
 VOCAB, CLASSES, LENGTHS = 1024, 16, 16
 REACH, HIDDEN = 2, 16
 STEP, RATE = 512, 0.15
@@ -58,6 +61,8 @@ _MEMBERS = VOCAB // CLASSES
 _CACHE_LIMIT = 200_000
 #: Tokens scored at once, and the grain of the numbers that are multiplied; places of a score.
 _CHUNK, _EXACT, PLACES = 1 << 14, 2.0**-20, 6
+#: Corrections by the table of listed words are summed as whole multiples of this.
+_FINE = 2.0**-32
 _OFFSETS = [d for d in range(-REACH, REACH + 1) if d]
 #: Parameter rows: embeddings by position (one more for beyond the text's ends), classes, members; the last column is a bias.
 _EMB = len(_OFFSETS) * (VOCAB + 1)
@@ -75,6 +80,12 @@ class Words(NamedTuple):
     spelled: np.ndarray
     pairs: np.ndarray
     ends: np.ndarray
+    #: Listed words that the arrays do not hold (h, delta: what their log P is above the spelled one, in ``_FINE``), if there are any.
+    table: DataFrame | None = None
+
+    def sent(self) -> tuple:
+        """What goes to workers."""
+        return tuple(self._replace(table=None))
 
 
 def word_hash(word: bytes) -> int:
@@ -158,12 +169,15 @@ def count_words(documents: DataFrame) -> DataFrame:
 def list_words(documents: DataFrame) -> tuple[Words, np.ndarray, int]:
     """The words of all documents, the log share of each token id, and the number of tokens."""
     counts = stash(count_words(documents), "lm-words")
-    tokens = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(MIN_COUNT, -(-tokens // LIST_SHARE))
+    steps = [MIN_COUNT << j for j in range(48)]
+    tokens, *words_from = counts.agg(F.sum("n"), *[F.count_if(F.col("n") >= x) for x in steps]).first()
+    tokens = tokens or 0
+    # words from here on come to the driver; those between stay in a table
+    least = next(x for x, words in zip(steps, words_from, strict=True) if words <= LISTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # pairs of bytes; words not listed by length class; bytes beyond LENGTHS
-        total = np.zeros(BUCKETS + LENGTHS + 1, np.int64)
+        # pairs of bytes; words not listed by length class; bytes beyond LENGTHS; listed words of the table by length class
+        total = np.zeros(BUCKETS + 2 * LENGTHS + 1, np.int64)
 
         def count(held: list[pa.RecordBatch]) -> None:
             words = pa.concat_arrays([b["w"].cast(pa.large_binary()) for b in held])
@@ -175,7 +189,7 @@ def list_words(documents: DataFrame) -> tuple[Words, np.ndarray, int]:
             before[(ends[:-1] - ends[0])[size > 0]] = 32
             np.add.at(total, before * 256 + body, np.repeat(n, size))
             np.add.at(total, BUCKETS + np.minimum(size, LENGTHS) - 1, n)
-            total[-1] += (np.maximum(size - LENGTHS, 0) * n).sum()
+            total[BUCKETS + LENGTHS] += (np.maximum(size - LENGTHS, 0) * n).sum()
 
         held, rows = [], 0
         for batch in batches:
@@ -186,7 +200,11 @@ def list_words(documents: DataFrame) -> tuple[Words, np.ndarray, int]:
                 h = np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64)
                 b = np.fromiter((min(len(w), LENGTHS) - 1 for w in words), np.int64, len(words))
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(b), known["n"], pa.array(np.ones(len(words), bool))], ["h", "b", "n", "listed"])
-            held.append(batch.filter(pc.invert(often)))
+            between = batch.filter(pc.and_(pc.greater_equal(batch["n"], MIN_COUNT), pc.invert(often)))
+            if len(between):
+                size = np.minimum(pc.binary_length(between["w"]).to_numpy(zero_copy_only=False), LENGTHS).astype(np.int64)
+                np.add.at(total, BUCKETS + LENGTHS + size, between["n"].to_numpy(zero_copy_only=False))
+            held.append(batch.filter(pc.less(batch["n"], MIN_COUNT)))
             rows += len(held[-1])
             if rows >= _CHUNK:
                 count(held)
@@ -198,25 +216,43 @@ def list_words(documents: DataFrame) -> tuple[Words, np.ndarray, int]:
 
     # words of one hash and length class count as one
     rows = counts.mapInArrow(run, "h long, b long, n long, listed boolean").groupBy("listed", "h", "b").agg(F.sum("n").alias("n")).toPandas()
-    discard(counts)
     other = ~rows["listed"].to_numpy(bool)
-    total = np.zeros(BUCKETS + LENGTHS + 1, np.int64)
+    total = np.zeros(BUCKETS + 2 * LENGTHS + 1, np.int64)
     total[rows["b"][other].to_numpy(np.int64)] = rows["n"][other].to_numpy(np.int64)
     h, length, n = (rows[c][~other].to_numpy(np.int64) for c in ("h", "b", "n"))
     h = h.view(np.uint64)
     order = np.lexsort((h, -n))
     h, length, n = h[order], length[order], n[order]
-    rest = total[BUCKETS : BUCKETS + LENGTHS]
-    ids, log_share = vocabulary(n, int(rest.sum()))
+    rest, tabled = total[BUCKETS : BUCKETS + LENGTHS], total[BUCKETS + LENGTHS + 1 :]
+    ids, log_share = vocabulary(n, int(rest.sum() + tabled.sum()))
     tail = ids < 0
-    of_length = np.bincount(length[tail], n[tail], LENGTHS) + rest + 1
+    of_length = np.bincount(length[tail], n[tail], LENGTHS) + tabled + rest + 1
     extra = np.where(tail, np.log(n / of_length[length]), 0.0)
     ids = np.where(tail, VOCAB - LENGTHS + length, ids).astype(np.int32)
     pairs = total[:BUCKETS].reshape(256, 256) + 1
-    ends = np.array([rest[-1] + 1, total[-1] + 1])
+    ends = np.array([rest[-1] + 1, total[BUCKETS + LENGTHS] + 1])
     log_pairs = np.log(pairs / pairs.sum(axis=1, keepdims=True)).ravel()
     by_hash = np.argsort(h)
-    return Words(h[by_hash], ids[by_hash], extra[by_hash], np.log((rest + 1) / of_length), log_pairs, np.log(ends / ends.sum())), log_share, tokens
+    words = Words(h[by_hash], ids[by_hash], extra[by_hash], np.log((rest + 1) / of_length), log_pairs, np.log(ends / ends.sum()))
+    if tabled.any():
+        words = words._replace(table=stash(_tabled(counts.filter((F.col("n") >= MIN_COUNT) & (F.col("n") < least)), words, of_length), "lm-listed"))
+    discard(counts)
+    return words, log_share, tokens
+
+
+def _tabled(counts: DataFrame, words: Words, of_length: np.ndarray) -> DataFrame:
+    """h, delta of listed words (w, n) that workers take for spelled ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, n = batch["w"].to_pylist(), batch["n"].to_numpy(zero_copy_only=False)
+            if w:
+                size = np.minimum(np.fromiter(map(len, w), np.int64, len(w)), LENGTHS) - 1
+                delta = np.log(n / of_length[size]) - spelling(words, w)
+                h = np.fromiter(map(word_hash, w), np.uint64, len(w)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.rint(delta / _FINE).astype(np.int64))], ["h", "delta"])
+
+    return counts.mapInArrow(run, "h long, delta long")
 
 
 def vocabulary(counts: np.ndarray, rest: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -379,7 +415,7 @@ def train(documents: DataFrame) -> tuple[Words, np.ndarray]:
     small_batches(spark)
     words, log_share, tokens = list_words(documents)
     start = initial(log_share)
-    sent = spark.sparkContext.broadcast((tuple(words), start))
+    sent = spark.sparkContext.broadcast((words.sent(), start))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, start = sent.value
@@ -429,7 +465,9 @@ def train(documents: DataFrame) -> tuple[Words, np.ndarray]:
 def score(documents: DataFrame, model: tuple[Words, np.ndarray]) -> DataFrame:
     """``documents`` with a struct column ``lm``: n_tokens, log_likelihood (the sum) and mean_log_prob."""
     small_batches(documents.sparkSession)
-    sent = documents.sparkSession.sparkContext.broadcast((tuple(model[0]), model[1]))
+    words = model[0]
+    sent = documents.sparkSession.sparkContext.broadcast((words.sent(), model[1]))
+    tabled = words.table is not None
 
     @F.pandas_udf("n_tokens long, log_likelihood double, mean_log_prob double")
     def lm(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -441,8 +479,39 @@ def score(documents: DataFrame, model: tuple[Words, np.ndarray]) -> DataFrame:
             total, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
             if len(some):
                 total[some] = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[some])
-            total = np.round(total, PLACES)
+            if not tabled:
+                total = np.round(total, PLACES)
             yield pd.DataFrame({"n_tokens": sizes, "log_likelihood": total, "mean_log_prob": np.round(total / np.maximum(sizes, 1), PLACES)})
         give_back()
 
-    return documents.withColumn("lm", lm("text"))
+    if not tabled:
+        return documents.withColumn("lm", lm("text"))
+    return _corrected(documents, lm("text"), words.table, sent)
+
+
+def _corrected(documents: DataFrame, lm: Column, table: DataFrame, sent) -> DataFrame:
+    """``documents`` with ``lm``, where words of ``table`` have their share in place of their spelling.
+
+    Equal texts are corrected together: what their words add is summed in whole numbers
+    over all copies and divided by the number of these.
+    """
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = sent.value[0][0]
+        for batch in batches:
+            for key, found in zip(batch["__key"], batch["text"], strict=True):
+                some = Counter(split(found))
+                h = np.fromiter(map(word_hash, some), np.uint64, len(some))
+                n = np.fromiter(some.values(), np.int64, len(some))
+                new = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] != h if len(hashes) else np.ones(len(h), bool)
+                if new.any():
+                    yield pd.DataFrame({"__key": key, "h": h[new].view(np.int64), "n": n[new]})
+
+    keyed = documents.withColumn("__key", F.md5(F.col("text").cast("binary")))
+    texts = keyed.select("__key", "text").filter("text is not null")
+    sums = texts.mapInPandas(met, "__key string, h long, n long").join(table, "h").groupBy("__key").agg(F.sum(F.col("n") * F.col("delta")).alias("__sum"))
+    copies = texts.groupBy("__key").agg(F.count("*").alias("__copies"))
+    more = sums.join(copies, "__key").select("__key", (F.expr("__sum div __copies") * F.lit(_FINE)).alias("__more"))
+    total = F.round(F.col("lm.log_likelihood") + F.coalesce("__more", F.lit(0.0)), PLACES)
+    whole = F.struct(F.col("lm.n_tokens").alias("n_tokens"), total.alias("log_likelihood"), F.round(total / F.greatest("lm.n_tokens", F.lit(1)), PLACES).alias("mean_log_prob"))
+    return keyed.withColumn("lm", lm).join(more, "__key", "left").withColumn("lm", whole).select(*[c for c in keyed.columns if c not in ("__key", "lm")], "lm")

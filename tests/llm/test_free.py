@@ -244,6 +244,32 @@ def test_lm_tells_words_of_a_length_apart(spark):
     assert 0 < np.exp(chosen).sum() <= blank[0] + 1e-9 <= 1 + 1e-9
 
 
+def test_lm_scores_do_not_depend_on_where_words_are_looked_up(spark, monkeypatch):
+    """Words beyond those that go to workers keep their share: their least count followed the corpus's size."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 20))) for _ in range(6000)]
+    weights = [(k + 1) ** -0.5 for k in range(6000)]
+    texts = [" ".join(rng.choices(words, weights, k=400)) for _ in range(150)] + ["", None, "once alone " + words[0]]
+    rows = [(i, t, "x") for i, t in enumerate(texts + texts[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lm string").repartition(3)
+    ours, p = lmscore.train(docs)
+    assert ours.table is None
+    want = {r["doc_id"]: r["lm"] for r in lmscore.score(docs, (ours, p)).collect()}
+    monkeypatch.setattr(lmscore, "LISTED", 3000)
+    fewer, q = lmscore.train(docs)
+    assert lmscore.VOCAB <= len(fewer.hashes) <= 3000
+    assert len(ours.hashes) == len(fewer.hashes) + fewer.table.count()
+    assert np.array_equal(p, q)
+    scored = lmscore.score(docs, (fewer, q))
+    assert scored.columns == ["doc_id", "text", "lm"]
+    got = {r["doc_id"]: r["lm"] for r in scored.collect()}
+    assert got.keys() == want.keys() and len(got) == len(rows)
+    for k, w in want.items():
+        assert got[k]["n_tokens"] == w["n_tokens"]
+        assert got[k]["log_likelihood"] == pytest.approx(w["log_likelihood"], abs=2e-6)
+        assert got[k]["mean_log_prob"] == pytest.approx(w["mean_log_prob"], abs=2e-6)
+
+
 def test_lm_trains_on_every_position(spark):
     texts = ["a b c d e", "b a", "", None]
     words, p = lmscore.train(spark.createDataFrame([(x,) for x in texts], "text string"))
