@@ -49,7 +49,7 @@ from .common import discard, give_back, small_batches, stash
 
 #: Pairs of bytes, by which rare words are spelled.
 BUCKETS = 1 << 16
-MIN_COUNT, LISTED = 5, 1 << 22
+MIN_COUNT, LISTED = 5, 1 << 20
 VOCAB, CLASSES, LENGTHS = 1024, 16, 16
 REACH, HIDDEN = 2, 16
 STEP, RATE = 512, 0.15
@@ -215,11 +215,12 @@ def list_words(documents: DataFrame) -> tuple[Words, np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), np.int64)), pa.array(some), pa.array(total[some]), pa.array(np.zeros(len(some), bool))], ["h", "b", "n", "listed"])
 
     # words of one hash and length class count as one
-    rows = counts.mapInArrow(run, "h long, b long, n long, listed boolean").groupBy("listed", "h", "b").agg(F.sum("n").alias("n")).toPandas()
-    other = ~rows["listed"].to_numpy(bool)
+    rows = counts.mapInArrow(run, "h long, b long, n long, listed boolean").groupBy("listed", "h", "b").agg(F.sum("n").alias("n")).toArrow()
+    rows = {c: rows[c].to_numpy() for c in rows.column_names}
+    other = ~rows["listed"]
     total = np.zeros(BUCKETS + 2 * LENGTHS + 1, np.int64)
-    total[rows["b"][other].to_numpy(np.int64)] = rows["n"][other].to_numpy(np.int64)
-    h, length, n = (rows[c][~other].to_numpy(np.int64) for c in ("h", "b", "n"))
+    total[rows["b"][other]] = rows["n"][other]
+    h, length, n = (rows[c][~other] for c in ("h", "b", "n"))
     h = h.view(np.uint64)
     order = np.lexsort((h, -n))
     h, length, n = h[order], length[order], n[order]
