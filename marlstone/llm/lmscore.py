@@ -13,12 +13,11 @@ copy on all positions of all its texts, and the copies are averaged by the numbe
 of tokens trained (one aggregation of parameter rows, in whole numbers).  The
 number of shards follows from the corpus alone, and a token's score does not depend
 on the texts that share a batch (``log_probs``), so partitions do not change scores.  A text's score is the sum of the conditional log-probabilities of all
-its tokens, to ``PLACES`` places.
+its tokens, to ``PLACES`` places, and its mean is that sum by the number of tokens.
 
 The network has a fixed size.  Listed words are known by their 64-bit hashes: those of
 the most frequent, ``LISTED`` at most, and their counts come to the driver, and workers
-look words up in sorted arrays of them (20 bytes a word) and keep the numbers of those
-they have just met.  Listed words beyond these stay in a table, which is joined to the
+look words up in sorted arrays of them (20 bytes a word), each distinct word of a batch once.  Listed words beyond these stay in a table, which is joined to the
 texts' words: which way a word is looked up does not change a score.  (Only if more
 than ``LISTED`` words were as frequent, within a factor of two, as the network's own
 would it know fewer of these.)  What is summed
@@ -35,6 +34,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -58,11 +58,16 @@ COPY_TOKENS, BLOCK_TEXTS = 1 << 20, 256
 #: Parameters are summed as whole multiples of this, times sixteenths of tokens.
 GRAIN = 2.0**-16
 _MEMBERS = VOCAB // CLASSES
-_CACHE_LIMIT = 200_000
+#: Words that a task holds before it counts them.
+_COUNTED = 1 << 21
+#: Places that are ordered together.
+_TOGETHER = 1 << 15
 #: Tokens scored at once, and the grain of the numbers that are multiplied; places of a score.
-_CHUNK, _EXACT, PLACES = 1 << 14, 2.0**-20, 6
+_CHUNK, _EXACT, PLACES = 1 << 12, 2.0**-20, 6
 #: Corrections by the table of listed words are summed as whole multiples of this.
 _FINE = 2.0**-32
+#: Every byte as ``split`` lowers it.
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 _OFFSETS = [d for d in range(-REACH, REACH + 1) if d]
 #: Parameter rows: embeddings by position (one more for beyond the text's ends), classes, members; the last column is a bias.
 _EMB = len(_OFFSETS) * (VOCAB + 1)
@@ -88,59 +93,58 @@ class Words(NamedTuple):
         return tuple(self._replace(table=None))
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
-
-
-class _Met(dict):
-    """word -> its place in the arrays of ``Lookup``."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
+word_hash = xxhash.xxh64_intdigest
 
 
 class Lookup:
-    """Token ids, and with ``spell`` log P(word | token), of words; those met before are looked up in a dictionary of bounded size."""
+    """Token ids, and with ``spell`` log P(word | token), of words; each distinct word of a call is looked up once."""
 
     def __init__(self, words: Words, spell: bool = False):
         self.words, self.spell = words, spell
-        self.clear()
-
-    def clear(self) -> None:
-        self.met = _Met()
-        self.met.new = []
-        self.ids, self.extra = np.empty(0, np.int32), np.empty(0)
-
-    def places(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.met.__getitem__, found), np.int64, len(found))
-
-    def learn(self) -> None:
-        """Look up the words that were met for the first time."""
-        new, self.met.new = self.met.new, []
-        if not new:
-            return
-        w = self.words
+
+    def __call__(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        coded, w = found.dictionary_encode(), self.words
+        new = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         size = np.fromiter(map(len, new), np.int64, len(new))
         ids = (VOCAB - LENGTHS - 1 + np.minimum(size, LENGTHS)).astype(np.int32)
         known = np.zeros(len(new), bool)
         at = np.zeros(len(new), np.int64)
         if len(w.hashes):
             h = np.fromiter(map(word_hash, new), np.uint64, len(new))
-            at = np.minimum(np.searchsorted(w.hashes, h), len(w.hashes) - 1)
+            # looked up in order: neighbours in the arrays are read together
+            order = np.argsort(h)
+            at[order] = np.minimum(np.searchsorted(w.hashes, h[order]), len(w.hashes) - 1)
             known = w.hashes[at] == h
             ids[known] = w.ids[at[known]]
-        self.ids = np.concatenate([self.ids, ids])
-        if self.spell:
-            extra = np.zeros(len(new))
-            extra[known] = w.extra[at[known]]
-            extra[~known] = spelling(w, [new[i] for i in np.flatnonzero(~known)])
-            self.extra = np.concatenate([self.extra, extra])
-
-
-def split(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        where = coded.indices.to_numpy()
+        if not self.spell:
+            return ids[where], np.empty(0)
+        extra = np.zeros(len(new))
+        extra[known] = w.extra[at[known]]
+        extra[~known] = spelling(w, [new[i] for i in np.flatnonzero(~known)])
+        return ids[where], extra[where]
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What ``split`` gives for all texts, one after the other, and the number of words of each."""
+    texts = texts.cast(pa.large_binary())
+    texts = texts.fill_null(b"") if texts.null_count else texts
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    # pyarrow's own ascii_lower (23.0) takes a slice's bytes from the wrong place
+    body = _LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    lists = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(body)))
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    found = lists.flatten()
+    some = pc.greater(pc.binary_length(found), 0)
+    if not pc.all(some).as_py():  # blanks at a text's ends leave empty words
+        kept = some.to_numpy(zero_copy_only=False)
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+        found = found.filter(some)
+    return found, sizes
+
+
+def split(text: bytes | None) -> list[bytes]:
+    return text.lower().split() if text else []
 
 
 def _byte_pairs(words: list[bytes]) -> np.ndarray:
@@ -153,17 +157,26 @@ def _byte_pairs(words: list[bytes]) -> np.ndarray:
 def count_words(documents: DataFrame) -> DataFrame:
     """w, n: occurrences of every word in all documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            found = pc.value_counts(pa.concat_arrays(held))
+            parts = [found.field("values").cast(pa.large_binary()).cast(pa.binary()), found.field("counts")]
+            for s in range(0, len(found), _CHUNK):
+                yield pa.RecordBatch.from_arrays([x.slice(s, _CHUNK) for x in parts], ["w", "n"])
+
         for batch in batches:
-            for text in batch["text"]:
-                found.update(split(text))
-            if len(found) >= _CACHE_LIMIT:
-                yield pd.DataFrame({"w": list(found), "n": list(found.values())})
-                found.clear()
-        yield pd.DataFrame({"w": list(found), "n": list(found.values())})
+            held.append(words_of(batch["text"])[0])
+            rows += len(held[-1])
+            if rows >= _COUNTED:
+                yield from counted()
+                held, rows = [], 0
+        if held:
+            yield from counted()
+        give_back()
 
-    return documents.select("text").mapInPandas(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return documents.select("text").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def list_words(documents: DataFrame) -> tuple[Words, np.ndarray, int]:
@@ -280,17 +293,15 @@ def initial(log_share: np.ndarray) -> np.ndarray:
 
 def _lay_out(texts, look: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of many texts in one row with ``REACH`` blanks between; the tokens' places; the texts' sizes; if ``look`` spells, log P(word | token) of each."""
-    if len(look.met) > _CACHE_LIMIT:
-        look.clear()
-    met = [look.places(split(t)) for t in texts]
-    look.learn()
-    sizes = np.array([len(m) for m in met], np.int64)
-    row = np.full(REACH * (len(met) + 1) + sizes.sum(), VOCAB, np.int32)
-    every = np.concatenate(met) if met else np.empty(0, np.int64)
+    if not isinstance(texts, pa.Array):
+        texts = pa.array([t and t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary())
+    found, sizes = words_of(texts)
+    ids, extra = look(found)
+    row = np.full(REACH * (len(sizes) + 1) + len(ids), VOCAB, np.int32)
     # a text's tokens stand behind all tokens before it and a gap for each text
-    at = np.arange(len(every)) + REACH * (1 + np.repeat(np.arange(len(met)), sizes))
-    row[at] = look.ids[every]
-    return row, at, sizes, look.extra[every] if look.spell else np.empty(0)
+    at = np.arange(len(ids)) + REACH * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    row[at] = ids
+    return row, at, sizes, extra
 
 
 def spelling(words: Words, rare: list[bytes]) -> np.ndarray:
@@ -305,15 +316,27 @@ def spelling(words: Words, rare: list[bytes]) -> np.ndarray:
 class _Places:
     """Places to predict, ordered by the class of their token: embedding rows of both sides, classes, members."""
 
-    def __init__(self, row: np.ndarray, at: np.ndarray):
-        cls = (row[at] // _MEMBERS).astype(np.uint16)
-        self.order = np.argsort(cls, kind="stable")
-        at = at[self.order]
-        self.cls, self.member = cls[self.order], row[at] % _MEMBERS
-        self.rows = np.concatenate([row[at + d] + i * (VOCAB + 1) for i, d in enumerate(_OFFSETS)]).astype(np.uint16)
-        ends = np.searchsorted(self.cls, np.arange(CLASSES + 1))
-        #: (class, its parameter rows below the classes' own, first place, place after the last).
-        self.spans = [(c * _MEMBERS, (c + 1) * _MEMBERS, ends[c], ends[c + 1]) for c in range(CLASSES) if ends[c] < ends[c + 1]]
+    def __init__(self, order: np.ndarray, rows: np.ndarray, cls: np.ndarray, member: np.ndarray, ends: list[int]):
+        self.order, self.rows, self.cls, self.member = order, rows, cls, member
+        #: (class, first place, place after the last).
+        self.spans = [(c, a, b) for c, (a, b) in enumerate(pairwise(ends)) if a < b]
+
+    @classmethod
+    def cut(cls, row: np.ndarray, at: np.ndarray, size: int) -> Iterator[_Places]:
+        """``size`` places at a time; they are ordered some steps together."""
+        some = max(1, _TOGETHER // size)
+        for s in range(0, len(at), some * size):
+            here = at[s : s + some * size]
+            n = -(-len(here) // size)
+            key = (np.arange(len(here)) // size * CLASSES + row[here] // _MEMBERS).astype(np.uint16)
+            order = np.argsort(key, kind="stable")
+            key, here = key[order], here[order]
+            member, key = row[here] % _MEMBERS, key % CLASSES + np.arange(len(here)) // size * CLASSES
+            rows = np.stack([row[here + d] + i * (VOCAB + 1) for i, d in enumerate(_OFFSETS)]).astype(np.uint16)
+            ends = np.searchsorted(key, np.arange(n * CLASSES + 1))
+            for i in range(n):
+                a, b = i * size, min((i + 1) * size, len(here))
+                yield cls(order[a:b] - a, rows[:, a:b].ravel(), key[a:b] % CLASSES, member[a:b], (ends[i * CLASSES : (i + 1) * CLASSES + 1] - a).tolist())
 
     def hidden(self, p: np.ndarray) -> np.ndarray:
         """Hidden units and, last, a one for the bias."""
@@ -322,14 +345,6 @@ class _Places:
         h[:, HIDDEN] = 1
         return h
 
-    def logits(self, p: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of all classes, and of the members of each place's class; a column a place."""
-        body, t = p[_EMB + CLASSES :], np.ascontiguousarray(h.T)
-        members = np.empty((_MEMBERS, len(h)), np.float32)
-        for first, last, a, b in self.spans:
-            np.matmul(body[first:last], t[:, a:b], out=members[:, a:b])
-        return p[_EMB : _EMB + CLASSES] @ t, members
-
 
 def log_probs(p: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log P(token | both sides) at the places ``at``.
@@ -341,12 +356,11 @@ def log_probs(p: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.empty(len(at), np.float64)
     exact = lambda x: np.rint(x * np.float32(1 / _EXACT)).astype(np.float64) * _EXACT
     heads, body = exact(p[_EMB : _EMB + CLASSES]), exact(p[_EMB + CLASSES :])
-    for s in range(0, len(at), _CHUNK):
-        x = _Places(row, at[s : s + _CHUNK])
+    for s, x in zip(range(0, len(at), _CHUNK), _Places.cut(row, at, _CHUNK), strict=True):
         t = np.ascontiguousarray(exact(x.hidden(p)).T)
         members = np.empty((_MEMBERS, len(x.cls)), np.float32)
-        for first, last, a, b in x.spans:
-            members[:, a:b] = body[first:last] @ t[:, a:b]
+        for c, a, b in x.spans:
+            members[:, a:b] = body[c * _MEMBERS : (c + 1) * _MEMBERS] @ t[:, a:b]
         total = np.zeros(len(x.cls))
         for z, chosen in (((heads @ t).astype(np.float32), x.cls), (members, x.member)):
             z -= z.max(axis=0)
@@ -362,49 +376,65 @@ class Trainer:
     def __init__(self, start: np.ndarray):
         self.p, self.seen = start.copy(), np.full(start.shape, 1e-3, np.float32)
         self.tokens = 0
+        #: Views of what a step reads and writes, and room that steps use again.
+        self.heads = self.p[_EMB : _EMB + CLASSES]
+        self.body = np.split(self.p[_EMB + CLASSES :], CLASSES)
+        self.body_t = [b.T for b in self.body]
+        self.out = np.empty((CLASSES + VOCAB, HIDDEN + 1), np.float32)
+        self.body_out = np.split(self.out[CLASSES:], CLASSES)
+        self.members, self.back = np.empty((STEP, _MEMBERS), np.float32), np.empty((STEP, HIDDEN + 1), np.float32)
 
     def gradient(self, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the mean loss at the places: for classes and members; for embeddings, and their rows."""
-        x = _Places(row, at)
-        n = len(at)
+        """Of the mean loss at the places, ``STEP`` at most: for classes and members; for embeddings, and their rows."""
+        return self._gradient(next(_Places.cut(row, at, STEP)))
+
+    def _gradient(self, x: _Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(x.cls)
         h = x.hidden(self.p)
-        classes, members = x.logits(self.p, h)
+        members, back, out = self.members[:n], self.back[:n], self.out
+        for c, a, b in x.spans:
+            np.dot(h[a:b], self.body_t[c], out=members[a:b])
+        classes = h @ self.heads.T
         for z, chosen in ((classes, x.cls), (members, x.member)):  # softmax less what is right
-            z -= z.max(axis=0)
+            z -= z.max(axis=1, keepdims=True)
             np.exp(z, out=z)
-            z /= z.sum(axis=0)
-            z[chosen, np.arange(n)] -= 1
-        out = np.zeros((CLASSES + VOCAB, HIDDEN + 1), np.float32)
-        np.matmul(classes, h, out=out[:CLASSES])
-        back = classes.T @ self.p[_EMB : _EMB + CLASSES]
-        body = self.p[_EMB + CLASSES :]
-        for first, last, a, b in x.spans:
-            z = members[:, a:b]
-            np.matmul(z, h[a:b], out=out[CLASSES + first : CLASSES + last])
-            back[a:b] += z.T @ body[first:last]
+            z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+            z[np.arange(n), chosen] -= 1
+        out.fill(0)
+        np.dot(classes.T, h, out=out[:CLASSES])
+        np.dot(classes, self.heads, out=back)
+        for c, a, b in x.spans:
+            z = members[a:b]
+            np.dot(z.T, h[a:b], out=self.body_out[c])
+            back[a:b] += z @ self.body[c]
         out /= n
         back *= (1 - h * h) / n  # nothing for the bias, whose unit is one
         order = np.argsort(x.rows, kind="stable")
         rows = x.rows[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        return out, np.add.reduceat(back.take(order % n, axis=0), first, axis=0), rows[first]
+        emb = np.zeros((len(first), HIDDEN + 1), np.float32)
+        # two numbers are added at a time
+        pairs = np.ascontiguousarray(back[:, :HIDDEN]).view(np.complex64).take(order % n, axis=0)
+        emb[:, :HIDDEN] = np.add.reduceat(pairs, first, axis=0).view(np.float32)
+        return out, emb, rows[first]
 
     def step(self, row: np.ndarray, at: np.ndarray) -> None:
-        out, emb, rows = self.gradient(row, at)
+        self._step(next(_Places.cut(row, at, STEP)))
+
+    def _step(self, x: _Places) -> None:
+        out, emb, rows = self._gradient(x)
         self.seen[_EMB:] += out * out
         self.p[_EMB:] -= RATE * out / np.sqrt(self.seen[_EMB:])
         seen = self.seen.take(rows, axis=0) + emb * emb
         self.seen[rows] = seen
-        self.p[rows] -= RATE * emb / np.sqrt(seen)
-        self.tokens += len(at)
+        self.p[rows] = self.p.take(rows, axis=0) - RATE * emb / np.sqrt(seen)
+        self.tokens += len(x.cls)
 
     def texts(self, texts, look: Lookup) -> None:
         row, at, _, _ = _lay_out(texts, look)
-        if not len(at):
-            return
         at = at[np.argsort((np.arange(len(at), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20), kind="stable")]
-        for s in range(0, len(at), STEP):
-            self.step(row, at[s : s + STEP])
+        for x in _Places.cut(row, at, STEP):
+            self._step(x)
 
 
 _COLS = [f"p{i}" for i in range(HIDDEN + 1)]
@@ -418,35 +448,38 @@ def train(documents: DataFrame) -> tuple[Words, np.ndarray]:
     start = initial(log_share)
     sent = spark.sparkContext.broadcast((words.sent(), start))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, start = sent.value
         look = Lookup(Words(*known))
         total, weight = np.zeros((_ROWS, HIDDEN + 1), np.int64), 0
-        shard, held, t = None, [], Trainer(start)
+        shard, held, rows, t = None, [], 0, Trainer(start)
 
         def close() -> None:
             nonlocal total, weight
-            t.texts(held, look)
+            if held:
+                t.texts(pa.concat_arrays(held), look)
             if t.tokens:
                 share = -(-t.tokens // 16)
                 total += np.rint(t.p.astype(np.float64) * (share / GRAIN)).astype(np.int64)
                 weight += share
 
         for batch in batches:
-            for s, text in zip(batch["shard"], batch["text"], strict=True):
-                if s != shard:
+            shards = batch["shard"].to_numpy()
+            first = 0
+            while first < len(shards):
+                if shards[first] != shard:
                     close()
-                    shard, held, t = s, [], Trainer(start)
-                held.append(text)
-                if len(held) == BLOCK_TEXTS:
-                    t.texts(held, look)
-                    held = []
+                    shard, held, rows, t = shards[first], [], 0, Trainer(start)
+                # those of the shard come one after the other
+                some = batch["text"].slice(first, min(np.searchsorted(shards, shard, "right") - first, BLOCK_TEXTS - rows))
+                held.append(some.cast(pa.large_string(), safe=False))
+                first, rows = first + len(some), rows + len(some)
+                if rows == BLOCK_TEXTS:
+                    t.texts(pa.concat_arrays(held), look)
+                    held, rows = [], 0
         close()
         if weight:
-            out = pd.DataFrame(total, columns=_COLS)
-            out.insert(0, "r", np.arange(_ROWS))
-            out.insert(1, "n", weight)
-            yield out
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_ROWS)), pa.array(np.full(_ROWS, weight)), *map(pa.array, total.T.copy())], ["r", "n", *_COLS])
         give_back()
 
     shards = max(1, -(-tokens // COPY_TOKENS))
@@ -456,7 +489,7 @@ def train(documents: DataFrame) -> tuple[Words, np.ndarray]:
     # a task streams through its shards and adds them up: no more tasks than keep the cluster busy
     tasks = min(2 * shards, max(512, 4 * spark.sparkContext.defaultParallelism))
     dealt = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "h", "doc_id", "text")
-    parts = dealt.select("shard", "text").mapInPandas(run, "r long, n long, " + ", ".join(f"{c} long" for c in _COLS))
+    parts = dealt.select("shard", "text").mapInArrow(run, "r long, n long, " + ", ".join(f"{c} long" for c in _COLS))
     rows = parts.groupBy("r").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _COLS]).toPandas().sort_values("r")
     if len(rows):
         start = (rows[_COLS].to_numpy() / rows[["n"]].to_numpy() * GRAIN).astype(np.float32)
@@ -470,8 +503,8 @@ def score(documents: DataFrame, model: tuple[Words, np.ndarray]) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast((words.sent(), model[1]))
     tabled = words.table is not None
 
-    @F.pandas_udf("n_tokens long, log_likelihood double, mean_log_prob double")
-    def lm(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, log_likelihood double, mean_log_prob double")
+    def lm(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known, p = sent.value
         look = Lookup(Words(*known), spell=True)
         for batch in texts:
@@ -482,7 +515,7 @@ def score(documents: DataFrame, model: tuple[Words, np.ndarray]) -> DataFrame:
                 total[some] = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[some])
             if not tabled:
                 total = np.round(total, PLACES)
-            yield pd.DataFrame({"n_tokens": sizes, "log_likelihood": total, "mean_log_prob": np.round(total / np.maximum(sizes, 1), PLACES)})
+            yield pa.StructArray.from_arrays([pa.array(sizes), pa.array(total), pa.array(total / np.maximum(sizes, 1))], ["n_tokens", "log_likelihood", "mean_log_prob"])
         give_back()
 
     if not tabled:
@@ -509,10 +542,10 @@ def _corrected(documents: DataFrame, lm: Column, table: DataFrame, sent) -> Data
                     yield pd.DataFrame({"__key": key, "h": h[new].view(np.int64), "n": n[new]})
 
     keyed = documents.withColumn("__key", F.md5(F.col("text").cast("binary")))
-    texts = keyed.select("__key", "text").filter("text is not null")
+    texts = keyed.select("__key", F.col("text").cast("binary").alias("text")).filter("text is not null")
     sums = texts.mapInPandas(met, "__key string, h long, n long").join(table, "h").groupBy("__key").agg(F.sum(F.col("n") * F.col("delta")).alias("__sum"))
     copies = texts.groupBy("__key").agg(F.count("*").alias("__copies"))
     more = sums.join(copies, "__key").select("__key", (F.expr("__sum div __copies") * F.lit(_FINE)).alias("__more"))
     total = F.round(F.col("lm.log_likelihood") + F.coalesce("__more", F.lit(0.0)), PLACES)
-    whole = F.struct(F.col("lm.n_tokens").alias("n_tokens"), total.alias("log_likelihood"), F.round(total / F.greatest("lm.n_tokens", F.lit(1)), PLACES).alias("mean_log_prob"))
+    whole = F.struct(F.col("lm.n_tokens").alias("n_tokens"), total.alias("log_likelihood"), (total / F.greatest("lm.n_tokens", F.lit(1))).alias("mean_log_prob"))
     return keyed.withColumn("lm", lm).join(more, "__key", "left").withColumn("lm", whole).select(*[c for c in keyed.columns if c not in ("__key", "lm")], "lm")

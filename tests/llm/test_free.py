@@ -11,6 +11,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,6 +279,31 @@ def test_lm_trains_on_every_position(spark):
     assert t.tokens == 7
 
 
+def test_lm_words_of_batches_are_those_of_texts():
+    """All words of an Arrow batch are cut and looked up at once, bytes as they are, wherever the batch was sliced."""
+    rng = random.Random(2)
+    bits = [b"Ab", b"  ", b"\xc3\x84z", b"\xff", b"\x0b", b"\n", b"\x1c", b"q" * 40, b" x "]
+    texts = [None, b"", b" \t ", *[b"".join(rng.choices(bits, k=rng.randrange(3000))) for _ in range(60)], None]
+    every = pa.array(texts, pa.binary()).cast(pa.string(), safe=False)
+    for first, last in ((0, 64), (1, 20), (17, 64), (40, 41), (5, 5)):
+        found, sizes = lmscore.words_of(every[first:last])
+        want = [lmscore.split(t) for t in texts[first:last]]
+        assert found.cast(pa.large_binary()).to_pylist() == [w for ws in want for w in ws]
+        assert sizes.tolist() == [len(ws) for ws in want]
+
+
+@pytest.mark.parametrize("listed", [1 << 20, 1024])
+def test_lm_takes_texts_that_are_no_utf8(spark, monkeypatch, listed):
+    monkeypatch.setattr(lmscore, "LISTED", listed)
+    common = " ".join(f"w{i:04d} " * (5 + i % 7) for i in range(1200))
+    rows = [(1, common.encode()), (2, b"w0001 \xff\xfe W0002"), (3, b"\xff"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
+    model = lmscore.train(docs)
+    assert (model[0].table is None) == (listed > 1200)
+    got = {r["doc_id"]: r["n_tokens"] for r in lmscore.score(docs, model).select("doc_id", "lm.*").collect()}
+    assert got == {1: len(common.split()), 2: 3, 3: 1, 4: 0}
+
+
 def test_lm_is_a_distribution():
     ids, share = lmscore.vocabulary(np.arange(lmscore.BUCKETS))
     p = lmscore.initial(share)
