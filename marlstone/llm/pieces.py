@@ -27,6 +27,7 @@ from __future__ import annotations
 import gc
 import heapq
 import re
+import sys
 from collections.abc import Iterator
 from itertools import accumulate, chain, pairwise
 
@@ -46,6 +47,11 @@ _UNIT = re.compile(f"{BLANK}+[^{BLANK}]*")
 _ARROW = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("agrees", pa.bool_())])
 
 
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points of texts, one after the other."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class _Kept:
     """Units, or parts of units, with their ids; those of the generation before are taken over when they are met again."""
 
@@ -56,13 +62,11 @@ class _Kept:
         self.long: list[str] = []
 
     def unknown(self, keys: set[str]) -> list[str]:
-        out, young, old = [], self.young, self.old
-        for k in keys.difference(young):
-            found = old.get(k)
-            if found is None:
-                out.append(k)
-            else:
-                young[k] = found
+        new, young, old = keys.difference(self.young), self.young, self.old
+        again = new & old.keys() if old else ()
+        for k in again:
+            young[k] = old[k]
+        out = list(new.difference(again))
         self.long = [k for k in out if len(k) > KEPT_CHARS]
         return out
 
@@ -98,7 +102,12 @@ class Encoder:
         #: Number of each symbol that can be merged: pieces by id, then characters that are no pieces; the last is of none.
         alone = sorted({c for p in self.ids for c in p} - self.ids.keys())
         self.number = self.ids | {c: len(size) + k for k, c in enumerate(alone)}
-        self.none = len(size) + len(alone)
+        self.none, self.size = len(size) + len(alone), len(size)
+        #: Number of each code point.
+        self.of_char = np.full(sys.maxunicode + 1, self.none, np.int32)
+        for c, k in self.number.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = k
         unions = {}
         for p, rank in self.ranks.items():
             for k in range(1, len(p)):
@@ -165,8 +174,7 @@ class Encoder:
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         wide = int(lengths.max(initial=0)) + 1
         symbols = np.full((len(parts), wide), self.none, np.int64)
-        number = self.number
-        symbols[np.arange(wide) < lengths[:, None]] = np.fromiter((number.get(c, self.none) for c in chain.from_iterable(parts)), np.int64, lengths.sum())
+        symbols[np.arange(wide) < lengths[:, None]] = self.of_char[_codes(parts)]
         agenda = np.full((len(parts), wide), NEVER, np.int64)
         agenda[:, :-1] = self._unions(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())[0].reshape(len(parts), -1)
         #: where each symbol starts in its part, to spell those that are no pieces
@@ -176,10 +184,11 @@ class Encoder:
             best = agenda.argmin(axis=1)  # the leftmost of equal ones
             some = np.arange(len(rows))
             done = agenda[some, best] == NEVER
-            for i in np.flatnonzero(done):
-                part, n = parts[rows[i]], left[i]
-                ids = symbols[i, :n].tolist()
-                if max(ids) >= self.library.vocab_size():
+            ended = np.flatnonzero(done)
+            spelled = ((symbols[ended] >= self.size) & (places < left[ended, None])).any(axis=1)
+            for i, ids, n, some in zip(ended.tolist(), symbols[ended].tolist(), left[ended].tolist(), spelled.tolist(), strict=True):
+                part, ids = parts[rows[i]], ids[:n]
+                if some:
                     ends = [*starts[i, 1:n].tolist(), len(part)]
                     ids = list(chain.from_iterable(self.spelled(part[s:e]) for s, e in zip(starts[i, :n].tolist(), ends, strict=True)))
                 out[rows[i]] = tuple(ids)
@@ -203,22 +212,16 @@ class Encoder:
         if not units:
             return []
         lengths = np.fromiter(map(len, units), np.int64, len(units))
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes = _codes(units).astype(np.int64)
         key = (codes[:-1] << 21) + codes[1:]
         apart = np.ones(len(codes), bool)
         apart[:-1] = self.joins[np.minimum(np.searchsorted(self.joins, key), len(self.joins) - 1)] != key
         ends = np.cumsum(lengths)
-        apart[ends - 1] = False  # between units nothing is to be cut
+        apart[ends - 1] = True  # a unit's end is a part's end
         cuts = np.flatnonzero(apart) + 1
-        of = np.searchsorted(ends, cuts - 1, side="right")
-        out = [[u] for u in units]
-        for i, at in zip(of.tolist(), (cuts - (ends - lengths)[of]).tolist(), strict=True):
-            # cuts come from left to right: the last part is cut again, at places counted from the unit's start
-            parts = out[i]
-            rest = parts[-1]
-            at -= len(units[i]) - len(rest)
-            parts[-1:] = rest[:at], rest[at:]
-        return out
+        every = "".join(units)
+        parts = [every[a:b] for a, b in pairwise([0, *cuts.tolist()])]
+        return [parts[a:b] for a, b in pairwise([0, *(np.searchsorted(cuts, ends) + 1).tolist()])]
 
     def learn(self, units: set[str]) -> None:
         """Encode the units that are not known, and compare them with what the library says."""

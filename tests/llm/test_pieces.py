@@ -97,3 +97,21 @@ def test_query_against_library(spark, encoder):
     for r in got:
         ids = encoder.library.encode(docs[r["doc_id"]] or "")
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(",".join(map(str, ids))), sha(encoder.library.decode(ids)))
+
+
+def test_short_parts_are_numbered_together():
+    """Characters of short parts were looked up one by one, and the library was asked for its size for each part."""
+    e = pieces.Encoder(packing.vocabulary("piece_bpe_32k.model"))
+    asked = []
+
+    class Counted(dict):
+        def get(self, *args):
+            asked.append(args)
+            return dict.get(self, *args)
+
+    e.number = Counted(e.number)
+    texts = ["plain words, in short parts", "Ünïcode 漢字 😀 \x00 tail", "", " ", "a" * 23, "zz\U0010ffff", "x  y   "]
+    ids, agrees = e.batch(texts)
+    assert ids == [list(e.library.encode(t)) for t in texts] and all(agrees)
+    assert not asked
+    assert list(map("".join, e.cut(["▁ab,cd", "▁", "▁漢字"]))) == ["▁ab,cd", "▁", "▁漢字"] and e.cut([]) == []
