@@ -6,17 +6,25 @@ import hashlib
 import html
 import hmac
 import io
+import re
 import tarfile
 import time
 import urllib.parse
+import uuid
 import zipfile
+from collections.abc import Iterator
+from itertools import groupby
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.metadata import exportable
 from ..operators.scratch import stash
+from ..operators.sizing import small_batches
 
 #: The mark between the cards of a bundle, and the sentences of a card's file.
 SEPARATOR = "<OPS_CARD_BOUNDARY>"
@@ -39,12 +47,46 @@ def write_by(df: DataFrame, path: str, *by: str) -> None:
 
 
 def bundles(cards: DataFrame, by: str, order: str, text: str, separator: str = SEPARATOR) -> DataFrame:
-    """by, bundle: texts in order joined by the separator; raises if a text holds the separator.  A bundle is one file, and one row."""
+    """by, bundle: texts in order joined by the separator; raises if a text holds the separator.  A bundle is one row here, so of 2 GB at most; ``write_bundles`` writes longer ones."""
     safe = F.when(F.col(text).contains(separator), F.raise_error(F.lit("reserved separator in content")).cast("string")).otherwise(F.col(text))
     rows = cards.select(by, F.struct(order, safe.alias("t")).alias("x"))
     return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), f"\n{separator}\n").alias("bundle"))
 
 
+def write_bundles(cards: DataFrame, folder: str, by: str, order: str, text: str, separator: str = SEPARATOR) -> DataFrame:
+    """by, path, bytes, md5: what ``bundles`` gives, each written as a file below ``folder``, however long.
+
+    A file is one sequence of bytes: one task reads its group, in order, and holds an Arrow
+    batch of texts at once, not the bundle.  A try that fails leaves a file that no row names.
+    """
+    small_batches(cards.sparkSession)
+    safe = F.when(F.col(text).contains(separator), F.raise_error(F.lit("reserved separator in content")).cast("string")).otherwise(F.col(text))
+    rows = cards.select(F.col(by).alias("g"), F.col(order).alias("o"), safe.cast("binary").alias("t"))
+    mark = f"\n{separator}\n".encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
+        system.create_dir(root)
+        kind = None
+        pairs = ((b, i) for b in batches for i in range(b.num_rows))
+        for key, found in groupby(pairs, lambda x: x[0]["g"][x[1]].as_py()):
+            path, digest, size, lead = f"{root}/{uuid.uuid4().hex}", hashlib.md5(), 0, b""
+            with system.open_output_stream(path) as out:
+                for batch, i in found:
+                    kind = batch["g"].type
+                    t = batch["t"][i].as_py()
+                    for piece in () if t is None else (lead, t):
+                        out.write(piece)
+                        digest.update(piece)
+                        size += len(piece)
+                    lead = lead if t is None else mark
+            yield pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([path]), pa.array([size]), pa.array([digest.hexdigest()])], [by, "path", "bytes", "md5"])
+
+    schema = T.StructType([T.StructField(by, rows.schema["g"].dataType), T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("md5", T.StringType())])
+    # written once, when this is called
+    return stash(rows.repartition("g").sortWithinPartitions("g", "o", "t").select("g", "t").mapInArrow(run, schema), "bundle-files")
+
+
 def bundle_parts(cards: DataFrame, by: str, order: str, text: str, max_chars: int, separator: str = SEPARATOR) -> DataFrame:
     """by, part, bundle: what ``bundles`` gives, cut between texts; joined by the separator, a group's parts are its bundle.
 

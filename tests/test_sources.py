@@ -1,9 +1,11 @@
 """Sources, sinks, snapshots and streams on temporary folders."""
 
+import hashlib
 import json
 import threading
 import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -72,6 +74,25 @@ def test_index(spark, tmp_path):
     assert snapshots.open_index(spark, root, docs=less)[1].count() == 1
 
 
+def test_bundles_of_any_length_are_files(spark, tmp_path):
+    """A bundle was one row, which ends at 2 GB."""
+    rows = [("m", 2, "b"), ("m", 1, "ä"), ("m", None, "first"), ("m", 3, None), ("m", 2, "a"), (None, 1, "x"), ("void", 1, None), ("e", 1, ""), ("e", 2, "z")]
+    rows += [("long", i, f"{i} " * 50) for i in range(700)]
+    cards = spark.createDataFrame(rows, "module string, pos int, text string").repartition(5)
+    got = sinks.write_bundles(cards, f"file://{tmp_path}/b", "module", "pos", "text")
+    assert got.columns == ["module", "path", "bytes", "md5"]
+    want = {r["module"]: r["bundle"] for r in sinks.bundles(cards, "module", "pos", "text").collect()}
+    found = got.collect()
+    assert len(found) == len(want) == 5
+    for r in found:
+        content = Path(r["path"]).read_bytes()
+        assert content.decode() == want[r["module"]]
+        assert (r["bytes"], r["md5"]) == (len(content), hashlib.md5(content).hexdigest())
+    bad = spark.createDataFrame([("m", 1, sinks.SEPARATOR)], cards.schema)
+    with pytest.raises(PySparkException):
+        sinks.write_bundles(bad, f"file://{tmp_path}/c", "module", "pos", "text")
+
+
 def test_sinks(spark, tmp_path):
     cards = spark.createDataFrame([("m", 2, "b"), ("m", 1, "a")], "module string, pos int, text string")
     assert sinks.bundles(cards, "module", "pos", "text").first()["bundle"] == f"a\n{sinks.SEPARATOR}\nb"
