@@ -61,13 +61,15 @@ _MEMBERS = VOCAB // CLASSES
 #: Words that a task holds before it counts them.
 _COUNTED = 1 << 21
 #: Places that are ordered together.
-_TOGETHER = 1 << 15
+_TOGETHER = 1 << 13
 #: Tokens scored at once, and the grain of the numbers that are multiplied; places of a score.
 _CHUNK, _EXACT, PLACES = 1 << 12, 2.0**-20, 6
 #: Corrections by the table of listed words are summed as whole multiples of this.
 _FINE = 2.0**-32
-#: Every byte as ``split`` lowers it.
-_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Values up to which exponentials can be summed as they are.
+_SAFE = 80
+#: Of XXH64.
+_PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 _OFFSETS = [d for d in range(-REACH, REACH + 1) if d]
 #: Parameter rows: embeddings by position (one more for beyond the text's ends), classes, members; the last column is a bias.
 _EMB = len(_OFFSETS) * (VOCAB + 1)
@@ -96,6 +98,49 @@ class Words(NamedTuple):
 word_hash = xxhash.xxh64_intdigest
 
 
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a ``large_binary`` array, and where each value begins and the last ends in them."""
+    if not len(words):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of words (``large_binary``), and their sizes; those of less than 32 bytes are hashed together."""
+    body, ends = _bytes_of(words)
+    at, size = ends[:-1].copy(), np.diff(ends)
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(body) + 1, "V8", padded, strides=(1,))  # from any byte on
+    h = size.astype(np.uint64) + _PRIMES[4]
+
+    def mix(some: np.ndarray, x: np.ndarray, by: int, times: np.uint64, plus: np.uint64) -> None:
+        h[some] = _turned(h[some] ^ x, by) * times + plus
+
+    for first in (0, 8, 16):
+        some = np.flatnonzero(size >= first + 8)
+        mix(some, _turned(eight[at[some] + first].view("<u8") * _PRIMES[1], 31) * _PRIMES[0], 27, _PRIMES[0], _PRIMES[3])
+    at += size - size % 8
+    some = np.flatnonzero(size % 8 >= 4)
+    mix(some, (eight[at[some]].view("<u8") & np.uint64(0xFFFFFFFF)) * _PRIMES[0], 23, _PRIMES[1], _PRIMES[2])
+    at[some] += 4
+    for i in range(3):
+        some = np.flatnonzero(size % 4 > i)
+        mix(some, padded[at[some] + i] * _PRIMES[4], 11, _PRIMES[0], np.uint64(0))
+    h ^= h >> np.uint64(33)
+    h *= _PRIMES[1]
+    h ^= h >> np.uint64(29)
+    h *= _PRIMES[2]
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(size >= 32).tolist():
+        h[i] = word_hash(words[i].as_py())
+    return h, size
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
 class Lookup:
     """Token ids, and with ``spell`` log P(word | token), of words; each distinct word of a call is looked up once."""
 
@@ -104,13 +149,12 @@ class Lookup:
 
     def __call__(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         coded, w = found.dictionary_encode(), self.words
-        new = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
-        size = np.fromiter(map(len, new), np.int64, len(new))
+        new = coded.dictionary.cast(pa.large_binary())
+        h, size = word_hashes(new)
         ids = (VOCAB - LENGTHS - 1 + np.minimum(size, LENGTHS)).astype(np.int32)
         known = np.zeros(len(new), bool)
         at = np.zeros(len(new), np.int64)
         if len(w.hashes):
-            h = np.fromiter(map(word_hash, new), np.uint64, len(new))
             # looked up in order: neighbours in the arrays are read together
             order = np.argsort(h)
             at[order] = np.minimum(np.searchsorted(w.hashes, h[order]), len(w.hashes) - 1)
@@ -121,7 +165,7 @@ class Lookup:
             return ids[where], np.empty(0)
         extra = np.zeros(len(new))
         extra[known] = w.extra[at[known]]
-        extra[~known] = spelling(w, [new[i] for i in np.flatnonzero(~known)])
+        extra[~known] = spelling(w, new.filter(pa.array(~known)).to_numpy(zero_copy_only=False).tolist())
         return ids[where], extra[where]
 
 
@@ -129,10 +173,9 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """What ``split`` gives for all texts, one after the other, and the number of words of each."""
     texts = texts.cast(pa.large_binary())
     texts = texts.fill_null(b"") if texts.null_count else texts
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    body, ends = _bytes_of(texts)
     # pyarrow's own ascii_lower (23.0) takes a slice's bytes from the wrong place
-    body = _LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
-    lists = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(body)))
+    lists = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(body.tobytes().lower())))
     sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
     found = lists.flatten()
     some = pc.greater(pc.binary_length(found), 0)
@@ -195,11 +238,10 @@ def list_words(documents: DataFrame) -> tuple[Words, np.ndarray, int]:
         def count(held: list[pa.RecordBatch]) -> None:
             words = pa.concat_arrays([b["w"].cast(pa.large_binary()) for b in held])
             n = np.concatenate([b["n"].to_numpy(zero_copy_only=False) for b in held])
-            ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-            size = np.diff(ends)
-            body = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.int64)
+            body, ends = _bytes_of(words)
+            size, body = np.diff(ends), body.astype(np.int64)
             before = np.roll(body, 1)
-            before[(ends[:-1] - ends[0])[size > 0]] = 32
+            before[ends[:-1][size > 0]] = 32
             np.add.at(total, before * 256 + body, np.repeat(n, size))
             np.add.at(total, BUCKETS + np.minimum(size, LENGTHS) - 1, n)
             total[BUCKETS + LENGTHS] += (np.maximum(size - LENGTHS, 0) * n).sum()
@@ -209,10 +251,8 @@ def list_words(documents: DataFrame) -> tuple[Words, np.ndarray, int]:
             often = pc.greater_equal(batch["n"], least)
             known = batch.filter(often)
             if len(known):
-                words = known["w"].to_pylist()
-                h = np.fromiter(map(word_hash, words), np.uint64, len(words)).view(np.int64)
-                b = np.fromiter((min(len(w), LENGTHS) - 1 for w in words), np.int64, len(words))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(b), known["n"], pa.array(np.ones(len(words), bool))], ["h", "b", "n", "listed"])
+                h, size = word_hashes(known["w"].cast(pa.large_binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(size, LENGTHS) - 1), known["n"], pa.array(np.ones(len(h), bool))], ["h", "b", "n", "listed"])
             between = batch.filter(pc.and_(pc.greater_equal(batch["n"], MIN_COUNT), pc.invert(often)))
             if len(between):
                 size = np.minimum(pc.binary_length(between["w"]).to_numpy(zero_copy_only=False), LENGTHS).astype(np.int64)
@@ -261,10 +301,9 @@ def _tabled(counts: DataFrame, words: Words, of_length: np.ndarray) -> DataFrame
         for batch in batches:
             w, n = batch["w"].to_pylist(), batch["n"].to_numpy(zero_copy_only=False)
             if w:
-                size = np.minimum(np.fromiter(map(len, w), np.int64, len(w)), LENGTHS) - 1
-                delta = np.log(n / of_length[size]) - spelling(words, w)
-                h = np.fromiter(map(word_hash, w), np.uint64, len(w)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.rint(delta / _FINE).astype(np.int64))], ["h", "delta"])
+                h, size = word_hashes(batch["w"].cast(pa.large_binary()))
+                delta = np.log(n / of_length[np.minimum(size, LENGTHS) - 1]) - spelling(words, w)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.rint(delta / _FINE).astype(np.int64))], ["h", "delta"])
 
     return counts.mapInArrow(run, "h long, delta long")
 
@@ -324,26 +363,45 @@ class _Places:
     @classmethod
     def cut(cls, row: np.ndarray, at: np.ndarray, size: int) -> Iterator[_Places]:
         """``size`` places at a time; they are ordered some steps together."""
-        some = max(1, _TOGETHER // size)
+        if not len(at):
+            return
+        some, width = max(1, _TOGETHER // size), len(_OFFSETS)
+        # embedding rows of both sides of every place of the row, which are read together
+        beside = np.empty((len(row) - 2 * REACH, width), np.uint16)
+        for i, d in enumerate(_OFFSETS):
+            np.add(row[REACH + d : len(row) - REACH + d], i * (VOCAB + 1), out=beside[:, i], casting="unsafe")
+        beside, row = beside.view(f"V{2 * width}").ravel(), row.astype(np.uint16)
         for s in range(0, len(at), some * size):
             here = at[s : s + some * size]
             n = -(-len(here) // size)
-            key = (np.arange(len(here)) // size * CLASSES + row[here] // _MEMBERS).astype(np.uint16)
+            token = row.take(here)
+            key = np.repeat(np.arange(n, dtype=np.uint16), size)[: len(here)] * CLASSES + token // _MEMBERS
             order = np.argsort(key, kind="stable")
-            key, here = key[order], here[order]
-            member, key = row[here] % _MEMBERS, key % CLASSES + np.arange(len(here)) // size * CLASSES
-            rows = np.stack([row[here + d] + i * (VOCAB + 1) for i, d in enumerate(_OFFSETS)]).astype(np.uint16)
-            ends = np.searchsorted(key, np.arange(n * CLASSES + 1))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=n * CLASSES))])
+            token = token.take(order)
+            of = token // _MEMBERS
+            member, of = (token - of * _MEMBERS).astype(np.intp), of.astype(np.intp)
+            rows = np.ascontiguousarray(beside.take(here.take(order) - REACH).view(np.uint16).reshape(-1, width).T)
+            rows = rows.astype(np.intp)
             for i in range(n):
                 a, b = i * size, min((i + 1) * size, len(here))
-                yield cls(order[a:b] - a, rows[:, a:b].ravel(), key[a:b] % CLASSES, member[a:b], (ends[i * CLASSES : (i + 1) * CLASSES + 1] - a).tolist())
+                yield cls(order[a:b] - a, rows[:, a:b].ravel(), of[a:b], member[a:b], (ends[i * CLASSES : (i + 1) * CLASSES + 1] - a).tolist())
+
+    def by_row(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The embedding rows that occur, where each begins in the third array, and there the places of each, in order."""
+        n = len(self.cls)
+        bits = np.uint32(n.bit_length())
+        # row and place are sorted as one number
+        both = (self.rows.astype(np.uint32).reshape(-1, n) << bits | np.arange(n, dtype=np.uint32)).ravel()
+        both.sort()
+        rows = both >> bits
+        first = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
+        return rows[first].astype(np.intp), first, (both & np.uint32((1 << int(bits)) - 1)).astype(np.intp)
 
-    def hidden(self, p: np.ndarray) -> np.ndarray:
-        """Hidden units and, last, a one for the bias."""
-        h = p.take(self.rows, axis=0).reshape(len(_OFFSETS), -1, HIDDEN + 1).sum(axis=0)
-        np.tanh(h, out=h)
-        h[:, HIDDEN] = 1
-        return h
+    def hidden(self, embeddings: np.ndarray) -> np.ndarray:
+        """Hidden units of each place."""
+        h = embeddings.take(self.rows, axis=0).reshape(len(_OFFSETS), -1, HIDDEN).sum(axis=0)
+        return np.tanh(h, out=h)
 
 
 def log_probs(p: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -353,18 +411,23 @@ def log_probs(p: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     sums of products are exact in double precision: what a place gets does not
     depend on the order in which they are summed, nor on the places around it.
     """
-    out = np.empty(len(at), np.float64)
-    exact = lambda x: np.rint(x * np.float32(1 / _EXACT)).astype(np.float64) * _EXACT
-    heads, body = exact(p[_EMB : _EMB + CLASSES]), exact(p[_EMB + CLASSES :])
+    out, embeddings = np.empty(len(at), np.float64), np.ascontiguousarray(p[:_EMB, :HIDDEN])
+    # units are held as whole multiples of the grain, so weights are multiplied by it once more
+    exact = np.rint(p[_EMB:] * np.float32(1 / _EXACT)).astype(np.float64) * _EXACT**2
+    heads, body = exact[:CLASSES], np.split(exact[CLASSES:], CLASSES)
+    room = np.empty(_MEMBERS * _CHUNK)
     for s, x in zip(range(0, len(at), _CHUNK), _Places.cut(row, at, _CHUNK), strict=True):
-        t = np.ascontiguousarray(exact(x.hidden(p)).T)
-        members = np.empty((_MEMBERS, len(x.cls)), np.float32)
+        h = x.hidden(embeddings)
+        h *= np.float32(1 / _EXACT)
+        t = np.empty((HIDDEN + 1, len(h)))
+        t[:HIDDEN], t[HIDDEN] = np.rint(h, out=h).T, 1 / _EXACT
+        members = np.empty((_MEMBERS, len(h)), np.float32)
         for c, a, b in x.spans:
-            members[:, a:b] = body[c * _MEMBERS : (c + 1) * _MEMBERS] @ t[:, a:b]
-        total = np.zeros(len(x.cls))
+            members[:, a:b] = np.dot(body[c], t[:, a:b], out=room[: _MEMBERS * (b - a)].reshape(_MEMBERS, -1))
+        total = np.zeros(len(h))
         for z, chosen in (((heads @ t).astype(np.float32), x.cls), (members, x.member)):
             z -= z.max(axis=0)
-            total += z[chosen, np.arange(len(chosen))]
+            total += z.ravel().take(chosen * len(h) + np.arange(len(h)))
             total -= np.log(np.exp(z, out=z).sum(axis=0))
         out[s + x.order] = total
     return out
@@ -374,69 +437,114 @@ class Trainer:
     """One copy of the network, trained by Adagrad in small steps."""
 
     def __init__(self, start: np.ndarray):
-        self.p, self.seen = start.copy(), np.full(start.shape, 1e-3, np.float32)
-        self.tokens = 0
+        #: Embeddings, whose biases are never used; classes and members with their biases; what each has seen.
+        self.emb, self.top = start[:_EMB, :HIDDEN].copy(), start[_EMB:].copy()
+        self.unused = start[:_EMB, HIDDEN:]
+        self.seen_emb, self.seen_top = np.full(self.emb.shape, 1e-3, np.float32), np.full(self.top.shape, 1e-3, np.float32)
+        self.tokens, self.most = 0, np.inf
         #: Views of what a step reads and writes, and room that steps use again.
-        self.heads = self.p[_EMB : _EMB + CLASSES]
-        self.body = np.split(self.p[_EMB + CLASSES :], CLASSES)
-        self.body_t = [b.T for b in self.body]
-        self.out = np.empty((CLASSES + VOCAB, HIDDEN + 1), np.float32)
+        self.heads, self.body_t = self.top[:CLASSES], [b.T for b in np.split(self.top[CLASSES:], CLASSES)]
+        self.weights = self.top[:, :HIDDEN].copy()
+        self.body = np.split(self.weights[CLASSES:], CLASSES)
+        self.out, self.room = np.empty_like(self.top), np.empty_like(self.top)
         self.body_out = np.split(self.out[CLASSES:], CLASSES)
-        self.members, self.back = np.empty((STEP, _MEMBERS), np.float32), np.empty((STEP, HIDDEN + 1), np.float32)
+        self.emb_rows, self.seen_rows = _whole_rows(self.emb), _whole_rows(self.seen_emb)
+        self.h = np.ones((STEP, HIDDEN + 1), np.float32)
+        self.members, self.ones, self.at = np.empty((STEP, _MEMBERS), np.float32), np.ones(_MEMBERS, np.float32), np.arange(STEP)
+        self.back, self.more = np.empty((STEP, HIDDEN), np.float32), np.empty((STEP, HIDDEN), np.float32)
+
+    @property
+    def p(self) -> np.ndarray:
+        return np.concatenate([np.concatenate([self.emb, self.unused], axis=1), self.top])
 
     def gradient(self, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the mean loss at the places, ``STEP`` at most: for classes and members; for embeddings, and their rows."""
-        return self._gradient(next(_Places.cut(row, at, STEP)))
+        out, emb, rows = self._gradient(next(_Places.cut(row, at, STEP)))
+        return out, np.pad(emb, ((0, 0), (0, 1))), rows
 
     def _gradient(self, x: _Places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(x.cls)
-        h = x.hidden(self.p)
-        members, back, out = self.members[:n], self.back[:n], self.out
+        h, members, back, more, out = self.h[:n], self.members[:n], self.back[:n], self.more[:n], self.out
+        h[:, :HIDDEN] = units = x.hidden(self.emb)
         for c, a, b in x.spans:
             np.dot(h[a:b], self.body_t[c], out=members[a:b])
-        classes = h @ self.heads.T
-        for z, chosen in ((classes, x.cls), (members, x.member)):  # softmax less what is right
-            z -= z.max(axis=1, keepdims=True)
+        classes = np.dot(self.heads, h.T)
+        safe = self._safe()
+        # softmax less what is right, of the mean loss
+        for z, axis, right in ((classes, 0, x.cls * n + self.at[:n]), (members, 1, self.at[:n] * _MEMBERS + x.member)):
+            if not safe:
+                z -= z.max(axis=axis, keepdims=True)
             np.exp(z, out=z)
-            z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
-            z[np.arange(n), chosen] -= 1
+            total = z.sum(axis=0) if axis == 0 else (z @ self.ones)[:, None]
+            z *= 1 / (total * n)
+            z.ravel()[right] -= np.float32(1 / n)
         out.fill(0)
-        np.dot(classes.T, h, out=out[:CLASSES])
-        np.dot(classes, self.heads, out=back)
+        np.dot(classes, h, out=out[:CLASSES])
+        np.dot(classes.T, self.weights[:CLASSES], out=back)
         for c, a, b in x.spans:
             z = members[a:b]
             np.dot(z.T, h[a:b], out=self.body_out[c])
-            back[a:b] += z @ self.body[c]
-        out /= n
-        back *= (1 - h * h) / n  # nothing for the bias, whose unit is one
-        order = np.argsort(x.rows, kind="stable")
-        rows = x.rows[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        emb = np.zeros((len(first), HIDDEN + 1), np.float32)
+            np.dot(z, self.body[c], out=more[a:b])
+        back += more
+        units *= units
+        back *= np.subtract(1, units, out=units)
+        rows, first, places = x.by_row()
         # two numbers are added at a time
-        pairs = np.ascontiguousarray(back[:, :HIDDEN]).view(np.complex64).take(order % n, axis=0)
-        emb[:, :HIDDEN] = np.add.reduceat(pairs, first, axis=0).view(np.float32)
-        return out, emb, rows[first]
+        emb = np.add.reduceat(back.view(np.complex64).take(places, axis=0), first, axis=0).view(np.float32)
+        return out, emb, rows
+
+    def _safe(self) -> bool:
+        """Whether no value of the next step is beyond ``_SAFE``: units are 1 at most, and a step moves no weight by more than ``RATE``."""
+        if self.most > _SAFE:
+            self.most = np.abs(self.top).sum(axis=1).max()
+        safe = self.most <= _SAFE
+        self.most += RATE * (HIDDEN + 1)
+        return safe
 
     def step(self, row: np.ndarray, at: np.ndarray) -> None:
         self._step(next(_Places.cut(row, at, STEP)))
 
     def _step(self, x: _Places) -> None:
         out, emb, rows = self._gradient(x)
-        self.seen[_EMB:] += out * out
-        self.p[_EMB:] -= RATE * out / np.sqrt(self.seen[_EMB:])
-        seen = self.seen.take(rows, axis=0) + emb * emb
-        self.seen[rows] = seen
-        self.p[rows] = self.p.take(rows, axis=0) - RATE * emb / np.sqrt(seen)
+        _adagrad(self.top, self.seen_top, out, self.room)
+        self.weights[:] = self.top[:, :HIDDEN]
+        p, seen = self.emb.take(rows, axis=0), self.seen_emb.take(rows, axis=0)
+        _adagrad(p, seen, emb, np.empty_like(emb))
+        self.emb_rows[rows], self.seen_rows[rows] = _whole_rows(p), _whole_rows(seen)
         self.tokens += len(x.cls)
 
     def texts(self, texts, look: Lookup) -> None:
         row, at, _, _ = _lay_out(texts, look)
-        at = at[np.argsort((np.arange(len(at), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20), kind="stable")]
-        for x in _Places.cut(row, at, STEP):
+        for x in _Places.cut(row, at[_mixed(len(at))], STEP):
             self._step(x)
 
 
+def _whole_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of a matrix as single values, which are written faster."""
+    return x.view(f"V{x.itemsize * x.shape[1]}").ravel()
+
+
+def _adagrad(p: np.ndarray, seen: np.ndarray, slope: np.ndarray, room: np.ndarray) -> None:
+    """A step of ``p`` against ``slope``; ``room`` is written over."""
+    np.multiply(slope, slope, out=room)
+    seen += room
+    np.sqrt(seen, out=room)
+    np.divide(slope, room, out=room)
+    room *= RATE
+    p -= room
+
+
+def _mixed(n: int) -> np.ndarray:
+    """An order of n places by the high bits of a hash of each, equal ones as they come."""
+    low, at = np.uint64(20), np.arange(n, dtype=np.uint64)
+    key = at * np.uint64(0xD6E8FEB86659FD93) >> low
+    if n > 1 << 20:
+        return np.argsort(key, kind="stable")
+    both = key << low | at  # sorted as one number, which is faster
+    both.sort()
+    return (both & np.uint64((1 << 20) - 1)).astype(np.intp)
+
+
 _COLS = [f"p{i}" for i in range(HIDDEN + 1)]
 
 
@@ -535,7 +643,7 @@ def _corrected(documents: DataFrame, lm: Column, table: DataFrame, sent) -> Data
         for batch in batches:
             for key, found in zip(batch["__key"], batch["text"], strict=True):
                 some = Counter(split(found))
-                h = np.fromiter(map(word_hash, some), np.uint64, len(some))
+                h, _ = word_hashes(pa.array(list(some), pa.large_binary()))
                 n = np.fromiter(some.values(), np.int64, len(some))
                 new = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] != h if len(hashes) else np.ones(len(h), bool)
                 if new.any():

@@ -477,6 +477,54 @@ def test_lm_values_do_not_depend_on_the_texts_around(monkeypatch):
             assert (each(["w1 w70", t, "w3"])[1] == got).all()
 
 
+def test_lm_hashes_words_of_a_batch_together(monkeypatch):
+    """CPU of op6: every distinct word was hashed by a call of its own; now those of 32 bytes or more are."""
+    rng = random.Random(7)
+    every = [rng.randbytes(n) for n in range(70) for _ in range(20)]
+    rng.shuffle(every)
+    plain, called = lmscore.word_hash, []
+    some = sorted({plain(w) for w in every[::2] if w})
+    look = lmscore.Lookup(lmscore.Words(np.array(some, np.uint64), np.arange(len(some), dtype=np.int32), np.zeros(len(some)), np.zeros(16), np.zeros(65536), np.zeros(2)))
+    monkeypatch.setattr(lmscore, "word_hash", lambda w: called.append(w) or plain(w))
+    found = [w for w in every if w]
+    known = {h: i for i, h in enumerate(some)}
+    ids, _ = look(pa.array(found, pa.binary()))
+    assert ids.tolist() == [known.get(plain(w), lmscore.VOCAB - lmscore.LENGTHS - 1 + min(len(w), lmscore.LENGTHS)) for w in found]
+    assert called and min(map(len, called)) == 32
+    row, at, sizes, _ = lmscore._lay_out([], look)  # nor do batches without texts fail
+    assert len(lmscore.log_probs(np.zeros((lmscore._ROWS, lmscore.HIDDEN + 1), np.float32), row, at)) == len(sizes) == 0
+    for first, last in ((0, len(every)), (3, 50), (9, 9)):
+        h, sizes = lmscore.word_hashes(pa.array(every, pa.large_binary())[first:last])
+        assert h.tolist() == [plain(w) for w in every[first:last]] and sizes.tolist() == [len(w) for w in every[first:last]]
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000, 1 << 20, (1 << 20) + 3])
+def test_lm_order_of_places(n):
+    key = (np.arange(n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20)
+    assert np.array_equal(lmscore._mixed(n), np.argsort(key, kind="stable"))
+
+
+@pytest.mark.parametrize("more", [200, -200])
+def test_lm_steps_with_large_values(more):
+    """Softmax does not depend on what is added to all values, though their exponentials pass the range."""
+    rng = np.random.default_rng(9)
+    p = rng.normal(0, 0.3, (lmscore._ROWS, lmscore.HIDDEN + 1)).astype(np.float32)
+    row = rng.integers(0, lmscore.VOCAB, 604).astype(np.int32)
+    row[:2] = row[-2:] = lmscore.VOCAB
+    at = np.arange(2, 514)
+    q = p.copy()
+    q[lmscore._EMB :, lmscore.HIDDEN] += more
+    t, u = lmscore.Trainer(p), lmscore.Trainer(q)
+    for ours, theirs in zip(t.gradient(row, at), u.gradient(row, at), strict=True):
+        assert ours == pytest.approx(theirs, abs=1e-5)
+    grown = p.copy()
+    grown[lmscore._EMB :] *= 20  # from within the range to beyond it
+    t = lmscore.Trainer(grown)
+    for _ in range(60):
+        t.step(row, at)
+        assert np.isfinite(t.p).all() and (np.abs(t.top).sum(axis=1).max() <= t.most + 1e-3)
+
+
 def test_ftrl_against_a_plain_version():
     from marlstone.llm.ftrl import Ftrl
 
