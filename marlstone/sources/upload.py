@@ -6,7 +6,8 @@ what it is about to send, after the documents their ids, after the metadata that
 are applied.  So whatever stops a task, a run or the driver, it is known which rows
 were sent, and which few are uncertain: for these the store is asked by name before
 anything is created again.  A task that is started again reads the journal of its
-earlier attempts; a later run leaves out what receipts prove.
+earlier attempts; a later run leaves out what receipts prove.  Every ``MERGE`` notes of
+a task become one compressed file, so a journal's files do not grow with its chunks.
 
 A document that the store refuses ends the run, not its task: a task that failed would
 have the others killed in the middle of their chunks, and workers live on for seconds after
@@ -25,7 +26,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark import TaskContext
@@ -35,6 +36,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 #: Documents that a task sends between two entries of its journal, and tasks at once.
 CHUNK, WORKERS = 20, 4
+#: Notes of a task's journal that are files of their own at once.
+MERGE = 2048
 RECEIPT = "run string, part int, attempt long, seq int, state string, key string, document_id string, hash string, metadata_applied boolean, error string, at timestamp"
 
 
@@ -66,41 +69,73 @@ def _open(path: str):
     return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
 
 
+def _line(row: dict) -> bytes:
+    return json.dumps(row).encode() + b"\n"
+
+
 class Journal:
-    """Entries of a task's attempts: one small file each, never changed."""
+    """Entries of a task's attempts: a small file for each note, never changed; every ``MERGE`` of them are merged.
+
+    A merged file has what counts of each key: its last receipt, or that it was about to
+    be sent, and all errors.  It gets its name when it is whole, and only then its notes go.
+    """
 
     def __init__(self, root: str, run: str, part: int, attempt: int):
-        self.root, self.run, self.part, self.attempt, self.seq = root, run, part, attempt, 0
+        self.system, root = _open(root)
+        self.folder, self.attempt, self.seq = f"{root}/receipts/{run}/{part}", attempt, 0
+        self.head = {"run": run, "part": part, "attempt": attempt}
+        self.small: list[str] = []
+        self.told: list[tuple[str, str, bytes]] = []
 
     def write(self, state: str, entries: list[dict]) -> None:
         if not entries:
             return
-        system, root = _open(self.root)
-        folder = f"{root}/receipts/{self.run}/{self.part}"
-        system.create_dir(folder)
+        if not self.seq:
+            self.system.create_dir(self.folder)
         self.seq += 1
-        head = {"run": self.run, "part": self.part, "attempt": self.attempt, "seq": self.seq, "state": state}
-        with system.open_output_stream(f"{folder}/{self.attempt}-{self.seq}.json") as out:
-            out.write("\n".join(json.dumps(head | e) for e in entries).encode())
-
-    def before(self) -> tuple[dict[str, dict], set[str]]:
-        """Of earlier attempts: the last receipt of each key, and keys that were about to be sent."""
+        head = self.head | {"seq": self.seq, "state": state}
+        told = [(state, e["key"], _line(head | e)) for e in entries]
+        path = f"{self.folder}/{self.attempt}-{self.seq}.json"
+        with self.system.open_output_stream(path) as out:
+            out.write(b"".join(line for _, _, line in told))
+        self.small.append(path)
+        self.told += told
+        if len(self.small) == MERGE:
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.small:
+            return
+        last = {key: line for state, key, line in self.told if state == "receipt"}
+        rest = [line for state, key, line in self.told if state == "error" or state == "asked" and key not in last]
+        name = f"{self.attempt}-{self.seq}.json.gz"
+        with self.system.open_output_stream(f"{self.folder}/_{name}", compression="gzip") as out:  # not read under this name
+            out.write(b"".join([*last.values(), *rest]))
+        self.system.move(f"{self.folder}/_{name}", f"{self.folder}/{name}")
+        for path in self.small:
+            self.system.delete_file(path)
+        self.small, self.told = [], []
+
+    def before(self) -> tuple[dict[str, tuple[str, bool]], set[str]]:
+        """Of earlier attempts: document_id and metadata_applied of each key's last receipt, and keys without one that were about to be sent."""
         from pyarrow import fs
 
-        system, root = _open(self.root)
-        found = system.get_file_info(fs.FileSelector(f"{root}/receipts/{self.run}/{self.part}", allow_not_found=True))
-        entries = []
-        for info in found:
-            with system.open_input_stream(info.path) as f:
-                entries += [json.loads(line) for line in f.read().decode().splitlines()]
-        receipts: dict[str, dict] = {}
+        receipts: dict[str, tuple[str, bool]] = {}
         asked = set()
-        for e in sorted(entries, key=lambda e: (e["attempt"], e["seq"])):
-            if e["state"] == "receipt":
-                receipts[e["key"]] = e
-            elif e["state"] == "asked":
-                asked.add(e["key"])
-        return receipts, asked
+        found = self.system.get_file_info(fs.FileSelector(self.folder, allow_not_found=True))
+        made = [(int(m[1]), int(m[2]), info.path) for info in found if (m := re.fullmatch(r"(\d+)-(\d+)\.json(\.gz)?", info.base_name))]
+        for _, _, path in sorted(made):
+            try:
+                with self.system.open_input_stream(path) as f:
+                    entries = [json.loads(line) for line in f.read().decode().splitlines()]
+            except FileNotFoundError:  # merged meanwhile, by an attempt that still runs
+                return self.before()
+            for e in entries:
+                if e["state"] == "receipt":
+                    receipts[e["key"]] = e["document_id"], e["metadata_applied"]
+                elif e["state"] == "asked":
+                    asked.add(e["key"])
+        return receipts, asked - receipts.keys()
 
 
 class _Writer(DataSourceWriter):
@@ -119,8 +154,10 @@ class _Writer(DataSourceWriter):
                 self._send(chunk, journal, receipts, asked, done)
                 chunk = []
                 if done.refused:  # the rest of the task's rows stay for the next run
-                    return done
-        self._send(chunk, journal, receipts, asked, done)
+                    break
+        if not done.refused:
+            self._send(chunk, journal, receipts, asked, done)
+        journal.merge()
         return done
 
     def _send(self, chunk: list[dict], journal: Journal, receipts: dict, asked: set, done: Sent) -> None:
@@ -130,7 +167,7 @@ class _Writer(DataSourceWriter):
         for row in chunk:
             had = receipts.get(row["key"])
             if had or row["action"] == "metadata":
-                ids[row["key"]] = had["document_id"] if had else row["document_id"]
+                ids[row["key"]] = had[0] if had else row["document_id"]
             else:
                 new.append(row)
         journal.write("asked", [{"key": r["key"]} for r in new])
@@ -150,7 +187,7 @@ class _Writer(DataSourceWriter):
         journal.write("receipt", told)
         told = []
         for row in chunk:
-            if row["key"] in ids and not (receipts.get(row["key"]) or {}).get("metadata_applied"):
+            if row["key"] in ids and not receipts.get(row["key"], ("", False))[1]:
                 try:
                     self.store.describe(ids[row["key"]], row)
                     done.described += 1
@@ -180,6 +217,11 @@ class _Writer(DataSourceWriter):
         self._mark("aborted", messages)
 
 
+def _document(row: dict) -> str:
+    """Id under which a row's document is created; a letter first: hex digits alone may look like a number."""
+    return "d" + hashlib.sha256(f"{row.get('domain')}\n{row['name']}".encode()).hexdigest()[:16]
+
+
 @dataclass
 class FolderStore:
     """A store that keeps what it is sent as files of a shared folder: one for each put, so that a document sent twice shows."""
@@ -188,11 +230,9 @@ class FolderStore:
 
     def _place(self, row: dict) -> tuple:
         system, root = _open(self.root)
-        # a letter first: hex digits alone may look like a number
-        name = "d" + hashlib.sha256(f"{row.get('domain')}\n{row['name']}".encode()).hexdigest()[:16]
         system.create_dir(f"{root}/puts")
         system.create_dir(f"{root}/described")
-        return system, root, name
+        return system, root, _document(row)
 
     def find(self, row: dict) -> str | None:
         from pyarrow import fs
@@ -218,6 +258,58 @@ class FolderStore:
             out.write(json.dumps({"key": row["key"], "document_id": document_id}).encode())
 
 
+@dataclass
+class LedgerStore:
+    """A store that keeps what it is sent as lines of files in a shared folder: one line for each put, so that a document sent twice shows.
+
+    For many documents, since a file takes a block of the disk however short it is.  A
+    task writes files of its own and flushes each line, after which others must see it.
+    """
+
+    root: str
+    _files: dict = field(default_factory=dict, init=False, repr=False, compare=False)
+
+    def create(self) -> None:
+        """Its folders, which readers need also where nothing is sent."""
+        system, root = _open(self.root)
+        for folder in ("puts", "described"):
+            system.create_dir(f"{root}/{folder}")
+
+    def _add(self, folder: str, line: dict) -> None:
+        if folder not in self._files:
+            system, root = _open(self.root)
+            system.create_dir(f"{root}/{folder}")
+            self._files[folder] = system.open_output_stream(f"{root}/{folder}/{uuid.uuid4().hex}.json")
+        self._files[folder].write(_line(line))
+        self._files[folder].flush()
+
+    def find(self, row: dict) -> str | None:
+        from pyarrow import fs
+
+        system, root = _open(self.root)
+        name = _document(row)
+        sought = f'"document_id": "{name}"'.encode()
+        for info in system.get_file_info(fs.FileSelector(f"{root}/puts/{name[1]}", allow_not_found=True)):
+            with system.open_input_stream(info.path) as f:
+                rest = b""
+                while block := f.read(1 << 20):
+                    block = rest + block
+                    if sought in block:
+                        return name
+                    rest = block[-len(sought) :]
+        return None
+
+    def put(self, row: dict) -> str:
+        name = _document(row)
+        document_id = row["document_id"] or name
+        # by a digit of the name, so that looking for one reads a sixteenth
+        self._add(f"puts/{name[1]}", {"key": row["key"], "action": row["action"], "document_id": document_id, "hash": row["content_hash"]})
+        return document_id
+
+    def describe(self, document_id: str, row: dict) -> None:
+        self._add("described", {"key": row["key"], "document_id": document_id})
+
+
 def _entries(spark: SparkSession, root: str) -> DataFrame:
     system, path = _open(root)
     system.create_dir(f"{path}/receipts")
@@ -274,6 +366,7 @@ def send(plan: DataFrame, store: Store, root: str, workers: int = WORKERS) -> st
             return _Writer(store, root, run)
 
     spark.dataSource.register(Upload)
-    out = rows.drop("__k", "__id", "__hash", "__asked", "metadata_applied").repartition(workers, "key").sortWithinPartitions("key")
+    # dealt by the run too: what one task of a broken run left is shared by all of the next
+    out = rows.drop("__k", "__id", "__hash", "__asked", "metadata_applied").repartition(workers, F.xxhash64("key", F.lit(number))).sortWithinPartitions("key")
     out.write.format(Upload.name()).mode("append").save()
     return run

@@ -127,3 +127,75 @@ def test_nothing_is_sent_beside_the_run_that_follows_a_broken_one(spark, tmp_pat
     upload.send(rows, upload.FolderStore(f"{root}/store"), f"{root}/journal", workers=4)
     assert len(puts(root)) == 1200 and all(p.endswith("-0.json") for p in puts(root))
     assert [r["state"] for r in upload.runs(spark, f"{root}/journal").orderBy("run").collect()] == ["aborted", "committed"]
+
+
+def files(root):
+    return [os.path.join(d, x) for d, _, names in os.walk(root) for x in names]
+
+
+def test_a_journal_is_merged_and_says_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(upload, "MERGE", 28)
+    journal = upload.Journal(str(tmp_path), "000001-a", 0, 1)
+    told = {}
+    for i in range(0, 1000, 5):
+        keys = [f"k{j:03d}" for j in range(i, i + 5)]
+        journal.write("asked", [{"key": k} for k in keys])
+        for applied in (False, True):
+            sure = [k for k in keys if not k.endswith("7") and not (applied and k.endswith("3"))]
+            journal.write("receipt", [{"key": k, "document_id": f"d{k}", "hash": "h", "metadata_applied": applied} for k in sure])
+            told |= {k: (f"d{k}", applied) for k in sure}
+    assert len(files(tmp_path)) < 60  # of 600 notes
+    unsure = {f"k{i:03d}" for i in range(7, 1000, 10)}
+    again = upload.Journal(str(tmp_path), "000001-a", 0, 2)
+    assert again.before() == (told, unsure)
+    # a merge that was broken off leaves notes beside the merged file, or half of one under another name
+    kept = {path: open(path, "rb").read() for path in journal.small}
+    journal.merge()
+    assert not journal.small and again.before() == (told, unsure)
+    for path, data in kept.items():
+        with open(path, "wb") as f:
+            f.write(data)
+    with open(f"{journal.folder}/_1-999.json.gz", "wb") as f:
+        f.write(b"\x1f\x8b half")
+    assert kept and again.before() == (told, unsure)
+    rows = upload.receipts(spark, str(tmp_path)).collect()
+    assert {r["key"]: (r["document_id"], r["metadata_applied"]) for r in rows} == told
+
+
+class RefusesOne(upload.LedgerStore):
+    """Refuses one document until it is told otherwise."""
+
+    def put(self, row):
+        if row["key"] == "k600" and not os.path.exists(f"{self.root}/open"):
+            raise ConnectionError("busy")
+        return super().put(row)
+
+
+def test_many_documents_take_few_files(spark, tmp_path):
+    root = str(tmp_path)
+    store = RefusesOne(f"{root}/store")
+    store.create()
+    rows = plan(spark, 1200)
+    with pytest.raises(Exception, match="busy"):
+        upload.send(rows, store, f"{root}/journal")
+    open(f"{root}/store/open", "w").close()
+    upload.send(rows, store, f"{root}/journal")
+    sent = [line for path in files(f"{root}/store/puts") for line in open(path)]
+    described = [line for path in files(f"{root}/store/described") for line in open(path)]
+    assert len(sent) == len(set(sent)) == 1200 and len(described) == len(set(described)) == 1200
+    assert upload.receipts(spark, f"{root}/journal").filter("metadata_applied").count() == 1200
+    # before: a file for each put and each description, and three for every twenty
+    assert len([x for x in files(root) if x.endswith((".json", ".json.gz"))]) < 200
+    # what a task of the broken run left is shared by all of the next
+    last = max(os.listdir(f"{root}/journal/receipts"))
+    assert len(os.listdir(f"{root}/journal/receipts/{last}")) > 1
+
+
+def test_a_ledger_tells_what_a_dead_worker_put(tmp_path):
+    row = {"key": "1", "name": "n", "domain": "d", "action": "create", "document_id": None, "content_hash": "h"}
+    dead = upload.LedgerStore(str(tmp_path))
+    for i in range(30_000):
+        dead._add(f"puts/{upload._document(row)[1]}", {"document_id": f"x{i:060d}"})
+    assert upload.LedgerStore(str(tmp_path)).find(row) is None
+    assert dead.put(row) == upload.LedgerStore(str(tmp_path)).find(row)  # nothing was closed
+    assert upload.LedgerStore(str(tmp_path)).find(row | {"name": "other"}) is None
