@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..operators.scratch import swept
+
 #: Documents that a task sends between two entries of its journal, and tasks at once.
 CHUNK, WORKERS = 20, 4
 #: Notes of a task's journal that are files of their own at once.
@@ -368,5 +370,6 @@ def send(plan: DataFrame, store: Store, root: str, workers: int = WORKERS) -> st
     spark.dataSource.register(Upload)
     # dealt by the run too: what one task of a broken run left is shared by all of the next
     out = rows.drop("__k", "__id", "__hash", "__asked", "metadata_applied").repartition(workers, F.xxhash64("key", F.lit(number))).sortWithinPartitions("key")
-    out.write.format(Upload.name()).mode("append").save()
+    with swept(spark):
+        out.write.format(Upload.name()).mode("append").save()
     return run

@@ -8,6 +8,7 @@ import time
 import pytest
 
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from marlstone.sources import upload
 
@@ -43,6 +44,7 @@ sys.path[:0] = [{repo!r}, {tests!r}]
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 import test_upload as t
 cloudpickle.register_pickle_by_value(t)
 t.upload.send(t.plan(spark), t.DiesOnce({root!r} + "/store"), {root!r} + "/journal", workers=2)
@@ -199,3 +201,24 @@ def test_a_ledger_tells_what_a_dead_worker_put(tmp_path):
     assert upload.LedgerStore(str(tmp_path)).find(row) is None
     assert dead.put(row) == upload.LedgerStore(str(tmp_path)).find(row)  # nothing was closed
     assert upload.LedgerStore(str(tmp_path)).find(row | {"name": "other"}) is None
+
+
+def test_a_written_plan_gives_its_shuffles_back(spark, tmp_path):
+    from marlstone.operators.scratch import swept
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {f for f in str(disk.getAllFiles().mkString("\n")).split("\n") if "shuffle_" in f}
+    kept = names()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    with swept(spark):
+        assert spark.conf.get(setting) == "true"
+        rows.write.parquet(f"{tmp_path}/a")
+    assert spark.conf.get(setting) == "false"
+    for _ in range(50):
+        if names() <= kept:
+            break
+        time.sleep(0.1)
+    assert names() <= kept
+    rows.write.parquet(f"{tmp_path}/b")  # the same rows again
+    assert spark.read.parquet(f"{tmp_path}/b").count() == 7 and not names() <= kept
