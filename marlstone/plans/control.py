@@ -98,7 +98,7 @@ DEADLINES_SQL = f"with recursive {_OVERDUE.format(deadline=DEADLINE_MS)}, {_FOLD
 def ctl_job_deadlines(spark: SparkSession, d: str) -> DataFrame:
     """Jobs fail when nothing is heard of them for six hours."""
     rows = requests(spark, d)
-    last = rows.agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))) - 600_000).first()[0]
+    last = rows.agg(F.max(control.millis(F.col("ts"))) - 600_000).first()[0]
     return control.fold_deadlines(rows, DEADLINE_MS, F.lit(last))
 
 
@@ -112,7 +112,7 @@ _QUEUE = """t as (select event_type as job, cast(floor(epoch_ms(ts) / 3600000.0)
 
 def _output(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "events").select(F.col("event_type").alias("job"), "event_id", "ts", "props")
-    return control.bounded_output(lines, "job", F.unix_millis(F.col("ts").cast("timestamp")), "event_id", limit=5, per_poll=2, poll_ms=3_600_000)
+    return control.bounded_output(lines, "job", control.millis(F.col("ts")), "event_id", limit=5, per_poll=2, poll_ms=3_600_000)
 
 
 @query(f"with recursive {_QUEUE} select event_id, r.job, r.tick, n <= room as kept from r join s on s.job = r.job and s.tick = r.tick")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.control import ACTIVE_START, TERMINAL, after_request
+from ..operators.control import ACTIVE_START, TERMINAL, after_request, millis
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -108,7 +108,7 @@ def job_states(requests: DataFrame, start: str = ACTIVE_START, deadline_ms: int
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     timed = deadline_ms is not None or keep_ms is not None
     if timed:
-        marked = requests.select("job_id", "event_id", "request", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+        marked = requests.select("job_id", "event_id", "request", F.timestamp_millis(millis(F.col("ts"))).alias("ts")).withWatermark("ts", delay)
         rows = marked.withColumn("at", F.unix_millis("ts"))
     else:
         rows = requests.select("job_id", "event_id", "request", F.lit(0).cast("long").alias("at"))
